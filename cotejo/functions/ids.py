@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+from cotejo.functions.binding import let
 from cotejo.functions.text import digits_only, ocr_digits
 
 # Voucher and emission type names by code.
@@ -43,11 +44,18 @@ def _weighted(c: Column, weights: list[int]) -> Column:
     return reduce(lambda a, b: a + b, [_digit(c, i + 1) * w for i, w in enumerate(weights)])
 
 
+# check digit by remainder: 0 stays 0, 1 becomes 1, else 11 less the remainder
+_DIGIT_BY_REMAINDER = [0, 1, 9, 8, 7, 6, 5, 4, 3, 2, 1]
+_WEIGHTS = [2 + (47 - i) % 6 for i in range(48)]
+
+
+def _check_digit(total: Column) -> Column:
+    return F.get(F.array(*[F.lit(d) for d in _DIGIT_BY_REMAINDER]), total % 11)
+
+
 def check_digit_mod11(base48: Column) -> Column:
     """Weights 2..7 repeat from the right; 11 becomes 0 and 10 becomes 1."""
-    weights = [2 + (47 - i) % 6 for i in range(48)]
-    raw = F.lit(11) - _weighted(base48, weights) % 11
-    return F.when(raw == 11, 0).when(raw == 10, 1).otherwise(raw)
+    return _check_digit(_weighted(base48, _WEIGHTS))
 
 
 def key_valid(c: Column) -> Column:
@@ -88,31 +96,39 @@ def key_parts(c: Column) -> Column:
 
 
 def repair_key(c: Column) -> Column:
-    """Complete 48 digits, or undo one 4 read for 1 or 7; an unrepairable key comes back unchanged."""
-    d = digits_only(F.coalesce(c, F.lit("")))
-    swaps = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(48)),
-            lambda i: F.transform(
-                F.array(F.lit("1"), F.lit("7")),
-                lambda r: F.when(F.substr(d, i, F.lit(1)) == "4", F.overlay(d, r, i)),
-            ),
-        )
-    )
-    fixed = F.get(F.filter(swaps, lambda k: key_valid(k)), F.lit(0))
-    return (
-        F.when(F.length(d) == 48, F.concat(d, check_digit_mod11(d).cast("string")))
-        .when((F.length(d) == 49) & ~key_valid(d), F.coalesce(fixed, d))
-        .otherwise(d)
+    """Complete 48 digits, or undo one 4 read for 1 or 7; an unrepairable key comes back unchanged.
+
+    Replacing a 4 at a place of weight w moves the weighted sum by -3w or +3w, so the sum is taken
+    once and every place is tested on it.
+    """
+
+    def undo(d: Column) -> Column:
+        def fix(total: Column) -> Column:
+            dv = _digit(d, 49)
+            fits = {(w, r): _check_digit(total + (r - 4) * w) == dv for w in range(2, 8) for r in (1, 7)}
+            tries = [
+                F.when((F.substring(d, i + 1, 1) == "4") & fits[(_WEIGHTS[i], r)], F.overlay(d, F.lit(str(r)), F.lit(i + 1)))
+                for i in range(48)
+                for r in (1, 7)
+            ]
+            return F.when(_check_digit(total) == dv, d).otherwise(F.coalesce(*tries, d))
+
+        return let(_weighted(d, _WEIGHTS), fix)
+
+    return let(
+        digits_only(F.coalesce(c, F.lit(""))),
+        lambda d: F.when(F.length(d) == 48, F.concat(d, check_digit_mod11(d).cast("string"))).when(F.length(d) == 49, undo(d)).otherwise(d),
     )
 
 
 def repair_key_swaps(c: Column) -> Column:
     """Letters to digits, cut to 49, then whole-string swaps of 4/1, 1/4, 7/4 and 4/7; null if none is valid."""
-    base = ocr_digits(c, "pdf")
-    tries = [base] + [F.translate(base, a, b) for a, b in (("4", "1"), ("1", "4"), ("7", "4"), ("4", "7"))]
-    cut = [F.substring(digits_only(t), 1, 49) for t in tries]
-    return F.coalesce(*[F.when(key_valid(k), k) for k in cut])
+
+    def tries(base: Column) -> Column:
+        swapped = [base] + [F.translate(base, a, b) for a, b in (("4", "1"), ("1", "4"), ("7", "4"), ("4", "7"))]
+        return F.coalesce(*[F.when(key_valid(k), k) for k in swapped])
+
+    return let(F.substring(digits_only(ocr_digits(c, "pdf")), 1, 49), tries)
 
 
 def cedula_ok(c: Column) -> Column:

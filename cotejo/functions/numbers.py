@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from cotejo.functions.binding import let
 from cotejo.functions.text import WHITESPACE
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -40,7 +41,7 @@ MONEY_PATTERNS = [
 
 def as_double(c: Column) -> Column:
     """Plain decimal text to double; Java-only spellings such as '5d' are refused."""
-    return F.when(c.rlike(_NUMBER), c.try_cast("double"))
+    return let(c, lambda x: F.when(x.rlike(_NUMBER), x.try_cast("double")))
 
 
 def to_float(c: Column) -> Column:
@@ -59,17 +60,20 @@ def normalize_decimal(c: Column, variant: str = "capture") -> Column:
     `capture`: a lone kind of mark is always decimal. `xml`: several dots without a comma are
     thousands marks, and only a single comma is decimal.
     """
-    s = F.trim(c, F.lit(WHITESPACE))
     drop = lambda x, mark: F.replace(x, F.lit(mark), F.lit(""))
     dot = lambda x: F.replace(x, F.lit(","), F.lit("."))
-    both = F.when(_last(s, ",") > _last(s, "."), dot(drop(s, "."))).otherwise(drop(s, ","))
-    if variant == "xml":
-        n_comma = F.length(s) - F.length(drop(s, ","))
-        n_dot = F.length(s) - F.length(drop(s, "."))
-        lone = F.when((n_comma == 1) & (n_dot == 0), dot(s)).when((n_dot > 1) & (n_comma == 0), drop(s, ".")).otherwise(s)
-    else:
-        lone = dot(s)
-    return as_double(F.when(s.contains(",") & s.contains("."), both).otherwise(lone))
+
+    def plain(s: Column) -> Column:
+        both = F.when(_last(s, ",") > _last(s, "."), dot(drop(s, "."))).otherwise(drop(s, ","))
+        if variant == "xml":
+            n_comma = F.length(s) - F.length(drop(s, ","))
+            n_dot = F.length(s) - F.length(drop(s, "."))
+            lone = F.when((n_comma == 1) & (n_dot == 0), dot(s)).when((n_dot > 1) & (n_comma == 0), drop(s, ".")).otherwise(s)
+        else:
+            lone = dot(s)
+        return F.when(s.contains(",") & s.contains("."), both).otherwise(lone)
+
+    return as_double(let(F.trim(c, F.lit(WHITESPACE)), plain))
 
 
 def norm_amount(c: Column) -> Column:
@@ -85,13 +89,12 @@ def clean_amount(c: Column, variant: str = "trailing") -> Column:
     if variant == "trailing":
         s = F.regexp_replace(c, r"([0-9]),([0-9]{2})$", "$1.$2")
         return as_double(F.regexp_replace(s, r"([0-9]),([0-9]{3})", "$1$2"))
-    s = F.regexp_replace(c, r"[^0-9.,]", "")
-    n_marks = F.length(s) - F.length(F.translate(s, ".,", ""))
-    comma_last = _last(s, ",") > _last(s, ".")
-    as_comma = F.translate(s, ",.", ".")
-    as_dot = F.translate(s, ".,", ".")
-    several = F.when(comma_last, as_comma).otherwise(as_dot)
-    return F.bround(as_double(F.when(n_marks > 1, several).otherwise(F.translate(s, ",", "."))), 2)
+    def plain(s: Column) -> Column:
+        n_marks = F.length(s) - F.length(F.translate(s, ".,", ""))
+        several = F.when(_last(s, ",") > _last(s, "."), F.translate(s, ",.", ".")).otherwise(F.translate(s, ".,", "."))
+        return F.when(n_marks > 1, several).otherwise(F.translate(s, ",", "."))
+
+    return F.bround(as_double(let(F.regexp_replace(c, r"[^0-9.,]", ""), plain)), 2)
 
 
 def first_money(c: Column) -> Column:

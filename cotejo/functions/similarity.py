@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 
 
 def ratio_at_least(matcher: SequenceMatcher, bound: float) -> float:
@@ -16,9 +16,7 @@ def ratio_at_least(matcher: SequenceMatcher, bound: float) -> float:
     return matcher.ratio()
 
 
-@F.pandas_udf("double")
-def seq_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Matching-block ratio of two strings; not symmetric, so argument order matters."""
+def _ratios(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     matcher = SequenceMatcher(None)
     for left, right in batches:
         out, held = [], None
@@ -32,3 +30,8 @@ def seq_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Ser
             matcher.set_seq1(a)
             out.append(matcher.ratio())
         yield pd.Series(out, dtype="float64")
+
+
+def seq_ratio(left: Column, right: Column) -> Column:
+    """Matching-block ratio of two strings; not symmetric, so argument order matters."""
+    return F.pandas_udf(_ratios, "double")(left, right)

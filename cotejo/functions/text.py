@@ -7,6 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
+from cotejo.functions.binding import let
+
 # Every character that counts as white space.
 WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
@@ -89,7 +91,7 @@ def digits_only(c: Column) -> Column:
 
 def extract(c: Column, pattern: str, group: int = 1) -> Column:
     """First match or null (an unmatched or empty group is null)."""
-    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
+    return let(F.regexp_extract(c, pattern, group), lambda v: F.when(v != "", v))
 
 
 def extract_first(c: Column, patterns: Sequence[str], group: int = 1) -> Column:

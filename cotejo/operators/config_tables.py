@@ -59,7 +59,7 @@ def validate_levels(levels: DataFrame) -> DataFrame:
     errors = seen.select(F.lit("error").alias("kind"), "level", F.explode(found).alias("error"))
     edges = levels.agg(
         F.min("lo").alias("lo"),
-        F.max_by("hi", "lo").alias("hi"),
+        F.max_by("hi", F.struct("lo", "level")).alias("hi"),
         F.array_except(F.array(*[F.lit(n) for n in LEVEL_NAMES]), F.collect_set("level")).alias("_absent"),
     )
     gaps = F.array_compact(F.array(F.when(F.col("lo") > 0, "hueco_inicial"), F.when(F.col("hi") < 100, "hueco_final")))

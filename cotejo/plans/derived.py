@@ -85,3 +85,181 @@ LINES_SQL = """status AS (
          coalesce(abs(cantidad * precio_unitario - descuento + iva - nullif(precio_total, 0)) <= 0.02, true) AS ok
   FROM items
 )"""
+
+
+# ---------------------------------------------------------------- claims
+
+
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as claims: state by order state, the amount approved for two thirds of them."""
+    o = table(spark, sf_dir, "orders")
+    state = F.when(F.col("o_orderstatus") == "F", "Aprobado").when(F.col("o_orderstatus") == "O", "En Revisión").otherwise("Rechazado")
+    key = F.lpad(F.col("o_orderkey").cast("string"), 9, "0")
+    return o.select(
+        F.concat(F.lit("CLM-"), F.substring(key, 1, 3), F.lit("-"), F.substring(key, 4, 6)).alias("id_reclamo"),
+        F.date_format("o_orderdate", "dd/MM/yyyy").alias("fecha_envio"),
+        F.struct(
+            F.concat(F.lit("Clínica "), F.col("o_custkey").cast("string")).alias("nombre"), F.col("o_orderpriority").alias("tipo_servicio")
+        ).alias("proveedor"),
+        state.alias("estado"),
+        F.col("o_totalprice").alias("monto_solicitado"),
+        F.when(F.col("o_orderkey") % 3 > 0, F.col("o_totalprice")).alias("monto_aprobado"),
+        F.lit("$").alias("moneda"),
+        F.struct(F.lit(True).alias("ver"), (state != "Aprobado").alias("subir")).alias("acciones"),
+    )
+
+
+CLAIMS_SQL = """claims AS (
+  SELECT 'CLM-' || substr(k, 1, 3) || '-' || substr(k, 4, 6) AS id_reclamo, nombre, estado, o_totalprice AS monto_solicitado,
+         CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice END AS monto_aprobado, estado <> 'Aprobado' AS subir, o_orderkey
+  FROM (SELECT *, lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS k, 'Clínica ' || CAST(o_custkey AS VARCHAR) AS nombre,
+               CASE o_orderstatus WHEN 'F' THEN 'Aprobado' WHEN 'O' THEN 'En Revisión' ELSE 'Rechazado' END AS estado
+        FROM orders)
+)"""
+
+
+# ---------------------------------------------------------------- invoice texts and keys
+
+
+def access_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A 49-digit key per order; the last digit is right for some and wrong for others."""
+    o = table(spark, sf_dir, "orders")
+    body = F.concat(
+        F.date_format("o_orderdate", "ddMMyyyy"),
+        F.lit("01"),
+        F.lpad((F.col("o_custkey") * 7919 + 1700000000001).cast("string"), 13, "0"),
+        F.lit("2"),
+        F.lit("001002"),
+        F.lpad(F.col("o_orderkey").cast("string"), 9, "0"),
+        F.lpad((F.col("o_orderkey") * 31 % 100000000).cast("string"), 8, "0"),
+        F.lit("1"),
+    )
+    return o.select(F.col("o_orderkey").alias("doc_id"), F.concat(body, (F.col("o_orderkey") % 10).cast("string")).alias("clave"))
+
+
+KEYS_SQL = """keys AS (
+  SELECT o_orderkey AS doc_id,
+         strftime(o_orderdate, '%d%m%Y') || '01' || lpad(CAST(o_custkey * 7919 + 1700000000001 AS VARCHAR), 13, '0') || '2' || '001002'
+         || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') || lpad(CAST(o_orderkey * 31 % 100000000 AS VARCHAR), 8, '0') || '1'
+         || CAST(o_orderkey % 10 AS VARCHAR) AS clave
+  FROM orders
+)"""
+MOD11_SQL = """(SELECT CASE 11 - s % 11 WHEN 11 THEN 0 WHEN 10 THEN 1 ELSE 11 - s % 11 END
+  FROM (SELECT sum(CAST(substr({k}, CAST(i AS INT), 1) AS BIGINT) * (2 + (48 - i) % 6)) AS s FROM range(1, 49) t(i)))"""
+
+
+def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A printed invoice per order: header, amounts with the value on the next line, identifiers."""
+    o = table(spark, sf_dir, "orders").join(access_keys(spark, sf_dir), F.col("o_orderkey") == F.col("doc_id"))
+    total = F.col("o_totalprice")
+    sub = F.floor(total / 1.15 * 100) / 100
+    money = lambda c: F.format_string("%.2f", c)
+    k = F.col("o_orderkey")
+    odd = lambda m, text: F.when(k % m == 0, F.lit(text)).otherwise(F.lit(""))
+    text = F.concat_ws(
+        "\n",
+        F.concat(F.lit("Comercial Andina "), F.col("o_custkey").cast("string")),
+        F.lit("Avenida Principal"),
+        F.concat(F.lit("RUC: "), F.substring("clave", 11, 13)),
+        F.concat(F.lit("FACTURA No. 001-002-"), F.lpad(k.cast("string"), 9, "0")),
+        F.when(k % 4 == 0, F.lit("sin clave")).otherwise(F.concat(F.lit("CLAVE DE ACCESO "), F.col("clave"))),
+        F.concat(F.lit("Fecha de Emisión: "), F.date_format("o_orderdate", "dd/MM/yyyy")),
+        F.concat(F.lit("Identificación: "), F.lpad((k * 7 + 1700000000).cast("string"), 10, "0")),
+        odd(3, "PRODUCTO   REPETIDO"),
+        odd(3, "PRODUCTO   REPETIDO"),
+        F.lit("SUBTOTAL SIN IMPUESTOS"),
+        money(sub),
+        F.concat(F.lit("IVA 15%: "), money(total - sub)),
+        F.when(k % 5 == 0, F.lit("FORMA DE PAGO VALOR")).otherwise(F.lit("PAGO")),
+        F.lit("VALOR TOTAL"),
+        F.concat(F.lit("$ "), money(total)),
+    )
+    return o.select(k.alias("doc_id"), F.lit("pdf").alias("source"), text.alias("text"))
+
+
+TEXTS_SQL = """texts AS (
+  SELECT o_orderkey AS doc_id, concat_ws(chr(10),
+    'Comercial Andina ' || CAST(o_custkey AS VARCHAR), 'Avenida Principal', 'RUC: ' || substr(clave, 11, 13),
+    'FACTURA No. 001-002-' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0'),
+    CASE WHEN o_orderkey % 4 = 0 THEN 'sin clave' ELSE 'CLAVE DE ACCESO ' || clave END,
+    'Fecha de Emisión: ' || strftime(o_orderdate, '%d/%m/%Y'),
+    'Identificación: ' || lpad(CAST(o_orderkey * 7 + 1700000000 AS VARCHAR), 10, '0'),
+    CASE WHEN o_orderkey % 3 = 0 THEN 'PRODUCTO   REPETIDO' ELSE '' END,
+    CASE WHEN o_orderkey % 3 = 0 THEN 'PRODUCTO   REPETIDO' ELSE '' END,
+    'SUBTOTAL SIN IMPUESTOS', printf('%.2f', sub), 'IVA 15%: ' || printf('%.2f', o_totalprice - sub),
+    CASE WHEN o_orderkey % 5 = 0 THEN 'FORMA DE PAGO VALOR' ELSE 'PAGO' END, 'VALOR TOTAL', '$ ' || printf('%.2f', o_totalprice)) AS text
+  FROM (SELECT *, floor(o_totalprice / 1.15::DOUBLE * 100) / 100 AS sub FROM orders JOIN keys ON doc_id = o_orderkey)
+)"""
+
+
+# ---------------------------------------------------------------- document bytes
+
+
+def pdf_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages wrapped into PDF-like bodies whose tokens depend on the key."""
+    k = F.col("page_id")
+    rep = lambda text, m: F.repeat(F.lit(text), (k % m).cast("int"))
+    odd = lambda m, text: F.when(k % m == 0, F.lit(text)).otherwise(F.lit(""))
+    signed = F.concat(
+        F.lit(" /Type/Sig /SubFilter /adbe.pkcs7.detached /Name (Ana) /Reason (Firma) /ByteRange [0 100 "),
+        (k * 1000 + 200).cast("string"),
+        F.lit(" 50] /Contents <0A0B>"),
+    )
+    body = F.concat(
+        F.lit("%PDF-1."), (k % 8).cast("string"), F.lit(" "), F.col("html"),
+        rep(" /Type /XObject /Subtype /Form", 5), rep(" /CA 0.5 /ca 1.0 /BM /Multiply", 3), rep(" /OCGs /OC ", 4),
+        F.repeat(F.lit(" startxref 0 %%EOF"), (k % 3 + 1).cast("int")),
+        odd(6, " /JavaScript"), odd(7, " /EmbeddedFiles"), odd(5, " /AcroForm"), F.when(k % 4 == 0, signed).otherwise(F.lit("")),
+        odd(9, " stream\nq 1 0 0 1 cm Do gs\nendstream"),
+    )
+    content = F.encode(body, "UTF-8")
+    return table(spark, sf_dir, "pages").select(
+        k.alias("doc_id"), F.col("url").alias("name"), content.alias("content"), F.length(content).cast("bigint").alias("size_bytes")
+    )
+
+
+BODIES_SQL = """bodies AS (
+  SELECT page_id AS doc_id, '%PDF-1.' || CAST(page_id % 8 AS VARCHAR) || ' ' || html
+    || repeat(' /Type /XObject /Subtype /Form', page_id % 5) || repeat(' /CA 0.5 /ca 1.0 /BM /Multiply', page_id % 3)
+    || repeat(' /OCGs /OC ', page_id % 4) || repeat(' startxref 0 %%EOF', page_id % 3 + 1)
+    || CASE WHEN page_id % 6 = 0 THEN ' /JavaScript' ELSE '' END || CASE WHEN page_id % 7 = 0 THEN ' /EmbeddedFiles' ELSE '' END
+    || CASE WHEN page_id % 5 = 0 THEN ' /AcroForm' ELSE '' END
+    || CASE WHEN page_id % 4 = 0 THEN ' /Type/Sig /SubFilter /adbe.pkcs7.detached /Name (Ana) /Reason (Firma) /ByteRange [0 100 '
+            || CAST(page_id * 1000 + 200 AS VARCHAR) || ' 50] /Contents <0A0B>' ELSE '' END
+    || CASE WHEN page_id % 9 = 0 THEN ' stream' || chr(10) || 'q 1 0 0 1 cm Do gs' || chr(10) || 'endstream' ELSE '' END AS body
+  FROM pages
+)"""
+
+
+# ---------------------------------------------------------------- boxes
+
+
+def line_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as words on a page; several share a row and some overlap."""
+    x0 = (F.col("l_partkey") % 40 * 12).cast("double")
+    y0 = (F.col("l_linenumber") % 3 * 20).cast("double")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"),
+        F.lit(1).alias("page"),
+        (F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 100 + F.col("l_linenumber")).alias("word_no"),
+        x0.alias("x0"),
+        y0.alias("y0"),
+        (x0 + F.col("l_quantity") + 5).alias("x1"),
+        (y0 + 18 + F.col("l_suppkey") % 7).cast("double").alias("y1"),
+        F.format_string("%.2f", F.col("l_extendedprice")).alias("text"),
+        F.col("l_returnflag").alias("flag"),
+    )
+
+
+WORDS_SQL = """words AS (
+  SELECT l_orderkey AS doc_id, 1 AS page, l_partkey * 1000000 + l_suppkey * 100 + l_linenumber AS word_no,
+         CAST(l_partkey % 40 * 12 AS DOUBLE) AS x0, CAST(l_linenumber % 3 * 20 AS DOUBLE) AS y0,
+         l_partkey % 40 * 12 + l_quantity + 5 AS x1, CAST(l_linenumber % 3 * 20 + 18 + l_suppkey % 7 AS DOUBLE) AS y1, l_returnflag AS flag
+  FROM lineitem
+)"""
+
+
+def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same boxes as page blocks; returned lines count as images."""
+    w = line_words(spark, sf_dir)
+    return w.select("doc_id", "page", F.col("word_no").alias("block_no"), F.when(F.col("flag") == "R", 1).otherwise(0).alias("type"), "x0", "y0", "x1", "y1")

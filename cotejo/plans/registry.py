@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from cotejo.plans import queries_finance
+from cotejo.plans import queries_claims, queries_finance, queries_text
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (queries_finance,):
+for _module in (queries_finance, queries_claims, queries_text):
     QUERIES.update(_module.Q)
     ORACLE_SQL.update(_module.SQL)

@@ -106,6 +106,14 @@ def pack_chunks(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str
     )
 
 
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Repartition for work that is heavy per row: a fixed number of parts, so that small data is not
+    folded into one task at run time."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *[F.col(k) for k in keys])
+
+
 def chunk_pairs(packed: DataFrame, keys: Sequence[str], ordered: bool = False) -> DataFrame:
     """Pairs of chunks of one key, spread over tasks so that a hot key becomes many equal jobs.
 
@@ -116,4 +124,4 @@ def chunk_pairs(packed: DataFrame, keys: Sequence[str], ordered: bool = False) -
     pairs = left.join(right, list(keys))
     if not ordered:
         pairs = pairs.where(F.col("chunk_a") <= F.col("chunk_b"))
-    return pairs.repartition(*[F.col(k) for k in keys], F.col("chunk_a"), F.col("chunk_b"))
+    return spread(pairs, [*keys, "chunk_a", "chunk_b"])
