@@ -126,7 +126,7 @@ def repair_key_swaps(c: Column) -> Column:
 
     def tries(base: Column) -> Column:
         swapped = [base] + [F.translate(base, a, b) for a, b in (("4", "1"), ("1", "4"), ("7", "4"), ("4", "7"))]
-        return F.coalesce(*[F.when(key_valid(k), k) for k in swapped])
+        return F.coalesce(*[let(k, lambda x: F.when(key_valid(x), x)) for k in swapped])
 
     return let(F.substring(digits_only(ocr_digits(c, "pdf")), 1, 49), tries)
 

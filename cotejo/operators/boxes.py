@@ -189,7 +189,7 @@ def label_amounts(words: DataFrame, tolerance: float = 5.0) -> DataFrame:
         test = F.upper("text").contains(text)
         priority = F.when(test, p) if priority is None else priority.when(test, p)
     yc = (F.col("y0") + F.col("y1")) / 2
-    values = F.transform(extract_all(F.col("text"), _NUMBER, 1), clean_amount)
+    values = F.transform(extract_all(F.col("text"), _NUMBER, 1), lambda v: clean_amount(v))
     amounts = (
         words.select("doc_id", "page", "word_no", F.col("x0").alias("_x"), yc.alias("_yc"), F.posexplode(values).alias("_k", "valor"))
         .where(F.col("valor") >= MIN_TOTAL)

@@ -114,8 +114,8 @@ def access_key_xml(sri_xml: DataFrame) -> DataFrame:
 
 
 def repaired_key(keys: DataFrame) -> DataFrame:
-    fixed = repair_key(F.col("clave"))
-    return keys.select("doc_id", fixed.alias("clave"), key_valid(fixed).alias("valida"))
+    fixed = keys.select("doc_id", repair_key(F.col("clave")).alias("clave"))
+    return fixed.withColumn("valida", key_valid(F.col("clave")))
 
 
 def authorization_number(doc_text: DataFrame, attached: DataFrame) -> DataFrame:

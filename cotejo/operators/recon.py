@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from cotejo.functions.similarity import ratio_at_least
 from cotejo.functions.text import norm_desc, norm_name
 from cotejo.session import cut_lineage
-from cotejo.skew import first_by
+from cotejo.skew import first_by, spread
 
 QTY_EPS, PRICE_EPS, TOTAL_EPS, MATCH_THRESHOLD = 0.001, 0.01, 0.02, 0.60
 # lines of one invoice that meet in a task; longer invoices are worked off piece by piece
@@ -62,103 +63,124 @@ def _numbered(items: DataFrame) -> DataFrame:
     return items.select("doc_id", F.col("item_no").cast("bigint").alias("no"), norm_name(F.col("descripcion")).alias("d"))
 
 
-def _packed(items: DataFrame, name: str) -> DataFrame:
-    """Lines of a document in arrays of at most CHUNK rows.
-
-    Item numbers are positions in the document, so a chunk is a range of positions.
-    """
+def _packed(items: DataFrame, piece: str, name: str) -> DataFrame:
+    """Lines of a document in arrays of at most CHUNK; item numbers are positions, so ranges of them."""
     return (
-        _numbered(items)
-        .withColumn(f"{name}_chunk", F.floor(F.col("no") / CHUNK))
-        .groupBy("doc_id", f"{name}_chunk")
+        items.withColumn(piece, F.floor(F.col("no") / CHUNK))
+        .groupBy("doc_id", piece)
         .agg(F.array_sort(F.collect_list(F.struct("no", "d"))).alias(name))
     )
 
 
+def _scorer(threshold: float):
+    """Ratio of two descriptions, -1 below the threshold; repeated pairs are answered from a bounded cache."""
+    matcher = SequenceMatcher(None)
+
+    @lru_cache(maxsize=200_000)
+    def score(a: str, b: str) -> float:
+        matcher.set_seqs(a, b)
+        r = ratio_at_least(matcher, threshold)
+        return r if r >= threshold else -1.0
+
+    return score
+
+
+def _candidates(sri, pdf, score, keep: int):
+    """(sri_no, ratio, pdf_no) with the best `keep` PDF lines of every SRI line, best first."""
+    by_text: dict[str, list[int]] = {}
+    for p in pdf:
+        by_text.setdefault(p["d"], []).append(p["no"])
+    best: dict[str, list[tuple[float, int]]] = {}
+    for s in sri:
+        a = s["d"]
+        if a not in best:
+            hits = ((r, n) for b, numbers in by_text.items() if (r := score(a, b)) >= 0 for n in numbers)
+            best[a] = heapq.nsmallest(keep, hits, key=lambda t: (-t[0], t[1]))
+        yield s["no"], best[a]
+
+
+def _match_whole(threshold: float):
+    """Greedy match of documents whose lines all fit one piece per side."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score = _scorer(threshold)
+        for batch in batches:
+            out = []
+            for doc, sri, pdf in zip(batch["doc_id"], batch["sri"], batch["pdf"]):
+                used: set[int] = set()
+                for no, ranked in _candidates(sri, pdf, score, CHUNK):
+                    for r, n in ranked:
+                        if n not in used:
+                            used.add(n)
+                            out.append((doc, no, n, r))
+                            break
+            yield pd.DataFrame(out, columns=["doc_id", "sri_no", "pdf_no", "similitud"])
+
+    return run
+
+
 def _top_candidates(threshold: float):
-    """Per SRI line the best CHUNK free PDF lines of one piece: enough for a whole SRI chunk."""
+    """Best CHUNK free PDF lines of one piece per SRI line: all that can matter for one SRI chunk."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = SequenceMatcher(None)
+        score = _scorer(threshold)
         for batch in batches:
             out = []
             for doc, sri, pdf in zip(batch["doc_id"], batch["sri"], batch["pdf"]):
-                by_text: dict[str, list[int]] = {}
-                for p in pdf:
-                    by_text.setdefault(p["d"], []).append(p["no"])
-                wanted: dict[str, list[int]] = {}
-                for s in sri:
-                    wanted.setdefault(s["d"], []).append(s["no"])
-                scores: dict[str, list[tuple[float, int]]] = {a: [] for a in wanted}
-                for b, numbers in by_text.items():
-                    matcher.set_seq2(b)
-                    for a in wanted:
-                        matcher.set_seq1(a)
-                        r = ratio_at_least(matcher, threshold)
-                        if r >= threshold:
-                            scores[a].extend((r, n) for n in numbers)
-                for a, nos in wanted.items():
-                    best = heapq.nsmallest(CHUNK, scores[a], key=lambda t: (-t[0], t[1]))
-                    out.extend((doc, no, r, n) for no in nos for r, n in best)
+                for no, ranked in _candidates(sri, pdf, score, CHUNK):
+                    out.extend((doc, no, r, n) for r, n in ranked)
             yield pd.DataFrame(out, columns=["doc_id", "sri_no", "ratio", "pdf_no"])
 
     return run
 
 
 def _greedy(candidates: pd.DataFrame) -> pd.DataFrame:
-    """Each SRI line in order takes its best free PDF line."""
+    """Each SRI line in order takes its best free PDF line; at most CHUNK x CHUNK rows."""
     used: set[int] = set()
-    rows = []
+    rows, done = [], None
     ordered = candidates.sort_values(["sri_no", "ratio", "pdf_no"], ascending=[True, False, True])
-    for no, group in ordered.groupby("sri_no", sort=True):
-        for r, n in zip(group["ratio"], group["pdf_no"]):
-            if n not in used:
-                used.add(n)
-                rows.append((group["doc_id"].iloc[0], no, n, r))
-                break
+    for doc, no, r, n in ordered[["doc_id", "sri_no", "ratio", "pdf_no"]].itertuples(index=False):
+        if no != done and n not in used:
+            used.add(n)
+            rows.append((doc, no, n, r))
+            done = no
     return pd.DataFrame(rows, columns=["doc_id", "sri_no", "pdf_no", "similitud"])
 
 
 def match_items(sri_items: DataFrame, pdf_items: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
     """Greedy one-to-one match of lines by description: (doc_id, sri_no, pdf_no, similitud).
 
-    SRI lines choose in order, the first of equally good PDF lines wins. An invoice of up to CHUNK
-    lines is settled in one pass. A longer one takes one pass per SRI chunk: its PDF lines are
-    scored in parallel pieces, and because at most CHUNK lines choose in a pass, the best CHUNK
-    free candidates of a line are all that can matter. Results are exact for any length.
+    SRI lines choose in order, the first of equally good PDF lines wins. Documents of up to CHUNK
+    lines are settled in one pass over packed rows. Longer ones take one pass per SRI chunk: their
+    PDF lines are scored in parallel pieces, and because at most CHUNK lines choose in a pass, the
+    best CHUNK free candidates of a line are all that can matter. Exact for any length.
     """
     key = sri_items.schema["doc_id"].dataType.simpleString()
-    sri = _packed(sri_items, "sri")
-    passes = sri.agg(F.max("sri_chunk").alias("m")).first()["m"]
-    pdf = _numbered(pdf_items)
+    final = f"doc_id {key}, sri_no bigint, pdf_no bigint, similitud double"
+    sri_lines, pdf = _numbered(sri_items), _numbered(pdf_items)
+    sri = _packed(sri_lines, "sri_chunk", "sri")
+    ends = sri_lines.agg(F.max("no").alias("s")).first()["s"], pdf.agg(F.max("no").alias("p")).first()["p"]
+    if None in ends:
+        return sri_lines.where("false").select("doc_id", F.col("no").alias("sri_no"), F.col("no").alias("pdf_no"), F.lit(0.0).alias("similitud"))
+    if max(ends) < CHUNK:
+        pairs = sri.join(_packed(pdf, "_piece", "pdf"), "doc_id").select("doc_id", "sri", "pdf")
+        return spread(pairs, ["doc_id"]).mapInPandas(_match_whole(threshold), final)
     used, results = None, []
-    for n in range((passes if passes is not None else -1) + 1):
+    for n in range(ends[0] // CHUNK + 1):
         chunk = sri.where(F.col("sri_chunk") == n)
         free = pdf
-        if n > 0:
+        if used is not None:
             free = pdf.join(chunk.select("doc_id"), "doc_id", "left_semi").join(used, ["doc_id", "no"], "left_anti")
-        pieces = (
-            free.withColumn("_piece", F.floor(F.col("no") / CHUNK))
-            .groupBy("doc_id", "_piece")
-            .agg(F.array_sort(F.collect_list(F.struct("no", "d"))).alias("pdf"))
-        )
-        scored = (
-            chunk.join(pieces, "doc_id")
-            .select("doc_id", "sri", "pdf")
-            .mapInPandas(_top_candidates(threshold), f"doc_id {key}, sri_no bigint, ratio double, pdf_no bigint")
+        pairs = chunk.join(_packed(free, "_piece", "pdf"), "doc_id")
+        scored = spread(pairs, ["doc_id", "_piece"]).select("doc_id", "sri", "pdf").mapInPandas(
+            _top_candidates(threshold), f"doc_id {key}, sri_no bigint, ratio double, pdf_no bigint"
         )
         order = W.partitionBy("doc_id", "sri_no").orderBy(F.desc("ratio"), "pdf_no")
         best = scored.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= CHUNK).drop("_r")
-        found = best.groupBy("doc_id").applyInPandas(_greedy, f"doc_id {key}, sri_no bigint, pdf_no bigint, similitud double")
-        if passes:
-            found = cut_lineage(found)
-            taken = found.select("doc_id", F.col("pdf_no").alias("no"))
-            used = taken if used is None else used.unionByName(taken)
+        found = cut_lineage(best.groupBy("doc_id").applyInPandas(_greedy, final))
+        taken = found.select("doc_id", F.col("pdf_no").alias("no"))
+        used = taken if used is None else used.unionByName(taken)
         results.append(found)
-    if not results:
-        return _numbered(sri_items).where("false").select(
-            "doc_id", F.col("no").alias("sri_no"), F.col("no").alias("pdf_no"), F.lit(0.0).alias("similitud")
-        )
     out = results[0]
     for more in results[1:]:
         out = out.unionByName(more)

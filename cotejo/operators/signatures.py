@@ -35,15 +35,15 @@ def xades_signatures(sri_xml: DataFrame) -> DataFrame:
     known = F.lit(False)
     for ns in SIGNATURE_NAMESPACES:
         known = known | F.col("_x").contains(ns)
-    certs = F.regexp_count(s, F.lit(r"<(?:\w+:)?X509Certificate[\s>]")).cast("bigint")
+    certs = F.regexp_count(s, F.lit(r"<(?:\w+:)?X509Certificate[\s>/]")).cast("bigint")
     return df.where(known).select(
         "clave",
         "sig_no",
         _has(s, "SignedInfo").alias("tiene_signed_info"),
         certs.alias("certificados"),
-        F.regexp_count(s, F.lit(r"<(?:\w+:)?EncapsulatedTimeStamp[\s>]")).cast("bigint").alias("timestamps"),
-        F.regexp_count(s, F.lit(r"<(?:\w+:)?SignaturePolicyIdentifier[\s>]")).cast("bigint").alias("politicas"),
-        F.regexp_count(s, F.lit(r"<(?:\w+:)?Reference[\s>]")).cast("bigint").alias("referencias"),
+        F.regexp_count(s, F.lit(r"<(?:\w+:)?EncapsulatedTimeStamp[\s>/]")).cast("bigint").alias("timestamps"),
+        F.regexp_count(s, F.lit(r"<(?:\w+:)?SignaturePolicyIdentifier[\s>/]")).cast("bigint").alias("politicas"),
+        F.regexp_count(s, F.lit(r"<(?:\w+:)?Reference[\s>/]")).cast("bigint").alias("referencias"),
         _attr(s, "CanonicalizationMethod", "Algorithm").alias("canonicalizacion"),
         _attr(s, "SignatureMethod", "Algorithm").alias("metodo_firma"),
         _attr(s, "DigestMethod", "Algorithm").alias("metodo_resumen"),
@@ -52,7 +52,7 @@ def xades_signatures(sri_xml: DataFrame) -> DataFrame:
         _text(s, "X509SerialNumber").alias("serie"),
         _text(s, "Identifier").alias("politica_id"),
         _text(s, "MimeType").alias("tipo_mime"),
-        F.regexp_count(s, F.lit(r"<(?:\w+:)?RevocationValues[\s>]")).cast("bigint").alias("revocaciones"),
+        F.regexp_count(s, F.lit(r"<(?:\w+:)?RevocationValues[\s>/]")).cast("bigint").alias("revocaciones"),
     ).withColumn("valida", F.col("tiene_signed_info"))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cotejo.skew import at_least_parallel
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -123,7 +125,11 @@ CLAIMS_SQL = """claims AS (
 
 def access_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A 49-digit key per order; the last digit is right for some and wrong for others."""
-    o = table(spark, sf_dir, "orders")
+    o = at_least_parallel(table(spark, sf_dir, "orders"))
+    return _with_key(o).select(F.col("o_orderkey").alias("doc_id"), "clave")
+
+
+def _with_key(o: DataFrame) -> DataFrame:
     body = F.concat(
         F.date_format("o_orderdate", "ddMMyyyy"),
         F.lit("01"),
@@ -134,7 +140,7 @@ def access_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lpad((F.col("o_orderkey") * 31 % 100000000).cast("string"), 8, "0"),
         F.lit("1"),
     )
-    return o.select(F.col("o_orderkey").alias("doc_id"), F.concat(body, (F.col("o_orderkey") % 10).cast("string")).alias("clave"))
+    return o.withColumn("clave", F.concat(body, (F.col("o_orderkey") % 10).cast("string")))
 
 
 KEYS_SQL = """keys AS (
@@ -150,7 +156,7 @@ MOD11_SQL = """(SELECT CASE 11 - s % 11 WHEN 11 THEN 0 WHEN 10 THEN 1 ELSE 11 -
 
 def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A printed invoice per order: header, amounts with the value on the next line, identifiers."""
-    o = table(spark, sf_dir, "orders").join(access_keys(spark, sf_dir), F.col("o_orderkey") == F.col("doc_id"))
+    o = _with_key(at_least_parallel(table(spark, sf_dir, "orders")))
     total = F.col("o_totalprice")
     sub = F.floor(total / 1.15 * 100) / 100
     money = lambda c: F.format_string("%.2f", c)
@@ -213,7 +219,7 @@ def pdf_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         odd(9, " stream\nq 1 0 0 1 cm Do gs\nendstream"),
     )
     content = F.encode(body, "UTF-8")
-    return table(spark, sf_dir, "pages").select(
+    return at_least_parallel(table(spark, sf_dir, "pages")).select(
         k.alias("doc_id"), F.col("url").alias("name"), content.alias("content"), F.length(content).cast("bigint").alias("size_bytes")
     )
 

@@ -8,6 +8,7 @@ from cotejo.functions import dates, ids, numbers, text as tx
 from cotejo.functions.hashes import digests, hash_consistency
 from cotejo.operators import extract, finance, lines as ln
 from cotejo.plans.derived import KEYS_SQL, MOD11_SQL, TEXTS_SQL, access_keys, invoice_texts, table
+from cotejo.skew import at_least_parallel
 
 Q, SQL = {}, {}
 NL = "chr(10)"
@@ -17,7 +18,7 @@ _LINES = """lines AS (
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.lit("pdf").alias("source"), "text")
+    return at_least_parallel(table(spark, d, "documents")).select("doc_id", F.lit("pdf").alias("source"), "text")
 
 
 def q_duplicate_lines(spark, d):

@@ -114,6 +114,12 @@ def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartition(n, *[F.col(k) for k in keys])
 
 
+def at_least_parallel(df: DataFrame) -> DataFrame:
+    """Spread a table that arrives in fewer pieces than there are cores; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def chunk_pairs(packed: DataFrame, keys: Sequence[str], ordered: bool = False) -> DataFrame:
     """Pairs of chunks of one key, spread over tasks so that a hot key becomes many equal jobs.
 

@@ -46,7 +46,11 @@ def _taxes(c, with_rate: bool):
 
 def read_invoice_xml(sri_xml: DataFrame) -> DataFrame:
     """(clave, xml) to (clave, infoTributaria, infoFactura, detalles, infoAdicional, parsed)."""
-    parsed = sri_xml.withColumn("_x", F.from_xml(clean_xml(F.col("xml")), XML_SCHEMA, {"rowTag": "factura", "mode": "PERMISSIVE"}))
+    # escaped bodies are unescaped first; real markup is parsed as it stands, entities included
+    raw = F.col("xml")
+    inner = F.regexp_replace(strip(raw), r"(?s)^<!\[CDATA\[(.*)\]\]>$", "$1")
+    body = F.when(raw.contains("<factura"), inner).otherwise(clean_xml(raw))
+    parsed = sri_xml.withColumn("_x", F.from_xml(body, XML_SCHEMA, {"rowTag": "factura", "mode": "PERMISSIVE"}))
     trib, fact = F.col("_x.infoTributaria"), F.col("_x.infoFactura")
     trib_names = [
         "ambiente", "tipoEmision", "razonSocial", "nombreComercial", "ruc", "claveAcceso", "codDoc", "estab",
