@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from cotejo.skew import bounded_broadcast
+from cotejo.sources.config import RESET_LEVELS, default_levels, write_config
+
 
 LEVEL_NAMES = ["bajo", "medio", "alto"]
 
@@ -66,3 +68,16 @@ def validate_levels(levels: DataFrame) -> DataFrame:
     warnings = edges.select(F.lit("aviso").alias("kind"), F.lit(None).cast("string").alias("level"), F.explode(gaps).alias("error"))
     absent = edges.select(F.lit("error").alias("kind"), F.explode("_absent").alias("level"), F.lit("falta").alias("error"))
     return errors.unionByName(absent).unionByName(warnings)
+
+
+def replace_config(new: DataFrame, errors: DataFrame, path: str) -> None:
+    """Write a new weight or level table unless its validation found errors (warnings pass)."""
+    found = errors.where("kind = 'error'") if "kind" in errors.columns else errors
+    bad = [str(r["error"]) for r in found.limit(5).collect()]
+    if bad:
+        raise ValueError("; ".join(bad))
+    write_config(new, path)
+
+
+def reset_levels(spark) -> DataFrame:
+    return default_levels(spark, RESET_LEVELS)

@@ -8,6 +8,7 @@ from cotejo.functions.dates import meta_date, whole_days
 from cotejo.functions.hashes import hamming64
 from cotejo.functions.numbers import ramp
 from cotejo.functions.text import contains_any, strip
+from cotejo.operators.boxes import box_pairs
 from cotejo.operators.pdfbytes import suspicion_label
 from cotejo.skew import chunked_lag
 
@@ -339,10 +340,12 @@ def line_angles(segments: DataFrame, clusters: DataFrame | None = None) -> DataF
     if clusters is None:
         return out.withColumn("en_clusters", F.lit(0.0))
     numbered = s.withColumn("_id", F.xxhash64("x1", "y1", "x2", "y2"))
-    ends = numbered.select("image_id", "_id", F.explode(F.array(F.struct("x1", "y1"), F.struct(F.col("x2").alias("x1"), F.col("y2").alias("y1")))).alias("e"))
-    boxes = clusters.where("localizado").select("image_id", "x0", "y0", F.col("x1").alias("bx1"), F.col("y1").alias("by1"))
-    inside = ends.join(boxes, "image_id").where(F.col("e.x1").between(F.col("x0"), F.col("bx1")) & F.col("e.y1").between(F.col("y0"), F.col("by1")))
-    touched = inside.select("image_id", "_id").distinct()
+    tips = F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))
+    ends = numbered.select("image_id", "_id", F.explode(tips).alias("e"))
+    points = ends.select("image_id", "_id", *[F.col(f"e.{c[0]}").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    areas = clusters.where("localizado").select("image_id", "x0", "y0", "x1", "y1")
+    inside = box_pairs(points, areas, ["image_id"]).select("image_id", F.col("a__id").alias("_id"))
+    touched = inside.distinct()
     hits = numbered.join(touched, ["image_id", "_id"], "left_semi").groupBy("image_id").agg(F.count(F.lit(1)).alias("_t"))
     return out.join(hits, "image_id", "left").withColumn("en_clusters", F.coalesce("_t", F.lit(0)) / F.col("lineas")).drop("_t")
 
@@ -462,7 +465,7 @@ def confidence(evidence: DataFrame) -> DataFrame:
 
 
 def confidence_consolidated(signals: DataFrame) -> DataFrame:
-    """Second scheme with a fixed maximum of 35 points and milder rules for screen captures.
+    """Second scheme with a fixed maximum of 33 points and milder rules for screen captures.
 
     signals: image_id, software (0 none, 1 named, 3 editor), fechas (0, 1, 3), app boolean, splicing
     boolean, cortes int, sintetico, captura, densidad_lineas, trazo_uniforme, ela (null or level), ruido,

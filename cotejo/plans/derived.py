@@ -269,3 +269,51 @@ def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same boxes as page blocks; returned lines count as images."""
     w = line_words(spark, sf_dir)
     return w.select("doc_id", "page", F.col("word_no").alias("block_no"), F.when(F.col("flag") == "R", 1).otherwise(0).alias("type"), "x0", "y0", "x1", "y1")
+
+
+# ---------------------------------------------------------------- image tiles
+
+
+def embedding_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as 8x8 tiles of images of ten by ten tiles."""
+    k = F.col("vec_id")
+    px = F.transform("embedding", lambda e: F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), e.cast("double") * 400 + 128))).cast("smallint"))
+    return at_least_parallel(table(spark, sf_dir, "embeddings")).select(
+        F.floor(k / 100).alias("image_id"), (F.floor(k / 10) % 10).cast("int").alias("ty"), (k % 10).cast("int").alias("tx"), px.alias("px")
+    )
+
+
+def second_plane(tiles: DataFrame) -> DataFrame:
+    return tiles.withColumn("px", F.transform("px", lambda v: F.floor(v * 0.9).cast("smallint")))
+
+
+TILES_SQL = """tiles AS (
+  SELECT vec_id // 100 AS image_id, vec_id // 10 % 10 AS ty, vec_id % 10 AS tx,
+         list_transform(embedding, lambda e: CAST(floor(least(255.0::DOUBLE, greatest(0.0::DOUBLE, CAST(e AS DOUBLE) * 400 + 128))) AS INT)) AS px
+  FROM embeddings
+), pix AS (SELECT image_id, ty, tx, unnest(px) AS v, generate_subscripts(px, 1) - 1 AS i FROM tiles),
+moments AS (SELECT image_id, ty, tx, avg(v) AS m, var_pop(v) AS s FROM pix GROUP BY 1, 2, 3),
+diffs AS (SELECT *, abs(v - floor(v * 0.9::DOUBLE)) AS d FROM pix)"""
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as recognised tokens of one image per order."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        F.col("l_orderkey").alias("image_id"),
+        (F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 100 + F.col("l_linenumber")).alias("token_no"),
+        F.when(F.col("l_linenumber") % 3 == 0, F.lit("AB 1")).otherwise(F.format_string("%.2f", "l_extendedprice")).alias("text"),
+        (F.col("l_quantity") * 2).alias("conf"),
+        (F.col("l_partkey") % 500).cast("int").alias("left"),
+        (F.col("l_suppkey") % 300).cast("int").alias("top"),
+        (F.col("l_quantity") + 10).cast("int").alias("width"),
+        (F.col("l_linenumber") * 5).cast("int").alias("height"),
+        F.lit(800).alias("page_width"),
+        F.lit(600).alias("page_height"),
+    )
+
+
+TOKENS_SQL = """tok AS (
+  SELECT l_orderkey AS image_id, l_partkey * 1000000 + l_suppkey * 100 + l_linenumber AS token_no, l_linenumber % 3 = 0 AS word, l_quantity * 2 AS conf,
+         l_partkey % 500 AS x, l_suppkey % 300 AS y, CAST(l_quantity + 10 AS INT) AS w, l_linenumber * 5 AS h FROM lineitem
+)"""

@@ -69,8 +69,8 @@ def q_scanned_documents(spark, d):
     docs = pdf_bodies(spark, d).withColumn(
         "content", F.when(F.col("doc_id") % 3 == 0, F.concat("content", F.encode(F.lit(" /Subtype /Image"), "UTF-8"))).otherwise(F.col("content"))
     )
-    text = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.lit("pdf").alias("source"), F.substring("html", 1, 60).alias("text"))
-    return pdfbytes.is_scanned(docs, text.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 20)).otherwise(F.col("text"))))
+    text = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.lit("pdf").alias("source"), F.when(F.col("page_id") % 2 == 0, "poco texto").otherwise(F.col("html")).alias("text"))
+    return pdfbytes.is_scanned(docs, text)
 
 
 SQL["scanned_documents"] = "SELECT page_id AS doc_id, page_id % 3 = 0 AND page_id % 2 = 0 AS escaneado FROM pages"
