@@ -4,59 +4,55 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from cotejo.functions.binding import let
 from cotejo.functions.text import strip
 
 
-def _part(c: Column, pattern: str, group: int, default: str) -> Column:
-    return F.coalesce(F.nullif(F.regexp_extract(c, pattern, group), F.lit("")), F.lit(default)).cast("int")
-
-
-def _ntz(y: Column, mo: Column, d: Column, h: Column, mi: Column, s: Column) -> Column:
-    # 60 seconds would roll over to the next minute; a clock reading ends at 59
-    return F.when(s < 60, F.try_make_timestamp_ntz(y, mo, d, h, mi, s))
-
-
 def pdf_date(c: Column) -> Column:
     """`D:YYYYMMDDHHmmSS` with missing parts defaulted; an impossible day is clamped to 12/28. Offset ignored."""
-    pattern = r"^(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?"
-    s = F.regexp_replace(strip(c), "^D:", "")
-    y, mo, d = (_part(s, pattern, g, v) for g, v in ((1, "0"), (2, "1"), (3, "1")))
-    h, mi, sec = (_part(s, pattern, g, "0") for g in (4, 5, 6))
-    made = F.coalesce(
-        _ntz(y, mo, d, h, mi, sec), _ntz(y, F.least(mo, F.lit(12)), F.least(d, F.lit(28)), h, mi, sec)
-    )
-    return F.when(s.rlike(pattern) & (y > 0), made)
+
+    def stamp(d: Column) -> Column:
+        # the digits given, completed from January 1st, midnight
+        full = F.concat(d, F.substr(F.lit("00000101000000"), F.length(d) + 1))
+        part = lambda a, n: F.substring(full, a, n)
+        clock = F.concat(part(9, 2), F.lit(":"), part(11, 2), F.lit(":"), part(13, 2))
+        day = lambda m, x: F.concat_ws("-", part(1, 4), m, x)
+        at = lambda date: F.concat_ws(" ", date, clock).try_cast("timestamp_ntz")
+        clamped = day(F.least(part(5, 2), F.lit("12")), F.least(part(7, 2), F.lit("28")))
+        return F.when((d != "") & ~d.startswith("0000"), F.coalesce(at(day(part(5, 2), part(7, 2))), at(clamped)))
+
+    return let(F.regexp_extract(strip(c), r"^(?:D:)?(\d{4}(?:\d{2}){0,5})", 1), stamp)
 
 
 def issue_date(c: Column) -> Column:
     """d/m/y or d-m-y; a two-digit year belongs to this century."""
-    pattern = r"^(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})$"
-    s = F.replace(strip(c), F.lit("-"), F.lit("/"))
-    year = F.regexp_extract(s, pattern, 3)
-    full = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
-    iso = F.concat_ws(
-        "-", full, F.lpad(F.regexp_extract(s, pattern, 2), 2, "0"), F.lpad(F.regexp_extract(s, pattern, 1), 2, "0")
-    )
-    return F.when(s.rlike(pattern), F.try_to_date(iso, "yyyy-MM-dd"))
+    shape = r"^(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})$"
+
+    def read(s: Column) -> Column:
+        century = F.when(s.rlike(r"/\d{2}$"), F.regexp_replace(s, r"/(\d{2})$", "/20$1")).otherwise(s)
+        return F.when(s.rlike(shape), F.regexp_replace(century, shape, "$3-$2-$1").try_cast("date"))
+
+    return let(F.replace(strip(c), F.lit("-"), F.lit("/")), read)
 
 
-# Accepted shapes, the clock reading is kept and any offset dropped.
+# Accepted shapes and the plain form each is rewritten to; the clock reading is kept
+# and any offset dropped.
 META_SHAPES = [
-    r"^(\d{4}):(\d{1,2}):(\d{1,2}) (\d{1,2}):(\d{1,2}):(\d{1,2})$",
-    r"^(\d{4})-(\d{1,2})-(\d{1,2})[ T](\d{1,2}):(\d{1,2}):(\d{1,2})$",
-    r"^(\d{4})-(\d{1,2})-(\d{1,2})T(\d{1,2}):(\d{1,2}):(\d{1,2})(?:\.\d{1,6})?(?:Z|[+-]\d{2}:?\d{2})$",
-    r"^(\d{4})-(\d{1,2})-(\d{1,2})()()()$",
+    (r"^(\d{4}):(\d{1,2}):(\d{1,2}) (\d{1,2}:\d{1,2}:\d{1,2})$", "$1-$2-$3 $4"),
+    (r"^(\d{4})-(\d{1,2})-(\d{1,2})[ T](\d{1,2}:\d{1,2}:\d{1,2})$", "$1-$2-$3 $4"),
+    (r"^(\d{4})-(\d{1,2})-(\d{1,2})T(\d{1,2}:\d{1,2}:\d{1,2})(?:\.\d{1,6})?(?:Z|[+-]\d{2}:?\d{2})$", "$1-$2-$3 $4"),
+    (r"^(\d{4})-(\d{1,2})-(\d{1,2})$", "$1-$2-$3"),
 ]
 
 
 def meta_date(c: Column) -> Column:
     """EXIF, XMP and ISO spellings to a timestamp without zone."""
-    s = strip(c)
-    tries = []
-    for pattern in META_SHAPES:
-        y, mo, d, h, mi, sec = (_part(s, pattern, g, "0") for g in range(1, 7))
-        tries.append(F.when(s.rlike(pattern), _ntz(y, mo, d, h, mi, sec)))
-    return F.coalesce(*tries)
+
+    def read(s: Column) -> Column:
+        tries = [F.when(s.rlike(p), F.regexp_replace(s, p, plain).try_cast("timestamp_ntz")) for p, plain in META_SHAPES]
+        return F.when(s != "", F.coalesce(*tries))
+
+    return let(strip(c), read)
 
 
 def whole_days(later: Column, earlier: Column) -> Column:

@@ -9,10 +9,30 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, one machine word of `a` per step (integers as bit rows)."""
+    masks: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        masks[ch] = masks.get(ch, 0) | (1 << i)
+    full = (1 << len(a)) - 1
+    row = full
+    for ch in b:
+        hit = row & masks.get(ch, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
+
 def ratio_at_least(matcher: SequenceMatcher, bound: float) -> float:
-    """The exact ratio when it can reach the bound, else -1; the cheap upper bounds are tried first."""
+    """The exact ratio when it can reach the bound, else -1.
+
+    The matched blocks form a common subsequence, so its length limits the ratio; that and the cheap
+    character bounds spare most of the slow block search.
+    """
     if matcher.real_quick_ratio() < bound or matcher.quick_ratio() < bound:
         return -1.0
+    total = len(matcher.a) + len(matcher.b)
+    if total and 2.0 * common_subsequence(matcher.a, matcher.b) / total < bound:
+        return -1.0
     return matcher.ratio()
 
 

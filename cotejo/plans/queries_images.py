@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cotejo.operators import boxes, graph, images, tiles as tl
 from cotejo.plans import document_risk
 from cotejo.plans.derived import TILES_SQL, TOKENS_SQL, embedding_tiles, second_plane, table, tokens
+from cotejo.skew import at_least_parallel
 from cotejo.sources.config import DEFAULT_WEIGHTS, default_levels, default_weights
 
 Q, SQL = {}, {}
@@ -372,7 +373,7 @@ def _meta(spark, d):
         F.lit("XResolution"), F.lit("72"), F.lit("YResolution"), F.when(k % 3 == 0, "96").otherwise("72"),
     )
     xmp = F.create_map(F.lit("xmp_CreateDate"), F.when(k % 5 == 0, F.date_format(F.date_add(F.col("o_orderdate").cast("date"), 2), "yyyy-MM-dd")))
-    return table(spark, d, "orders").select(k.alias("image_id"), F.lit(100).alias("width"), F.lit(100).alias("height"), exif.alias("exif"), xmp.alias("xmp"))
+    return at_least_parallel(table(spark, d, "orders")).select(k.alias("image_id"), F.lit(100).alias("width"), F.lit(100).alias("height"), exif.alias("exif"), xmp.alias("xmp"))
 
 
 def q_editor_hits(spark, d):
@@ -434,7 +435,7 @@ SELECT image_id, n AS comparaciones, round(mu, 6) AS media, round(sd, 6) AS desv
 
 
 def _orders(spark, d):
-    return table(spark, d, "orders").withColumn("k", F.col("o_orderkey"))
+    return at_least_parallel(table(spark, d, "orders")).withColumn("k", F.col("o_orderkey"))
 
 
 def q_image_risk(spark, d):

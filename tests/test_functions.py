@@ -99,6 +99,23 @@ def test_hash_distance(spark):
     assert df.where(hashes.hamming64(F.col("a"), F.col("b")) != F.col("d")).count() == 0
 
 
+def test_subsequence_bounds_the_ratio():
+    from difflib import SequenceMatcher
+
+    from cotejo.functions.similarity import common_subsequence
+
+    rng = random.Random(5)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abcd") for _ in range(rng.randint(0, 40))) for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert common_subsequence(a, b) == table[-1][-1]
+        matched = sum(m.size for m in SequenceMatcher(None, a, b).get_matching_blocks())
+        assert matched <= table[-1][-1]
+
+
 def test_sequence_ratio_is_not_symmetric_and_exact(spark):
     from difflib import SequenceMatcher
 
