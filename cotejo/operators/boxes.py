@@ -49,6 +49,19 @@ def box_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], cell: float = 64.
     return left.join(right, [*keys, "_cell"]).where(touching & home).drop("_cell")
 
 
+def box_semi(a: DataFrame, b: DataFrame, keys: Sequence[str], test: Column, cell: float = 64.0) -> DataFrame:
+    """Boxes of `a` for which some box of `b` passes the test; a semi-join, so pairs are never formed.
+
+    A passing pair must touch, hence it shares a cell; the same box found through two cells is one.
+    """
+    left = _cells(_prefixed(a, keys, "a_"), "a_", cell)
+    right = _cells(_prefixed(b, keys, "b_"), "b_", cell)
+    same = (F.col("_l._cell") == F.col("_r._cell")) & test
+    for k in keys:
+        same = same & (F.col(f"_l.{k}") == F.col(f"_r.{k}"))
+    return left.alias("_l").join(right.alias("_r"), same, "left_semi").drop("_cell").distinct()
+
+
 def _inter(axis: str) -> Column:
     return F.least(F.col(f"a_{axis}1"), F.col(f"b_{axis}1")) - F.greatest(F.col(f"a_{axis}0"), F.col(f"b_{axis}0"))
 
@@ -107,15 +120,15 @@ def covering_boxes(blocks: DataFrame, drawings: DataFrame, min_iou: float = 0.5,
     text = blocks.where(F.col("type") == 0).select("doc_id", "page", *BOX)
     images = blocks.where(F.col("type") == 1).select("doc_id", "page", F.lit("image").alias("kind"), F.col("block_no").alias("no"), *BOX)
     shapes = drawings.where(F.col("filled")).select("doc_id", "page", F.lit("shape").alias("kind"), F.col("draw_no").alias("no"), *BOX)
-    hits = box_pairs(images.unionByName(shapes), text, ["doc_id", "page"], cell).where(iou() > min_iou)
-    return hits.select("doc_id", "page", F.col("a_kind").alias("kind"), F.col("a_no").alias("no")).distinct()
+    hits = box_semi(images.unionByName(shapes), text, ["doc_id", "page"], iou() > min_iou, cell)
+    return hits.select("doc_id", "page", F.col("a_kind").alias("kind"), F.col("a_no").alias("no"))
 
 
 def overlapping_annots(annots: DataFrame, blocks: DataFrame, cell: float = 64.0) -> DataFrame:
     """Annotations that lie over a text block."""
     a = annots.select("doc_id", "page", "annot_no", *BOX)
     text = blocks.where(F.col("type") == 0).select("doc_id", "page", *BOX)
-    hits = box_pairs(a, text, ["doc_id", "page"], cell).where(strictly_overlapping())
+    hits = box_semi(a, text, ["doc_id", "page"], strictly_overlapping(), cell)
     return hits.select("doc_id", "page", F.col("a_annot_no").alias("annot_no")).distinct()
 
 
@@ -150,21 +163,28 @@ def clusters_on_text(clusters: DataFrame, tokens: DataFrame, cell: float = 64.0)
 
 
 def localized(boxes: DataFrame, distance: float = 60.0) -> DataFrame:
-    """Is any suspicious box within 60 px of another? Centres meet in grid cells of that size."""
-    c = boxes.select("image_id", "box_no", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
-    home = c.withColumn("_gx", F.floor(F.col("cx") / distance)).withColumn("_gy", F.floor(F.col("cy") / distance))
-    # enough to know whether a cell holds two boxes that are close: compare with the neighbourhood
-    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    near = (
-        c.withColumn("_s", F.explode(steps))
-        .withColumn("_gx", F.floor(F.col("cx") / distance) + F.col("_s.dx"))
-        .withColumn("_gy", F.floor(F.col("cy") / distance) + F.col("_s.dy"))
-        .select("image_id", "_gx", "_gy", F.col("box_no").alias("_n"), F.col("cx").alias("_x"), F.col("cy").alias("_y"))
+    """Is any suspicious box within 60 px of another?
+
+    Centres fall into cells whose diagonal is that distance: two in one cell settle the question by
+    a count. Only images without such a cell compare neighbouring cells, and those hold one box each,
+    so crowded images never form pairs.
+    """
+    side = distance / 2**0.5
+    c = boxes.select("image_id", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
+    cells = c.groupBy("image_id", F.floor(F.col("cx") / side).alias("gx"), F.floor(F.col("cy") / side).alias("gy")).agg(
+        F.count(F.lit(1)).alias("_n"), F.first("cx").alias("cx"), F.first("cy").alias("cy")
+    )
+    images = cells.groupBy("image_id").agg((F.max("_n") > 1).alias("_dense"))
+    single = cells.join(images.where(~F.col("_dense")).select("image_id"), "image_id", "left_semi")
+    # half of the neighbourhood: each pair of cells meets once
+    steps = [(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3) if (dx, dy) > (0, 0)]
+    near = single.withColumn("_s", F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in steps]))).select(
+        "image_id", (F.col("gx") + F.col("_s.dx")).alias("gx"), (F.col("gy") + F.col("_s.dy")).alias("gy"), F.col("cx").alias("_x"), F.col("cy").alias("_y")
     )
-    close = (F.pow(F.col("cx") - F.col("_x"), 2) + F.pow(F.col("cy") - F.col("_y"), 2)) < distance * distance
-    hits = home.join(near, ["image_id", "_gx", "_gy"]).where((F.col("box_no") != F.col("_n")) & close)
-    found = hits.groupBy("image_id").agg(F.lit(True).alias("localizado"))
-    return boxes.select("image_id").distinct().join(found, "image_id", "left").fillna(False, ["localizado"])
+    close = F.pow(F.col("cx") - F.col("_x"), 2) + F.pow(F.col("cy") - F.col("_y"), 2) < distance * distance
+    found = single.join(near, ["image_id", "gx", "gy"]).where(close).select("image_id", F.lit(True).alias("_near")).distinct()
+    out = images.join(found, "image_id", "left")
+    return out.select("image_id", (F.col("_dense") | F.coalesce("_near", F.lit(False))).alias("localizado"))
 
 
 # ---------------------------------------------------------------- amounts beside labels
@@ -207,8 +227,8 @@ def label_amounts(words: DataFrame, tolerance: float = 5.0) -> DataFrame:
     best = per_label.groupBy("doc_id").agg(
         F.min_by(F.col("_a.valor"), F.struct(-F.col("_p"), F.col("_a._x"), F.col("page"), F.col("_label"))).alias("_best")
     )
-    largest = amounts.groupBy("doc_id").agg(F.max("valor").alias("_max"))
-    out = words.select("doc_id").distinct().join(best, "doc_id", "left").join(largest, "doc_id", "left")
+    largest = words.select("doc_id", F.array_max(F.filter(values, lambda v: v >= MIN_TOTAL)).alias("_v")).groupBy("doc_id").agg(F.max("_v").alias("_max"))
+    out = largest.join(best, "doc_id", "left")
     method = F.when(F.col("_best").isNotNull(), "busqueda_espacial").when(F.col("_max").isNotNull(), "busqueda_texto_fallback")
     return out.select("doc_id", F.coalesce("_best", "_max").alias("valor_total"), method.otherwise("no_encontrado").alias("metodo"))
 

@@ -6,8 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cotejo.skew import bounded_broadcast
-
 SECTIONS = ("prioritarias", "secundarias", "adicionales")
 
 
@@ -44,19 +42,19 @@ def score_documents(checks: DataFrame, keys: Sequence[str] = ("doc_id",)) -> Dat
 def assign_level(scores: DataFrame, levels: DataFrame, default: str = "bajo") -> DataFrame:
     """First level whose inclusive range holds the score; outside every range the default.
 
-    The level table is small by contract and its size is checked, so it is gathered into one
-    sorted array that travels with the rows: no range join and no second row per score.
+    Scores are whole numbers from 0 to 100, so the ranges unfold into at most 101 rows: a bound that
+    holds for any level table, which makes the broadcast safe and turns the range join into an
+    equality.
     """
-    table = levels.agg(
-        F.array_sort(F.collect_list(F.struct("level_no", "level", "lo", "hi"))).alias("_levels"), F.lit(1).alias("_one")
-    )
-    hit = F.get(F.filter("_levels", lambda x: F.col("score").between(x["lo"], x["hi"])), F.lit(0))
-    return (
-        scores.withColumn("_one", F.lit(1))
-        .join(bounded_broadcast(table, 1), "_one", "left")
-        .withColumn("nivel", F.coalesce(hit["level"], F.lit(default)))
-        .drop("_one", "_levels")
+    lo, hi = F.greatest(F.lit(0), F.col("lo")), F.least(F.lit(100), F.col("hi"))
+    by_score = (
+        levels.where(lo <= hi)
+        .select("level_no", "level", F.explode(F.sequence(lo, hi)).alias("score"))
+        .groupBy("score")
+        .agg(F.min_by("level", "level_no").alias("_level"))
     )
+    joined = scores.join(F.broadcast(by_score), "score", "left")
+    return joined.withColumn("nivel", F.coalesce("_level", F.lit(default))).select(*scores.columns, "nivel")
 
 
 def max_level(levels_long: DataFrame, keys: Sequence[str], level: str = "nivel") -> DataFrame:

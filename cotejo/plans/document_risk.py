@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cotejo.functions.dates import issue_date, pdf_date, whole_days
 from cotejo.operators import scoring
+from cotejo.sources.config import DEFAULT_WEIGHTS
 
 MAX_DAYS = 10
 
 
-def _weights(weights: DataFrame) -> DataFrame:
-    """All weights as one map row; the table is small by contract."""
-    return weights.agg(F.map_from_entries(F.collect_list(F.struct("check_key", "weight"))).alias("_w"), F.lit(1).alias("_one"))
+def _weights(weights: DataFrame, *more: str) -> DataFrame:
+    """The weights of the known checks as one map row; the names bound its size."""
+    known = weights.where(F.col("check_key").isin(*DEFAULT_WEIGHTS, *more)).groupBy("check_key").agg(F.max("weight").alias("weight"))
+    return known.agg(F.map_from_entries(F.collect_list(F.struct("check_key", "weight"))).alias("_w"), F.lit(1).alias("_one"))
 
 
 def _part(share: float, weight: Column) -> Column:
@@ -94,7 +96,7 @@ def invoice_risk(docs: DataFrame, weights: DataFrame, levels: DataFrame, missing
     that does not exist adds nothing.
     """
     base = scoring.score_documents(pdf_risk_checks(docs, weights)).select("doc_id", F.col("score").alias("base"))
-    w = F.broadcast(_weights(weights))
+    w = F.broadcast(_weights(weights, missing_signature_key))
     df = docs.select("doc_id", "sri_ok", "firma_verificada").join(base, "doc_id").withColumn("_one", F.lit(1)).join(w, "_one", "left")
     weight = lambda k: F.coalesce(F.try_element_at(F.col("_w"), F.lit(k)), F.lit(0))
     clamp = lambda c: F.greatest(F.lit(0), F.least(F.lit(100), c))

@@ -54,14 +54,14 @@ def _metrics(spark, d):
 
 
 def q_mad_outliers(spark, d):
-    return _round(tl.mad_outliers(_metrics(spark, d))).select("image_id", "ty", "z_edge_density", "outlier")
+    return _round(tl.mad_outliers(_metrics(spark, d)), 8).select("image_id", "ty", "z_edge_density", "outlier")
 
 
 SQL["mad_outliers"] = """WITH e AS (SELECT user_id AS image_id, event_id AS ty, value AS a, CAST(event_id % 17 AS DOUBLE) AS b FROM events),
 m AS (SELECT image_id, median(a) AS ma, median(b) AS mb FROM e GROUP BY 1),
 n AS (SELECT e.*, ma, mb, abs(a - ma) AS da, abs(b - mb) AS db FROM e JOIN m USING (image_id)), k AS (SELECT image_id, median(da) AS ka, median(db) AS kb FROM n GROUP BY 1),
 z AS (SELECT image_id, ty, CASE WHEN ka < 1e-9 THEN 0 ELSE 0.6745::DOUBLE * (a - ma) / ka END AS za, CASE WHEN kb < 1e-9 THEN 0 ELSE 0.6745::DOUBLE * (b - mb) / kb END AS zb FROM n JOIN k USING (image_id))
-SELECT image_id, ty, round(zb, 6) AS z_edge_density, za > 2.5 OR zb > 2.5 AS outlier FROM z"""
+SELECT image_id, ty, round(zb, 8) AS z_edge_density, za > 2.5 OR zb > 2.5 AS outlier FROM z"""
 
 
 def q_event_percentiles(spark, d):
