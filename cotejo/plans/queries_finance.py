@@ -152,8 +152,8 @@ FROM formula f LEFT JOIN lines USING (doc_id) JOIN vat_check USING (doc_id) LEFT
 def q_math_consistency(spark, d):
     totals = invoice_totals(spark, d).join(q_line_check(spark, d), "doc_id", "left")
     docs = totals.select(
-        "doc_id", "subtotal", "iva", "descuentos", "total_declarado",
-        (F.col("subtotal") + F.col("iva")).alias("total_extraido"),
+        "doc_id", F.round("subtotal", 2).alias("subtotal"), F.round("iva", 2).alias("iva"), "descuentos", F.round("total_declarado", 2).alias("total_declarado"),
+        (F.round("subtotal", 2) + F.round("iva", 2)).alias("total_extraido"),
         F.to_date("o_orderdate").alias("fecha_emision"),
         (F.col("doc_id") % 3).alias("n_numeros_grandes"), (F.col("doc_id") % 4).alias("n_montos_repetidos"),
         (F.col("doc_id") % 2 + 1).alias("n_totales"), ((F.col("doc_id") % 2) * 2.5).alias("totales_rango"),
@@ -162,13 +162,15 @@ def q_math_consistency(spark, d):
     return finance.math_consistency(docs)
 
 
-SQL["math_consistency"] = f"""WITH {ITEMS_SQL}, {TOTALS_SQL}, {LINES_SQL}, {CHECK_SQL}, x AS (
+SQL["math_consistency"] = f"""WITH {ITEMS_SQL}, {TOTALS_SQL}, {LINES_SQL}, {CHECK_SQL}, cents AS (
+  SELECT doc_id, round(subtotal, 2) AS subtotal, round(iva, 2) AS iva, round(total_declarado, 2) AS total_declarado FROM totals
+), x AS (
   SELECT t.doc_id, abs(subtotal + iva - total_declarado) <= 0.05 AS f,
          CASE WHEN subtotal > 0 AND iva > 0 THEN iva / subtotal * 100 END AS share,
          abs(subtotal + iva - total_declarado) > 0.1 AS visual, total_declarado AS td,
          CASE WHEN total_items > 0 THEN items_validos * 100.0 / total_items END AS vs,
          year(o_orderdate) >= 2020 AND subtotal + iva <> 0 AND (subtotal + iva < 0.1 OR subtotal + iva > 100000) AS by_year
-  FROM totals t JOIN orders ON o_orderkey = t.doc_id LEFT JOIN lines USING (doc_id)
+  FROM cents t JOIN orders ON o_orderkey = t.doc_id LEFT JOIN lines USING (doc_id)
 ), y AS (
   SELECT doc_id, f, vs,
          coalesce(abs(share - 15) <= 2 OR abs(share - 12) <= 2 OR abs(share) <= 0.5, true) AS v,
