@@ -302,7 +302,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(
         F.col("l_orderkey").alias("image_id"),
         (F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 100 + F.col("l_linenumber")).alias("token_no"),
-        F.when(F.col("l_linenumber") % 3 == 0, F.lit("AB 1")).otherwise(F.format_string("%.2f", "l_extendedprice")).alias("text"),
+        F.when(F.col("l_linenumber") % 3 == 0, F.lit("AB 1")).otherwise(F.concat(F.col("l_partkey").cast("string"), F.lit(".50"))).alias("text"),
         (F.col("l_quantity") * 2).alias("conf"),
         (F.col("l_partkey") % 500).cast("int").alias("left"),
         (F.col("l_suppkey") % 300).cast("int").alias("top"),

@@ -70,8 +70,10 @@ def exact_quantiles(
     )
     ranges = []
     for i, p in enumerate(probs.values()):
-        lo = F.col("_min") if p - eps <= 0 else F.col("_b")[2 * i]
-        hi = F.col("_max") if p + eps >= 1 else F.col("_b")[2 * i + 1]
+        # a bracket must hold a few ranks beyond the sketch's error, so small keys are ranked whole
+        small = F.col("_n") <= 4 * accuracy
+        lo = F.col("_min") if p - eps <= 0 else F.when(small, F.col("_min")).otherwise(F.col("_b")[2 * i])
+        hi = F.col("_max") if p + eps >= 1 else F.when(small, F.col("_max")).otherwise(F.col("_b")[2 * i + 1])
         ranges.append(F.struct(F.lit(names[i]).alias("name"), F.lit(float(p)).alias("p"), lo.alias("lo"), hi.alias("hi")))
     wanted = sketch.select(*keys, "_n", F.explode(F.array(*ranges)).alias("_r")).select(
         *keys, "_n", "_r.name", "_r.p", "_r.lo", "_r.hi"

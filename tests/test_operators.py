@@ -113,6 +113,13 @@ def test_exact_quantiles_equal_numpy(spark):
             assert math.isclose(got[k][name], float(np.percentile(v, p * 100)), rel_tol=1e-12)
 
 
+def test_small_keys_are_ranked_whole(spark):
+    data = [(k, RNG.random()) for k, n in enumerate((1, 2, 3, 7, 200)) for _ in range(n)]
+    got = {r["k"]: r["a"] for r in skew.exact_quantiles(spark.createDataFrame(data, "k int, v double"), ["k"], "v", {"a": 0.75}).collect()}
+    for k, value in got.items():
+        assert math.isclose(value, float(np.percentile([v for j, v in data if j == k], 75)), rel_tol=1e-12)
+
+
 def test_chunked_lag_crosses_chunks(spark):
     df = spark.createDataFrame([(k, i, i * 10) for k in range(2) for i in (0, 1, 7, 9, 23)], "k int, i int, v int")
     rows = skew.chunked_lag(df, ["k"], "i", F.floor(F.col("i") / 5), ["v"]).orderBy("k", "i").collect()
