@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from cotejo.plans import registry
 from compare import check, connect
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = registry.QUERIES, registry.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
