@@ -2,7 +2,8 @@
 
 No token crosses white space, so a text's ids are those of its words in turn. Documents are read in blocks of bounded size. Every
 block sends its different words, packed by word hash, to the task of that hash; there each distinct word is encoded once and its ids
-go back to the blocks that asked. A block then puts ids into the places of its words. However often a word stands, each block sends
+go back with the words to the blocks that asked. A block then puts ids into the places of its words. Should a block hold other rows
+on its second reading (input whose order changes), it encodes the words that nobody asked for itself. However often a word stands, each block sends
 it once, so no word is hot. Decoding joins ids with the id-to-piece table, which is as large as the vocabulary.
 
 Null and empty texts have no ids and decode to the empty string. Repeated rows are encoded one by one. Ids may be null or repeat.
@@ -34,7 +35,7 @@ def split_words(text: str | None) -> list[str]:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[int, dict[str, list]]]:
-    """Numbered blocks of rows, each of about BLOCK_CHARACTERS or a single longer text; the same in every run over a partition."""
+    """Numbered blocks of rows, each of about BLOCK_CHARACTERS or a single longer text."""
     number, size, rows = 0, 0, {c: [] for c in columns}
     for batch in batches:
         values = {c: batch.column(c).to_pylist() for c in columns}
@@ -51,15 +52,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[t
 
 
 def _dealt_words(texts: list[str | None], buckets: int) -> list[list[str]]:
-    """The different words of a block by bucket, each list sorted: the order in which answers come back."""
+    """The different words of a block by bucket."""
     words: set[str] = set()
     for text in texts:
         words.update(split_words(text))
     dealt: list[list[str]] = [[] for _ in range(buckets)]
     for w in words:
         dealt[zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets].append(w)
-    for d in dealt:
-        d.sort()
     return dealt
 
 
@@ -82,7 +81,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, buckets: int | None = None,
     source = docs.select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, rows in _blocks(batches, ["text", "part"]):
+        for number, rows in _blocks(batches, ["text", "part", "doc_id"]):
             dealt = _dealt_words(rows["text"], buckets)
             use = [b for b in range(buckets) if dealt[b]]
             blobs = [_pack("\n".join(dealt[b]).encode("utf-8", "surrogatepass")) for b in use]
@@ -105,8 +104,8 @@ def encode_decode(docs: DataFrame, vocabulary: str, buckets: int | None = None,
         for own in lists:
             found = [ids[w] for w in own]
             lengths = np.array([len(f) for f in found], "<u4")
-            blobs.append(_pack(np.array([len(own)], "<u4").tobytes() + lengths.tobytes() + np.concatenate(found).astype("<u4").tobytes()))
-        return pa.table({"part": asked.column("part"), "block": asked.column("block"), "bucket": asked.column("bucket"), "ids": pa.array(blobs, pa.binary())})
+            blobs.append(_pack(lengths.tobytes() + np.concatenate(found).astype("<u4").tobytes()))
+        return asked.select(["part", "block", "words"]).append_column("ids", pa.array(blobs, pa.binary()))
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rows in _blocks(batches, ["text", "part", "doc_id"]):
@@ -125,26 +124,24 @@ def encode_decode(docs: DataFrame, vocabulary: str, buckets: int | None = None,
         piece = _pieces(sent.value)
         plain = encoder.decoder is None  # then pieces are joined by spaces
         out: dict[str, list] = {"doc_id": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": [], "decoded": []} if texts else {})
-        back = {b: _unpack(x) for b, x in zip(answers.column("bucket").to_pylist(), answers.column("ids").to_pylist(), strict=True)}
+        found: dict[str, tuple[int, str, str, list[int]]] = {}
+
+        def learn(w: str, own: list[int]) -> None:
+            found[w] = (len(own), " ".join(map(str, own)), " ".join([piece[i] for i in own]), own if texts or not plain else [])
+
+        for words, ids in zip(answers.column("words").to_pylist(), answers.column("ids").to_pylist(), strict=True):
+            words, ids, at = _unpack(words).decode("utf-8", "surrogatepass").split("\n"), _unpack(ids), 0
+            numbers = np.frombuffer(ids, "<u4", -1, 4 * len(words)).tolist() if len(ids) > 4 * len(words) else []
+            for w, m in zip(words, np.frombuffer(ids, "<u4", len(words)).tolist(), strict=True):
+                learn(w, numbers[at : at + m])
+                at += m
         for r in shipped.to_pylist():
             data, at, rows = _unpack(r["packed"]), 0, []
             for n in np.frombuffer(r["lengths"], "<i8").tolist():
                 rows.append(None if n < 0 else data[at : at + n].decode("utf-8", "surrogatepass"))
                 at += max(n, 0)
-            found: dict[str, tuple[int, str, str, list[int]]] = {}
-            for b, words in enumerate(_dealt_words(rows, buckets)):
-                if not words:
-                    continue
-                n = int(np.frombuffer(back[b], "<u4", 1)[0])
-                if n != len(words):
-                    raise RuntimeError("a block changed between two reads of its partition")
-                lengths = np.frombuffer(back[b], "<u4", n, 4).tolist()
-                numbers = np.frombuffer(back[b], "<u4", -1, 4 + 4 * n).tolist()
-                at = 0
-                for w, m in zip(words, lengths, strict=True):
-                    own = numbers[at : at + m]
-                    at += m
-                    found[w] = (m, " ".join(map(str, own)), " ".join([piece[i] for i in own]), own if texts or not plain else [])
+            for w in {w for text in rows for w in split_words(text) if w not in found}:
+                learn(w, encoder.encode(w, add_special_tokens=False).ids)
             for doc_id, text in zip(r["ids_of"], rows, strict=True):
                 parts = [p for p in (found[w] for w in split_words(text)) if p[0]]
                 ids = [i for p in parts for i in p[3]]
@@ -159,8 +156,8 @@ def encode_decode(docs: DataFrame, vocabulary: str, buckets: int | None = None,
         types = {"doc_id": id_type, "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "ids": pa.list_(pa.int32()), "decoded": pa.string()}
         return pa.table({c: pa.array(v, types[c]) for c, v in out.items()})
 
-    asked = source.select("text", "part").mapInArrow(ask, "part int, block int, bucket int, words binary")
-    answers = asked.groupBy("bucket").applyInArrow(answer, "part int, block int, bucket int, ids binary")
+    asked = source.mapInArrow(ask, "part int, block int, bucket int, words binary")
+    answers = asked.groupBy("bucket").applyInArrow(answer, "part int, block int, words binary, ids binary")
     shipped = source.mapInArrow(ship, f"part int, block int, ids_of array<{kind}>, lengths binary, packed binary")
     return shipped.groupBy("part", "block").cogroup(answers.groupBy("part", "block")).applyInArrow(place, columns)
 
@@ -200,7 +197,8 @@ def decode(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
 
     The piece table is bounded by the vocabulary and may be broadcast. Unknown ids have no piece and are left out.
     """
-    rows = encoded.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.posexplode_outer("ids").alias("at", "id"))
+    rows = encoded.select("doc_id", "ids", F.monotonically_increasing_id().alias("_row"))
+    rows = rows.select("doc_id", "_row", F.posexplode_outer("ids").alias("at", "id"))
     named = rows.join(F.broadcast(pieces), "id", "left")
     parts = F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("at", "piece"))))
     return named.groupBy("_row", "doc_id").agg(parts.alias("p")).select("doc_id", F.array_join(F.col("p.piece"), " ").alias("decoded"))
