@@ -195,10 +195,9 @@ TOTAL_LABELS = [
     ("IMPORTE TO", 80), ("TOTAL TO", 80), ("VALOR T", 70), ("IMPORTE T", 70),
 ]
 _NUMBER = r"(\d{1,3}(?:[.,]\d{3})*(?:[.,]\d{2})?)"
-MIN_TOTAL = 100.0
 
 
-def label_amounts(words: DataFrame, tolerance: float = 5.0) -> DataFrame:
+def label_amounts(words: DataFrame, tolerance: float = 5.0, minimum: float = 0.0) -> DataFrame:
     """Grand total of a page layout: the rightmost amount on the band of the best label.
 
     Labels of priority 90 and up displace weaker ones; equal priority goes to the smaller x. Without
@@ -212,7 +211,7 @@ def label_amounts(words: DataFrame, tolerance: float = 5.0) -> DataFrame:
     values = F.transform(extract_all(F.col("text"), _NUMBER, 1), lambda v: clean_amount(v))
     amounts = (
         words.select("doc_id", "page", "word_no", F.col("x0").alias("_x"), yc.alias("_yc"), F.posexplode(values).alias("_k", "valor"))
-        .where(F.col("valor") >= MIN_TOTAL)
+        .where(F.col("valor") >= minimum)
         .withColumn("_band", F.floor(F.col("_yc") / tolerance))
     )
     labels = (
@@ -227,7 +226,7 @@ def label_amounts(words: DataFrame, tolerance: float = 5.0) -> DataFrame:
     best = per_label.groupBy("doc_id").agg(
         F.min_by(F.col("_a.valor"), F.struct(-F.col("_p"), F.col("_a._x"), F.col("page"), F.col("_label"))).alias("_best")
     )
-    largest = words.select("doc_id", F.array_max(F.filter(values, lambda v: v >= MIN_TOTAL)).alias("_v")).groupBy("doc_id").agg(F.max("_v").alias("_max"))
+    largest = words.select("doc_id", F.array_max(F.filter(values, lambda v: v >= minimum)).alias("_v")).groupBy("doc_id").agg(F.max("_v").alias("_max"))
     out = largest.join(best, "doc_id", "left")
     method = F.when(F.col("_best").isNotNull(), "busqueda_espacial").when(F.col("_max").isNotNull(), "busqueda_texto_fallback")
     return out.select("doc_id", F.coalesce("_best", "_max").alias("valor_total"), method.otherwise("no_encontrado").alias("metodo"))

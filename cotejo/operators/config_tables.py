@@ -73,7 +73,7 @@ def validate_levels(levels: DataFrame) -> DataFrame:
 def replace_config(new: DataFrame, errors: DataFrame, path: str) -> None:
     """Write a new weight or level table unless its validation found errors (warnings pass)."""
     found = errors.where("kind = 'error'") if "kind" in errors.columns else errors
-    bad = [str(r["error"]) for r in found.limit(5).collect()]
+    bad = [str(r["error"]) for r in found.collect()]
     if bad:
         raise ValueError("; ".join(bad))
     write_config(new, path)

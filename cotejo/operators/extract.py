@@ -156,12 +156,12 @@ def _full_year(c: Column) -> Column:
 
 
 def company_name(lines: Column) -> Column:
-    """Up to three lines before the first line naming the taxpayer number, joined, 120 characters."""
+    """Up to three lines before the first line naming the taxpayer number, joined."""
     at = F.get(F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"(?i)\bRUC\b"), i)), lambda i: i.isNotNull()), F.lit(0))
     start = F.greatest(at - 3, F.lit(0))
     block = F.array_join(F.slice(lines, start + 1, F.greatest(at - start, F.lit(0))), " ")
     kept = F.regexp_replace(block, r"(?i)^(DIRECCION|SUCURSAL|MATRIZ).*$", "")
-    return F.when(at > 0, F.substring(collapse_spaces(kept), 1, 120))
+    return F.when(at > 0, collapse_spaces(kept))
 
 
 def header_fields(doc_text: DataFrame) -> DataFrame:

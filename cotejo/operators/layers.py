@@ -73,7 +73,7 @@ def overlay_signals(raw_docs: DataFrame, window: int | None = None) -> DataFrame
         F.transform(F.concat(extract_all(t, r"/CA\s+([\d.]+)", 1), extract_all(t, r"/ca\s+([\d.]+)", 1)), lambda v: v.try_cast("double")),
         lambda v: v.isNotNull(),
     )
-    modes = F.slice(extract_all(t, r"/BM\s*/(\w+)", 1), 1, 20)
+    modes = extract_all(t, r"/BM\s*/(\w+)", 1)
     bodies = F.regexp_count(t, F.lit(r"(?s)stream\s*[\r\n]+(.*?)\s*endstream")).cast("bigint")
     df = raw_docs.select(
         "doc_id",

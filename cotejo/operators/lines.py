@@ -66,8 +66,8 @@ def line_format(lines: DataFrame) -> DataFrame:
     return shapes.join(short, "doc_id").withColumn("n_sospechas", kinds.cast("bigint"))
 
 
-def _similar_in_pair(limit: int, min_ratio: float):
-    """First `limit` near copies of one chunk pair in (i, j) order; bounds keep most ratios unread."""
+def _similar_in_pair(limit: int | None, min_ratio: float):
+    """Near copies of one chunk pair in (i, j) order, all or the first `limit`; bounds keep most ratios unread."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = SequenceMatcher(None)
@@ -98,17 +98,18 @@ def _similar_in_pair(limit: int, min_ratio: float):
     return run
 
 
-def similar_lines(lines: DataFrame, min_ratio: float = 0.7, limit: int = 10) -> DataFrame:
-    """The first `limit` pairs of nearly equal lines per document in (i, j) order.
+def similar_lines(lines: DataFrame, min_ratio: float = 0.7, limit: int | None = None) -> DataFrame:
+    """All pairs of nearly equal lines per document, or the first `limit` in (i, j) order for a report.
 
-    The limit is part of the answer (a report of at most ten pairs). Lines meet in chunk pairs, so
-    a long document is many equal jobs, and each job returns at most `limit` pairs.
+    Lines meet in chunk pairs, so a long document is many equal jobs, and a job's answer is bounded by its two chunks.
     """
     key = lines.schema["doc_id"].dataType.simpleString()
     packed = pack_chunks(lines, ["doc_id"], "line_no", ["line"], LINE_CHUNK)
     pairs = chunk_pairs(packed, ["doc_id"])
     schema = f"doc_id {key}, i bigint, j bigint, line_i string, line_j string, ratio double"
     found = pairs.select("doc_id", "rows_a", "rows_b").mapInPandas(_similar_in_pair(limit, min_ratio), schema)
+    if limit is None:
+        return found
     # the rank filter also runs before the shuffle, so a document sends at most `limit` rows per task
     order = W.partitionBy("doc_id").orderBy("i", "j")
     return found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit).drop("_r")
@@ -153,12 +154,15 @@ def big_numbers(doc_text: DataFrame) -> DataFrame:
     return doc_text.select("doc_id", F.when(named, 0).otherwise(F.regexp_count(t, F.lit(r"\b(\d{6,})\b"))).cast("bigint").alias("n_numeros_grandes"))
 
 
-def amount_stats(doc_text: DataFrame) -> DataFrame:
-    """Last resort: largest amount as total, second largest as subtotal when at least 70% of it."""
-    values = F.transform(extract_all(F.col("text"), r"\d{1,6}[.,]\d{2}"), lambda v: as_double(F.replace(v, F.lit(","), F.lit("."))))
-    kept = F.sort_array(F.array_distinct(F.filter(values, lambda v: v.between(1.0, 10000.0))), asc=False)
+def amount_stats(doc_text: DataFrame, most: float | None = None, most_total: float | None = None) -> DataFrame:
+    """Last resort: largest amount as total, second largest as subtotal when at least 70% of it.
+
+    `most` leaves larger amounts out; with `most_total` a larger total gives no answer.
+    """
+    values = F.transform(extract_all(F.col("text"), r"\d+[.,]\d{2}"), lambda v: as_double(F.replace(v, F.lit(","), F.lit("."))))
+    kept = F.sort_array(F.array_distinct(F.filter(values, lambda v: (v >= 1.0) if most is None else v.between(1.0, most))), asc=False)
     top, second = F.get("_v", F.lit(0)), F.get("_v", F.lit(1))
-    usable = top <= 1000
+    usable = F.lit(True) if most_total is None else top <= most_total
     sub = F.when(usable & (second >= top * 0.7), second)
     return doc_text.select("doc_id", kept.alias("_v")).select(
         "doc_id", F.when(usable, top).alias("total"), sub.alias("subtotal"), F.round(top - sub, 2).alias("iva")

@@ -426,7 +426,7 @@ def _nearest_two(max_rows: int):
     return run
 
 
-def copy_move(keypoints: DataFrame, image_meta: DataFrame, ratio: float = 0.75, min_distance: float = 20.0, min_keypoints: int = 50) -> DataFrame:
+def copy_move(keypoints: DataFrame, image_meta: DataFrame, ratio: float = 0.75, min_distance: float = 20.0, min_keypoints: int = 0) -> DataFrame:
     """Repeated regions: nearest other descriptor clearly closer than the next one, and far away.
 
     Every query keeps two candidates per piece of its image, so a task returns two rows per query

@@ -125,9 +125,9 @@ SQL["label_amounts"] = rf"""WITH {WORDS_SQL}, w AS (
 l AS (SELECT *, CASE k WHEN 0 THEN 100 WHEN 1 THEN 90 WHEN 2 THEN 80 ELSE 70 END AS p FROM w WHERE k < 4),
 j AS (
   SELECT l.doc_id, l.word_no AS lno, l.p, a.v, a.x0, row_number() OVER (PARTITION BY l.doc_id, l.word_no ORDER BY a.x0 DESC, a.word_no) AS r
-  FROM l JOIN a ON a.doc_id = l.doc_id AND abs(a.yc - l.yc) <= 5 AND a.v >= 100
+  FROM l JOIN a ON a.doc_id = l.doc_id AND abs(a.yc - l.yc) <= 5
 ), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, x0, lno) AS q FROM j WHERE r = 1),
-m AS (SELECT doc_id, max(v) AS mx FROM a WHERE v >= 100 GROUP BY 1)
+m AS (SELECT doc_id, max(v) AS mx FROM a GROUP BY 1)
 SELECT d.doc_id, coalesce(b.v, mx) AS valor_total, CASE WHEN b.v IS NOT NULL THEN 'busqueda_espacial' WHEN mx IS NOT NULL THEN 'busqueda_texto_fallback' ELSE 'no_encontrado' END AS metodo
 FROM (SELECT DISTINCT doc_id FROM w) d LEFT JOIN b ON b.doc_id = d.doc_id AND q = 1 LEFT JOIN m ON m.doc_id = d.doc_id"""
 

@@ -179,7 +179,7 @@ SQL["copy_move"] = f"""WITH {TILES_SQL}, k AS (SELECT image_id, ty * 10 + tx AS
 p AS (SELECT a.image_id, a.id AS q, b.id AS t, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by, list_sum(list_transform(range(1, 65), lambda j: bit_count(xor(a.ds[CAST(j AS INT)], b.ds[CAST(j AS INT)])))) AS dd FROM k a JOIN k b ON a.image_id = b.image_id AND a.id <> b.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY image_id, q ORDER BY dd, t) AS r FROM p),
 g AS (SELECT DISTINCT m.image_id, least(m.q, m.t) AS a, greatest(m.q, m.t) AS b FROM r m JOIN r n ON m.image_id = n.image_id AND m.q = n.q AND m.r = 1 AND n.r = 2 WHERE m.dd < n.dd * 0.97::DOUBLE AND sqrt(pow(m.ax - m.bx, 2) + pow(m.ay - m.by, 2)) > 20),
-c AS (SELECT image_id, count(*) AS puntos FROM k GROUP BY 1), h AS (SELECT c.image_id, puntos, CASE WHEN puntos >= 50 THEN coalesce(n, 0) ELSE 0 END AS n FROM c LEFT JOIN (SELECT image_id, count(*) AS n FROM g GROUP BY 1) USING (image_id))
+c AS (SELECT image_id, count(*) AS puntos FROM k GROUP BY 1), h AS (SELECT c.image_id, puntos, coalesce(n, 0) AS n FROM c LEFT JOIN (SELECT image_id, count(*) AS n FROM g GROUP BY 1) USING (image_id))
 SELECT image_id, puntos, n AS coincidencias, round(n / 2.0, 6) AS densidad_mpx, round(least(1.0, n / 2.0 / 200), 6) AS puntaje, round(least(1.0, n / 100.0), 6) AS puntaje_combinado FROM h"""
 
 

@@ -256,7 +256,7 @@ def q_overlay_signals(spark, d):
 _OVERLAY = rf"""o AS (SELECT doc_id, {_sum_sql(layers.OVERLAY_PATTERNS)} AS overlay_count, {_sum_sql(layers.OPERATOR_PATTERNS)} AS operadores,
   greatest(1, len(regexp_extract_all(body, '(?s)stream\s*[\r\n]+(.*?)\s*endstream'))) AS streams,
   list_concat(list_transform(regexp_extract_all(body, '/CA\s+([\d.]+)', 1), lambda x: CAST(x AS DOUBLE)), list_transform(regexp_extract_all(body, '/ca\s+([\d.]+)', 1), lambda x: CAST(x AS DOUBLE))) AS a,
-  list_slice(regexp_extract_all(body, '/BM\s*/(\w+)', 1), 1, 20) AS m, {_n('stream' + chr(92) + 's')} AS st, {_n('endstream')} AS es FROM bodies
+  regexp_extract_all(body, '/BM\s*/(\w+)', 1) AS m, {_n('stream' + chr(92) + 's')} AS st, {_n('endstream')} AS es FROM bodies
 ), w AS (SELECT *, len(list_filter(a, lambda x: x < 1)) AS low, len(list_filter(m, lambda x: lower(x) <> 'normal')) AS odd FROM o)"""
 SQL["overlay_signals"] = f"""WITH {BODIES_SQL}, {_OVERLAY}
 SELECT doc_id, overlay_count, operadores, streams, low AS transparencias, round(CASE WHEN len(a) > 0 THEN low / len(a) ELSE 0 END, 4) AS alpha_bajo, round(CASE WHEN len(m) > 0 THEN odd / len(m) ELSE 0 END, 4) AS bm_ratio,

@@ -80,11 +80,11 @@ def q_amount_stats(spark, d):
 
 
 SQL["amount_stats"] = rf"""WITH {KEYS_SQL}, {TEXTS_SQL}, v AS (
-  SELECT doc_id, list_reverse_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '\d{{1,6}}[.,]\d{{2}}'),
-           lambda x: CAST(replace(x, ',', '.') AS DOUBLE)), lambda y: y BETWEEN 1 AND 10000))) AS v FROM texts
+  SELECT doc_id, list_reverse_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '\d+[.,]\d{{2}}'),
+           lambda x: CAST(replace(x, ',', '.') AS DOUBLE)), lambda y: y >= 1))) AS v FROM texts
 ), w AS (SELECT doc_id, v[1] AS a, v[2] AS b FROM v)
-SELECT doc_id, CASE WHEN a <= 1000 THEN a END AS total, CASE WHEN a <= 1000 AND b >= a * 0.7::DOUBLE THEN b END AS subtotal,
-       CASE WHEN a <= 1000 AND b >= a * 0.7::DOUBLE THEN round(a - b, 2) END AS iva FROM w"""
+SELECT doc_id, a AS total, CASE WHEN b >= a * 0.7::DOUBLE THEN b END AS subtotal,
+       CASE WHEN b >= a * 0.7::DOUBLE THEN round(a - b, 2) END AS iva FROM w"""
 
 
 def q_tail_candidates(spark, d):

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-MAX_DOCUMENT_BYTES = 10 * 1024 * 1024
-
 
 def scan_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Files below a folder as raw documents; one row per file."""
@@ -24,14 +22,19 @@ def decode_base64(df: DataFrame, body: str = "body") -> DataFrame:
     return df.withColumn("content", content).withColumn("size_bytes", F.length("content").cast("bigint")).drop(body)
 
 
-def accept_docs(raw_docs: DataFrame, max_bytes: int = MAX_DOCUMENT_BYTES) -> DataFrame:
-    return raw_docs.where(F.col("content").isNotNull() & (F.length("content") <= max_bytes))
+def _too_large(max_bytes: int | None) -> Column:
+    return F.lit(False) if max_bytes is None else F.length("content") > max_bytes
+
+
+def accept_docs(raw_docs: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Documents with content, of any size unless `max_bytes` is given."""
+    return raw_docs.where(F.col("content").isNotNull() & ~_too_large(max_bytes))
 
 
-def reject_docs(raw_docs: DataFrame, max_bytes: int = MAX_DOCUMENT_BYTES) -> DataFrame:
+def reject_docs(raw_docs: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Too large or undecodable documents, without their content."""
     reason = F.when(F.col("content").isNull(), "base64_invalido").otherwise("demasiado_grande")
-    bad = F.col("content").isNull() | (F.length("content") > max_bytes)
+    bad = F.col("content").isNull() | _too_large(max_bytes)
     return raw_docs.where(bad).select("doc_id", "name", "size_bytes", reason.alias("reason"))
 
 

@@ -55,7 +55,9 @@ def test_similar_lines_equals_all_pairs(spark, monkeypatch):
     for d, text in docs:
         rows = [x.strip() for x in text.split("\n") if x.strip()]
         pairs = [(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if 0.7 <= SequenceMatcher(None, rows[i], rows[j]).ratio() < 1.0]
-        assert sorted(got.get(d, [])) == pairs[:10]
+        assert sorted(got.get(d, [])) == pairs
+    first = [(r["i"], r["j"]) for r in lines.similar_lines(df, limit=10).where("doc_id = 0").orderBy("i", "j").collect()]
+    assert first == sorted(got[0])[:10]
 
 
 def test_label_and_context_amounts(spark):

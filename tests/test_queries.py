@@ -27,7 +27,8 @@ def test_query_matches_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_query_without_sql_runs(spark, name):
-    assert QUERIES[name](spark, SF).columns
+    df = QUERIES[name](spark, SF)
+    assert df.columns and len(df.collect()) >= 0
 
 
 def test_entry_is_the_invoice_level_query(spark):
