@@ -288,6 +288,15 @@ def q_key_repair(spark, d):
     return extract.repaired_key(k)
 
 
+SQL["key_repair"] = f"""WITH {KEYS_SQL}, k AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substr(clave, 1, 48) ELSE clave END AS c FROM keys),
+f AS (SELECT doc_id, c, substr(c, 1, CAST(i AS INT) - 1) || r || substr(c, CAST(i AS INT) + 1) AS nk, i * 2 + (r = '7')::INT AS o
+  FROM k, range(1, 49) p(i), (VALUES ('1'), ('7')) v(r) WHERE length(c) = 49 AND substr(c, CAST(i AS INT), 1) = '4'),
+g AS (SELECT doc_id, arg_min(nk, o) AS nk FROM f WHERE {MOD11_SQL.format(k="nk")} = CAST(substr(nk, 49, 1) AS INT) GROUP BY doc_id),
+d AS (SELECT doc_id, CASE WHEN length(c) = 48 THEN c || {MOD11_SQL.format(k="c")} WHEN {MOD11_SQL.format(k="c")} = CAST(substr(c, 49, 1) AS INT) THEN c ELSE coalesce(g.nk, c) END AS clave
+  FROM k LEFT JOIN g USING (doc_id))
+SELECT doc_id, clave, {MOD11_SQL.format(k="clave")} = CAST(substr(clave, 49, 1) AS INT) AS valida FROM d"""
+
+
 def q_sri_format_check(spark, d):
     k = access_keys(spark, d).select("doc_id", F.col("clave").alias("claveAcceso"), F.when(F.col("doc_id") % 3 > 0, F.substring("clave", 11, 13)).alias("ruc"))
     return extract.sri_format_check(k)
@@ -334,10 +343,19 @@ def q_form_fields(spark, d):
     return extract.form_fields(invoice_texts(spark, d)).select("doc_id", "tipo", "numero_autorizacion", "total", "n_referencias", "n_marcas")
 
 
+def _plain_sql(pattern: str) -> str:
+    return f"CAST(replace(nullif(regexp_extract(text, '(?i){pattern}', 1), ''), ',', '.') AS DOUBLE)"
+
+
 def q_form_amounts(spark, d):
     return extract.form_amounts(invoice_texts(spark, d))
 
 
+SQL["form_amounts"] = rf"""WITH {KEYS_SQL}, {TEXTS_SQL}
+SELECT doc_id, {_plain_sql('(?:VALOR[ \t\n]+TOTAL|TOTAL)[^0-9]{0,30}([0-9]+[.,][0-9]{2})')} AS total, {_plain_sql('SUBTOTAL[ \t\n]+0%[: \t\n]*([0-9]+[.,][0-9]{2})')} AS subtotal_0,
+  {_plain_sql('SUBTOTAL[ \t\n]+15%[: \t\n]*([0-9]+[.,][0-9]{2})')} AS subtotal_15, {_plain_sql('IVA[ \t\n]+15%[: \t\n]*([0-9]+[.,][0-9]{2})')} AS iva_15 FROM texts"""
+
+
 def q_items_from_text(spark, d):
     """Order lines printed under a header, then read back."""
     li = table(spark, d, "lineitem").select(
