@@ -40,11 +40,12 @@ def _digits_of(pattern: str, window: Column) -> Column:
     return digits_only(F.regexp_extract(window, pattern, 1))
 
 
-def _windows(text: Column, label: str, size: int) -> Column:
-    """The `size` characters after every hit of a label."""
+def _windows(text: Column, label: str, size: int | None = None) -> Column:
+    """The text after every hit of a label up to the next hit, or its first `size` characters."""
     pieces = F.split(text, label)
     # joining the later pieces restores the running text after a hit, up to other hits of the label
-    return F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces), F.lit(1))), lambda p: F.substring(p, 1, size))
+    after = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces), F.lit(1)))
+    return after if size is None else F.transform(after, lambda p: F.substring(p, 1, size))
 
 
 def access_key(doc_text: DataFrame) -> DataFrame:
@@ -55,11 +56,11 @@ def access_key(doc_text: DataFrame) -> DataFrame:
     run48 = F.get(F.filter(extract_all(F.col("_t"), r"\d{40,}"), lambda s: F.length(s) == 48), F.lit(0))
     tries = [plain, run48]
     for label in KEY_LABELS:
-        spans = _windows(F.col("_t"), "(?i)" + label, 2000)
+        spans = _windows(F.col("_t"), "(?i)" + label)
         spaced = F.transform(spans, lambda w: F.regexp_extract(w, f"({_SPACED49})", 1))
         loose = F.transform(spans, lambda w: F.regexp_extract(w, r"(\d+(?:\s+\d+)*)", 1))
         tries += [_first_49(spaced), _first_49(loose)]
-    tail = _windows(F.col("_t"), r"(?i)DOCUMENTO\s*ELECTRONICO", 2000)
+    tail = _windows(F.col("_t"), r"(?i)DOCUMENTO\s*ELECTRONICO")
     for pattern in (f"({_SPACED49})", r"(\d{48,50})", r"(\d+(?:\s+\d+)*)"):
         found = F.transform(tail, partial(_digits_of, pattern))
         tries.append(F.get(F.filter(found, lambda d: F.length(d).isin(48, 49)), F.lit(0)))
@@ -79,7 +80,7 @@ def access_key_ocr(doc_text: DataFrame) -> DataFrame:
     wins, longest run first; else the longest run cut to 49. Runs after the header come first.
     """
     df = doc_text.select("doc_id", _ocr_text(F.col("text")).alias("_t"))
-    after = F.get(_windows(F.col("_t"), _AUTH_HEADER, 300), F.lit(0))
+    after = F.get(_windows(F.col("_t"), _AUTH_HEADER), F.lit(0))
     runs = F.concat(F.coalesce(extract_all(after, _RUN44), F.array()), extract_all(F.col("_t"), _RUN44))
     digits = F.filter(F.transform(runs, digits_only), lambda d: F.length(d) >= 44)
     # stable order by length: position breaks ties
@@ -125,7 +126,7 @@ def authorization_number(doc_text: DataFrame, attached: DataFrame) -> DataFrame:
     """
     spaced = r"(?:\d[\s\-  ]*){49}"
     label = r"(?i)(?:n[uú]mero\s*de\s*autorizaci[oó]n|clave\s*de\s*acceso)"
-    near = F.transform(_windows(F.col("text"), label, 150), lambda w: digits_only(F.regexp_extract(w, f"({spaced})", 1)))
+    near = F.transform(_windows(F.col("text"), label), lambda w: digits_only(F.regexp_extract(w, f"({spaced})", 1)))
     anywhere = F.transform(extract_all(F.col("text"), spaced), digits_only)
     keep = lambda a: F.array_sort(F.array_distinct(F.filter(a, lambda d: F.length(d) == 49)))
     tag = r"(?i)<(?:numeroAutorizacion|claveAcceso)>(\d{49})</(?:numeroAutorizacion|claveAcceso)>"
