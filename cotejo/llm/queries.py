@@ -137,4 +137,16 @@ FROM t LEFT JOIN calls c ON t.conv_id = c.conv_id AND t.turn = c.turn AND t.role
 LEFT JOIN calls a ON t.conv_id = a.conv_id AND t.turn = a.turn + 1
 LEFT JOIN calls b ON t.conv_id = b.conv_id AND t.turn = b.turn + 2
 LEFT JOIN t r ON r.conv_id = t.conv_id AND r.turn = t.turn + 1 AND r.role = 'assistant' AND t.role = 'user'""",
+    "op9_jaccard": rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{_BLANK}+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct([array_to_string(ws[i:i + 3], ' ') FOR i IN range(1, len(ws) - 2)]) END AS g FROM w
+), e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS n, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 85 * (n - c)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT u.b, r.root FROM r JOIN u ON r.node = u.a)
+SELECT s.doc_id, len(g) AS n_shingles, m.c AS component_id FROM s JOIN (SELECT node, min(root) AS c FROM r GROUP BY node) m ON m.node = s.doc_id""",
 }
