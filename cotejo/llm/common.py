@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cotejo.session import cut_lineage, ensure_checkpoint_dir
@@ -30,15 +31,15 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 def text_chunks(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) pieces of a batch, each of about `most` characters or a single longer text; null is empty."""
-    texts = [t or "" for t in batch.column(column).to_pylist()]
+    texts = batch.column(column)
     start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield start, texts[start:i]
+    for i, n in enumerate(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
+        if size and size + n > most:
+            yield start, [t or "" for t in texts.slice(start, i - start).to_pylist()]
             start, size = i, 0
-        size += len(t)
-    if texts:
-        yield start, texts[start:]
+        size += n
+    if len(texts):
+        yield start, [t or "" for t in texts.slice(start).to_pylist()]
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

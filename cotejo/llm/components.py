@@ -1,4 +1,4 @@
-"""Connected components of a graph given as edges, by repeated contraction."""
+"""Connected components of a graph given as edges, by alternating large and small stars."""
 
 from __future__ import annotations
 
@@ -7,28 +7,33 @@ from pyspark.sql import DataFrame, functions as F
 from cotejo.llm.common import cut_lineage
 
 
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Every node ties its larger neighbours to the smallest node it knows."""
+    both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Every node ties itself and its smaller neighbours to the smallest of these; edges are (larger, smaller)."""
+    low = edges.groupBy("a").agg(F.min("b").alias("m"))
+    moved = edges.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionAll(low.select("a", F.col("m").alias("b"))).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of its component for every node of `edges` (a, b).
+    """(node, root): the smallest node of its component for every node of `edges` (a, b) that has a neighbour.
 
-    In each round a node points at its smallest neighbour (a mergeable minimum, so no neighbourhood is gathered), pointers are
-    followed once more, and edges move to what their ends point at. A component halves at least, so rounds grow with the logarithm
-    of its size. Edges and labels are cut off reliably each round.
+    Neighbourhoods are never gathered: each step is a mergeable minimum and a join. Edges don't get more, and rounds grow with the
+    logarithm of the longest path. Each round is cut off reliably; the end is reached when a round changes nothing.
     """
-    labels = None
-    left = cut_lineage(edges.select("a", "b").where(F.col("a") != F.col("b")).distinct())
-    while not left.isEmpty():
-        both = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("n")).select("node", F.least("node", "n").alias("up"))
-        next_up = low.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        point = cut_lineage(low.join(next_up, "up").select("node", F.least("top", "up").alias("up")))
-        if labels is None:
-            labels = point.withColumnRenamed("up", "root")
-        else:
-            moved = point.select(F.col("node").alias("root"), "up")
-            fresh = point.select("node", F.col("up").alias("root")).join(labels.select("node"), "node", "left_anti")
-            labels = labels.join(moved, "root", "left").select("node", F.coalesce("up", "root").alias("root")).unionAll(fresh)
-        labels = cut_lineage(labels)
-        at_a, at_b = point.select(F.col("node").alias("a"), F.col("up").alias("ua")), point.select(F.col("node").alias("b"), F.col("up").alias("ub"))
-        moved = left.join(at_a, "a").join(at_b, "b").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b"))
-        left = cut_lineage(moved.where(F.col("a") != F.col("b")).distinct())
-    return labels if labels is not None else left.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    left = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    before = None
+    while True:
+        left = cut_lineage(_small_star(_large_star(left)))
+        now = left.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a") % 1_000_003)).first()
+        if now == before:
+            break
+        before = now
+    roots = left.select("b").distinct()
+    return left.unionAll(roots.select(F.col("b").alias("a"), "b")).select(F.col("a").alias("node"), F.col("b").alias("root"))

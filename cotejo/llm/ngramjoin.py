@@ -6,8 +6,8 @@ A document's set holds its distinct k-word shingles as 64-bit hashes. Equal sets
 * Small sets list, for every partner size that could link, all subsets of just the size that such a pair must share; two sets of
   these sizes link exactly if they list the same subset, so nothing needs a check.
 * Large sets scan inverted lists. Shingles have one global order, with those of many documents last; only the first ones, of which
-  linked sets must share one, are posted. Size, position and a histogram bound (exact, never dropping a link) precede the count of
-  the common shingles.
+  linked sets must share `SHARED`, are posted. Size, position, the number of shared postings and a histogram bound (all exact, never
+  dropping a link) precede the count of the common shingles.
 * The boundary is where the subsets of a size cost more rows than its postings and their expected candidates.
 
 Only classes are wanted, so members of a list are first checked against one central member, then against random ones; what hangs
@@ -34,8 +34,12 @@ from cotejo.llm.components import components
 WORDS, PERCENT = 4, 85
 #: The commonest shingles known to the global order; they go last. It only shapes the order, never the answer.
 HEAVY = 1 << 17
-_BLOCK = 2_000_000  # shingles among which repeats are looked for
+#: Postings that linked sets have in common at least; prefixes are as much longer.
+SHARED = 3
+_BLOCK = 1_000_000  # shingles among which repeats are looked for
 _BINS = 32
+_CHUNK = 400_000  # characters hashed at once
+_SEEN = 100_000  # sets remembered as done within a task
 _FILTER_BITS = 1 << 24
 _LARGEST_SMALL = 24
 _BASE = 0x9E3779B97F4A7C15
@@ -117,7 +121,7 @@ def partners(n: int, percent: int) -> range:
 
 
 def prefix(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    return min(n, n - -(-percent * n // 100) + SHARED)
 
 
 def subset_rows(n: int, percent: int) -> int:
@@ -129,7 +133,7 @@ def boundary(sizes: dict[int, int], percent: int, candidates: float = 4.0) -> in
     best, at, cost = 0.0, 0, 0.0
     for n in range(1, _LARGEST_SMALL + 1):
         cost += sizes.get(n, 0) * (subset_rows(n, percent) - prefix(n, percent) * (1 + candidates))
-        if cost <= best:
+        if cost < best:
             best, at = cost, n
     return at
 
@@ -177,7 +181,7 @@ def _survey(docs: DataFrame, k: int) -> DataFrame:
         kind = None
         for batch in batches:
             kind = batch.column("doc_id").type
-            for start, texts in text_chunks(batch, "text"):
+            for start, texts in text_chunks(batch, "text", _CHUNK):
                 sets = shingle_sets(texts, k)
                 sids = [set_id(s) for s in sets]
                 bins = [np.bincount((s >> np.uint64(40)).astype(np.int64) % _BINS, minlength=_BINS).astype(np.int32) for s in sets]
@@ -204,14 +208,14 @@ def _keys(docs: DataFrame, k: int, percent: int, small: int, heavy) -> DataFrame
         value, rank = heavy.value
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for _, texts in text_chunks(batch, "text"):
+            for _, texts in text_chunks(batch, "text", _CHUNK):
                 keys, sids, sizes, places = [], [], [], []
                 for own in shingle_sets(texts, k):
                     n = len(own)
                     sid = set_id(own)
                     if n == 0 or (sid, n) in seen:
                         continue
-                    if len(seen) > 500_000:
+                    if len(seen) > _SEEN:
                         seen.clear()
                     seen.add((sid, n))
                     if n <= small:
@@ -244,8 +248,8 @@ def _sets_of(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
     slots = [F.pmod(F.xxhash64(F.lit(i), F.col("doc_id").cast("string")), F.lit(_FILTER_BITS)) for i in (1, 2)]
     marks = wanted.select(F.explode(F.array(*slots)).alias("s")).groupBy(F.shiftright("s", 5).alias("at"))
     marks = marks.agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 31 AS int))")).alias("bits")).toPandas()
-    bits = np.zeros(_FILTER_BITS >> 5, np.uint64)
-    bits[marks["at"].to_numpy(np.int64)] = marks["bits"].to_numpy(np.int64).astype(np.uint64)
+    bits = np.zeros(_FILTER_BITS >> 5, np.uint32)
+    bits[marks["at"].to_numpy(np.int64)] = marks["bits"].to_numpy(np.int64).astype(np.uint32)
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,23 +259,23 @@ def _sets_of(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
             go = np.ones(batch.num_rows, bool)
             for name in ("s1", "s2"):
                 s = batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
-                go &= (mask[s >> 5] >> (s & 31).astype(np.uint64)) & np.uint64(1) == 1
+                go &= (mask[s >> 5] >> (s & 31).astype(np.uint32)) & np.uint32(1) == 1
             chosen = batch.filter(pa.array(go))
-            for _, texts in text_chunks(chosen, "text"):
+            for _, texts in text_chunks(chosen, "text", _CHUNK):
                 rows = []
                 for own in shingle_sets(texts, k):
                     sid = set_id(own)
                     if len(own) and (sid, len(own)) not in seen:
-                        if len(seen) > 500_000:
+                        if len(seen) > _SEEN:
                             seen.clear()
                         seen.add((sid, len(own)))
-                        rows.append((sid, len(own), own.tobytes()))
+                        rows.append((sid, len(own), own.view(np.int64)))
                 if rows:
                     sid, n, own = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(n, pa.int32()), pa.array(own, pa.binary())], ["sid", "n", "own"])
+                    yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(n, pa.int32()), pa.array(own, pa.list_(pa.int64()))], ["sid", "n", "own"])
 
     rows = docs.select("text", slots[0].alias("s1"), slots[1].alias("s2"))
-    return rows.mapInArrow(run, "sid long, n int, own binary").dropDuplicates(["sid", "n"])
+    return rows.mapInArrow(run, "sid long, n int, own array<bigint>").dropDuplicates(["sid", "n"])
 
 
 # ---- pairs
@@ -295,17 +299,9 @@ def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent
     sets = _sets_of(docs, k, wanted).join(ids, "sid", "left_semi")
     left, right = sets.select(F.col("sid").alias("a"), F.col("own").alias("sa")), sets.select(F.col("sid").alias("b"), F.col("own").alias("sb"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
-
-    return cut_lineage(pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"))
+    met = pairs.join(right, "b").join(left, "a")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return cut_lineage(met.where(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).select("a", "b"))
 
 
 def jaccard_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -337,8 +333,10 @@ def jaccard_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     edges = _small_edges(keys.where("pos < 0"))
     posts = keys.where("pos >= 0")
     several = posts.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("key")
-    posts = cut_lineage(posts.join(several, "key", "left_semi").groupBy("key", "sid").agg(F.min("n").alias("n"), F.min("pos").alias("pos")))
-    bins = nodes.select("sid", "bins")
+    posts = posts.join(several, "key", "left_semi").groupBy("key", "sid").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
+    enough = F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9))
+    rich = posts.groupBy("sid").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n")).where(F.col("k") >= enough).select("sid")
+    posts = cut_lineage(posts.join(rich, "sid", "left_semi"))
 
     # first round: every node against the most central member of its lists, the one with the largest share of listed shingles
     share = posts.groupBy("sid").agg((F.count(F.lit(1)) / F.first("n")).alias("share"))
@@ -359,16 +357,16 @@ def jaccard_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
 
     # last: all pairs of a list that are still apart
     left = _open_lists(posts, edges)
-    rows = left.join(bins, "sid")
-    x = rows.select("key", *[F.col(c).alias(f"{c}1") for c in ("sid", "n", "pos", "root", "bins")])
-    y = rows.select("key", *[F.col(c).alias(f"{c}2") for c in ("sid", "n", "pos", "root", "bins")])
+    x = left.select("key", *[F.col(c).alias(f"{c}1") for c in ("sid", "n", "pos", "root")])
+    y = left.select("key", *[F.col(c).alias(f"{c}2") for c in ("sid", "n", "pos", "root")])
     c = F.col
     need = _need(c("n1"), c("n2"), percent)
     first_in_order = (c("n1") < c("n2")) | ((c("n1") == c("n2")) & (c("sid1") < c("sid2")))
-    in_index = c("pos1") < c("n1") - F.ceil(c("n1") * 2 * percent / F.lit(100.0 + percent) - 1e-9) + 1
-    met = (c("root1") != c("root2")) & first_in_order & in_index & (F.least(c("n1") - c("pos1"), c("n2") - c("pos2")) >= need)
-    pairs = x.alias("x").join(y.alias("y"), (c("x.key") == c("y.key")) & met & _could_link(c("n1"), c("n2"), c("bins1"), c("bins2"), percent))
-    links = _linked(docs, nodes, pairs.select(c("sid1").alias("a"), c("sid2").alias("b")), k, percent)
+    in_index = c("pos1") < c("n1") - F.ceil(c("n1") * 2 * percent / F.lit(100.0 + percent) - 1e-9) + SHARED
+    in_reach = (F.least(c("n1") - c("pos1"), c("n2") - c("pos2")) > need - SHARED) & (c("n1") * 100 >= c("n2") * percent)
+    met = x.alias("x").join(y.alias("y"), (c("x.key") == c("y.key")) & (c("root1") != c("root2")) & first_in_order & in_index & in_reach)
+    met = met.groupBy(c("sid1").alias("a"), c("sid2").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.min(F.least(F.lit(SHARED), need)).alias("least"))
+    links = _linked(docs, nodes, _bounded(met.where("k >= least").select("a", "b"), nodes, percent), k, percent)
 
     roots = components(edges.unionAll(links))
     named = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
