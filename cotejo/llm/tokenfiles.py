@@ -21,8 +21,8 @@ import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from cotejo.llm.common import scratch, text_chunks
-from cotejo.llm.tokens import piece_encoder, read_text
+from cotejo.llm.common import scratch
+from cotejo.llm.tokens import byte_encoder, read_text, tokenizer
 
 _SHARDS = "shard int, path string, bits int, docs long, tokens long"
 
@@ -40,11 +40,12 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int | No
     spark = docs.sparkSession
     text = read_text(vocabulary)
     sent = spark.sparkContext.broadcast(text)
-    bits = 16 if max(piece_encoder(text).tokenizer.get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else 32
+    bits = 16 if max(tokenizer(text).get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else 32
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = _range_bounds(docs, parts) if parts > 1 else []
     known = spark.sparkContext.broadcast(np.array(bounds, np.int64))
     kind = np.dtype(f"<u{bits // 8}")
+    tail = b"" if end_id is None else np.array([end_id], kind).tobytes()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -57,7 +58,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int | No
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
-        encoder, unpack = piece_encoder(sent.value), zstandard.ZstdDecompressor()
+        encode, unpack = byte_encoder(sent.value), zstandard.ZstdDecompressor()
         shard, out, path, starts, ids = None, None, "", [0], []
 
         def close() -> pa.RecordBatch:
@@ -69,19 +70,16 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int | No
 
         for batch in batches:
             shards, doc_ids = batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist()
-            texts = pa.array([unpack.decompress(b).decode("utf-8", "surrogatepass") for b in batch.column("packed").to_pylist()], pa.string())
-            for start, some in text_chunks(pa.RecordBatch.from_arrays([texts], ["text"]), "text"):
-                for i, tokens in enumerate(encoder.encode_many(some), start):
-                    if shards[i] != shard:
-                        if out is not None:
-                            yield close()
-                        shard, path, starts, ids = shards[i], f"{root}/{uuid.uuid4().hex}", [0], []
-                        out = fs.open_output_stream(f"{path}.bin", compression=None)
-                    if end_id is not None:
-                        tokens = [*tokens, end_id]
-                    out.write(np.array(tokens, kind).tobytes())
-                    starts.append(starts[-1] + len(tokens))
-                    ids.append(doc_ids[i])
+            for i, packed in enumerate(batch.column("packed")):
+                if shards[i] != shard:
+                    if out is not None:
+                        yield close()
+                    shard, path, starts, ids = shards[i], f"{root}/{uuid.uuid4().hex}", [0], []
+                    out = fs.open_output_stream(f"{path}.bin", compression=None)
+                tokens = encode(unpack.decompress(packed.as_py()).decode("utf-8", "surrogatepass")).astype(kind)
+                out.write(tokens.tobytes() + tail)
+                starts.append(starts[-1] + len(tokens) + (end_id is not None))
+                ids.append(doc_ids[i])
         if out is not None:
             yield close()
 

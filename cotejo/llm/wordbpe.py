@@ -52,18 +52,20 @@ def _blocks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[t
 
 
 def _dealt_words(texts: list[str | None], buckets: int) -> list[list[str]]:
-    """The different words of a block by bucket."""
+    """The different words of a block by bucket, sorted so that they pack well."""
     words: set[str] = set()
     for text in texts:
         words.update(split_words(text))
     dealt: list[list[str]] = [[] for _ in range(buckets)]
     for w in words:
         dealt[zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets].append(w)
+    for d in dealt:
+        d.sort()
     return dealt
 
 
 def _pack(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
+    return zstandard.ZstdCompressor(level=6).compress(data)
 
 
 def _unpack(data: bytes) -> bytes:
@@ -76,6 +78,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, buckets: int | None = None,
     content = read_text(vocabulary)
     drops_space(content)
     sent = spark.sparkContext.broadcast(content)
+    kind_of_id = "<u2" if tokenizer(content).get_vocab_size() <= 1 << 16 else "<u4"
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     source = docs.select("doc_id", "text", F.spark_partition_id().alias("part"))
@@ -99,12 +102,12 @@ def encode_decode(docs: DataFrame, vocabulary: str, buckets: int | None = None,
         for at in range(0, len(words), 20_000):
             some = words[at : at + 20_000]
             for w, e in zip(some, encoder.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                ids[w] = np.array(e.ids, "<u4")
+                ids[w] = np.array(e.ids, kind_of_id)
         blobs = []
         for own in lists:
             found = [ids[w] for w in own]
             lengths = np.array([len(f) for f in found], "<u4")
-            blobs.append(_pack(lengths.tobytes() + np.concatenate(found).astype("<u4").tobytes()))
+            blobs.append(_pack(lengths.tobytes() + np.concatenate(found).astype(kind_of_id).tobytes()))
         return asked.select(["part", "block", "words"]).append_column("ids", pa.array(blobs, pa.binary()))
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +134,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, buckets: int | None = None,
 
         for words, ids in zip(answers.column("words").to_pylist(), answers.column("ids").to_pylist(), strict=True):
             words, ids, at = _unpack(words).decode("utf-8", "surrogatepass").split("\n"), _unpack(ids), 0
-            numbers = np.frombuffer(ids, "<u4", -1, 4 * len(words)).tolist() if len(ids) > 4 * len(words) else []
+            numbers = np.frombuffer(ids, kind_of_id, -1, 4 * len(words)).tolist() if len(ids) > 4 * len(words) else []
             for w, m in zip(words, np.frombuffer(ids, "<u4", len(words)).tolist(), strict=True):
                 learn(w, numbers[at : at + m])
                 at += m

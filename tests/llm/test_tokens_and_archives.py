@@ -53,12 +53,13 @@ def test_word_blocks_split_anywhere(spark, monkeypatch):
     assert got == {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t in enumerate(rows)}
 
 
-def test_pieces_equal_the_library():
+def test_whole_texts_equal_the_library():
     lib = tokens.tokenizer(tokens.read_text(BYTES))
     odd = [t or "" for t in TEXTS] + [a + b + c for a in ("x", "x\n", "\t", "") for b in (" ", "  ", " \n", "\n ", "  ") for c in ("y", " ", "\n", "")]
-    encoder = tokens.PieceEncoder(tokens.read_text(BYTES), most=50)
-    for _ in range(2):
-        assert encoder.encode_many(odd) == [lib.encode(t, add_special_tokens=False).ids for t in odd]
+    encode = tokens.byte_encoder(tokens.read_text(BYTES))
+    assert [encode(t).tolist() for t in odd] == [lib.encode(t, add_special_tokens=False).ids for t in odd]
+    other = tokens.byte_encoder(tokens.read_text(WORDS))  # no byte-level file: the library itself
+    assert other("Hello there").tolist() == tokens.tokenizer(tokens.read_text(WORDS)).encode("Hello there", add_special_tokens=False).ids
 
 
 def test_token_files_hold_all_ids_in_order(spark):
