@@ -25,7 +25,7 @@ FEATURES = (
     "distinct", "word_bytes", "long_words", "ends_stop", "starts_upper", "same_as_before",
 )
 #: At most so many labelled documents, of at most so many lines each, are used to fit the model.
-TRAIN_DOCUMENTS, TRAIN_LINES = 6000, 300
+TRAIN_DOCUMENTS, TRAIN_LINES = 4000, 300
 
 _SPACE, _UPPER, _LETTER, _DIGIT, _STOP, _SYMBOL = 1, 2, 3, 4, 5, 6
 _KIND = np.full(256, _SYMBOL, np.uint8)
@@ -177,7 +177,8 @@ def forward_backward(emit: np.ndarray, lines: np.ndarray, stay: tuple[float, flo
 
 def fit(texts: Sequence[str], good: np.ndarray, rounds: int = 250, ridge: float = 1e-3) -> Model:
     """Maximum likelihood, every line taking its document's label; Adam on whole-sample gradients."""
-    x, length, lines = line_features(texts)
+    parts = [line_features(texts[at : at + 100]) for at in range(0, len(texts), 100)]  # features need far more memory than the result
+    x, length, lines = (np.concatenate(p) for p in zip(*parts, strict=True))
     x = with_neighbours(x, lines)
     y = np.repeat(good.astype(np.float64), lines)
     doc_weight = 1 / np.sqrt(lines)  # long documents shall not rule the fit
@@ -249,7 +250,7 @@ def score_documents(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [model.scores(texts) for _, texts in text_chunks(batch, "_text")]
+            parts = [model.scores(texts) for _, texts in text_chunks(batch, "_text", 500_000)]
             if parts:
                 columns = [batch.column(c) for c in keep] + [pa.array(np.concatenate(parts))]
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "score"])
