@@ -38,7 +38,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return wordbpe.encode_decode(docs, vocabulary("word_bpe_49k.json"))
+    """Token ids and decoded text of every document, with its number of tokens."""
+    return wordbpe.encode_decode(docs, vocabulary("word_bpe_49k.json")).select("doc_id", "n_tokens", "ids", "decoded")
 
 
 STAGES = [

@@ -44,7 +44,9 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wordbpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    """Count and digests, derived from the ids and decoded texts that the operator returns."""
+    coded = wordbpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

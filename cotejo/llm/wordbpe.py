@@ -12,10 +12,11 @@ Further columns don't matter.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from cotejo.llm.common import digest
 from cotejo.llm.tokens import read_text, tokenizer
 
 BLOCK_CHARACTERS = 6_000_000
@@ -72,8 +74,11 @@ def _unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, buckets: int | None = None, texts: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256; with `texts` also ids (array) and decoded."""
+def encode_decode(docs: DataFrame, vocabulary: str, buckets: int | None = None, texts: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids (array) and decoded; without `texts` the last two are left out.
+
+    Tasks return ids and decoded texts; count and digests are expressions over them, so those that nobody selects cost nothing.
+    """
     spark = docs.sparkSession
     content = read_text(vocabulary)
     drops_space(content)
@@ -120,17 +125,16 @@ def encode_decode(docs: DataFrame, vocabulary: str, buckets: int | None = None,
             )
 
     id_type = pa.array([], type=_arrow_type(docs)).type
-    columns = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if texts else "")
 
     def place(shipped: pa.Table, answers: pa.Table) -> pa.Table:
         encoder = tokenizer(sent.value)
         piece = _pieces(sent.value)
         plain = encoder.decoder is None  # then pieces are joined by spaces
-        out: dict[str, list] = {"doc_id": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": [], "decoded": []} if texts else {})
-        found: dict[str, tuple[int, str, str, list[int]]] = {}
+        owners, decoded, flat, ends = [], [], array("i"), [0]
+        found: dict[str, tuple[str, list[int]]] = {}
 
         def learn(w: str, own: list[int]) -> None:
-            found[w] = (len(own), " ".join(map(str, own)), " ".join([piece[i] for i in own]), own if texts or not plain else [])
+            found[w] = (" ".join([piece[i] for i in own]), own)
 
         for words, ids in zip(answers.column("words").to_pylist(), answers.column("ids").to_pylist(), strict=True):
             words, ids, at = _unpack(words).decode("utf-8", "surrogatepass").split("\n"), _unpack(ids), 0
@@ -146,23 +150,23 @@ def encode_decode(docs: DataFrame, vocabulary: str, buckets: int | None = None,
             for w in {w for text in rows for w in split_words(text) if w not in found}:
                 learn(w, encoder.encode(w, add_special_tokens=False).ids)
             for doc_id, text in zip(r["ids_of"], rows, strict=True):
-                parts = [p for p in (found[w] for w in split_words(text)) if p[0]]
-                ids = [i for p in parts for i in p[3]]
-                decoded = " ".join([p[2] for p in parts]) if plain else encoder.decode(ids, skip_special_tokens=False)
-                out["doc_id"].append(doc_id)
-                out["n_tokens"].append(sum(p[0] for p in parts))
-                out["ids_sha256"].append(hashlib.sha256(" ".join([p[1] for p in parts]).encode()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest())
-                if texts:
-                    out["ids"].append(ids)
-                    out["decoded"].append(decoded)
-        types = {"doc_id": id_type, "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "ids": pa.list_(pa.int32()), "decoded": pa.string()}
-        return pa.table({c: pa.array(v, types[c]) for c, v in out.items()})
+                parts = [p for p in (found[w] for w in split_words(text)) if p[1]]
+                ids = list(chain.from_iterable([p[1] for p in parts]))
+                flat.fromlist(ids)
+                ends.append(len(flat))
+                owners.append(doc_id)
+                decoded.append(" ".join([p[0] for p in parts]) if plain else encoder.decode(ids, skip_special_tokens=False))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
+        return pa.table({"doc_id": pa.array(owners, id_type), "ids": lists, "decoded": pa.array(decoded, pa.string())})
 
     asked = source.mapInArrow(ask, "part int, block int, bucket int, words binary")
     answers = asked.groupBy("bucket").applyInArrow(answer, "part int, block int, words binary, ids binary")
     shipped = source.mapInArrow(ship, f"part int, block int, ids_of array<{kind}>, lengths binary, packed binary")
-    return shipped.groupBy("part", "block").cogroup(answers.groupBy("part", "block")).applyInArrow(place, columns)
+    placed = shipped.groupBy("part", "block").cogroup(answers.groupBy("part", "block")).applyInArrow(place, f"doc_id {kind}, ids array<int>, decoded string")
+    return placed.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
+        digest(F.col("decoded")).alias("decoded_sha256"), *(["ids", "decoded"] if texts else []),
+    )
 
 
 def _arrow_type(docs: DataFrame) -> pa.DataType:

@@ -9,6 +9,7 @@ import pyarrow.fs as pafs
 import pytest
 
 import brute
+import corpus_pipeline
 from cotejo.llm import tokenfiles, tokens, warc, wordbpe
 from cotejo.llm.common import scratch
 from cotejo.llm.queries import vocabulary
@@ -46,6 +47,13 @@ def test_word_encoding_keeps_repeated_rows_and_null_ids(spark):
         wordbpe.encode_decode(brute.docs(spark, ["a"]), BYTES)
 
 
+def test_ids_and_decoded_texts_come_back_by_default(spark):
+    lib = tokens.tokenizer(tokens.read_text(WORDS))
+    want = {i: lib.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(TEXTS)}
+    for df in (wordbpe.encode_decode(brute.docs(spark, TEXTS), WORDS, 3), corpus_pipeline.encode(spark, brute.docs(spark, TEXTS), "")):
+        assert {r.doc_id: (r.ids, r.decoded) for r in df.collect()} == {i: (ids, lib.decode(ids, skip_special_tokens=False)) for i, ids in want.items()}
+
+
 def test_word_blocks_split_anywhere(spark, monkeypatch):
     lib = tokens.tokenizer(tokens.read_text(WORDS))
     rows = [f"word{i % 7} and more {i}" for i in range(200)]
