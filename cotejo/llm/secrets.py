@@ -1,8 +1,9 @@
 """Secret scans: three base patterns and a token-efficiency test.
 
 A text that a vocabulary knows needs few tokens; random strings need many. Runs of key characters whose characters per token
-fall below a limit are reported as kind `random`, unless they look like known digests (hex of a usual digest length, UUIDs) or
-like identifiers (words joined by punctuation or case). Base spans are always reported.
+fall below a limit are reported as kind `random`, and so are the pieces between / _ = - of runs that pass as a whole. Known digests
+(hex of a usual digest length, UUIDs), plain numbers and identifiers whose words the vocabulary knows are left out. Base spans are always
+reported.
 
 Null and empty texts have no spans. Repeated rows are scanned one by one; further columns don't matter.
 """
@@ -29,7 +30,11 @@ _ASSIGN = re.compile(ASSIGN.replace("(password|passwd|secret|token|api_?key)", "
 #: greedy runs, so a least length in the pattern drops exactly the runs that are too short
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{%d,}" % (ACCESS_LENGTH - 4))
 _HEX = re.compile(r"[0-9a-f]{%d,}" % HEX_LENGTH)
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: least lengths of a run or piece: with letters and digits, and of letters only, where ordinary words of under 16 look alike
+MIXED_LENGTH, LETTERS_LENGTH, JOINED_LENGTH = 12, 16, 16
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIXED_LENGTH)
+_PIECE = re.compile(r"[A-Za-z0-9+]{%d,}" % MIXED_LENGTH)
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
 _HEX_ANY = re.compile(r"[0-9A-Fa-f]+")
 _IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)(?:[_/=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})|[A-Z][a-z]+|[0-9]{1,4}(?![A-Za-z]))*[_/=+-]*")
@@ -49,20 +54,37 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return spans
 
 
-def looks_known(run: str) -> bool:
-    """Digests of a usual length, UUIDs and identifiers made of words."""
+def is_digest(bare: str) -> bool:
+    """Digests of a usual length and UUIDs."""
+    return bool(_UUID.fullmatch(bare) or (len(bare) in DIGEST_LENGTHS and _HEX_ANY.fullmatch(bare)))
+
+
+def reads_as_words(bare: str, encode, limit: float) -> bool:
+    """Identifiers of words joined by punctuation or case, if the vocabulary knows the words in lower case."""
+    if not _IDENTIFIER.fullmatch(bare):
+        return False
+    words = _WORD.findall(bare)
+    return sum(map(len, words)) >= limit * sum(len(encode(w.lower())) for w in words)
+
+
+def is_random(run: str, encode, limit: float) -> bool:
     bare = run.strip("=_-+/")
-    if _UUID.fullmatch(bare) or (len(bare) in DIGEST_LENGTHS and _HEX_ANY.fullmatch(bare)):
-        return True
-    return bool(_IDENTIFIER.fullmatch(bare)) or not (re.search("[0-9]", bare) and re.search("[A-Za-z]", bare))
+    if not re.search("[A-Za-z]", bare) or is_digest(bare):
+        return False
+    letters = not re.search("[0-9]", bare)
+    if len(run) < (LETTERS_LENGTH if letters else JOINED_LENGTH if re.search("[/_=-]", bare) else MIXED_LENGTH):
+        return False
+    return len(run) < limit * len(encode(run)) and not reads_as_words(bare, encode, limit)
 
 
 def random_spans(text: str, encode, limit: float = EFFICIENCY) -> list[tuple[int, int, str]]:
+    """A run that is random as a whole is one span; of any other but a digest each piece is judged."""
     found = []
     for m in _RUN.finditer(text):
-        run = m[0]
-        if not looks_known(run) and len(run) < limit * len(encode(run)):
+        if is_random(m[0], encode, limit):
             found.append((m.start(), m.end(), "random"))
+        elif not is_digest(m[0].strip("=_-+/")) and re.search("[/_=-]", m[0]):
+            found += [(p.start(), p.end(), "random") for p in _PIECE.finditer(text, m.start(), m.end()) if is_random(p[0], encode, limit)]
     return found
 
 

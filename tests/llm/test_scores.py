@@ -126,6 +126,24 @@ def test_random_strings_stand_out_and_known_ones_do_not(spark):
     assert secrets.scan(brute.docs(spark, []), queries.vocabulary("byte_bpe_50k.tiktoken")).count() == 0
 
 
+def test_letter_only_short_and_joined_random_strings_stand_out(spark):
+    r = random.Random(5)
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    draw = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    kinds = [(low, 24), (low.upper(), 24), (low + low.upper(), 20), (low + low.upper() + digits, 14)]
+    heads = ["", "internal/service/documentation/reference/", "configuration_for_the_production_service=", "department-of-internal-documentation-"]
+    cases = [(head, draw(letters, n) + ("7" if digits in letters else "")) for letters, n in kinds for head in heads for _ in range(5)]
+    got = secrets.scan(brute.docs(spark, [f"see {h}{k} there" for h, k in cases]), queries.vocabulary("byte_bpe_50k.tiktoken")).orderBy("doc_id").collect()
+    missed = 0
+    for (h, k), x in zip(cases, got, strict=True):
+        ends = [tuple(map(int, s.split(":")[1:])) for s in x.spans.split(",") if s.startswith("random")]
+        missed += not any(a <= 4 + len(h) and b == 4 + len(h) + len(k) for a, b in ends)
+    assert missed == 0
+    known = ["internal/service/documentation/reference/" + hashlib.sha256(b"a").hexdigest(), "INTRODUCTION_TO_INTERNATIONALIZATION", "getHTTPServerConnectionTimeout", "2024-01-15-2024-02-15", "=" * 60, "123456789012345678"]
+    spans = [x.spans for x in secrets.scan(brute.docs(spark, [f"see {k} there" for k in known]), queries.vocabulary("byte_bpe_50k.tiktoken")).orderBy("doc_id").collect()]
+    assert not any("random" in s for s in spans), spans
+
+
 # ---- chat
 
 
