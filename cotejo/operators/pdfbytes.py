@@ -217,11 +217,19 @@ def signature_integrity(raw_docs: DataFrame, max_gap: int = 100_000) -> DataFram
     )
 
 
-def find_signatures(raw_docs: DataFrame) -> DataFrame:
-    """One row per signed byte range that has readable contents nearby.
+def _nearest(before: Column, after: Column, pattern: str) -> Column:
+    """Group 1 of the match nearest to the place between the two texts; the later one of two as near."""
+    last, first = r"(?s)^.*" + pattern, F.regexp_instr(after, F.lit(pattern)) - 1
+    way_back = F.length(before) - F.length(F.regexp_extract(before, last, 0))
+    later, earlier = extract(after, pattern), extract(before, last)
+    return F.when(later.isNotNull() & (earlier.isNull() | (first <= way_back)), later).otherwise(earlier)
 
-    Contents are sought in the 20,000 characters after the range, then before it; the filter name
-    in the 2,000 characters around it.
+
+def find_signatures(raw_docs: DataFrame, distance: int | None = None) -> DataFrame:
+    """One row per signed byte range; `con_contenido` tells whether readable contents belong to it.
+
+    Contents, filter name, location, reason and name are the nearest in the range's own PDF object, or in the whole body where no
+    object encloses the range. `distance` limits the search to so many characters around the range.
     """
     t = as_text(F.col("content"))
     df = raw_docs.select("doc_id", F.length("content").cast("bigint").alias("size_bytes"), t.alias("_t"))
@@ -241,20 +249,27 @@ def find_signatures(raw_docs: DataFrame) -> DataFrame:
     real = F.filter(placed, lambda z: z["len"].isNotNull())
     rows = df.select("doc_id", "size_bytes", "_t", F.posexplode(real).alias("sig_no", "_m"))
     start, stop = F.col("_m.start"), F.col("_m.start") + F.col("_m.len")
-    around = lambda a, b: F.substr("_t", F.greatest(F.lit(0), a) + 1, b - F.greatest(F.lit(0), a))
-    hexes = r"/Contents\s*<([0-9A-Fa-f\s]+)>"
-    contents = F.coalesce(extract(around(stop, stop + 20000), hexes), extract(around(start - 20000, start), hexes))
-    near = around(start - 2000, stop + 2000)
-    digits = F.length(F.regexp_replace(contents, r"[ \n]", ""))
-    return rows.where(contents.isNotNull() & (digits % 2 == 0) & ~F.regexp_replace(contents, r"[ \n]", "").rlike(r"\s")).select(
+    before, after = F.substr("_t", F.lit(1), start), F.substr("_t", stop + 1)
+    if distance is not None:
+        before, after = F.right(before, F.lit(distance)), F.left(after, F.lit(distance))
+    # the object that encloses the range begins after the last `obj` that no `endobj` follows
+    opened = F.substring_index(before, " obj", -1)
+    enclosed = before.contains(" obj") & ~opened.contains("endobj") & after.contains("endobj")
+    cut = rows.select(
+        "*", F.when(enclosed, opened).otherwise(before).alias("_b"), F.when(enclosed, F.substring_index(after, "endobj", 1)).otherwise(after).alias("_a")
+    )
+    own = partial(_nearest, F.col("_b"), F.col("_a"))
+    digits = F.regexp_replace(own(r"/Contents\s*<([0-9A-Fa-f\s]+)>"), r"[ \n]", "")
+    return cut.select(
         "doc_id",
         "sig_no",
         *[F.col(f"_m.b{g}").try_cast("bigint").alias(f"br{g - 1}") for g in (1, 2, 3, 4)],
-        extract(near, r"/SubFilter\s*/([A-Za-z0-9.\-]+)").alias("subfilter"),
-        extract(near, r"/Location\s*\(([^)]+)\)").alias("location"),
-        extract(near, r"/Reason\s*\(([^)]+)\)").alias("reason"),
-        extract(near, r"/Name\s*\(([^)]+)\)").alias("name"),
+        own(r"/SubFilter\s*/([A-Za-z0-9.\-]+)").alias("subfilter"),
+        own(r"/Location\s*\(([^)]+)\)").alias("location"),
+        own(r"/Reason\s*\(([^)]+)\)").alias("reason"),
+        own(r"/Name\s*\(([^)]+)\)").alias("name"),
         (F.col("_m.b3").try_cast("bigint") + F.col("_m.b4").try_cast("bigint") != F.col("size_bytes")).alias("modificada"),
+        F.coalesce((F.length(digits) % 2 == 0) & ~digits.rlike(r"\s"), F.lit(False)).alias("con_contenido"),
     )
 
 

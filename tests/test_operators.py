@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cotejo import skew
-from cotejo.operators import boxes, extract, finance, graph, images, lines, recon, tiles
+from cotejo.operators import boxes, extract, finance, graph, images, lines, pdfbytes, recon, tiles
 
 RNG = random.Random(7)
 
@@ -288,3 +288,15 @@ def test_results_do_not_depend_on_partitions(spark):
     words = spark.createDataFrame([(1, 1, i, float(i % 7), 10.0, float(i % 7 + 6), 20.0, "t") for i in range(40)], "doc_id bigint, page int, word_no bigint, x0 double, y0 double, x1 double, y1 double, text string")
     one = boxes.word_overlaps(words.coalesce(1)).count()
     assert one == boxes.word_overlaps(words.repartition(13)).count() > 0
+
+
+def test_signature_fields_far_from_the_range(spark):
+    far = b" " * 30_000
+    big = b"1 0 obj << /SubFilter /ETSI.CAdES.detached /Reason (R1) " + far + b"/ByteRange [0 10 20 30] /Contents <" + b"0A" * 15_000 + b"> " + far + b"/Name (N1) >> endobj"
+    bare = b" 2 0 obj << /Type/Sig /ByteRange [0 1 2 3] /SubFilter /adbe.x >> endobj"
+    df = spark.createDataFrame([(1, bytearray(big + bare)), (2, bytearray(b"/ByteRange [0 1 2 3] none"))], "doc_id bigint, content binary")
+    got = [tuple(r) for r in pdfbytes.find_signatures(df).select("doc_id", "sig_no", "subfilter", "reason", "name", "con_contenido").orderBy("doc_id", "sig_no").collect()]
+    assert got[0] == (1, 0, "ETSI.CAdES.detached", "R1", "N1", True)
+    assert got[1] == (1, 1, "adbe.x", None, None, False)
+    assert got[2] == (2, 0, None, None, None, False)
+    assert not pdfbytes.find_signatures(df, distance=2000).where("sig_no = 0 AND con_contenido").count()
