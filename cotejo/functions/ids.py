@@ -121,14 +121,39 @@ def repair_key(c: Column) -> Column:
     )
 
 
+#: a day, month and year at the head of a key
+_DATED = r"^(0[1-9]|[12][0-9]|3[01])(0[1-9]|1[0-2])(19|20)[0-9]{2}"
+
+
+def key_windows(digits: Column) -> Column:
+    """All stretches of 49 digits in order."""
+    at = F.when(F.length(digits) >= 49, F.sequence(F.lit(1), F.length(digits) - 48)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.substr(digits, i, F.lit(49)))
+
+
+def first_dated(keys: Column) -> Column:
+    """First key that begins with a date; one window in eleven has a valid check digit by chance."""
+    return F.get(F.filter(keys, lambda k: k.rlike(_DATED)), F.lit(0))
+
+
 def repair_key_swaps(c: Column) -> Column:
-    """Letters to digits, cut to 49, then whole-string swaps of 4/1, 1/4, 7/4 and 4/7; null if none is valid."""
+    """Letters to digits, then the first valid window of 49 digits as it stands or after whole-string swaps of 4/1, 1/4, 7/4 and 4/7.
 
-    def tries(base: Column) -> Column:
-        swapped = [base] + [F.translate(base, a, b) for a, b in (("4", "1"), ("1", "4"), ("7", "4"), ("4", "7"))]
-        return F.coalesce(*[let(k, lambda x: F.when(key_valid(x), x)) for k in swapped])
+    In more than 49 digits windows that begin with a date go first; null if none is valid.
+    """
 
-    return let(F.substring(digits_only(ocr_digits(c, "pdf")), 1, 49), tries)
+    def tries(d: Column) -> Column:
+        swapped = F.flatten(F.array(*[key_windows(F.translate(d, a, b)) for a, b in (("4", "1"), ("1", "4"), ("7", "4"), ("4", "7"))]))
+        both = F.array(F.filter(key_windows(d), key_valid), F.filter(swapped, key_valid))
+        alone = F.length(d) == 49
+        return let(
+            both,
+            lambda v: F.coalesce(
+                F.when(~alone, F.coalesce(first_dated(F.get(v, F.lit(0))), first_dated(F.get(v, F.lit(1))))), F.get(F.flatten(v), F.lit(0))
+            ),
+        )
+
+    return let(digits_only(ocr_digits(c, "pdf")), tries)
 
 
 def cedula_ok(c: Column) -> Column:

@@ -12,7 +12,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cotejo.functions.binding import let
-from cotejo.functions.ids import cedula_ok, key_valid, repair_key, repair_key_swaps, ruc_ok
+from cotejo.functions.ids import cedula_ok, first_dated, key_valid, key_windows, repair_key, repair_key_swaps, ruc_ok
 from cotejo.functions.numbers import as_double, norm_amount, normalize_decimal, to_float, truthy
 from cotejo.functions.text import (
     collapse_spaces, contains_any, digits_only, extract, extract_all, extract_first, lines_of, ocr_digits, strip,
@@ -72,39 +72,41 @@ def _ocr_text(c: Column) -> Column:
 
 
 _AUTH_HEADER = r"(?i)(?:N[ÚU]MER[O0]\s+DE\s+AUT[O0]R[I1]ZAC[I1][ÓO0]N|AUT[O0]R[I1]ZAC[I1][ÓO0]N|CLAVE\s+DE\s+ACCE[S5][O0])"
-_RUN44 = r"(?:\d[\s\-.]{0,2}){44,50}"
+#: what lies between runs of digits; up to two separators stay inside a run
+_BETWEEN_RUNS = r"[^\d\s\-.]+|[\s\-.]{3,}"
 
 
 def access_key_ocr(doc_text: DataFrame) -> DataFrame:
-    """Key from recognised text: digit look-alikes mapped, any 49-digit window with a valid check digit
-    wins, longest run first; else the longest run cut to 49. Runs after the header come first.
+    """Key from recognised text: digit look-alikes mapped, any 49-digit window with a valid check digit wins.
+
+    Windows that begin with a date go first, then those of the longest run, then runs after the header. Without a valid window the
+    key is null, and `sin_valida` tells that there was a run of 49 digits or more.
     """
     df = doc_text.select("doc_id", _ocr_text(F.col("text")).alias("_t"))
     after = F.get(_windows(F.col("_t"), _AUTH_HEADER), F.lit(0))
-    runs = F.concat(F.coalesce(extract_all(after, _RUN44), F.array()), extract_all(F.col("_t"), _RUN44))
-    digits = F.filter(F.transform(runs, digits_only), lambda d: F.length(d) >= 44)
+    runs = F.concat(F.split(F.coalesce(after, F.lit("")), _BETWEEN_RUNS), F.split("_t", _BETWEEN_RUNS))
+    digits = F.filter(F.transform(runs, digits_only), lambda d: F.length(d) >= 49)
     # stable order by length: position breaks ties
     ranked = F.transform(
         F.array_sort(F.transform(digits, lambda d, i: F.struct((-F.length(d)).alias("k"), i.alias("i"), d.alias("d")))), lambda s: s["d"]
     )
-    windows = F.flatten(
-        F.transform(
-            F.filter(ranked, lambda d: F.length(d) >= 49),
-            lambda d: F.transform(F.sequence(F.lit(1), F.length(d) - 48), lambda i: F.substr(d, i, F.lit(49))),
-        )
-    )
-    valid = F.get(F.filter(windows, key_valid), F.lit(0))
-    best = F.get(ranked, F.lit(0))
-    return df.select("doc_id", F.coalesce(valid, F.when(F.length(best) >= 49, F.substring(best, 1, 49))).alias("clave"))
+    valid = F.filter(F.flatten(F.transform(ranked, key_windows)), key_valid)
+    found = df.select("doc_id", let(valid, lambda v: F.coalesce(first_dated(v), F.get(v, F.lit(0)))).alias("clave"), (F.size(digits) > 0).alias("_long"))
+    return found.select("doc_id", "clave", (F.col("clave").isNull() & F.coalesce("_long", F.lit(False))).alias("sin_valida"))
 
 
 def access_key_form(doc_text: DataFrame) -> DataFrame:
-    """Key of a printed form: the labelled run and then any long run, each repaired by digit swaps."""
+    """Key of a printed form: the labelled run and then any long run, each repaired by digit swaps in every window.
+
+    `sin_valida` tells that there was such a run but no valid key.
+    """
     t = F.col("text")
-    labelled = F.regexp_extract(t, r"(?i)(?:Clave.*Acceso|N[uú]mero de autorizaci[oó]n)[:\s]*([0-9\s]{45,60})", 1)
-    runs = F.concat(F.array(labelled), extract_all(t, r"\d[\d\s]{47,70}\d"))
+    labelled = F.regexp_extract(t, r"(?i)(?:Clave.*Acceso|N[uú]mero de autorizaci[oó]n)[:\s]*([0-9\s]{45,})", 1)
+    runs = F.concat(F.array(labelled), extract_all(t, r"\d[\d\s]{47,}\d"))
     fixed = F.filter(F.transform(runs, repair_key_swaps), lambda k: k.isNotNull())
-    return doc_text.select("doc_id", F.get(fixed, F.lit(0)).alias("clave"))
+    long = F.exists(runs, lambda r: F.length(digits_only(r)) >= 49)
+    found = doc_text.select("doc_id", F.get(fixed, F.lit(0)).alias("clave"), long.alias("_long"))
+    return found.select("doc_id", "clave", (F.col("clave").isNull() & F.coalesce("_long", F.lit(False))).alias("sin_valida"))
 
 
 def access_key_xml(sri_xml: DataFrame) -> DataFrame:

@@ -264,11 +264,11 @@ SQL["access_key"] = rf"WITH {KEYS_SQL}, {TEXTS_SQL} SELECT doc_id, nullif(regexp
 def q_access_key_ocr(spark, d):
     """Keys of texts in which the recogniser read zeros as the letter O."""
     texts = invoice_texts(spark, d).withColumn("text", F.regexp_replace("text", r"(?<=ACCESO \d{8})0", "O"))
-    return extract.access_key_ocr(texts)
+    return extract.access_key_ocr(texts).select("doc_id", "clave")
 
 
 def q_access_key_form(spark, d):
-    return extract.access_key_form(invoice_texts(spark, d))
+    return extract.access_key_form(invoice_texts(spark, d)).select("doc_id", "clave")
 
 
 def q_key_check(spark, d):

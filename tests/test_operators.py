@@ -300,3 +300,14 @@ def test_signature_fields_far_from_the_range(spark):
     assert got[1] == (1, 1, "adbe.x", None, None, False)
     assert got[2] == (2, 0, None, None, None, False)
     assert not pdfbytes.find_signatures(df, distance=2000).where("sig_no = 0 AND con_contenido").count()
+
+
+def test_keys_glued_to_other_digits(spark):
+    key = "0807202501179071031900120262000000213845658032318"
+    swapped = key.replace("4", "1")
+    rows = [(1, "CLAVE DE ACCESO 98765432109" + key), (2, "Clave de Acceso: 98765432109" + key + "55"), (3, "9" * 30_000 + key + "x"), (4, "1" * 49), (5, "Clave de Acceso: 98765432109" + swapped), (6, "nada"), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    ocr = {r.doc_id: (r.clave, r.sin_valida) for r in extract.access_key_ocr(df.where("doc_id <> 5")).collect()}
+    assert ocr == {1: (key, False), 2: (key, False), 3: (key, False), 4: (None, True), 6: (None, False), 7: (None, False)}
+    form = {r.doc_id: (r.clave, r.sin_valida) for r in extract.access_key_form(df.where("doc_id NOT IN (3, 5)")).collect()}
+    assert form[1] == form[2] == (key, False) and form[6] == form[7] == (None, False)
