@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cotejo.llm import chat, decontam, linededup, ngramjoin, quality, secrets, tokenfiles, topk, warc, wordbpe
+from cotejo.llm import chat, decontam, infill, linededup, ngramjoin, pieces, quality, secrets, tokenfiles, topk, trie, warc, wordbpe
 from cotejo.llm.common import digest, table
 
 PREDICT = 0.3
@@ -85,11 +85,36 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_decontaminate, op4_warc, op5_word_bpe, op6_top_k, op7_secrets, op8_chat, op9_jaccard, op10_token_files)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count and digests, derived from the ids and decoded texts that the operator returns."""
+    coded = pieces.encode_decode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(joined).alias("ids_sha256"), digest("decoded").alias("decoded_sha256"))
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.transform(table(spark, sf_dir, "documents"))
+    back = infill.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
+_ALL = (
+    op1_quality, op2_line_dedup, op3_decontaminate, op4_warc, op5_word_bpe, op6_top_k, op7_secrets, op8_chat, op9_jaccard, op10_token_files,
+    op11_prefix_trie, op12_pieces, op13_infill,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANK = r"[\x20\x09-\x0D]"
 
+#: CRC-32 of a decimal number in ASCII, bit by bit
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length({0}) + 1),
+  lambda i: [ascii(substr({0}, i, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda a, x: xor(xor(a, x) >> 1, (xor(a, x) & 1) * 3988292384)), 4294967295)"""
+
 ORACLE_SQL = {
     "op2_line_dedup": f"""
 WITH lines AS (
@@ -151,4 +176,33 @@ l AS (SELECT a, b FROM p WHERE 100 * c >= 85 * (n - c)),
 u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT u.b, r.root FROM r JOIN u ON r.node = u.a)
 SELECT s.doc_id, len(g) AS n_shingles, m.c AS component_id FROM s JOIN (SELECT node, min(root) AS c FROM r GROUP BY node) m ON m.node = s.doc_id""",
+    "op11_prefix_trie": f"""
+WITH m AS (
+  SELECT c, md5(strlen(role) || ':' || role || text) AS t, strlen(text) AS b, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, md5(strlen(role) || ':' || role || text)) AS p
+  FROM (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), ids AS (SELECT c, c - c % 5 AS base, {_CRC.format("c::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT c FROM m)),
+given AS (SELECT ids.c, m.p AS d, m.t, m.b FROM ids JOIN m ON m.c = ids.base AND m.p <= ids.h),
+kept AS (SELECT ids.c, ids.h, count(given.c) AS k FROM ids LEFT JOIN given USING (c) GROUP BY ALL),
+whole AS (SELECT * FROM given UNION ALL SELECT m.c, m.p - kept.h + kept.k, m.t, m.b FROM m JOIN kept USING (c) WHERE m.p > kept.h),
+path AS (SELECT c, d, b, string_agg(t, '') OVER (PARTITION BY c ORDER BY d) AS k FROM whole UNION ALL SELECT c, 0, 0, '' FROM ids),
+size AS (SELECT c, max(d) AS n FROM path GROUP BY c),
+node AS (
+  SELECT k, min(d) AS d, min(b) AS b, min(c) AS c, count(*) AS n, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE d = size.n), '') AS ends
+  FROM path JOIN size USING (c) GROUP BY k
+), kids AS (SELECT substr(k, 1, length(k) - 32) AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+whole_node AS (SELECT node.*, coalesce(kids.n, 0) AS kids FROM node LEFT JOIN kids USING (k)),
+up AS (SELECT substr(k, 1, 32 * i) AS k, count(*) FILTER (WHERE kids = 0) AS leaves, sum((n - 1) * b) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS i FROM whole_node) GROUP BY 1)
+SELECT a.c AS conv_id, a.d AS depth, p.c AS parent_conv_id, a.n AS n_convs, a.kids AS n_children, up.leaves AS n_leaves, up.saved::BIGINT AS saved_tokens, sha256(a.ends) AS ends_sha256
+FROM whole_node a JOIN up USING (k) LEFT JOIN node p ON a.d > 0 AND p.k = substr(a.k, 1, length(a.k) - 32)""",
+    "op13_infill": rf"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_BLANK}*[^\x20\x09-\x0D]+|{_BLANK}+') AS u, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents
+), h AS (SELECT *, len(u) AS n, [('0x' || substr(s, 8 * i + 1, 8))::BIGINT FOR i IN range(4)] AS h FROM t),
+f AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h
+), c AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS r FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || r || '<M>' || m ELSE '<S>' || r || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM c""",
 }
