@@ -20,9 +20,10 @@ KEY = ["conv_id", "call_id"]
 
 
 def link(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """Calls with result_turn and result (null without one)."""
+    """Calls with result_turn and result (null without one), which take the place of columns of these names."""
     first = results.where(F.col("call_id").isNotNull()).groupBy(*KEY).agg(F.min(F.struct("turn", "content")).alias("_r"))
-    return calls.join(first, KEY, "left").select(*calls.columns, F.col("_r.turn").alias("result_turn"), F.col("_r.content").alias("result"))
+    first = first.select(*KEY, F.col("_r.turn").alias("result_turn"), F.col("_r.content").alias("result"))
+    return calls.drop("result_turn", "result").join(first, KEY, "left")
 
 
 def levels(calls: DataFrame) -> DataFrame:
@@ -65,9 +66,27 @@ def errors(arguments: Column, fields: Column) -> Column:
     return F.when(fields.isNull(), F.array(F.lit("unknown tool"))).when(given.isNull(), F.array(F.lit("no object"))).otherwise(found)
 
 
-def canonical(arguments: Column) -> Column:
-    """The JSON text with sorted keys and no blanks; text that is no JSON becomes a JSON string."""
-    return F.coalesce(F.to_json(F.try_parse_json(arguments)), F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(arguments, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"')))
+def as_json(text: str) -> Column:
+    """A string column as a JSON string."""
+    return F.expr(f"substring(to_json(struct({text} AS x)), 6, length(to_json(struct({text} AS x))) - 6)")
+
+
+#: JSON strings, or what stands between them
+_TOKEN = r'"(?:[^"\\]|\\.)*+"|[^"]+'
+#: numbers so long that a parsed one might be rounded, and the mark under which they go through the parser as strings
+_LONG_NUMBER, _MARK = r"(-?[0-9][0-9.eE+-]{14,})", "\\u0001number "
+
+
+def canonical(arguments: str) -> Column:
+    """The JSON text of a string column with sorted keys and no blanks; text that is no JSON becomes a JSON string.
+
+    Numbers of 16 and more characters keep their text. (Not in arguments that hold the character U+0001, escaped, which marks them.)
+    """
+    text = F.col(arguments)
+    marked = F.transform(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), lambda t: F.when(t.startswith('"'), t).otherwise(F.regexp_replace(t, _LONG_NUMBER, f'"{_MARK}$1"'.replace("\\", "\\\\"))))
+    parsed = F.when(text.rlike(_LONG_NUMBER) & ~F.lower(text).contains("\\u0001"), F.try_parse_json(F.array_join(marked, ""))).otherwise(F.try_parse_json(text))
+    whole = F.when(F.try_parse_json(text).isNotNull(), F.regexp_replace(F.to_json(parsed), r'"\\u0001number ([^"]*)"', "$1"))
+    return F.coalesce(whole, as_json(arguments))
 
 
 def tools(schemas: DataFrame) -> DataFrame:
@@ -81,17 +100,17 @@ def format_messages(messages: DataFrame, calls: DataFrame, results: DataFrame, s
     messages (conv_id, turn, role, text); calls (conv_id, call_id, turn, name, arguments, after); results (conv_id, call_id, turn,
     content). A message with neither call nor result is written alone. Within a conversation, (level, turn) is a topological order.
     """
+    calls, results = calls.select("conv_id", "call_id", "turn", "name", "arguments", "after"), results.select("conv_id", "call_id", "turn", "content")
     linked = link(calls, results).join(levels(calls), KEY, "left").join(tools(schemas), "name", "left")
     ready = linked.select("conv_id", "turn", "call_id", "name", "arguments", "level", "result_turn", errors(F.col("arguments"), F.col("fields")).alias("errors"))
     answers = results.select("conv_id", "turn", F.col("call_id").alias("answers")).where(F.col("answers").isNotNull()).distinct()
     known = answers.join(calls.select("conv_id", F.col("call_id").alias("answers")).distinct(), ["conv_id", "answers"], "left_semi")
     met = messages.select("conv_id", "turn", "role", "text").join(ready, ["conv_id", "turn"], "left").join(known, ["conv_id", "turn"], "left")
-    inner = lambda c: F.expr(f"substring(to_json(struct({c} AS x)), 6, length(to_json(struct({c} AS x))) - 6)")
     parts = F.array_compact(F.array(
-        F.when(F.col("answers").isNotNull(), F.concat(F.lit('"answers":'), inner("answers"))),
-        F.when(F.col("call_id").isNotNull(), F.concat(F.lit('"call":{"arguments":'), F.coalesce(canonical(F.col("arguments")), F.lit("{}")), F.lit(',"id":'), inner("call_id"), F.lit(',"name":'), F.coalesce(inner("name"), F.lit('""')), F.lit("}"))),
-        F.when(F.col("text").isNotNull(), F.concat(F.lit('"content":'), inner("text"))),
-        F.when(F.col("role").isNotNull(), F.concat(F.lit('"role":'), inner("role"))),
+        F.when(F.col("answers").isNotNull(), F.concat(F.lit('"answers":'), as_json("answers"))),
+        F.when(F.col("call_id").isNotNull(), F.concat(F.lit('"call":{"arguments":'), F.coalesce(canonical("arguments"), F.lit("{}")), F.lit(',"id":'), as_json("call_id"), F.lit(',"name":'), F.coalesce(as_json("name"), F.lit('""')), F.lit("}"))),
+        F.when(F.col("text").isNotNull(), F.concat(F.lit('"content":'), as_json("text"))),
+        F.when(F.col("role").isNotNull(), F.concat(F.lit('"role":'), as_json("role"))),
     ))
     json = F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
     valid = F.when(F.col("call_id").isNotNull(), F.size("errors") == 0)

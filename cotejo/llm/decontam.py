@@ -88,14 +88,14 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, set_windows:
 
 def remove(docs: DataFrame, benchmark: DataFrame, what: str = "documents", n: int = WINDOW, set_windows: int = SET_WINDOWS) -> DataFrame:
     """The same columns without contaminated documents, or with hit words and the separators before them cut out of the text."""
-    columns = docs.columns
-    rows = _with_hits(docs, benchmark_windows(benchmark, n), set_windows)
+    whole = docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    rows = _with_hits(whole, benchmark_windows(benchmark, n), set_windows)
     if what == "documents":
-        return rows.where(F.size("_hits") == 0).select(*columns)
+        return rows.where(F.size("_hits") == 0).select("_row.*")
     hit = F.expr(_HIT_WORDS.format(hits="_hits"))
     pieces = F.regexp_extract_all("text", F.lit(_PIECE), F.lit(0))
     tail = F.regexp_extract("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\z", 0)
     rows = rows.withColumn("_hit", hit)
     kept = F.concat(F.array_join(F.filter(pieces, lambda _, i: ~F.array_contains("_hit", i)), ""), tail)
-    clean = rows.withColumn("text", F.when(F.size("_hits") > 0, kept).otherwise(F.col("text")))
-    return clean.select(*columns)
+    text = F.when(F.size("_hits") > 0, kept).otherwise(F.col("text"))
+    return rows.select(*[text.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])

@@ -204,20 +204,22 @@ class LineIndex:
         return maybe.join(self.refs.where(F.col("n_docs") >= self.threshold), ["shard", "key"], "left_semi")
 
     def clean(self, docs: DataFrame) -> DataFrame:
-        """All columns of `docs` with dropped lines gone from `text`, and n_lines, n_dropped."""
+        """All columns of `docs` with dropped lines gone from `text`, and n_lines, n_dropped, which take the place of given ones."""
         rows = occurrences(docs, self.shards)
         salt = F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).cast("int")
         common = self.too_common(rows).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
         drops = rows.withColumn("salt", salt).join(common, ["shard", "key", "salt"], "left_semi")
         drops = drops.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("key").alias("_drop"))
-        met = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
         columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-        schema = docs.select(*columns, F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
+        rest = [c for c in columns if c != "text"]
+        whole = docs.select(F.struct(*[docs[c] for c in rest]).alias("_row"), docs["doc_id"].alias("_doc"), docs["text"].alias("_text"))
+        met = whole.join(drops, F.col("_doc").eqNullSafe(F.col("_id")), "left").select("_row", "_text", "_drop")
+        schema = met.select("_row", "_text", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 kept, n_lines, n_dropped = [], [], []
-                for text, drop in zip(batch.column("text").to_pylist(), batch.column("_drop").to_pylist(), strict=True):
+                for text, drop in zip(batch.column("_text").to_pylist(), batch.column("_drop").to_pylist(), strict=True):
                     lines = (text or "").split("\n")
                     n_lines.append(len(lines))
                     if drop:
@@ -228,7 +230,7 @@ class LineIndex:
                     else:
                         n_dropped.append(0)
                         kept.append(text)
-                values = [pa.array(kept, pa.string()) if c == "text" else batch.column(c) for c in columns]
-                yield pa.RecordBatch.from_arrays([*values, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*columns, "n_lines", "n_dropped"])
+                yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], ["_row", "_text", "n_lines", "n_dropped"])
 
-        return met.select(*columns, "_drop").mapInArrow(run, schema)
+        out = met.mapInArrow(run, schema)
+        return out.select(*[F.col("_text").alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in columns], "n_lines", "n_dropped")

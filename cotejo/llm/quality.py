@@ -228,8 +228,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, documents: int = TRAIN_D
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length(F.regexp_replace("text", "[^\n]", "")) < lines)
-    return texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "quality").toPandas().sort_values("doc_id")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    short = F.length(F.regexp_replace("text", "[^\n]", "")) < lines  # counted for the picked rows alone
+    return texts.where(short).dropDuplicates(["doc_id"]).select("doc_id", "text", "quality").toPandas().sort_values("doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame, documents: int = TRAIN_DOCUMENTS, lines: int = TRAIN_LINES) -> Model:
@@ -243,16 +244,31 @@ def train(docs: DataFrame, labels: DataFrame, documents: int = TRAIN_DOCUMENTS,
 
 
 def score_documents(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The kept columns and `score` for each row, in one pass without a shuffle."""
-    keep = list(keep)
-    source = docs.select(*keep, F.col("text").alias("_text")) if keep else docs.select(F.col("text").alias("_text"))
-    schema = source.select(*keep, F.lit(0.0).alias("score")).schema
+    """The kept columns and `score` for each row, in one pass without a shuffle; a kept column named score gives way to it."""
+    keep = [c for c in keep if c != "score"]
+    row = F.struct(*[docs[c] for c in keep]) if keep else F.lit(0)
+    source = docs.select(row.alias("_row"), docs["text"].alias("_text"))
+    schema = source.select("_row", F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [model.scores(texts) for _, texts in text_chunks(batch, "_text", 500_000)]
             if parts:
-                columns = [batch.column(c) for c in keep] + [pa.array(np.concatenate(parts))]
-                yield pa.RecordBatch.from_arrays(columns, [*keep, "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(np.concatenate(parts))], ["_row", "score"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).select(*[F.col("_row").getField(c).alias(c) for c in keep], "score")
+
+
+def score_lines(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, line (from 0), good (marginal probability of the label good) and is_good for every line of every row."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in text_chunks(batch, "text", 500_000):
+                good, _, lines = model.line_marginals(texts)
+                owner = np.repeat(np.arange(start, start + len(texts)), lines)
+                number = np.arange(len(good)) - np.repeat(np.cumsum(lines) - lines, lines)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner)), pa.array(number), pa.array(good), pa.array(good >= 0.5)], ["doc_id", "line", "good", "is_good"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, line long, good double, is_good boolean")

@@ -34,13 +34,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = warc.archive(table(spark, sf_dir, "pages"))
-    responses = rows.where("record_type = 'response'").select(
-        "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"
-    )
-    lengths = responses.select(F.col("page_id").alias("refers_to"), "payload_bytes")
-    revisits = rows.where("record_type = 'revisit'").select("page_id", "payload_digest", "record_type", "refers_to")
-    return responses.unionByName(revisits.join(lengths.dropDuplicates(["refers_to"]), "refers_to"))
+    return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

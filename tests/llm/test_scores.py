@@ -170,3 +170,42 @@ def test_calls_are_linked_ordered_and_validated(spark):
     assert got[2, 0].json.endswith('"content":"é"}')
     empty = chat.format_messages(messages.where("false"), calls.where("false"), results.where("false"), schemas.where("false"))
     assert empty.count() == 0
+
+
+def test_scores_and_lines_with_clashing_columns(spark):
+    docs = brute.docs(spark, ["good text\nmore of it", None, "", "x\n\ny"] * 3).selectExpr("*", "'s' AS score", "'t' AS _text", "'r' AS _row")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    got = quality.score_documents(docs, model, keep=["doc_id", "score", "_text", "_row"])
+    assert got.columns == ["doc_id", "_text", "_row", "score"]
+    assert all((r._text, r._row) == ("t", "r") and 0 <= r.score <= 1 for r in got.collect())
+    assert quality.score_documents(docs, model, keep=[]).count() == 12
+    lines = quality.score_lines(docs, model).collect()
+    want = {i: max(1, (t or "").count("\n") + 1) for i, t in enumerate(["good text\nmore of it", None, "", "x\n\ny"] * 3)}
+    assert sorted((r.doc_id, r.line) for r in lines) == sorted((i, k) for i, n in want.items() for k in range(n))
+    assert all(r.is_good == (r.good >= 0.5) for r in lines)
+
+
+def test_canonical_json_of_any_arguments(spark):
+    cases = {
+        "line\nfeed \t and \\ and \"": "line\nfeed \t and \\ and \"", '{"b": 1, "a": [1, 2]}': {"a": [1, 2], "b": 1}, "not { json": "not { json", "\x01\x1f": "\x01\x1f",
+        '{"n": 123456789012345678901234567890123456789012345678901234567890}': {"n": 123456789012345678901234567890123456789012345678901234567890},
+        '{"s": "1234567890123456789012", "k": "a \\" 12345678901234567890"}': {"s": "1234567890123456789012", "k": 'a " 12345678901234567890'},
+    }
+    df = spark.createDataFrame([(a,) for a in cases], "a string")
+    for r in df.select("a", chat.canonical("a").alias("j")).collect():
+        assert json.loads(r.j) == cases[r.a], r
+    exact = spark.createDataFrame([('{ "x" : 0.12345678901234567890123, "a": -1234567890123456789 }',)], "a string").select(chat.canonical("a").alias("j")).first().j
+    assert exact == '{"a":-1234567890123456789,"x":0.12345678901234567890123}'
+
+
+def test_chat_with_clashing_columns_and_equal_turns(spark):
+    own = ["'l' AS level", "'f' AS fields", "7 AS result_turn", "'e' AS errors", "'r' AS result"]
+    messages = spark.createDataFrame([(1, 0, "user", "ask " * 30_000), (1, 0, "user", "again"), (1, 1, "assistant", "done")], "conv_id long, turn long, role string, text string").selectExpr("*", *own)
+    calls = spark.createDataFrame([(1, "c", 0, "t", "{}", None)], "conv_id long, call_id string, turn long, name string, arguments string, after array<string>").selectExpr("*", *own)
+    results = spark.createDataFrame([(1, "c", 1, "done")], "conv_id long, call_id string, turn long, content string").selectExpr("*", *own)
+    schemas = spark.createDataFrame([("t", "x", "string", False)], "name string, field string, type string, required boolean")
+    got = chat.format_messages(messages, calls, results, schemas).collect()
+    assert len(got) == 3 and [r.call_id for r in got].count("c") == 2  # both messages of the turn carry its call
+    assert {(r.level, r.result_turn, r.errors, r.valid) for r in got if r.call_id} == {(0, 1, "", True)}
+    assert all(json.loads(r.json) for r in got)
