@@ -26,10 +26,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class of near copies; repeated rows of an id stay together."""
-    classes = ngramjoin.jaccard_classes(docs, NEAR_WORDS, NEAR_PERCENT)
-    copies = classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(copies, "doc_id", "left_anti")
+    """Keeps one row of each class of near copies: that of the smallest doc_id (null last), then of the smallest digest of the text.
+
+    Rows are told apart by id and text, so an id on several rows is judged text by text; of equal rows one stays. Rows without
+    shingles are copies of nothing and all stay.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = docs.select(*COLUMNS, key.alias("_key"))
+    classes = ngramjoin.jaccard_classes(rows.select(F.col("_key").alias("doc_id"), "text"), NEAR_WORDS, NEAR_PERCENT)
+    by_row = classes.where("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("doc_id") != F.col("component_id")).alias("copy"))
+    odd = by_row.where("copy OR n > 1").select(F.col("doc_id").alias("_key"), "copy")
+    met = rows.join(odd, "_key", "left")
+    once = met.where("copy = false").dropDuplicates(["_key"])
+    return met.where("copy IS NULL").unionByName(once).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
