@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cotejo.session import cut_lineage, ensure_checkpoint_dir
 
-__all__ = ["cut_lineage", "digest", "fold_sql", "map_arrow", "mix64", "scratch", "table", "text_chunks"]
+__all__ = ["Shelf", "cut_lineage", "digest", "distinct_segments", "fold_sql", "map_arrow", "mix64", "scratch", "table", "text_chunks"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,27 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{what}-{uuid.uuid4().hex}"
 
 
+class Shelf:
+    """Tables written below the shared folder for the steps that follow; what no later step reads can be taken off at once."""
+
+    def __init__(self, spark: SparkSession, what: str) -> None:
+        self.spark, self.folder, self.places = spark, scratch(spark, what), {}
+
+    def put(self, df: DataFrame) -> DataFrame:
+        place = f"{self.folder}/{uuid.uuid4().hex}"
+        df.write.parquet(place)
+        out = self.spark.read.schema(df.schema).parquet(place)
+        self.places[id(out)] = (out, place)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that were put here; nothing that is still to be computed may read them."""
+        for t in tables:
+            _, place = self.places.pop(id(t))
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
@@ -49,6 +70,35 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def distinct_segments(points: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a first segment of every distinct one, which of them each segment is), found by hash and compared character by character.
+
+    Segments are `size` code points from `begin`, in ascending order, none empty, and may leave gaps.
+    """
+    if not len(begin):
+        return begin, begin
+    upto = np.cumsum(size)
+    inside = np.arange(upto[-1], dtype=np.int32) - np.repeat((upto - size).astype(np.int32), size)
+    own = points if len(inside) == len(points) else points[np.repeat(begin.astype(np.int32), size) + inside]
+    with np.errstate(over="ignore"):
+        h = inside.astype(np.uint64)
+        h <<= np.uint64(32)
+        h += own
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        sums = np.add.reduceat(h, upto - size)
+    _, first, which = np.unique(sums, return_index=True, return_inverse=True)
+    same = size[first][which] == size
+    other = np.repeat(begin[first][which].astype(np.int32), size) + inside
+    same &= np.add.reduceat(own != points[np.minimum(other, len(points) - 1)], upto - size) == 0
+    odd = np.flatnonzero(~same)  # equal hashes of different segments: each of these stands for itself
+    which[odd] = len(first) + np.arange(len(odd))
+    return np.concatenate((first, odd)), which
+
+
 def digest(col: Column) -> Column:
     """Lower-case hex SHA-256 of a string in UTF-8."""
     return F.sha2(col, 256)

@@ -1,10 +1,11 @@
 """BPE encoding and decoding through a table of distinct words.
 
 No token crosses white space, so a text's ids are those of its words in turn. Documents are read in blocks of bounded size. Every
-block sends its different words, packed by word hash, to the task of that hash; there each distinct word is encoded once and its ids
-go back with the words to the blocks that asked. A block then puts ids into the places of its words. Should a block hold other rows
-on its second reading (input whose order changes), it encodes the words that nobody asked for itself. However often a word stands, each block sends
-it once, so no word is hot. Decoding joins ids with the id-to-piece table, which is as large as the vocabulary.
+block sends its different words, packed by word hash, to the task of that hash; there each distinct word is encoded once and the ids
+go back to the blocks that asked, in the order of the words. A block then puts ids into the places of its words. Should a block hold
+other rows on its second reading (input whose order changes), the checksum of its words differs and it encodes them itself. However
+often a word stands, each block sends it once, so no word is hot; there are as many buckets as the characters of all texts need.
+Decoding looks every id up in the id-to-piece table, which is as large as the vocabulary; `decode` is the same as a DataFrame join.
 
 Null and empty texts have no ids and decode to the empty string. Repeated rows are encoded one by one. Ids may be null or repeat.
 Further columns don't matter.
@@ -12,11 +13,10 @@ Further columns don't matter.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,16 +24,15 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from cotejo.llm.common import digest
+from cotejo.llm.common import digest, distinct_segments
 from cotejo.llm.tokens import read_text, tokenizer
 
 BLOCK_CHARACTERS = 6_000_000
+#: characters of all texts for each bucket of words; what meets in a bucket is less, since a block sends a word once
+BUCKET_CHARACTERS = 50_000_000
 #: white space at which words are split; a subset of what the tokenizers drop
 _SPLIT = re.compile(r"[ \t\n\r]+")
-
-
-def split_words(text: str | None) -> list[str]:
-    return [w for w in _SPLIT.split(text) if w] if text else []
+_SLICE = 2_000_000  # characters whose words are told apart at once
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[int, dict[str, list]]]:
@@ -53,21 +52,59 @@ def _blocks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[t
         yield number, rows
 
 
-def _dealt_words(texts: list[str | None], buckets: int) -> list[list[str]]:
-    """The different words of a block by bucket, sorted so that they pack well."""
+def distinct_words(texts: list[str | None]) -> list[str]:
     words: set[str] = set()
     for text in texts:
-        words.update(split_words(text))
-    dealt: list[list[str]] = [[] for _ in range(buckets)]
-    for w in words:
-        dealt[zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets].append(w)
-    for d in dealt:
-        d.sort()
-    return dealt
+        words.update(_SPLIT.split(text or ""))
+    words.discard("")
+    return list(words)
+
+
+def block_words(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words of a block in order of appearance by slices, which of them each word is, and how many words each text has."""
+    joined = "\n".join(t or "" for t in texts)
+    starts = np.cumsum([0, *(len(t or "") + 1 for t in texts)])[:-1]
+    index: dict[str, int] = {}
+    numbers, counts, at = [], np.zeros(len(texts), np.int64), 0
+    while at < len(joined):
+        end = _cut_after(joined, at)
+        points = np.frombuffer(joined[at:end].encode("utf-32-le", "surrogatepass"), np.uint32)
+        word = (points != 32) & (points != 10) & (points != 9) & (points != 13)
+        edge = np.diff(word.astype(np.int8), prepend=0, append=0)
+        begin = np.flatnonzero(edge == 1)
+        size = np.flatnonzero(edge == -1) - begin
+        first, which = distinct_segments(points, begin, size)
+        of_slice = [index.setdefault(joined[at + b : at + b + n], len(index)) for b, n in zip(begin[first].tolist(), size[first].tolist(), strict=True)]
+        numbers.append(np.array(of_slice, np.int32)[which] if len(begin) else np.zeros(0, np.int32))
+        counts += np.bincount(np.searchsorted(starts, begin + at, "right") - 1, minlength=len(texts))
+        at = end
+    return list(index), np.concatenate(numbers) if numbers else np.zeros(0, np.int32), counts
+
+
+def _cut_after(text: str, at: int) -> int:
+    """End of a slice that starts at `at`: white space within reach, or the end of a longer word."""
+    reach = at + _SLICE
+    if reach >= len(text):
+        return len(text)
+    cut = max(text.rfind(c, at, reach) for c in " \n\t\r")
+    if cut < 0:
+        cut = min((x for c in " \n\t\r" if (x := text.find(c, reach)) >= 0), default=len(text) - 1)
+    return cut + 1
+
+
+def _dealt(words: list[str], buckets: int) -> Iterator[tuple[int, np.ndarray, bytes]]:
+    """(bucket, numbers of its words, the words packed in sorted order) for every bucket with words."""
+    bucket = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets for w in words], np.int64)
+    order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+    order = order[np.argsort(bucket[order], kind="stable")]
+    cuts = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(words))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        own = order[lo:hi]
+        yield int(bucket[own[0]]), own, "\n".join([words[i] for i in own.tolist()]).encode("utf-8", "surrogatepass")
 
 
 def _pack(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=6).compress(data)
+    return zstandard.ZstdCompressor(level=4).compress(data)
 
 
 def _unpack(data: bytes) -> bytes:
@@ -84,16 +121,17 @@ def encode_decode(docs: DataFrame, vocabulary: str, buckets: int | None = None,
     drops_space(content)
     sent = spark.sparkContext.broadcast(content)
     kind_of_id = "<u2" if tokenizer(content).get_vocab_size() <= 1 << 16 else "<u4"
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if buckets is None:
+        characters = docs.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-characters // BUCKET_CHARACTERS))
     kind = docs.schema["doc_id"].dataType.simpleString()
     source = docs.select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, rows in _blocks(batches, ["text", "part", "doc_id"]):
-            dealt = _dealt_words(rows["text"], buckets)
-            use = [b for b in range(buckets) if dealt[b]]
-            blobs = [_pack("\n".join(dealt[b]).encode("utf-8", "surrogatepass")) for b in use]
-            if use:
+        for number, rows in _blocks(batches, ["text", "part"]):
+            dealt = [(b, _pack(blob)) for b, _, blob in _dealt(distinct_words(rows["text"]), buckets)]
+            if dealt:
+                use, blobs = zip(*dealt, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([rows["part"][0]] * len(use), pa.int32()), pa.array([number] * len(use), pa.int32()), pa.array(use, pa.int32()), pa.array(blobs, pa.binary())],
                     ["part", "block", "bucket", "words"],
@@ -101,7 +139,8 @@ def encode_decode(docs: DataFrame, vocabulary: str, buckets: int | None = None,
 
     def answer(asked: pa.Table) -> pa.Table:
         encoder = tokenizer(sent.value)
-        lists = [_unpack(b).decode("utf-8", "surrogatepass").split("\n") for b in asked.column("words").to_pylist()]
+        packed = [_unpack(b) for b in asked.column("words").to_pylist()]
+        lists = [b.decode("utf-8", "surrogatepass").split("\n") for b in packed]
         words = sorted(set().union(*lists))
         ids: dict[str, np.ndarray] = {}
         for at in range(0, len(words), 20_000):
@@ -113,7 +152,8 @@ def encode_decode(docs: DataFrame, vocabulary: str, buckets: int | None = None,
             found = [ids[w] for w in own]
             lengths = np.array([len(f) for f in found], "<u4")
             blobs.append(_pack(lengths.tobytes() + np.concatenate(found).astype(kind_of_id).tobytes()))
-        return asked.select(["part", "block", "words"]).append_column("ids", pa.array(blobs, pa.binary()))
+        sums = pa.array([zlib.crc32(b) for b in packed], pa.int64())
+        return asked.select(["part", "block", "bucket"]).append_column("check", sums).append_column("ids", pa.array(blobs, pa.binary()))
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rows in _blocks(batches, ["text", "part", "doc_id"]):
@@ -128,39 +168,33 @@ def encode_decode(docs: DataFrame, vocabulary: str, buckets: int | None = None,
 
     def place(shipped: pa.Table, answers: pa.Table) -> pa.Table:
         encoder = tokenizer(sent.value)
-        piece = _pieces(sent.value)
-        plain = encoder.decoder is None  # then pieces are joined by spaces
-        owners, decoded, flat, ends = [], [], array("i"), [0]
-        found: dict[str, tuple[str, list[int]]] = {}
-
-        def learn(w: str, own: list[int]) -> None:
-            found[w] = (" ".join([piece[i] for i in own]), own)
-
-        for words, ids in zip(answers.column("words").to_pylist(), answers.column("ids").to_pylist(), strict=True):
-            words, ids, at = _unpack(words).decode("utf-8", "surrogatepass").split("\n"), _unpack(ids), 0
-            numbers = np.frombuffer(ids, kind_of_id, -1, 4 * len(words)).tolist() if len(ids) > 4 * len(words) else []
-            for w, m in zip(words, np.frombuffer(ids, "<u4", len(words)).tolist(), strict=True):
-                learn(w, numbers[at : at + m])
-                at += m
+        known = {b: (c, i) for b, c, i in zip(*(answers.column(n).to_pylist() for n in ("bucket", "check", "ids")), strict=True)}
+        out = []
         for r in shipped.to_pylist():
             data, at, rows = _unpack(r["packed"]), 0, []
             for n in np.frombuffer(r["lengths"], "<i8").tolist():
                 rows.append(None if n < 0 else data[at : at + n].decode("utf-8", "surrogatepass"))
                 at += max(n, 0)
-            for w in {w for text in rows for w in split_words(text) if w not in found}:
-                learn(w, encoder.encode(w, add_special_tokens=False).ids)
-            for doc_id, text in zip(r["ids_of"], rows, strict=True):
-                parts = [p for p in (found[w] for w in split_words(text)) if p[1]]
-                ids = list(chain.from_iterable([p[1] for p in parts]))
-                flat.fromlist(ids)
-                ends.append(len(flat))
-                owners.append(doc_id)
-                decoded.append(" ".join([p[0] for p in parts]) if plain else encoder.decode(ids, skip_special_tokens=False))
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
-        return pa.table({"doc_id": pa.array(owners, id_type), "ids": lists, "decoded": pa.array(decoded, pa.string())})
+            del data
+            words, which, counts = block_words(rows)
+            many, flat, order = [], [], []
+            for bucket, own, blob in _dealt(words, buckets):
+                check, ids = known.get(bucket, (None, b""))
+                if check == zlib.crc32(blob):
+                    ids = _unpack(ids)
+                    many.append(np.frombuffer(ids, "<u4", len(own)))
+                    flat.append(np.frombuffer(ids, kind_of_id, -1, 4 * len(own)) if len(ids) > 4 * len(own) else np.zeros(0, kind_of_id))
+                else:
+                    got = [e.ids for e in encoder.encode_batch_fast([words[i] for i in own.tolist()], add_special_tokens=False)]
+                    many.append(np.array([len(g) for g in got], np.uint32))
+                    flat.append(np.array([i for g in got for i in g], kind_of_id))
+                order.append(own)
+            ids, per_text = _in_place(words, which, counts, order, many, flat)
+            out.append(pa.table({"doc_id": pa.array(r["ids_of"], id_type), "ids": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per_text)), pa.int32()), pa.array(ids)), "decoded": pa.array(_decoded(sent.value, ids, per_text), pa.string())}))
+        return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], id_type), "ids": pa.array([], pa.list_(pa.int32())), "decoded": pa.array([], pa.string())})
 
     asked = source.mapInArrow(ask, "part int, block int, bucket int, words binary")
-    answers = asked.groupBy("bucket").applyInArrow(answer, "part int, block int, words binary, ids binary")
+    answers = asked.groupBy("bucket").applyInArrow(answer, "part int, block int, bucket int, check long, ids binary")
     shipped = source.mapInArrow(ship, f"part int, block int, ids_of array<{kind}>, lengths binary, packed binary")
     placed = shipped.groupBy("part", "block").cogroup(answers.groupBy("part", "block")).applyInArrow(place, f"doc_id {kind}, ids array<int>, decoded string")
     return placed.select(
@@ -169,6 +203,33 @@ def encode_decode(docs: DataFrame, vocabulary: str, buckets: int | None = None,
     )
 
 
+def _in_place(words: list[str], which: np.ndarray, counts: np.ndarray, order: list, many: list, flat: list) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after another and how many each has. `order`, `many` and `flat`: words by number, their counts of ids, the ids."""
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(len(counts), np.int64)
+    order, many, flat = np.concatenate(order), np.concatenate(many).astype(np.int64), np.concatenate(flat).astype(np.int32)
+    length, begin = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+    length[order], begin[order] = many, np.cumsum(many) - many
+    own = length[which]
+    upto = np.cumsum(own)
+    take = np.arange(upto[-1]) - np.repeat(upto - own - begin[which], own)
+    ends = np.append(0, upto)[np.append(0, np.cumsum(counts))]
+    return flat[take], np.diff(ends)
+
+
+def _decoded(content: str, ids: np.ndarray, per_text: np.ndarray) -> list[str]:
+    """Text of every text's ids by the id-to-piece table; pieces are joined by spaces where the tokenizer has no decoder of its own."""
+    encoder = tokenizer(content)
+    ends = np.append(0, np.cumsum(per_text))
+    if encoder.decoder is not None:
+        return [encoder.decode(ids[a:b].tolist(), skip_special_tokens=False) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    if not len(ids):
+        return [""] * len(per_text)
+    got = _spaced_pieces(content).take(pa.array(ids))
+    data, offsets = got.buffers()[2].to_pybytes(), np.frombuffer(got.buffers()[1], np.int64, len(ids) + 1)[ends].tolist()
+    return [data[a : max(a, b - 1)].decode("utf-8", "surrogatepass") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
 def _arrow_type(docs: DataFrame) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -186,6 +247,13 @@ def _pieces(text: str) -> dict[int, str]:
     return _PIECES[text]
 
 
+@functools.lru_cache(maxsize=2)
+def _spaced_pieces(content: str) -> pa.LargeBinaryArray:
+    """The piece of every id with a space behind, by id."""
+    pieces = _pieces(content)
+    return pa.array([(pieces[i] + " ").encode("utf-8", "surrogatepass") if i in pieces else b"" for i in range(max(pieces) + 1)], pa.large_binary())
+
+
 def drops_space(content: str) -> None:
     """Raises for a tokenizer whose ids depend on white space: words could not stand for the text."""
     t = tokenizer(content)

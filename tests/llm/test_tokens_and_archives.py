@@ -2,6 +2,8 @@
 
 import hashlib
 import io
+import random
+import re
 import zlib
 
 import numpy as np
@@ -115,13 +117,67 @@ def test_archives_round_trip_and_revisits(spark):
 
 
 def test_archives_are_plain_warc(spark):
-    data = warc.record("response", "http://a/", 5, "00", b"body", None, "2020-01-01T00:00:00Z")
+    data = warc.record("response", "http://a/", 5, "00", b"body", "2020-01-01T00:00:00Z")
     head, _, rest = data.partition(b"\r\n\r\n")
     assert head.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and b"Content-Length: 4" in head and rest == b"body\r\n\r\n"
     import gzip
 
-    two = gzip.compress(data) + gzip.compress(warc.record("revisit", None, 6, "00", b"", 5, "2020-01-01T00:00:00Z"))
+    two = gzip.compress(data) + gzip.compress(warc.record("revisit", None, 6, "00", b"body", "2020-01-01T00:00:00Z", 5, "http://a/"))
     read = list(warc.records_in(io.BytesIO(two)))
-    assert [h["WARC-Type"] for h, _ in read] == ["response", "revisit"] and read[1][0]["WARC-Refers-To"] == "<urn:page:5>"
+    assert [h["WARC-Type"] for h, _ in read] == ["response", "revisit"]
+    assert read[1][0]["WARC-Refers-To"] == read[0][0]["WARC-Record-ID"] and read[1][0]["WARC-Refers-To-Target-URI"] == "http://a/"
+    assert read[1][0]["WARC-Refers-To-Date"] == read[0][0]["WARC-Date"] and read[1][0]["X-Payload-Length"] == "4" and read[1][1] == b""
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archive(none).count() == 0
+
+
+@pytest.mark.parametrize("reach", [7, 40, 2_000_000])
+def test_words_of_a_block_are_those_of_its_texts(monkeypatch, reach):
+    monkeypatch.setattr(wordbpe, "_SLICE", reach)
+    r = random.Random(reach)
+    for _ in range(100):
+        texts = [None if r.random() < 0.1 else "".join(r.choice("ab \n\té😀\x0b") if r.random() < 0.97 else "x" * 60 for _ in range(r.randrange(60))) for _ in range(r.randrange(6))]
+        words, which, counts = wordbpe.block_words(texts)
+        want = [[w for w in re.split("[ \t\n\r]+", t or "") if w] for t in texts]
+        assert [words[i] for i in which] == [w for x in want for w in x] and counts.tolist() == [len(x) for x in want]
+        assert sorted(words) == sorted(wordbpe.distinct_words(texts))
+
+
+def test_equal_hashes_of_different_segments_stay_apart(monkeypatch):
+    import numpy as np
+
+    from cotejo.llm import common
+
+    points = np.frombuffer("abcabdabc".encode("utf-32-le"), np.uint32)
+    begin, size = np.array([0, 3, 6]), np.array([3, 3, 3])
+    first, which = common.distinct_segments(points, begin, size)
+    assert len(first) == 2 and which[0] == which[2] != which[1]
+
+    class Blind:  # all sums are equal
+        @staticmethod
+        def reduceat(values, at):
+            return np.zeros(len(at), np.uint64) if values.dtype == np.uint64 else np.array([values[a:b].sum() for a, b in zip(at, [*at[1:], len(values)])])
+
+    monkeypatch.setattr(common.np, "add", Blind)
+    first, which = common.distinct_segments(points, begin, size)
+    assert points[begin[first][which][1] + 2] == ord("d") and begin[first][which][0] == 0
+
+
+def test_every_revisit_names_a_record_of_the_archives(spark):
+    body = "x" * 200
+    pages = spark.createDataFrame([(3, None, body), (1, "http://a/", body), (1, "http://b/", body), (2, "http://c/", body), (9, "u", "y" * 300), (8, "v", "y" * 300), (4, "w", "short")], "page_id long, url string, html string")
+    folder = scratch(spark, "warc-test")
+    files = warc.write_archives(pages, folder)
+    heads = []
+    for r in files.collect():
+        fs, path = pafs.FileSystem.from_uri(folder)
+        with fs.open_input_file(r.path) as data:
+            heads += [h for h, _ in warc.records_in(data)]
+    assert len([h for h in heads if h["WARC-Type"] == "warcinfo"]) == files.count()
+    by_id = {h["WARC-Record-ID"]: h for h in heads if h["WARC-Type"] == "response"}
+    revisits = [h for h in heads if h["WARC-Type"] == "revisit"]
+    assert len(revisits) == 3
+    for h in revisits:
+        first = by_id[h["WARC-Refers-To"]]
+        assert (first["X-Page-ID"], first["WARC-Target-URI"], first["WARC-Date"]) == (h["X-Refers-To-Page-ID"], h["WARC-Refers-To-Target-URI"], h["WARC-Refers-To-Date"])
+        assert first["WARC-Payload-Digest"] == h["WARC-Payload-Digest"] and first["X-Payload-Length"] == h["X-Payload-Length"]
