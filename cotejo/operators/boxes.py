@@ -194,7 +194,8 @@ TOTAL_LABELS = [
     ("VALOR TOTAL", 100), ("IMPORTE TOTAL", 100), ("TOTAL A PAGAR", 90), ("TOTAL GENERAL", 90), ("VALOR TO", 80),
     ("IMPORTE TO", 80), ("TOTAL TO", 80), ("VALOR T", 70), ("IMPORTE T", 70),
 ]
-_NUMBER = r"(\d{1,3}(?:[.,]\d{3})*(?:[.,]\d{2})?)"
+# A number with or without thousands marks, whole.
+_NUMBER = r"((?:\d{1,3}(?:[.,]\d{3})+|\d+)(?:[.,]\d{2})?)(?!\d)"
 
 
 def label_amounts(words: DataFrame, tolerance: float = 5.0, minimum: float = 0.0) -> DataFrame:

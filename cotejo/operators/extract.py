@@ -49,10 +49,14 @@ def _windows(text: Column, label: str, size: int | None = None) -> Column:
 
 
 def access_key(doc_text: DataFrame) -> DataFrame:
-    """First run of 49 digits, else a lone run of 48, else spaced digits after a label."""
+    """First run of 49 digits, else a lone run of 48, else spaced digits after a label.
+
+    In a longer run only a window with a valid check digit counts; `sin_valida` tells that there was such a run and no key.
+    """
     t = F.regexp_replace(strip_accents(F.col("text")), r"[ \t]+", " ")
     df = doc_text.select("doc_id", t.alias("_t"))
-    plain = extract(F.col("_t"), r"(\d{49})")
+    long = extract_all(F.col("_t"), r"\d{49,}")
+    plain = F.get(F.filter(F.transform(long, _key_of_run), lambda k: k.isNotNull()), F.lit(0))
     run48 = F.get(F.filter(extract_all(F.col("_t"), r"\d{40,}"), lambda s: F.length(s) == 48), F.lit(0))
     tries = [plain, run48]
     for label in KEY_LABELS:
@@ -64,13 +68,20 @@ def access_key(doc_text: DataFrame) -> DataFrame:
     for pattern in (f"({_SPACED49})", r"(\d{48,50})", r"(\d+(?:\s+\d+)*)"):
         found = F.transform(tail, partial(_digits_of, pattern))
         tries.append(F.get(F.filter(found, lambda d: F.length(d).isin(48, 49)), F.lit(0)))
-    return df.select("doc_id", F.coalesce(*tries).alias("clave"))
+    found = df.select("doc_id", F.coalesce(*tries).alias("clave"), (F.size(long) > 0).alias("_long"))
+    return found.select("doc_id", "clave", (F.col("clave").isNull() & F.coalesce("_long", F.lit(False))).alias("sin_valida"))
+
+
+def _key_of_run(run: Column) -> Column:
+    """A run of 49 digits as it stands; of a longer one the first window with a valid check digit, else null."""
+    return F.when(F.length(run) == 49, run).otherwise(F.get(F.filter(key_windows(run), key_valid), F.lit(0)))
 
 
 def _ocr_text(c: Column) -> Column:
     return strip_zero_width(ocr_digits(c, "capture"))
 
 
+# Fixed values.
 _AUTH_HEADER = r"(?i)(?:N[ÚU]MER[O0]\s+DE\s+AUT[O0]R[I1]ZAC[I1][ÓO0]N|AUT[O0]R[I1]ZAC[I1][ÓO0]N|CLAVE\s+DE\s+ACCE[S5][O0])"
 #: what lies between runs of digits; up to two separators stay inside a run
 _BETWEEN_RUNS = r"[^\d\s\-.]+|[\s\-.]{3,}"
@@ -338,7 +349,7 @@ def sri_format_check(fields: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- amounts
 
 _M = r"[:\s]*\$?\s*([0-9]+[.,][0-9]{2})"
-# Amount patterns in order, with the range a value must fall in.
+# Amount patterns in order, with the usual range of a value.
 INVOICE_AMOUNTS = {
     "importeTotal": (0.1, 15000.0, [
         r"total\s*a\s*pagar" + _M, r"valor\s*total" + _M, r"importe\s*total" + _M, r"gran\s*total" + _M,
@@ -372,18 +383,28 @@ CAPTURE_AMOUNTS = {
 }
 
 
-def _in_range(lo: float, hi: float, value: Column) -> Column:
-    return F.when(value.between(lo, hi), value)
+def usual_ranges(amounts: dict) -> dict[str, tuple[float, float]]:
+    """The ranges that come with a table of amount patterns, for callers that want them as limits."""
+    return {name: (lo, hi) for name, (lo, hi, _) in amounts.items()}
+
+
+def _in_range(limits: tuple[float, float] | None, value: Column) -> Column:
+    return value if limits is None else F.when(value.between(*limits), value)
 
 
-def invoice_amounts(doc_text: DataFrame) -> DataFrame:
-    """Total, subtotal, VAT and discount: first pattern whose first hit lies in the allowed range."""
+def invoice_amounts(doc_text: DataFrame, limits: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """Total, subtotal, VAT and discount: the first hit of the first pattern that has one.
+
+    With `limits` (name to lowest and highest value) a hit outside them sends the search on to the next pattern. `fuera_de_rango` names
+    the amounts found that lie outside their usual range, in the order of the columns.
+    """
     df = doc_text.select("doc_id", strip_accents(F.col("text")).alias("_t"))
     cols = []
-    for name, (lo, hi, patterns) in INVOICE_AMOUNTS.items():
+    for name, (_, _, patterns) in INVOICE_AMOUNTS.items():
         values = [to_float(extract(F.col("_t"), "(?i)" + p)) for p in patterns]
-        cols.append(F.coalesce(*[let(v, partial(_in_range, lo, hi)) for v in values]).alias(name))
-    return df.select("doc_id", *cols)
+        cols.append(F.coalesce(*[let(v, partial(_in_range, (limits or {}).get(name))) for v in values]).alias(name))
+    unusual = [F.when(~F.col(name).between(lo, hi), F.lit(name)) for name, (lo, hi) in usual_ranges(INVOICE_AMOUNTS).items()]
+    return df.select("doc_id", *cols).withColumn("fuera_de_rango", F.array_compact(F.array(*unusual)))
 
 
 def capture_amounts(doc_text: DataFrame) -> DataFrame:
@@ -433,33 +454,26 @@ def _candidate(name: str, pattern_no: int, value: Column, hit: Column) -> Column
     return F.struct(F.lit(name).alias("concepto"), F.lit(pattern_no).alias("patron"), hit.alias("hit"), value.alias("valor"))
 
 
-def amount_candidates(doc_text: DataFrame) -> DataFrame:
-    """Every hit of the wide net that lies in its range: (doc_id, concepto, patron, hit, valor)."""
+def amount_candidates(doc_text: DataFrame, limits: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """Every hit of the wide net, or those within the given limits: (doc_id, concepto, patron, hit, valor)."""
     t = F.col("text")
     groups = []
-    for name, (lo, hi, patterns) in EXHAUSTIVE_AMOUNTS.items():
+    for name, (_, _, patterns) in EXHAUSTIVE_AMOUNTS.items():
         for i, p in enumerate(patterns):
             values = F.transform(extract_all(t, "(?im)" + p, 1), lambda v: as_double(F.replace(v, F.lit(","), F.lit("."))))
             groups.append(F.transform(values, partial(_candidate, name, i)))
-    limits = {n: (lo, hi) for n, (lo, hi, _) in EXHAUSTIVE_AMOUNTS.items()}
-    rows = doc_text.select("doc_id", F.explode(F.flatten(F.array(*groups))).alias("_c")).select("doc_id", "_c.*")
-    inside = F.lit(False)
-    for n, (lo, hi) in limits.items():
-        inside = inside | ((F.col("concepto") == n) & F.col("valor").between(lo, hi))
-    return rows.where(inside)
-
+    rows = doc_text.select("doc_id", F.explode(F.flatten(F.array(*groups))).alias("_c")).select("doc_id", "_c.*").where(F.col("valor").isNotNull())
+    for name, (lo, hi) in (limits or {}).items():
+        rows = rows.where((F.col("concepto") != name) | F.col("valor").between(lo, hi))
+    return rows
 
-def pick_first(candidates: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str) -> DataFrame:
-    """Best candidate per key by an ordering; a mergeable aggregate instead of a sorted window."""
-    return candidates.groupBy(*keys).agg(F.min_by(value, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])).alias(value))
 
-
-def exhaustive_amounts(doc_text: DataFrame) -> DataFrame:
+def exhaustive_amounts(doc_text: DataFrame, limits: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """Subtotal and VAT: first hit of the first matching pattern. Total: first pattern, largest value.
 
     Also the number of different total candidates and their spread.
     """
-    c = amount_candidates(doc_text)
+    c = amount_candidates(doc_text, limits)
     rank = F.struct(F.col("patron"), F.when(F.col("concepto") == "total", -F.col("valor")).otherwise(F.col("hit").cast("double")))
     best = c.groupBy("doc_id").agg(
         *[F.min_by(F.when(F.col("concepto") == n, F.col("valor")), F.when(F.col("concepto") == n, rank)).alias(n) for n in EXHAUSTIVE_AMOUNTS],
@@ -482,6 +496,7 @@ def infer_missing(subtotal: Column, iva: Column, total: Column) -> list[Column]:
 # ---------------------------------------------------------------- line items
 
 _N = r"(\d+(?:[.,]\d+)?)"
+# Fixed values.
 _SKIP_LINE = r"(?i)(DESCRIPCION|CANTIDAD|PRE\.?U|UNI|PRE\.?TOT|TOTAL|SUBTOTAL|IVA|TARIFA)"
 # Item line shapes in order, with the group of description, quantity, price and total.
 ITEM_SHAPES = [
@@ -520,6 +535,7 @@ def items_from_text(doc_text: DataFrame) -> DataFrame:
     return _explode_items(df, parsed)
 
 
+# Fixed values.
 _TABLE_HEAD = r"(?i)(DESCRIPCION|DESCRIPTION|DETALLE|CONCEPTO|PRODUCTO)"
 _TABLE_END = r"(?i)(SUBTOTAL|TOTAL|IVA|DESCUENTO|VALOR\s*TOTAL)"
 
@@ -535,8 +551,11 @@ def item_section(lines: Column) -> Column:
     )
 
 
-def items_from_ocr(doc_text: DataFrame) -> DataFrame:
-    """Items of recognised text by trailing decimals; a 10% mismatch takes the third number from the end."""
+def items_from_ocr(doc_text: DataFrame, most_unit: float | None = None, most_total: float | None = None) -> DataFrame:
+    """Items of recognised text by trailing decimals; a 10% mismatch takes the third number from the end.
+
+    `most_unit` and `most_total` leave lines of larger prices or totals out.
+    """
     df = doc_text.select("doc_id", item_section(lines_of(strip_accents(F.col("text")))).alias("_l"))
 
     def parse(x: Column, i: Column) -> Column:
@@ -551,7 +570,9 @@ def items_from_ocr(doc_text: DataFrame) -> DataFrame:
         desc = strip(F.regexp_replace(strip(head), r"[^\w\s]", " "))
         named = F.when(F.length(desc) < 3, F.concat(F.lit("Producto "), (i + 1).cast("string"))).otherwise(desc)
         skip = (F.length(x) < 5) | x.rlike(r"^[-=\s]+$") | x.rlike(r"(?i)(CANTIDAD|PRECIO|TOTAL|UNIDAD)") | (n < 2)
-        good = (at(-2) > 0) & (at(-1) > 0) & (unit > 0) & (unit <= 1000) & (at(-1) <= 10000)
+        good = (at(-2) > 0) & (at(-1) > 0) & (unit > 0)
+        for value, most in ((unit, most_unit), (at(-1), most_total)):
+            good = good if most is None else good & (value <= most)
         return F.when(~skip & good, _item(named, qty, F.bround(unit, 2), F.bround(at(-1), 2)))
 
     return _explode_items(df, F.filter(F.transform("_l", parse), lambda i: i.isNotNull()))
@@ -563,6 +584,7 @@ NOT_PRODUCTS = [
     "FECHA", "EMISION", "DIRECCION", "EMAIL", "DOCUMENTO", "DEDUCIBLE", "NOMBRE",
 ]
 _UP = "A-Za-zÁÉÍÓÚÑáéíóúñ"
+# Fixed values.
 _CODED = rf"^(\d{{2,}})\s+(\d+)\s+{_N}\s+(.+?)\s+{_N}\s+(?:{_N}\s+)?{_N}\s*$"
 _LOOSE = [
     (rf"^([{_UP}\s]+?)\s+{_N}\s+{_N}\s*$", True),
@@ -571,8 +593,8 @@ _LOOSE = [
 ]
 
 
-def items_from_capture(doc_text: DataFrame) -> DataFrame:
-    """Coded table lines of a photographed invoice; without any, description and price lines."""
+def items_from_capture(doc_text: DataFrame, most: float | None = None) -> DataFrame:
+    """Coded table lines of a photographed invoice; without any, description and price lines, of prices up to `most` if given."""
     df = doc_text.select("doc_id", lines_of(F.col("text")).alias("_l"))
     num = normalize_decimal
 
@@ -587,7 +609,7 @@ def items_from_capture(doc_text: DataFrame) -> DataFrame:
             first = num(g(2))
             last = num(g(3)) if two else first
             bad = (F.length(desc) < 5) | contains_any(F.upper(desc), NOT_PRODUCTS) | desc.endswith(":") | desc.endswith(".")
-            big = F.coalesce((first > 1000) | (last > 1000), F.lit(False))
+            big = F.lit(False) if most is None else F.coalesce((first > most) | (last > most), F.lit(False))
             return F.when(x.rlike(pattern) & ~bad & ~big, _item(desc, F.lit(1.0), first, F.coalesce(truthy(last), first)))
 
         return parse

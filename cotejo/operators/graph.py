@@ -2,10 +2,37 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cotejo.session import cut_lineage
 
+#: side of the blocks whose tiles one task connects
+BLOCK = 128
+
+
+def _block_labels(tiles: pa.Table) -> pa.Table:
+    """Names the connected groups of one block by their smallest tile: minima run along rows and columns until nothing changes."""
+    ty, tx = (tiles.column(c).to_numpy() for c in ("ty", "tx"))
+    y, x = ty - ty.min(), tx - tx.min()
+    none = np.iinfo(np.int64).max
+    order = np.argsort(ty.astype(np.int64) * (1 << 31) + tx, kind="stable")
+    label = np.full((y.max() + 1, x.max() + 1), none)
+    label[y[order], x[order]] = np.arange(len(order))
+    there = label < none
+    below, beside = there[1:] & there[:-1], there[:, 1:] & there[:, :-1]
+    while True:
+        before = label.copy()
+        for lines, joined in ((label, below), (label.T, beside.T)):
+            for i in [*range(1, len(lines)), *range(-2, -len(lines) - 1, -1)]:
+                last, both = (i - 1, joined[i - 1]) if i > 0 else (i + 1, joined[i + 1])
+                lines[i] = np.where(both, np.minimum(lines[i], lines[last]), lines[i])
+        if (before == label).all():
+            break
+    own = order[label[y, x]]
+    return tiles.append_column("ly", pa.array(ty[own])).append_column("lx", pa.array(tx[own]))
+
 
 def _roots(parents: DataFrame) -> DataFrame:
     """Follow parents to the end by doubling: each step halves the remaining distance."""
@@ -20,23 +47,25 @@ def _roots(parents: DataFrame) -> DataFrame:
             return parents
 
 
-def connected_tiles(flags: DataFrame) -> DataFrame:
+def connected_tiles(flags: DataFrame, block: int = BLOCK) -> DataFrame:
     """(image_id, ty, tx) of flagged tiles to their component, named by its smallest tile.
 
-    Contraction: every group hooks onto its smallest neighbouring group, chains are shortened by
-    doubling, and edges inside a group disappear. A tile has four neighbours at most, so no join key
-    is hot at the start, and the number of rounds grows with the logarithm of the grid, not with the
-    length of a group. Each round is a checkpoint in the shared folder.
+    Groups inside a block of tiles are named in one task each. Only tiles at block borders make edges, between groups, which are then
+    contracted: every group hooks onto its smallest neighbouring group, chains are shortened by doubling, and edges inside a group
+    disappear. Rounds grow with the logarithm of the number of blocks that a component crosses.
     """
-    node = F.col("ty").cast("bigint") * (1 << 31) + F.col("tx")
-    tiles = flags.select("image_id", "ty", "tx").distinct().withColumn("id", node)
-    steps = [(0, 1), (1, 0)]
+    node = lambda y, x: F.col(y).cast("bigint") * (1 << 31) + F.col(x)
+    kind = flags.schema["image_id"].dataType.simpleString()
+    tiles = flags.select("image_id", F.col("ty").cast("bigint").alias("ty"), F.col("tx").cast("bigint").alias("tx")).distinct()
+    at = [F.floor(F.col(c) / block).alias(f"b{c}") for c in ("ty", "tx")]
+    named = tiles.select("*", *at).groupBy("image_id", "bty", "btx").applyInArrow(_block_labels, f"image_id {kind}, ty bigint, tx bigint, bty bigint, btx bigint, ly bigint, lx bigint")
+    labels = cut_lineage(named.select("image_id", "ty", "tx", node("ly", "lx").alias("label")))
     edges = None
-    for dy, dx in steps:
-        other = tiles.select("image_id", (F.col("ty") - dy).alias("ty"), (F.col("tx") - dx).alias("tx"), F.col("id").alias("b"))
-        part = tiles.join(other, ["image_id", "ty", "tx"]).select("image_id", F.col("id").alias("a"), "b")
+    for dy, dx, axis in ((0, 1, "tx"), (1, 0, "ty")):
+        first = labels.where(F.pmod(F.col(axis), F.lit(block)) == block - 1).select("image_id", (F.col("ty") + dy).alias("ty"), (F.col("tx") + dx).alias("tx"), F.col("label").alias("a"))
+        second = labels.where(F.pmod(F.col(axis), F.lit(block)) == 0).withColumnRenamed("label", "b")
+        part = first.join(second, ["image_id", "ty", "tx"]).select("image_id", "a", "b").distinct()
         edges = part if edges is None else edges.unionByName(part)
-    labels = cut_lineage(tiles.withColumn("label", F.col("id")))
     edges = cut_lineage(edges)
     while not edges.isEmpty():
         both = edges.unionByName(edges.select("image_id", F.col("b").alias("a"), F.col("a").alias("b")))
@@ -44,7 +73,7 @@ def connected_tiles(flags: DataFrame) -> DataFrame:
         root = _roots(cut_lineage(hooks))
         labels = cut_lineage(
             labels.join(root.withColumnsRenamed({"a": "label", "p": "_root"}), ["image_id", "label"], "left").select(
-                "image_id", "ty", "tx", "id", F.coalesce("_root", "label").alias("label")
+                "image_id", "ty", "tx", F.coalesce("_root", "label").alias("label")
             )
         )
         side = lambda c: root.withColumnsRenamed({"a": c, "p": f"_{c}"})

@@ -174,20 +174,20 @@ def amount_stats(doc_text: DataFrame, most: float | None = None, most_total: flo
 # Scoring of the last lines, one rule set per profile.
 TAIL_PROFILES = {
     "posicion": {
-        "lines": 15, "pattern": r"(\d{1,4}[.,]\d{2})", "lo": 1.0, "hi": 10000.0, "base": 0,
+        "lines": 15, "lo": 1.0, "base": 0,
         "good": ["total", "valor", "importe", "pagar"], "bad": ["mg", "ml", "gr", "caps", "unidad"], "minimum": 20,
         "near_end": 30, "at_line_end": 20, "drop_bad": False,
     },
     "dirigida": {
-        "lines": 10, "pattern": r"(\d{1,3}[.,]\d{2})", "lo": 1.0, "hi": 100.0, "base": 100,
+        "lines": 10, "lo": 1.0, "base": 100,
         "good": ["total", "valor", "credito", "tarjeta"], "bad": ["caps", "mg", "spray", "gr", "comp", "recu"], "minimum": 0,
         "near_end": 0, "at_line_end": 0, "drop_bad": True,
     },
 }
 
 
-def tail_candidates(doc_text: DataFrame, profile: str = "posicion") -> DataFrame:
-    """Best amount of the last lines by context; the first of equal scores wins.
+def tail_candidates(doc_text: DataFrame, profile: str = "posicion", most: float | None = None) -> DataFrame:
+    """Best amount of the last lines by context; the first of equal scores wins. `most` leaves larger amounts out.
 
     Works on the array of lines inside the row, so nothing is shuffled.
     """
@@ -213,10 +213,10 @@ def tail_candidates(doc_text: DataFrame, profile: str = "posicion") -> DataFrame
             at_end = F.when(F.endswith(x, v), r["at_line_end"]).otherwise(0)
             return F.struct((-(score + at_end)).alias("rank"), i.alias("line"), k.alias("hit"), value.alias("valor"))
 
-        return F.transform(extract_all(x, r["pattern"], 1), one)
+        return F.transform(extract_all(x, r"(\d+[.,]\d{2})", 1), one)
 
     found = F.flatten(F.transform(F.slice("_l", first + 1, F.lit(r["lines"])), scored))
-    good = F.filter(found, lambda s: s["valor"].between(r["lo"], r["hi"]) & (-s["rank"] > r["minimum"]))
+    good = F.filter(found, lambda s: (s["valor"] >= r["lo"]) & (F.lit(True) if most is None else s["valor"] <= most) & (-s["rank"] > r["minimum"]))
     best = F.array_min(good)
     return df.select("doc_id", best["valor"].alias("total"), (-best["rank"]).alias("puntaje"))
 

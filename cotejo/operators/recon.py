@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import math
+from collections import deque
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from cotejo.functions.similarity import ratio_at_least
 from cotejo.functions.text import norm_desc, norm_name
-from cotejo.session import cut_lineage
 from cotejo.skew import first_by, spread
 
 QTY_EPS, PRICE_EPS, TOTAL_EPS, MATCH_THRESHOLD = 0.001, 0.01, 0.02, 0.60
-# lines of one invoice that meet in a task; longer invoices are worked off piece by piece
+# lines of one invoice that are settled in one row, and descriptions of a chunk of longer ones
 CHUNK = 256
 
 
@@ -63,15 +64,6 @@ def _numbered(items: DataFrame) -> DataFrame:
     return items.select("doc_id", F.col("item_no").cast("bigint").alias("no"), norm_name(F.col("descripcion")).alias("d"))
 
 
-def _packed(items: DataFrame, piece: str, name: str) -> DataFrame:
-    """Lines of a document in arrays of at most CHUNK; item numbers are positions, so ranges of them."""
-    return (
-        items.withColumn(piece, F.floor(F.col("no") / CHUNK))
-        .groupBy("doc_id", piece)
-        .agg(F.array_sort(F.collect_list(F.struct("no", "d"))).alias(name))
-    )
-
-
 def _scorer(threshold: float):
     """Ratio of two descriptions, -1 below the threshold; repeated pairs are answered from a bounded cache."""
     matcher = SequenceMatcher(None)
@@ -119,72 +111,100 @@ def _match_whole(threshold: float):
     return run
 
 
-def _top_candidates(threshold: float):
-    """Best CHUNK free PDF lines of one piece per SRI line: all that can matter for one SRI chunk."""
+def _edges(threshold: float):
+    """Pairs of different descriptions of two chunks that are similar enough: doc_id, a, b, ratio."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = _scorer(threshold)
         for batch in batches:
             out = []
             for doc, sri, pdf in zip(batch["doc_id"], batch["sri"], batch["pdf"]):
-                for no, ranked in _candidates(sri, pdf, score, CHUNK):
-                    out.extend((doc, no, r, n) for r, n in ranked)
-            yield pd.DataFrame(out, columns=["doc_id", "sri_no", "ratio", "pdf_no"])
+                out += [(doc, a, b, r) for a in sri for b in pdf if (r := score(a, b)) >= 0]
+            yield pd.DataFrame(out, columns=["doc_id", "a", "b", "ratio"])
 
     return run
 
 
-def _greedy(candidates: pd.DataFrame) -> pd.DataFrame:
-    """Each SRI line in order takes its best free PDF line; at most CHUNK x CHUNK rows."""
-    used: set[int] = set()
-    rows, done = [], None
-    ordered = candidates.sort_values(["sri_no", "ratio", "pdf_no"], ascending=[True, False, True])
-    for doc, no, r, n in ordered[["doc_id", "sri_no", "ratio", "pdf_no"]].itertuples(index=False):
-        if no != done and n not in used:
-            used.add(n)
-            rows.append((doc, no, n, r))
-            done = no
-    return pd.DataFrame(rows, columns=["doc_id", "sri_no", "pdf_no", "similitud"])
+def choose_in_order(edges: Iterable[tuple[str, str, float]], sri: Iterable[tuple[int, str]], pdf: Iterable[tuple[int, str]]) -> list[tuple[int, int, float]]:
+    """SRI lines in order take their best free PDF line, the first of equals: (sri_no, pdf_no, ratio).
+
+    Equal descriptions are one class: its PDF lines go in order, so a class is known by its next line. Every class of SRI lines keeps a
+    heap of the PDF classes that suit it; an entry whose line is gone goes back with the next line of its class, or falls out.
+    """
+    left: dict[str, deque[int]] = {}
+    for no, d in sorted(pdf):
+        left.setdefault(d, deque()).append(no)
+    heaps: dict[str, list] = {}
+    for a, b, r in edges:
+        if b in left:
+            heaps.setdefault(a, []).append((-r, left[b][0], b))
+    for h in heaps.values():
+        heapq.heapify(h)
+    out = []
+    for no, a in sorted(sri):
+        h = heaps.get(a, [])
+        while h:
+            r, n, b = h[0]
+            free = left[b]
+            if not free:
+                heapq.heappop(h)
+            elif free[0] != n:
+                heapq.heapreplace(h, (r, free[0], b))
+            else:
+                out.append((no, free.popleft(), -r))
+                break
+    return out
+
+
+def _fold(final: str):
+    columns = [c.split()[0] for c in final.split(", ")]
+
+    def run(edges: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
+        sides = [lines[lines["sri"]], lines[~lines["sri"]]]
+        pairs = choose_in_order(edges[["a", "b", "ratio"]].itertuples(index=False), *(x[["no", "d"]].itertuples(index=False, name=None) for x in sides))
+        rows = pd.DataFrame(pairs, columns=columns[1:])
+        rows.insert(0, "doc_id", lines["doc_id"].iloc[0] if len(lines) else None)
+        return rows
+
+    return run
+
+
+def _description_chunks(lines: DataFrame, name: str, threshold: float) -> DataFrame:
+    """Different descriptions of a document in arrays of about CHUNK, by length class: similar ones are in the same or the next class."""
+    step = math.log((2 - threshold) / threshold)
+    size = F.floor(F.log(F.greatest(F.length("d"), F.lit(1)).cast("double")) / step).cast("int")
+    d = lines.select("doc_id", "d").distinct().withColumn("size", size)
+    count = d.groupBy("doc_id", "size").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("_n"))
+    dealt = d.join(count, ["doc_id", "size"]).withColumn(f"_{name}", F.pmod(F.xxhash64("d"), F.col("_n")))
+    return dealt.groupBy("doc_id", "size", f"_{name}").agg(F.collect_list("d").alias(name))
 
 
 def match_items(sri_items: DataFrame, pdf_items: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
     """Greedy one-to-one match of lines by description: (doc_id, sri_no, pdf_no, similitud).
 
-    SRI lines choose in order, the first of equally good PDF lines wins. Documents of up to CHUNK
-    lines are settled in one pass over packed rows. Longer ones take one pass per SRI chunk: their
-    PDF lines are scored in parallel pieces, and because at most CHUNK lines choose in a pass, the
-    best CHUNK free candidates of a line are all that can matter. Exact for any length.
+    SRI lines choose in order of their numbers, the first of equally good PDF lines wins. Documents of up to CHUNK lines on both sides
+    are settled over packed rows. For longer ones the different descriptions of both sides are compared in chunks, spread over all
+    tasks, and the choices are made over classes of equal descriptions, document by document; what then meets in a task are the line
+    numbers of one document, whose size the document scan limits. Numbers may be of any size and leave gaps.
     """
     key = sri_items.schema["doc_id"].dataType.simpleString()
     final = f"doc_id {key}, sri_no bigint, pdf_no bigint, similitud double"
-    sri_lines, pdf = _numbered(sri_items), _numbered(pdf_items)
-    sri = _packed(sri_lines, "sri_chunk", "sri")
-    ends = sri_lines.agg(F.max("no").alias("s")).first()["s"], pdf.agg(F.max("no").alias("p")).first()["p"]
-    if None in ends:
-        return sri_lines.where("false").select("doc_id", F.col("no").alias("sri_no"), F.col("no").alias("pdf_no"), F.lit(0.0).alias("similitud"))
-    if max(ends) < CHUNK:
-        pairs = sri.join(_packed(pdf, "_piece", "pdf"), "doc_id").select("doc_id", "sri", "pdf")
-        return spread(pairs, ["doc_id"]).mapInPandas(_match_whole(threshold), final)
-    used, results = None, []
-    for n in range(ends[0] // CHUNK + 1):
-        chunk = sri.where(F.col("sri_chunk") == n)
-        free = pdf
-        if used is not None:
-            free = pdf.join(chunk.select("doc_id"), "doc_id", "left_semi").join(used, ["doc_id", "no"], "left_anti")
-        pairs = chunk.join(_packed(free, "_piece", "pdf"), "doc_id")
-        scored = spread(pairs, ["doc_id", "_piece"]).select("doc_id", "sri", "pdf").mapInPandas(
-            _top_candidates(threshold), f"doc_id {key}, sri_no bigint, ratio double, pdf_no bigint"
-        )
-        order = W.partitionBy("doc_id", "sri_no").orderBy(F.desc("ratio"), "pdf_no")
-        best = scored.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= CHUNK).drop("_r")
-        found = cut_lineage(best.groupBy("doc_id").applyInPandas(_greedy, final))
-        taken = found.select("doc_id", F.col("pdf_no").alias("no"))
-        used = taken if used is None else used.unionByName(taken)
-        results.append(found)
-    out = results[0]
-    for more in results[1:]:
-        out = out.unionByName(more)
-    return out
+    sri, pdf = _numbered(sri_items), _numbered(pdf_items)
+    both = sri.withColumn("sri", F.lit(True)).unionByName(pdf.withColumn("sri", F.lit(False)))
+    sizes = both.groupBy("doc_id").agg(F.count_if("sri").alias("_s"), F.count_if(~F.col("sri")).alias("_p"))
+    long = sizes.where(F.greatest("_s", "_p") > CHUNK).select("doc_id")
+
+    packed = lambda df, name: df.join(long, "doc_id", "left_anti").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("no", "d"))).alias(name))
+    pairs = packed(sri, "sri").join(packed(pdf, "pdf"), "doc_id").select("doc_id", "sri", "pdf")
+    short = spread(pairs, ["doc_id"]).mapInPandas(_match_whole(threshold), final)
+
+    lines = both.join(long, "doc_id", "left_semi")
+    a = _description_chunks(lines.where("sri"), "sri", threshold)
+    b = _description_chunks(lines.where(~F.col("sri")), "pdf", threshold).withColumn("size", F.explode(F.array([F.col("size") + i for i in (-1, 0, 1)])))
+    met = a.join(b, ["doc_id", "size"]).repartition("doc_id", "size", "_sri", "_pdf").select("doc_id", "sri", "pdf")
+    edges = met.mapInPandas(_edges(threshold), f"doc_id {key}, a string, b string, ratio double")
+    rest = edges.groupBy("doc_id").cogroup(lines.groupBy("doc_id")).applyInPandas(_fold(final), final)
+    return short.unionByName(rest)
 
 
 def diff_items(matches: DataFrame, sri_items: DataFrame, pdf_items: DataFrame) -> DataFrame:

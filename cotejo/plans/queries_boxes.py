@@ -111,17 +111,18 @@ SELECT c.doc_id, objetos, objetos / 2 AS objetos_por_pagina, coalesce(n, 0) AS s
 
 
 def q_label_amounts(spark, d):
-    """Prices as words, some of them labels for the amounts of their row."""
+    """Whole prices as words, every third with thousands marks, and some words as labels for the amounts of their row."""
     w = line_words(spark, d)
     labels = F.array(*[F.lit(x) for x in ("VALOR TOTAL", "TOTAL A PAGAR", "IMPORTE TO", "VALOR T")])
-    text = F.when(F.col("word_no") % 9 < 4, F.get(labels, (F.col("word_no") % 9).cast("int"))).otherwise(F.regexp_replace("text", r"(\d{3})\.", ".$1."))
-    return boxes.label_amounts(w.withColumn("text", F.when(F.col("word_no") % 9 < 4, text).otherwise(F.concat(F.col("flag"), F.lit("-"), F.substring("text", -6, 6)))))
+    k = F.col("word_no")
+    price = F.when(k % 3 == 0, F.format_number(F.col("text").cast("double"), 2)).otherwise(F.col("text"))
+    return boxes.label_amounts(w.withColumn("text", F.when(k % 9 < 4, F.get(labels, (k % 9).cast("int"))).otherwise(F.concat(F.col("flag"), F.lit("-"), price))))
 
 
 SQL["label_amounts"] = rf"""WITH {WORDS_SQL}, w AS (
-  SELECT words.doc_id, word_no, words.x0, (y0 + y1) / 2 AS yc, word_no % 9 AS k, right(printf('%.2f', l_extendedprice), 6) AS t
+  SELECT words.doc_id, word_no, words.x0, (y0 + y1) / 2 AS yc, word_no % 9 AS k, l_extendedprice AS v
   FROM words JOIN lineitem ON l_orderkey = doc_id AND l_partkey * 1000000 + l_suppkey * 100 + l_linenumber = word_no
-), a AS (SELECT *, CAST(regexp_extract(t, '(\d{{1,3}}(?:[.,]\d{{2}})?)', 1) AS DOUBLE) AS v FROM w WHERE k >= 4),
+), a AS (SELECT * FROM w WHERE k >= 4),
 l AS (SELECT *, CASE k WHEN 0 THEN 100 WHEN 1 THEN 90 WHEN 2 THEN 80 ELSE 70 END AS p FROM w WHERE k < 4),
 j AS (
   SELECT l.doc_id, l.word_no AS lno, l.p, a.v, a.x0, row_number() OVER (PARTITION BY l.doc_id, l.word_no ORDER BY a.x0 DESC, a.word_no) AS r
@@ -287,6 +288,72 @@ SQL["item_recon_unmatched"] = """WITH s AS (SELECT l_orderkey AS doc_id, l_partk
 SELECT doc_id, item_no, 'no_encontrado_en_pdf' AS match FROM s WHERE NOT (item_no % 2 = 0 AND p % 9 > 0) UNION ALL SELECT doc_id, item_no, 'no_encontrado_en_sri' FROM s WHERE p % 9 > 0 AND item_no % 2 = 1"""
 
 
+def _letter_sides(spark, d):
+    """Order lines with sparse numbers and descriptions of one letter, so that lengths alone give the similarity of a pair.
+
+    The printed side drops some lines, lengthens some descriptions and edits quantities and totals.
+    """
+    p = F.col("l_partkey")
+    no = p * 1000000 + F.col("l_suppkey") * 100 + F.col("l_linenumber")
+    word = lambda n: F.expr(f"repeat(substr('ABCDE', cast(l_partkey % 5 + 1 as int), 1), cast({n} as int))")
+    li = table(spark, d, "lineitem")
+    line = lambda text, qty, total: li.select(F.col("l_orderkey").alias("doc_id"), no.alias("item_no"), text.alias("descripcion"), qty.alias("cantidad"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("precio_unitario"), total.alias("precio_total"), p.alias("_p"))
+    sri = line(word("4 + l_partkey % 7"), F.col("l_quantity"), F.col("l_extendedprice"))
+    pdf = line(word("4 + l_partkey % 7 + case when l_partkey % 4 = 0 then 2 else 0 end"), F.col("l_quantity") + F.when(p % 5 == 0, 1).otherwise(0), F.col("l_extendedprice") + F.when(p % 6 == 0, 0.5).otherwise(0.0))
+    return sri.drop("_p"), pdf.where(F.col("_p") % 9 > 0).drop("_p")
+
+
+_LETTERS_SQL = """s AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS i FROM (
+    SELECT l_orderkey AS doc_id, l_partkey * 1000000 + l_suppkey * 100 + l_linenumber AS no, l_partkey % 5 AS c, 4 + l_partkey % 7 AS n, l_quantity AS q, l_extendedprice / l_quantity AS u, l_extendedprice AS t FROM lineitem)
+), p AS (
+  SELECT l_orderkey AS doc_id, l_partkey * 1000000 + l_suppkey * 100 + l_linenumber AS no, l_partkey % 5 AS c, 4 + l_partkey % 7 + CASE WHEN l_partkey % 4 = 0 THEN 2 ELSE 0 END AS n,
+    l_quantity + CASE WHEN l_partkey % 5 = 0 THEN 1 ELSE 0 END AS q, l_extendedprice / l_quantity AS u, l_extendedprice + CASE WHEN l_partkey % 6 = 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS t FROM lineitem WHERE l_partkey % 9 > 0
+), pl AS (SELECT doc_id, list({'no': no, 'c': c, 'n': n}) AS l FROM p GROUP BY 1),
+g(doc_id, i, used, sno, pno, r) AS (
+  SELECT DISTINCT doc_id, 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE FROM s
+  UNION ALL
+  SELECT doc_id, i, CASE WHEN b IS NULL THEN used ELSE list_append(used, b.no) END, sno, b.no, -b.r FROM (
+    SELECT g.doc_id, s.i, g.used, s.no AS sno, list_sort(list_transform(
+      list_filter(coalesce(pl.l, []), lambda x: x.c = s.c AND NOT list_contains(g.used, x.no) AND 2.0::DOUBLE * least(x.n, s.n) / (x.n + s.n) >= 0.6::DOUBLE),
+      lambda x: {'r': -2.0::DOUBLE * least(x.n, s.n) / (x.n + s.n), 'no': x.no}))[1] AS b
+    FROM g JOIN s ON s.doc_id = g.doc_id AND s.i = g.i + 1 LEFT JOIN pl ON pl.doc_id = g.doc_id)
+), m AS (SELECT doc_id, sno, pno, r FROM g WHERE pno IS NOT NULL)"""
+
+
+def q_letter_match(spark, d):
+    sri, pdf = _letter_sides(spark, d)
+    return recon.match_items(sri, pdf).select("doc_id", "sri_no", "pdf_no", F.round("similitud", 6).alias("similitud"))
+
+
+SQL["letter_match"] = f"WITH RECURSIVE {_LETTERS_SQL} SELECT doc_id, sno AS sri_no, pno AS pdf_no, round(r, 6) AS similitud FROM m"
+
+
+def q_reconciliation(spark, d):
+    """Header differences, matched and unmatched lines, item totals and the verdict of every order."""
+    sri, pdf = _letter_sides(spark, d)
+    headers_pdf, headers_sri = _headers(spark, d)
+    matches = recon.match_items(sri, pdf)
+    differing = recon.diff_items(matches, sri, pdf)
+    loose = recon.unmatched_items(matches, sri, pdf)
+    both = sri.withColumn("source", F.lit("sri")).unionByName(pdf.withColumn("source", F.lit("pdf")))
+    docs = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    headers = recon.reconcile_headers(headers_pdf, headers_sri.drop("_k")).withColumn("clave", F.col("clave").cast("bigint"))
+    return recon.coincidence(docs, headers, differing, loose, finance.item_total_difference(both))
+
+
+SQL["reconciliation"] = f"""WITH RECURSIVE {_LETTERS_SQL},
+h AS (SELECT CAST(clave AS BIGINT) AS doc_id, count(*) AS n FROM ({SQL["header_recon"]}) GROUP BY 1),
+x AS (SELECT m.doc_id, count(*) AS n FROM m JOIN s ON s.doc_id = m.doc_id AND s.no = sno JOIN p ON p.doc_id = m.doc_id AND p.no = pno
+  WHERE abs(s.q - p.q) > 0.001 OR abs(s.u - p.u) > 0.01 OR abs(s.t - p.t) > 0.02 GROUP BY 1),
+lo AS (SELECT doc_id, count(*) AS n FROM (
+  SELECT doc_id, no FROM s ANTI JOIN m ON m.doc_id = s.doc_id AND m.sno = s.no UNION ALL SELECT doc_id, no FROM p ANTI JOIN m ON m.doc_id = p.doc_id AND m.pno = p.no) GROUP BY 1),
+t AS (SELECT doc_id, coalesce(abs(round(sum(a), 2) - round(sum(b), 2)) > 0.02, false) AS d FROM (SELECT doc_id, t AS a, NULL AS b FROM s UNION ALL SELECT doc_id, NULL, t FROM p) GROUP BY 1),
+v AS (SELECT o_orderkey AS doc_id, coalesce(h.n, 0) AS n_campos, coalesce(x.n, 0) AS n_lineas, coalesce(lo.n, 0) AS n_sueltas, coalesce(t.d, false) AS difiere
+  FROM orders LEFT JOIN h ON h.doc_id = o_orderkey LEFT JOIN x ON x.doc_id = o_orderkey LEFT JOIN lo ON lo.doc_id = o_orderkey LEFT JOIN t ON t.doc_id = o_orderkey)
+SELECT *, n_campos + n_lineas + n_sueltas = 0 AND NOT difiere AS coincide FROM v"""
+
+
 def q_dedupe_items(spark, d):
     """Items with repeated part and quantity collapsed to the first."""
     i = invoice_items(spark, d).withColumn("cantidad", F.floor(F.col("cantidad") / 10)).withColumn("precio_unitario", F.lit(1.0)).withColumn("precio_total", F.lit(2.0))

@@ -208,16 +208,16 @@ SELECT image_id, n AS comparaciones, round(mu, 6) AS media, round(sd, 6) AS desv
 
 
 def _flags(spark, d):
-    e = table(spark, d, "events").where("value > 130")
+    """Every event is a flagged tile: 640 events to an image, its row by value."""
     k = F.col("event_id")
-    return e.select((F.col("user_id") % 10).alias("image_id"), (F.floor(k / 40) % 25).cast("int").alias("ty"), (k % 40).cast("int").alias("tx"))
+    return table(spark, d, "events").select(F.floor(k / 640).alias("image_id"), F.floor(F.col("value") / 4).cast("int").alias("ty"), (k % 64).cast("int").alias("tx"))
 
 
 def q_tile_clusters(spark, d):
     return _round(graph.tile_clusters(_flags(spark, d), 4), 4)
 
 
-_FLAGS = "f AS (SELECT DISTINCT user_id % 10 AS image_id, event_id // 40 % 25 AS ty, event_id % 40 AS tx FROM events WHERE value > 130)"
+_FLAGS = "f AS (SELECT DISTINCT event_id // 640 AS image_id, CAST(floor(value / 4) AS BIGINT) AS ty, event_id % 64 AS tx FROM events)"
 SQL["tile_clusters"] = f"""WITH RECURSIVE {_FLAGS}, n AS (SELECT *, ty * 2147483648 + tx AS id FROM f), e AS (SELECT a.image_id, a.id AS a, b.id AS b FROM n a JOIN n b ON a.image_id = b.image_id AND abs(a.ty - b.ty) + abs(a.tx - b.tx) = 1),
 r(image_id, id, root) AS (SELECT image_id, id, id FROM n UNION SELECT r.image_id, e.b, r.root FROM r JOIN e ON e.image_id = r.image_id AND e.a = r.id),
 l AS (SELECT image_id, id, min(root) AS c FROM r GROUP BY 1, 2), g AS (SELECT image_id, c, count(*) AS k, min(tx) AS x0, min(ty) AS y0, max(tx) + 1 AS x1, max(ty) + 1 AS y1 FROM l JOIN n USING (image_id, id) GROUP BY 1, 2)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cotejo.functions import dates, ids, numbers, text as tx
 from cotejo.functions.hashes import digests, hash_consistency
 from cotejo.operators import extract, finance, lines as ln
-from cotejo.plans.derived import KEYS_SQL, MOD11_SQL, TEXTS_SQL, access_keys, invoice_texts, table
+from cotejo.plans.derived import ITEMS_SQL, KEYS_SQL, LINES_SQL, MOD11_SQL, TEXTS_SQL, access_keys, invoice_items, invoice_texts, table
 from cotejo.skew import at_least_parallel
 
 Q, SQL = {}, {}
@@ -96,15 +96,15 @@ SQL["tail_candidates"] = rf"""WITH {KEYS_SQL}, {TEXTS_SQL}, l AS (
 ), e AS (
   SELECT doc_id, i, ls[CAST(i AS INT)] AS line, len(ls) AS n FROM l, range(1, 100) r(i) WHERE i <= len(ls) AND i > len(ls) - 15
 ), c AS (
-  SELECT doc_id, i, n, line, unnest(regexp_extract_all(line, '\d{{1,4}}[.,]\d{{2}}')) AS m,
-         generate_subscripts(regexp_extract_all(line, '\d{{1,4}}[.,]\d{{2}}'), 1) AS h FROM e
+  SELECT doc_id, i, n, line, unnest(regexp_extract_all(line, '\d+[.,]\d{{2}}')) AS m,
+         generate_subscripts(regexp_extract_all(line, '\d+[.,]\d{{2}}'), 1) AS h FROM e
 ), s AS (
   SELECT *, CAST(replace(m, ',', '.') AS DOUBLE) AS v,
          CASE WHEN regexp_matches(lower(line), 'total|valor|importe|pagar') THEN 50 ELSE 0 END
          + CASE WHEN i - 1 >= n - 5 THEN 30 ELSE 0 END + CASE WHEN ends_with(line, m) THEN 20 ELSE 0 END
          - CASE WHEN regexp_matches(lower(line), 'mg|ml|gr|caps|unidad') THEN 50 ELSE 0 END AS score FROM c
 ), b AS (SELECT doc_id, v, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i, h) AS r
-         FROM s WHERE v BETWEEN 1 AND 10000 AND score > 20)
+         FROM s WHERE v >= 1 AND score > 20)
 SELECT t.doc_id, v AS total, score AS puntaje FROM texts t LEFT JOIN b ON b.doc_id = t.doc_id AND r = 1"""
 
 
@@ -136,21 +136,19 @@ FROM a GROUP BY doc_id"""
 
 
 def q_consolidated_totals(spark, d):
-    """Labelled text amounts consolidated without fields or lines, then checked against the formula."""
-    texts = invoice_texts(spark, d)
+    """Labelled text amounts, and the lines of the order where the text names no subtotal, consolidated and checked against the formula."""
+    texts = invoice_texts(spark, d).withColumn("text", F.when(F.col("doc_id") % 3 == 1, F.replace("text", F.lit("SUBTOTAL SIN IMPUESTOS"), F.lit("VARIOS"))).otherwise(F.col("text")))
     fields = texts.select("doc_id", F.create_map(F.lit("propina"), F.when(F.col("doc_id") % 2 == 0, "0,50").otherwise("x")).alias("fields"))
-    empty = table(spark, d, "lineitem").where("false").select(
-        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("bigint").alias("item_no"), F.lit("").alias("descripcion"),
-        *[F.col("l_quantity").alias(n) for n in ("cantidad", "precio_unitario", "descuento", "precio_total", "iva", "tarifa")],
-    )
-    out = finance.consolidate_totals(fields, ln.label_next_lines(texts), empty)
-    return out.select("doc_id", "subtotal", "iva", "propina", "total_declarado")
+    out = finance.consolidate_totals(fields, ln.label_next_lines(texts), invoice_items(spark, d))
+    return out.select("doc_id", F.round("subtotal", 2).alias("subtotal"), "iva", "propina", "total_declarado")
 
 
 SQL["consolidated_totals"] = (
     SQL["label_next_lines"].replace("SELECT doc_id,\n  arg_min", ", x AS (SELECT doc_id,\n  arg_min", 1)
-    + """), y AS (SELECT doc_id, coalesce(nullif(subtotal_sin_impuestos, 0), 0) AS s, coalesce(nullif(iva_15, 0), 0) AS i,
-  CASE WHEN doc_id % 2 = 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS p, valor_total AS vt, forma_pago_valor AS fp FROM x)
+    .replace("AS ls FROM texts", "AS ls FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN replace(text, 'SUBTOTAL SIN IMPUESTOS', 'VARIOS') ELSE text END AS text FROM texts)")
+    + f"""), {ITEMS_SQL}, {LINES_SQL}, z AS (SELECT doc_id, round(sum(base_calc) FILTER (ok), 2) AS calc FROM status GROUP BY 1),
+y AS (SELECT x.doc_id, round(coalesce(nullif(subtotal_sin_impuestos, 0), nullif(calc, 0), 0), 2) AS s, coalesce(nullif(iva_15, 0), 0) AS i,
+  CASE WHEN x.doc_id % 2 = 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS p, valor_total AS vt, forma_pago_valor AS fp FROM x LEFT JOIN z USING (doc_id))
 SELECT doc_id, s AS subtotal, i AS iva, p AS propina,
        CASE WHEN abs(vt - (s + i + p)) <= 0.25 THEN vt WHEN abs(fp - (s + i + p)) <= 0.25 THEN fp
             WHEN vt IS NOT NULL AND fp IS NULL THEN vt WHEN fp IS NOT NULL AND vt IS NULL THEN fp
@@ -173,20 +171,23 @@ SELECT doc_id, regexp_extract(text, '(?i)\bRUC[:\s]*([0-9]{{13}})\b', 1) AS ruc,
 
 
 def q_invoice_amounts(spark, d):
-    return extract.invoice_amounts(invoice_texts(spark, d))
+    return extract.invoice_amounts(invoice_texts(spark, d)).withColumn("fuera_de_rango", F.array_join("fuera_de_rango", ","))
 
 
 _AMT = r"[:\s]*\$?\s*([0-9]+[.,][0-9]{2})"
 _first = lambda p: f"TRY_CAST(replace(regexp_extract(t, '(?i){p}', 1), ',', '.') AS DOUBLE)"
 
 
-def _coalesced(patterns, lo, hi):
-    return "coalesce(" + ", ".join(f"CASE WHEN {_first(p)} BETWEEN {lo} AND {hi} THEN {_first(p)} END" for p in patterns) + ")"
+def _coalesced(patterns):
+    return "coalesce(" + ", ".join(_first(p) for p in patterns) + ")"
 
 
-SQL["invoice_amounts"] = f"WITH {KEYS_SQL}, {TEXTS_SQL}, s AS (SELECT doc_id, strip_accents(text) AS t FROM texts) SELECT doc_id, " + ", ".join(
-    f'{_coalesced(patterns, lo, hi)} AS "{name}"' for name, (lo, hi, patterns) in extract.INVOICE_AMOUNTS.items()
-) + " FROM s"
+SQL["invoice_amounts"] = f"WITH {KEYS_SQL}, {TEXTS_SQL}, s AS (SELECT doc_id, strip_accents(text) AS t FROM texts), a AS (SELECT doc_id, " + ", ".join(
+    f'{_coalesced(patterns)} AS "{name}"' for name, (_, _, patterns) in extract.INVOICE_AMOUNTS.items()
+) + """ FROM s)
+SELECT *, array_to_string(list_filter([
+  CASE WHEN "importeTotal" NOT BETWEEN 0.1 AND 15000 THEN 'importeTotal' END, CASE WHEN subtotal NOT BETWEEN 0.1 AND 10000 THEN 'subtotal' END,
+  CASE WHEN iva NOT BETWEEN 0 AND 5000 THEN 'iva' END, CASE WHEN descuento NOT BETWEEN 0 AND 1000 THEN 'descuento' END], lambda x: x IS NOT NULL), ',') AS fuera_de_rango FROM a"""
 
 
 def q_exhaustive_amounts(spark, d):
@@ -255,7 +256,7 @@ SELECT a.doc_id, array_to_string(c, ',') AS cedulas, array_to_string(r, ',') AS
 
 
 def q_access_key(spark, d):
-    return extract.access_key(invoice_texts(spark, d))
+    return extract.access_key(invoice_texts(spark, d)).select("doc_id", "clave")
 
 
 SQL["access_key"] = rf"WITH {KEYS_SQL}, {TEXTS_SQL} SELECT doc_id, nullif(regexp_extract(text, '(\d{{49}})', 1), '') AS clave FROM texts"

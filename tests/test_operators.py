@@ -37,7 +37,7 @@ def test_match_items_equals_the_greedy_loop(spark, monkeypatch):
     a, b = spark.createDataFrame(sri, cols), spark.createDataFrame(pdf, cols)
     one_pass = {(r["doc_id"], r["sri_no"], r["pdf_no"]) for r in recon.match_items(a, b).collect()}
     assert one_pass == want
-    # tiny pieces force the several-pass path
+    # tiny pieces make every document a long one
     monkeypatch.setattr(recon, "CHUNK", 4)
     assert {(r["doc_id"], r["sri_no"], r["pdf_no"]) for r in recon.match_items(a, b).collect()} == want
     left = recon.unmatched_items(recon.match_items(a, b), a, b)
@@ -311,3 +311,72 @@ def test_keys_glued_to_other_digits(spark):
     assert ocr == {1: (key, False), 2: (key, False), 3: (key, False), 4: (None, True), 6: (None, False), 7: (None, False)}
     form = {r.doc_id: (r.clave, r.sin_valida) for r in extract.access_key_form(df.where("doc_id NOT IN (3, 5)")).collect()}
     assert form[1] == form[2] == (key, False) and form[6] == form[7] == (None, False)
+
+
+def test_amounts_beyond_the_usual_ranges_come_out(spark):
+    text = "SUBTOTAL: 18000.00\nIVA: 6000.00\nDESCUENTO: 2000.00\nTOTAL A PAGAR: 20000.00"
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    a = extract.invoice_amounts(df).first()
+    assert (a["importeTotal"], a["subtotal"], a["iva"], a["descuento"]) == (20000.0, 18000.0, 6000.0, 2000.0)
+    assert a["fuera_de_rango"] == ["importeTotal", "subtotal", "iva", "descuento"]
+    limited = extract.invoice_amounts(df, extract.usual_ranges(extract.INVOICE_AMOUNTS)).first()
+    assert (limited["importeTotal"], limited["subtotal"], limited["fuera_de_rango"]) == (None, None, [])
+    e = extract.exhaustive_amounts(df).first()
+    assert (e["total"], e["subtotal"], e["iva"]) == (20000.0, 18000.0, 6000.0)
+    assert extract.exhaustive_amounts(df, extract.usual_ranges(extract.EXHAUSTIVE_AMOUNTS)).first()["iva"] is None
+    last = spark.createDataFrame([(1, "GRACIAS\nVALOR TOTAL: 20000.00\nentrega 12.50")], "doc_id bigint, text string")
+    for profile in ("posicion", "dirigida"):
+        assert lines.tail_candidates(last, profile).first()["total"] == 20000.0
+        assert lines.tail_candidates(last, profile, most=100.0).first()["total"] == 12.5
+
+
+def test_items_of_any_price(spark):
+    ocr = spark.createDataFrame([(1, "DESCRIPCION\n2 BOMBA HIDRAULICA 7500.00 15000.00\nSUBTOTAL 15000.00")], "doc_id bigint, text string")
+    assert [(r["precio_unitario"], r["precio_total"]) for r in extract.items_from_ocr(ocr).collect()] == [(7500.0, 15000.0)]
+    assert extract.items_from_ocr(ocr, most_unit=1000.0).count() == 0 and extract.items_from_ocr(ocr, most_total=10000.0).count() == 0
+    photo = spark.createDataFrame([(1, "MOTOR ELECTRICO 2500.00")], "doc_id bigint, text string")
+    assert {r["precio_total"] for r in extract.items_from_capture(photo).collect()} == {2500.0}
+    assert extract.items_from_capture(photo, most=1000.0).count() == 0
+
+
+def test_label_amount_reads_whole_numbers(spark):
+    words = [(1, 1, 1, 0.0, 0.0, 9.0, 9.0, "VALOR TOTAL"), (1, 1, 2, 50.0, 0.0, 60.0, 9.0, "18000.00"), (2, 1, 1, 0.0, 0.0, 9.0, 9.0, "VALOR TOTAL"), (2, 1, 2, 50.0, 0.0, 60.0, 9.0, "234,567.89")]
+    df = spark.createDataFrame(words, "doc_id bigint, page int, word_no bigint, x0 double, y0 double, x1 double, y1 double, text string")
+    assert {r["doc_id"]: r["valor_total"] for r in boxes.label_amounts(df).collect()} == {1: 18000.0, 2: 234567.89}
+
+
+def test_key_inside_a_longer_run(spark):
+    key = "0807202501179071031900120262000000213845658032318"
+    texts = [(1, f"N {key}"), (2, f"77{key}5"), (3, "9" * 60), (4, "nothing"), (5, "1" * 49)]
+    got = {r["doc_id"]: (r["clave"], r["sin_valida"]) for r in extract.access_key(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert got == {1: (key, False), 2: (key, False), 3: (None, True), 4: (None, False), 5: ("1" * 49, False)}
+
+
+def test_components_across_blocks(spark):
+    snake = {(y, x) for y in range(0, 40, 2) for x in range(40)} | {(y, 39 if y % 4 == 1 else 0) for y in range(1, 39, 2)}  # one chain of over 800 tiles
+    rows = [(1, y, x) for y, x in snake] + [(2, -3, -3), (2, -2, -3), (2, 500, 500)]
+    df = spark.createDataFrame(rows, "image_id bigint, ty int, tx int")
+    for block in (4, 128):
+        got = {(r["image_id"], r["ty"], r["tx"]): r["component"] for r in graph.connected_tiles(df, block).collect()}
+        assert len(got) == len(rows) and {c for k, c in got.items() if k[0] == 1} == {0}
+        assert got[2, -3, -3] == got[2, -2, -3] == -3 * (1 << 31) - 3 and got[2, 500, 500] == 500 * (1 << 31) + 500
+
+
+def test_matching_of_long_documents_and_sparse_numbers(spark):
+    words = ["tornillo", "tornillo largo", "tuerca", "arandela plana", "arandela"]
+    sri = [(1, i * 10**12 + 5, RNG.choice(words)) for i in range(400)] + [(2, 10**15, "tuerca")]
+    pdf = [(1, i * 10**11 - 7, RNG.choice(words) + RNG.choice(["", " x"])) for i in range(390)] + [(2, -5, "tuercas"), (3, 1, "sola")]
+    want, used = set(), set()
+    for d, no, text in sorted(sri):
+        best, score = None, -1.0
+        for e, k, other in sorted(pdf):
+            if e == d and (e, k) not in used:
+                r = SequenceMatcher(None, text.upper(), other.upper()).ratio()
+                if r > score:
+                    best, score = k, r
+        if best is not None and score >= 0.6:
+            used.add((d, best))
+            want.add((d, no, best, round(score, 9)))
+    cols = "doc_id bigint, item_no bigint, descripcion string"
+    got = recon.match_items(spark.createDataFrame(sri, cols), spark.createDataFrame(pdf, cols)).collect()
+    assert {(r["doc_id"], r["sri_no"], r["pdf_no"], round(r["similitud"], 9)) for r in got} == want and len(got) == len(want)
