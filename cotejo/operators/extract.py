@@ -73,8 +73,9 @@ def access_key(doc_text: DataFrame) -> DataFrame:
 
 
 def _key_of_run(run: Column) -> Column:
-    """A run of 49 digits as it stands; of a longer one the first window with a valid check digit, else null."""
-    return F.when(F.length(run) == 49, run).otherwise(F.get(F.filter(key_windows(run), key_valid), F.lit(0)))
+    """A run of 49 digits as it stands; of a longer one a window with a valid check digit, dated ones first, else null."""
+    valid = F.filter(key_windows(run), key_valid)
+    return F.when(F.length(run) == 49, run).otherwise(let(valid, lambda v: F.coalesce(first_dated(v), F.get(v, F.lit(0)))))
 
 
 def _ocr_text(c: Column) -> Column:
