@@ -1,8 +1,9 @@
 """Joins of boxes on a page: overlaps, covers, labels and their amounts; layout statistics.
 
-Boxes meet through the grid cells they touch, so a page is many small equal joins rather than one
-all-against-all loop. A pair that shares several cells is kept only in the cell that holds the
-lower corner of its intersection, so no de-duplication step is needed.
+Boxes meet through the cells of a grid of several levels: a box belongs to the level whose cells are as large as it, so it touches a
+few cells however large it is, and is looked up in the coarser levels that occur. A cell with many boxes is dealt to several tasks. A
+pair that shares several cells is kept only in the cell that holds the lower corner of its intersection, so no de-duplication step is
+needed.
 """
 
 from __future__ import annotations
@@ -27,39 +28,66 @@ def _prefixed(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
     return df.select(*keys, *[F.col(c).alias(f"{prefix}{c}") for c in df.columns if c not in keys])
 
 
-def _cells(df: DataFrame, p: str, cell: float) -> DataFrame:
-    """One row per grid cell a box touches; a box wider than its page side is still finite work."""
-    span = lambda a, b: F.sequence(F.floor(F.col(p + a) / cell), F.floor(F.greatest(F.col(p + a), F.col(p + b)) / cell))
+#: boxes of one cell that one task compares with those of the other table
+CROWD = 4096
+_MOST_LEVELS = 60
+
+
+def _leveled(df: DataFrame, p: str, cell: float) -> DataFrame:
+    """With `_own`, the level whose cells are as large as the box."""
+    side = F.greatest(F.col(f"{p}x1") - F.col(f"{p}x0"), F.col(f"{p}y1") - F.col(f"{p}y0"), F.lit(cell)) / cell
+    return df.withColumn("_own", F.least(F.ceil(F.log2(side)), F.lit(_MOST_LEVELS)).cast("int"))
+
+
+def _in_cells(df: DataFrame, p: str, cell: float, levels: Column) -> DataFrame:
+    """One row for every cell that a box touches in its own level and in the coarser ones that occur: `_level`, `_cell`."""
+    rows = df.withColumn("_level", F.explode(levels)).where(F.col("_level") >= F.col("_own"))
+    size = F.pow(F.lit(2.0), F.col("_level")) * cell
+    span = lambda a, b: F.sequence(F.floor(F.col(p + a) / size), F.floor(F.greatest(F.col(p + a), F.col(p + b)) / size))
     both = F.flatten(F.transform(span("x0", "x1"), lambda x: F.transform(span("y0", "y1"), lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
-    return df.withColumn("_cell", F.explode(both))
+    return rows.withColumn("_cell", F.explode(both))
+
+
+def _met_in_cells(a: DataFrame, b: DataFrame, keys: Sequence[str], cell: float, crowd: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both tables by cells, and the columns to join on. Crowded cells of `b` are dealt by hash, with those of `a` in each part."""
+    left, right = _leveled(_prefixed(a, keys, "a_"), "a_", cell), _leveled(_prefixed(b, keys, "b_"), "b_", cell)
+    levels = left.select("_own").unionByName(right.select("_own")).agg(F.collect_set("_own").alias("l")).scalar()
+    left, right = _in_cells(left, "a_", cell, levels).withColumnRenamed("_own", "_a"), _in_cells(right, "b_", cell, levels).withColumnRenamed("_own", "_b")
+    at = [*keys, "_level", "_cell"]
+    full = right.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowd).withColumn("_n", F.ceil(F.col("_n") / crowd).cast("int"))
+    parts = F.coalesce("_n", F.lit(1))
+    mine = [c for c in right.columns if c.startswith("b_")]
+    right = right.join(full, at, "left").withColumn("_part", F.pmod(F.xxhash64(*mine), parts).cast("int")).drop("_n")
+    left = left.join(full, at, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_n")
+    return left, right, [*at, "_part"]
 
 
-def box_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], cell: float = 64.0) -> DataFrame:
+def box_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], cell: float = 64.0, crowd: int = CROWD) -> DataFrame:
     """Pairs of touching boxes of two tables that agree on `keys`; columns prefixed a_ and b_."""
-    left = _cells(_prefixed(a, keys, "a_"), "a_", cell)
-    right = _cells(_prefixed(b, keys, "b_"), "b_", cell)
-    corner = lambda axis: F.floor(F.greatest(F.col(f"a_{axis}0"), F.col(f"b_{axis}0")) / cell)
+    left, right, at = _met_in_cells(a, b, keys, cell, crowd)
+    corner = lambda axis: F.floor(F.greatest(F.col(f"a_{axis}0"), F.col(f"b_{axis}0")) / (F.pow(F.lit(2.0), F.col("_level")) * cell))
     touching = (
         (F.col("a_x0") <= F.col("b_x1"))
         & (F.col("b_x0") <= F.col("a_x1"))
         & (F.col("a_y0") <= F.col("b_y1"))
         & (F.col("b_y0") <= F.col("a_y1"))
     )
+    level = F.col("_level") == F.greatest("_a", "_b")
     home = (F.col("_cell.cx") == corner("x")) & (F.col("_cell.cy") == corner("y"))
-    return left.join(right, [*keys, "_cell"]).where(touching & home).drop("_cell")
+    return left.join(right, at).where(touching & home & level).drop("_cell", "_level", "_part", "_a", "_b")
 
 
-def box_semi(a: DataFrame, b: DataFrame, keys: Sequence[str], test: Column, cell: float = 64.0) -> DataFrame:
+def box_semi(a: DataFrame, b: DataFrame, keys: Sequence[str], test: Column, cell: float = 64.0, crowd: int = CROWD) -> DataFrame:
     """Boxes of `a` for which some box of `b` passes the test; a semi-join, so pairs are never formed.
 
     A passing pair must touch, hence it shares a cell; the same box found through two cells is one.
     """
-    left = _cells(_prefixed(a, keys, "a_"), "a_", cell)
-    right = _cells(_prefixed(b, keys, "b_"), "b_", cell)
-    same = (F.col("_l._cell") == F.col("_r._cell")) & test
-    for k in keys:
-        same = same & (F.col(f"_l.{k}") == F.col(f"_r.{k}"))
-    return left.alias("_l").join(right.alias("_r"), same, "left_semi").drop("_cell").distinct()
+    left, right, at = _met_in_cells(a, b, keys, cell, crowd)
+    same = test & (F.col("_level") == F.greatest("_a", "_b"))
+    right = right.withColumnsRenamed({c: f"_r{c}" for c in at})
+    for c in at:
+        same = same & (F.col(c) == F.col(f"_r{c}"))
+    return left.join(right, same, "left_semi").drop("_cell", "_level", "_part", "_a").distinct()
 
 
 def _inter(axis: str) -> Column:
@@ -80,21 +108,18 @@ def strictly_overlapping() -> Column:
     return (_inter("x") > 0) & (_inter("y") > 0)
 
 
-def word_overlaps(words: DataFrame, share: float = 0.5, cell: float = 32.0) -> DataFrame:
+def word_overlaps(words: DataFrame, share: float = 0.5, cell: float = 32.0, crowd: int = CROWD) -> DataFrame:
     """Words of one row whose horizontal overlap exceeds half their mean width.
 
     A row is the top rounded to one decimal, so it is part of the join key together with the
     horizontal cell.
     """
-    rowed = words.select("doc_id", "page", F.bround("y0", 1).alias("fila"), "word_no", "x0", "x1", "y0", "text")
+    none = F.lit(0.0)
+    rowed = words.select("doc_id", "page", F.bround("y0", 1).alias("fila"), "word_no", "x0", "x1", none.alias("y0"), none.alias("y1"), "text")
     keys = ["doc_id", "page", "fila"]
-    span = lambda p: F.explode(F.sequence(F.floor(F.col(f"{p}x0") / cell), F.floor(F.greatest(f"{p}x0", f"{p}x1") / cell)))
-    a = _prefixed(rowed, keys, "a_").withColumn("_cx", span("a_"))
-    b = _prefixed(rowed, keys, "b_").withColumn("_cx", span("b_"))
     overlap = F.greatest(F.lit(0.0), _inter("x"))
     width = (F.col("a_x1") - F.col("a_x0") + F.col("b_x1") - F.col("b_x0")) / 2
-    home = F.col("_cx") == F.floor(F.greatest("a_x0", "b_x0") / cell)
-    found = a.join(b, [*keys, "_cx"]).where((F.col("a_word_no") < F.col("b_word_no")) & home & (overlap > width * share))
+    found = box_pairs(rowed, rowed, keys, cell, crowd).where((F.col("a_word_no") < F.col("b_word_no")) & (overlap > width * share))
     return found.select(*keys, "a_word_no", "b_word_no", "a_text", "b_text", F.round(overlap, 2).alias("solapamiento"))
 
 

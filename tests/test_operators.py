@@ -380,3 +380,29 @@ def test_matching_of_long_documents_and_sparse_numbers(spark):
     cols = "doc_id bigint, item_no bigint, descripcion string"
     got = recon.match_items(spark.createDataFrame(sri, cols), spark.createDataFrame(pdf, cols)).collect()
     assert {(r["doc_id"], r["sri_no"], r["pdf_no"], round(r["similitud"], 9)) for r in got} == want and len(got) == len(want)
+
+
+def test_box_pairs_of_any_layout(spark):
+    rows = [(1, i, RNG.uniform(-300, 300), RNG.uniform(-300, 300), RNG.choice([0, 1, 5, 40, 90, 700]), RNG.choice([0, 2, 30, 100, 5000])) for i in range(150)]
+    rows += [(1, 900, -5e11, 0.0, 1e12, 3.0), (1, 901, 0.0, -1e15, 2.0, 2e15), (2, 1, 0.0, 0.0, 1.0, 1.0), (2, 2, 1e14, 1e14, 1e13, 1.0)]
+    data = [(d, n, x, y, x + w, y + h) for d, n, x, y, w, h in rows]
+    df = spark.createDataFrame([(d, 1, n, 0, *map(float, b)) for d, n, *b in data], "doc_id bigint, page int, block_no bigint, type int, x0 double, y0 double, x1 double, y1 double")
+    want = {(a[0], a[1], b[1]) for a in data for b in data if a[0] == b[0] and a[2] <= b[4] and b[2] <= a[4] and a[3] <= b[5] and b[3] <= a[5]}
+    for crowd in (boxes.CROWD, 3):
+        got = [(r["doc_id"], r["a_block_no"], r["b_block_no"]) for r in boxes.box_pairs(df, df, ["doc_id"], crowd=crowd).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        semi = boxes.box_semi(df, df, ["doc_id"], boxes.strictly_overlapping() & (boxes.F.col("a_block_no") != boxes.F.col("b_block_no")), crowd=crowd)
+        strict = {(a[0], a[1]) for a in data for b in data if a[0] == b[0] and a[1] != b[1] and min(a[4], b[4]) > max(a[2], b[2]) and min(a[5], b[5]) > max(a[3], b[3])}
+        assert {(r["doc_id"], r["a_block_no"]) for r in semi.collect()} == strict
+    words = df.select("doc_id", "page", boxes.F.col("block_no").alias("word_no"), "x0", "x1", boxes.F.lit(7.0).alias("y0"), boxes.F.lit("w").alias("text"))
+    pairs = {(a[0], a[1], b[1]) for a in data for b in data if a[0] == b[0] and a[1] < b[1] and max(0.0, min(a[4], b[4]) - max(a[2], b[2])) > (a[4] - a[2] + b[4] - b[2]) / 2 * 0.5}
+    assert {(r["doc_id"], r["a_word_no"], r["b_word_no"]) for r in boxes.word_overlaps(words, crowd=5).collect()} == pairs
+
+
+def test_a_crowded_page_is_dealt_to_many_tasks(spark):
+    n = 100_000
+    at = spark.range(n).selectExpr("1L AS doc_id", "1 AS page", "id AS block_no", "0 AS type", "id * 1e-4 AS x0", "0.0D AS y0", "id * 1e-4 + 0.00005 AS x1", "9.0D AS y1")
+    assert boxes.block_overlaps(at).collect() == []  # side by side inside one cell: nothing overlaps
+    left, right, key = boxes._met_in_cells(at, at, ["doc_id", "page"], 64.0, boxes.CROWD)
+    largest = right.groupBy(*key).count().agg({"count": "max"}).first()[0]
+    assert largest < 1.2 * boxes.CROWD and left.groupBy(*key).count().count() == -(-n // boxes.CROWD)
