@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cotejo.llm.common import cut_lineage
+from cotejo.llm.common import Shelf
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -21,16 +21,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionAll(low.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, shelf: Shelf | None = None) -> DataFrame:
     """(node, root): the smallest node of its component for every node of `edges` (a, b) that has a neighbour.
 
     Neighbourhoods are never gathered: each step is a mergeable minimum and a join. Edges don't get more, and rounds grow with the
-    logarithm of the longest path. Each round is cut off reliably; the end is reached when a round changes nothing.
+    logarithm of the longest path. Each round is written down and the one before it deleted; the end is reached when a round changes nothing.
     """
-    left = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    shelf = shelf or Shelf(edges.sparkSession, "components")
+    left = shelf.put(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = None
     while True:
-        left = cut_lineage(_small_star(_large_star(left)))
+        old, left = left, shelf.put(_small_star(_large_star(left)))
+        shelf.drop(old)
         now = left.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a") % 1_000_003)).first()
         if now == before:
             break

@@ -163,3 +163,41 @@ def test_lines_of_repeated_rows_null_ids_and_no_rows(spark):
     assert sorted((r.doc_id or 0, r.text, r.n_dropped) for r in index.clean(docs).collect()) == [(0, "b", 1)] * 6 + [(4, "c", 1)] * 6
     none = brute.docs(spark, [])
     assert linededup.LineIndex.empty(spark).insert(none).clean(none).count() == 0
+
+
+# ---- given columns with the operators' own names
+
+
+def test_removal_and_cleaning_keep_clashing_columns(spark):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    names = ["_w", "_hits", "_hit", "_row", "_id", "_drop", "_doc", "_text", "key", "salt", "shard"]
+    docs = brute.docs(spark, PAGES).selectExpr("*", *[f"concat('own ', doc_id) AS {n}" for n in names])
+    for got in (decontam.remove(docs, bench), decontam.remove(docs, bench, "spans"), decontam.remove(docs, bench, "spans", set_windows=3)):
+        assert got.columns == docs.columns
+        assert all(r[n] == f"own {r.doc_id}" for r in got.collect() for n in names)
+    docs = docs.selectExpr("*", "'given' AS n_lines", "'given' AS n_dropped")
+    got = linededup.LineIndex.empty(spark).insert(docs).clean(docs)
+    rows = got.collect()
+    assert sorted(got.columns) == sorted(docs.columns) and len(rows) == len(PAGES)
+    assert all(r[n] == f"own {r.doc_id}" for r in rows for n in names) and {r.doc_id: r.n_lines for r in rows}[8] == 2
+
+
+def test_names_that_two_sets_share_are_told_apart(spark, monkeypatch):
+    plain = ngramjoin.set_id
+    rows = list(enumerate(["a b c d e f", "a b c d e f", "q r s t u v w", "x y"]))
+    shared = plain(ngramjoin.shingle_sets([rows[0][1]])[0])
+    assert ngramjoin.node_id(ngramjoin.shingle_sets([rows[0][1]])[0], frozenset([shared])) == plain(ngramjoin.shingle_sets([rows[0][1]])[0], 1) != shared
+    assert ngramjoin.node_id(ngramjoin.shingle_sets([rows[0][1]])[0], frozenset()) == shared
+
+
+def test_one_very_long_text_and_its_copy(spark):
+    r = random.Random(9)
+    long = " ".join(f"v{r.randrange(90_000)}" for _ in range(200_000))
+    rows = [(4, long), (2, near(long, 1, 1000)), (7, near(long, 2, 20_000)), (9, "short text of some words")]
+    got = classes(ngramjoin.jaccard_classes(brute.docs(spark, rows)))
+    assert got == brute.jaccard_classes(rows, 4, 85) and got[4][1] == got[2][1] == 2 and got[7][1] == 7
+
+
+def test_tasks_with_small_blocks_and_buckets(spark, monkeypatch):
+    rows = list(enumerate(texts(11, 60) + [near(t, i, 1) for i, t in enumerate(texts(11, 60))]))
+    assert classes(ngramjoin.jaccard_classes(brute.docs(spark, rows).repartition(7))) == brute.jaccard_classes(rows, 4, 85)
