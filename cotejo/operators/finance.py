@@ -130,10 +130,22 @@ def vat_check(items: DataFrame, totals: DataFrame, tolerance: float = LINE_TOLER
     return joined.select("doc_id", *[c.alias(n) for n, c in verdict.items()], n_rates.alias("tasas"))
 
 
-def xml_vat(invoices: DataFrame) -> DataFrame:
-    """VAT of parsed invoice XML: only taxes with code 2."""
+def vat_of_xml() -> Column:
+    """VAT of a parsed invoice: only taxes with code 2."""
     vat = F.filter("infoFactura.totalConImpuestos", lambda t: t["codigo"] == "2")
-    return invoices.select("clave", F.aggregate(vat, F.lit(0.0), lambda a, t: a + F.coalesce(t["valor"], F.lit(0.0))).alias("iva"))
+    return F.aggregate(vat, F.lit(0.0), lambda a, t: a + F.coalesce(t["valor"], F.lit(0.0)))
+
+
+def total_of_xml() -> Column:
+    """Grand total of a parsed invoice, else untaxed total plus all taxes, else null."""
+    fact = F.col("infoFactura")
+    taxes = F.aggregate(fact["totalConImpuestos"], F.lit(0.0), lambda a, t: a + F.coalesce(t["valor"], F.lit(0.0)))
+    rebuilt = F.when(F.size(fact["totalConImpuestos"]) > 0, _zero(fact["totalSinImpuestos"]) + taxes)
+    return F.coalesce(fact["importeTotal"], rebuilt)
+
+
+def xml_vat(invoices: DataFrame) -> DataFrame:
+    return invoices.select("clave", vat_of_xml().alias("iva"))
 
 
 def xml_amounts(invoices: DataFrame) -> DataFrame:
@@ -152,11 +164,7 @@ def xml_amounts(invoices: DataFrame) -> DataFrame:
 
 
 def xml_total(invoices: DataFrame) -> DataFrame:
-    """Grand total of the XML, else untaxed total plus all taxes, else null."""
-    fact = F.col("infoFactura")
-    taxes = F.aggregate(fact["totalConImpuestos"], F.lit(0.0), lambda a, t: a + F.coalesce(t["valor"], F.lit(0.0)))
-    rebuilt = F.when(F.size(fact["totalConImpuestos"]) > 0, _zero(fact["totalSinImpuestos"]) + taxes)
-    return invoices.select("clave", F.coalesce(fact["importeTotal"], rebuilt).alias("valor_xml"))
+    return invoices.select("clave", total_of_xml().alias("valor_xml"))
 
 
 def infer_totals(items: DataFrame) -> DataFrame:

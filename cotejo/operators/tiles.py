@@ -8,12 +8,14 @@ image never becomes one large group.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from cotejo.skew import chunk_pairs, exact_quantiles, pack_chunks
+from cotejo.session import cut_lineage
+from cotejo.skew import chunk_pairs, counted_medians, pack_chunks
 
 
 def plane(tiles: DataFrame, name: str, level: int = 0) -> DataFrame:
@@ -64,20 +66,24 @@ def quadrant_noise(tiles: DataFrame, limit: float = 1000.0) -> DataFrame:
 
 
 def mad_outliers(metrics: DataFrame, names: Sequence[str] = ("lap_var", "edge_density"), z: float = 2.5) -> DataFrame:
-    """Robust outliers of a tile grid: flagged when any metric exceeds 2.5 robust deviations upwards."""
-    out, flags = metrics, []
-    for name in names:
-        med = exact_quantiles(metrics, ["image_id"], name, {f"_med_{name}": 0.5})
-        dev = metrics.join(med, "image_id").select("image_id", F.abs(F.col(name) - F.col(f"_med_{name}")).alias("_d"))
-        mad = exact_quantiles(dev, ["image_id"], "_d", {f"_mad_{name}": 0.5})
-        out = out.join(med, "image_id").join(mad, "image_id")
-        score = F.when(F.col(f"_mad_{name}") < 1e-9, 0.0).otherwise((F.col(name) - F.col(f"_med_{name}")) * 0.6745 / F.col(f"_mad_{name}"))
-        out = out.withColumn(f"z_{name}", score).drop(f"_med_{name}", f"_mad_{name}")
-        flags.append(F.col(f"z_{name}") > z)
-    hit = flags[0]
-    for f in flags[1:]:
-        hit = hit | f
-    return out.withColumn("outlier", hit)
+    """Robust outliers of a tile grid: flagged when any metric exceeds 2.5 robust deviations upwards.
+
+    All metrics are ranked together, as counted values written down once: the table itself is read twice, for the counts and for the
+    result.
+    """
+    long = metrics.select("image_id", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("v")) for n in names])).alias("_m")).select("image_id", "_m.*")
+    counted = cut_lineage(long.where(F.col("v").isNotNull()).groupBy("image_id", "metric", "v").agg(F.count(F.lit(1)).alias("c")))
+    med = counted_medians(counted, ["image_id", "metric"]).withColumnRenamed("median", "med")
+    far = counted.join(med, ["image_id", "metric"]).groupBy("image_id", "metric", F.abs(F.col("v") - F.col("med")).alias("v")).agg(F.sum("c").alias("c"))
+    mad = counted_medians(cut_lineage(far), ["image_id", "metric"]).withColumnRenamed("median", "mad")
+    pick = lambda c, n: F.max(F.when(F.col("metric") == n, F.col(c))).alias(f"_{c}_{n}")
+    wide = med.join(mad, ["image_id", "metric"]).groupBy("image_id").agg(*[pick(c, n) for n in names for c in ("med", "mad")])
+    out = metrics.join(wide, "image_id")
+    for n in names:
+        score = F.when(F.col(f"_mad_{n}") < 1e-9, 0.0).otherwise((F.col(n) - F.col(f"_med_{n}")) * 0.6745 / F.col(f"_mad_{n}"))
+        out = out.withColumn(f"z_{n}", score)
+    hit = reduce(lambda a, b: a | b, [F.col(f"z_{n}") > z for n in names])
+    return out.drop(*[f"_{c}_{n}" for n in names for c in ("med", "mad")]).withColumn("outlier", hit)
 
 
 # ---------------------------------------------------------------- planes

@@ -437,7 +437,7 @@ def q_xml_invoice(spark, d):
     from cotejo.sources.invoice_xml import read_invoice_xml
 
     inv = read_invoice_xml(invoice_xml(spark, d))
-    out = inv.join(finance.xml_vat(inv), "clave").join(finance.xml_total(inv), "clave")
+    out = inv.select("clave", "detalles", "infoAdicional", finance.vat_of_xml().alias("iva"), finance.total_of_xml().alias("valor_xml"))
     return out.select(F.col("clave").cast("bigint").alias("doc_id"), F.size("detalles").alias("items"), F.round("iva", 2).alias("iva"), F.round("valor_xml", 2).alias("valor_xml"), F.try_element_at("infoAdicional", F.lit("email")).alias("email"))
 
 

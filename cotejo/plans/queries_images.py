@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cotejo.operators import boxes, graph, images, tiles as tl
 from cotejo.plans import document_risk
 from cotejo.plans.derived import TILES_SQL, TOKENS_SQL, embedding_tiles, second_plane, table, tokens
-from cotejo.skew import at_least_parallel
+from cotejo.skew import at_least_parallel, exact_quantiles
 from cotejo.sources.config import DEFAULT_WEIGHTS, default_levels, default_weights
 
 Q, SQL = {}, {}
@@ -66,7 +66,7 @@ SELECT image_id, ty, round(zb, 8) AS z_edge_density, za > 2.5 OR zb > 2.5 AS out
 
 def q_event_percentiles(spark, d):
     """Exact percentiles of values per event type through the bracketed ranks."""
-    return _round(tl.exact_quantiles(table(spark, d, "events"), ["event_type"], "value", {"p50": 0.5, "p75": 0.75, "p95": 0.95}))
+    return _round(exact_quantiles(table(spark, d, "events"), ["event_type"], "value", {"p50": 0.5, "p75": 0.75, "p95": 0.95}))
 
 
 SQL["event_percentiles"] = "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.75), 6) AS p75, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1"

@@ -96,6 +96,37 @@ def exact_quantiles(
     return out.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, result)).alias(n) for n in names])
 
 
+def counted_medians(counted: DataFrame, keys: Sequence[str], bins: int = 4096) -> DataFrame:
+    """Exact median per key (numpy's rule) of counted values (keys, v, c): (keys, median).
+
+    A histogram between the key's least and largest value finds the bins of the two middle ranks; only the values of these bins are
+    ranked. The bins of a histogram that is refined by ranks hold as many values as the data put there, so values that crowd in one bin
+    are split again by their own range in the second histogram.
+    """
+    keys = list(keys)
+    ends = counted.groupBy(*keys).agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    rows, floor = counted.join(ends, keys), F.lit(0)
+    base = [*keys, "n", "lo", "hi", "below"]
+    rows = rows.withColumn("below", floor.cast("bigint"))
+    for _ in range(2):
+        width = (F.col("hi") - F.col("lo")) / bins
+        slot = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(0).cast("int")
+        rows = rows.withColumn("slot", slot)
+        hist = rows.groupBy(*base, "slot").agg(F.sum("c").alias("c"), F.min("v").alias("a"), F.max("v").alias("b"))
+        upto = F.col("below") + F.sum("c").over(W.partitionBy(*keys).orderBy("slot"))
+        hist = hist.withColumn("upto", upto)
+        # bins that hold one of the two middle ranks, from the first to the last of them
+        first, last = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+        held = hist.where((F.col("upto") > first) & (F.col("upto") - F.col("c") <= last))
+        kept = held.groupBy(*keys).agg(F.min("slot").alias("s0"), F.max("slot").alias("s1"), F.min("a").alias("l2"), F.max("b").alias("h2"), F.min(F.col("upto") - F.col("c")).alias("b2"))
+        rows = rows.join(kept, keys).where(F.col("slot").between(F.col("s0"), F.col("s1")))
+        rows = rows.select(*keys, "v", "c", "n", F.col("l2").alias("lo"), F.col("h2").alias("hi"), F.col("b2").alias("below"))
+    end = F.col("below") + F.sum("c").over(W.partitionBy(*keys).orderBy("v"))
+    ranked = rows.withColumn("end", end)
+    at = lambda rank: F.min(F.when(F.col("end") > rank, F.col("v")))
+    return ranked.groupBy(*keys).agg(((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("median"))
+
+
 def pack_chunks(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str], size: int) -> DataFrame:
     """One row per (keys, chunk) holding at most `size` rows as a sorted array `rows`.
 

@@ -50,7 +50,8 @@ def read_invoice_xml(sri_xml: DataFrame) -> DataFrame:
     raw = F.col("xml")
     inner = F.regexp_replace(strip(raw), r"(?s)^<!\[CDATA\[(.*)\]\]>$", "$1")
     body = F.when(raw.contains("<factura"), inner).otherwise(clean_xml(raw))
-    parsed = sri_xml.withColumn("_x", F.from_xml(body, XML_SCHEMA, {"rowTag": "factura", "mode": "PERMISSIVE"}))
+    # a generator of one row keeps the optimizer from parsing again for every field and filter
+    parsed = sri_xml.select("clave", F.explode(F.array(F.from_xml(body, XML_SCHEMA, {"rowTag": "factura", "mode": "PERMISSIVE"}))).alias("_x"))
     trib, fact = F.col("_x.infoTributaria"), F.col("_x.infoFactura")
     trib_names = [
         "ambiente", "tipoEmision", "razonSocial", "nombreComercial", "ruc", "claveAcceso", "codDoc", "estab",

@@ -406,3 +406,27 @@ def test_a_crowded_page_is_dealt_to_many_tasks(spark):
     left, right, key = boxes._met_in_cells(at, at, ["doc_id", "page"], 64.0, boxes.CROWD)
     largest = right.groupBy(*key).count().agg({"count": "max"}).first()[0]
     assert largest < 1.2 * boxes.CROWD and left.groupBy(*key).count().count() == -(-n // boxes.CROWD)
+
+
+def test_counted_medians_equal_numpy(spark):
+    r = np.random.default_rng(5)
+    groups = {
+        (1, "a"): r.normal(size=501), (1, "b"): np.append(r.normal(size=400), 1e15), (2, "a"): np.repeat([3.0, 4.0], 10), (2, "b"): np.array([7.5]), (3, "a"): np.append(np.linspace(0, 1e-9, 3000), [1e12, -1e12]), (3, "b"): np.round(r.normal(size=1000), 1),
+    }
+    rows = [(k, m, float(v), int(c)) for (k, m), x in groups.items() for v, c in zip(*np.unique(x, return_counts=True))]
+    df = spark.createDataFrame(rows, "image_id bigint, metric string, v double, c bigint")
+    for bins in (4, 4096):
+        got = {(x["image_id"], x["metric"]): x["median"] for x in skew.counted_medians(df, ["image_id", "metric"], bins).collect()}
+        assert got == {k: float(np.median(x)) for k, x in groups.items()}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_xml_is_parsed_once_and_metrics_read_twice(spark):
+    from cotejo.plans import queries_boxes, queries_images
+
+    for query in (queries_boxes.q_xml_invoice, queries_boxes.q_xml_items):
+        assert _plan(query(spark, "/root/testdata/sf0.001")).count("from_xml(") == 1
+    assert _plan(queries_images.q_mad_outliers(spark, "/root/testdata/sf0.001")).count("FileScan parquet") <= 2
