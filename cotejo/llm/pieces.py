@@ -2,7 +2,7 @@
 
 Merges of a BPE model never cross a place where two neighbouring characters stand together in no piece, so texts are cut there, and
 each distinct segment of a block of texts is encoded once. For every prefix of a segment the table holds the last token of its
-encoding. Candidates are the pieces that an automaton finds ending there; exactly one of them goes with the last token of the prefix
+encoding. Segments seen before are remembered. Candidates are the pieces that an automaton finds ending there; exactly one of them goes with the last token of the prefix
 before it. Two tokens go together if encoding the two as one string gives them back: no merge across their border may come before
 the merges that made them. The ids of a segment are then read from its end backwards. Time is linear in the text, also for one long
 run without white space.
@@ -17,17 +17,18 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cotejo.llm.common import text_chunks
+from cotejo.llm.common import distinct_segments, text_chunks
 
-BLOCK_CHARACTERS = 1_500_000
-#: pairs whose test is remembered by a worker; beyond it the memory starts anew
-_PAIRS = 4_000_000
+BLOCK_CHARACTERS = 1_000_000
+#: pairs of tokens and segments that a worker remembers; beyond it the memory starts anew
+_PAIRS, _SEGMENTS = 2_000_000, 200_000
 SPACE = "▁"
 _NO_TOKEN = -1
 
@@ -72,6 +73,8 @@ class MergeModel:
         self.gap = next(chr(c) for c in range(0xE000, 0x110000) if not self.code[c])
 
         self._split()
+        self.all_reached = bool(self.reached[list(self.piece)].all())
+        self._forget()
         self._known = np.zeros(0, np.int64)
         self._good = np.zeros(0, bool)
 
@@ -189,14 +192,13 @@ class MergeModel:
         lengths = np.array([len(s) for s in segments], np.int64)
         begin = np.concatenate(([0], np.cumsum(lengths + 1)))[:-1]
         text = self.gap.join(segments) + self.gap
-        matches = np.array(list(self.automaton.iter(text)), np.int64).reshape(-1, 2)
+        matches = np.fromiter(chain.from_iterable(self.automaton.iter(text)), np.int32).reshape(-1, 2)
         end, token = matches[:, 0] + 1, matches[:, 1]
-        keep = self.reached[token]
-        end, token = end[keep], token[keep]
-        owner = np.searchsorted(begin, end - 1, "right") - 1
-        place = end - begin[owner]
-        order = np.argsort(place, kind="stable")
-        end, token, place = end[order], token[order], place[order]
+        if not self.all_reached:
+            end, token = end[self.reached[token]], token[self.reached[token]]
+        place = end - np.repeat(begin, lengths + 1)[end - 1]
+        order = np.argsort(place.astype(np.uint16) if len(place) and place.max() < 1 << 16 else place, kind="stable")
+        end, token, place = end[order], token[order].astype(np.int64), place[order]
         start = end - self.length[token]
         last = np.full(len(text) + 1, _NO_TOKEN, np.int64)
         last[begin] = self.size
@@ -229,6 +231,22 @@ class MergeModel:
         order = np.lexsort((-steps, owners))
         return tokens[order].astype(np.int32), np.bincount(owners, minlength=len(segments))
 
+    def _forget(self) -> None:
+        self._number: dict[str, int] = {}
+        self._ids, self._counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def _remembered(self, segments: list[str]) -> np.ndarray:
+        """Numbers of the segments in the worker's memory; those that are new to it are encoded now."""
+        if len(self._number) > _SEGMENTS:
+            self._forget()
+        new = [s for s in segments if s not in self._number]
+        if new:
+            new = list(dict.fromkeys(new))
+            ids, counts = self.encode_segments(new)
+            self._number.update(zip(new, range(len(self._number), len(self._number) + len(new)), strict=True))
+            self._ids, self._counts = np.concatenate((self._ids, ids)), np.concatenate((self._counts, counts))
+        return np.fromiter(map(self._number.__getitem__, segments), np.int64, len(segments))
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each has."""
         spaced = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
@@ -243,32 +261,13 @@ class MergeModel:
         cut[np.cumsum(sizes)] = True
         edge = np.flatnonzero(cut)
         begin, size = edge[:-1], np.diff(edge)
-        first, which = self._distinct(points, begin, size)
-        flat, counts = self.encode_segments([joined[b : b + n] for b, n in zip(begin[first].tolist(), size[first].tolist(), strict=True)])
-        offset = np.concatenate(([0], np.cumsum(counts)))
-        many = counts[which]
+        first, which = distinct_segments(points, begin, size)
+        number = self._remembered([joined[b : b + n] for b, n in zip(begin[first].tolist(), size[first].tolist(), strict=True)])[which]
+        many = self._counts[number]
         upto = np.cumsum(many)
-        take = np.arange(upto[-1]) - np.repeat(upto - many, many) + np.repeat(offset[which], many)
+        take = np.arange(upto[-1]) - np.repeat(upto - many - (np.cumsum(self._counts) - self._counts)[number], many)
         doc = np.searchsorted(np.cumsum(sizes), begin, "right")
-        return flat[take], np.bincount(doc, weights=many, minlength=len(texts)).astype(np.int64)
-
-    @staticmethod
-    def _distinct(points: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(a first place of every distinct segment, which of them each segment is), found by hash and compared character by character."""
-        inside = np.arange(len(points)) - np.repeat(begin, size)
-        with np.errstate(over="ignore"):
-            h = points.astype(np.uint64) + (inside.astype(np.uint64) << np.uint64(32))
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-            sums = np.add.reduceat(h ^ (h >> np.uint64(31)), begin)
-        _, first, which = np.unique(sums, return_index=True, return_inverse=True)
-        same = size[first][which] == size
-        differs = points != points[np.minimum(np.repeat(begin[first][which], size) + inside, len(points) - 1)]
-        same &= np.add.reduceat(differs, begin) == 0
-        odd = np.flatnonzero(~same)  # equal hashes of different segments stand for themselves
-        which = which.copy()
-        which[odd] = len(first) + np.arange(len(odd))
-        return np.concatenate((first, odd)), which
+        return self._ids[take], np.bincount(doc, weights=many, minlength=len(texts)).astype(np.int64)
 
     # ---- decoding
 
@@ -311,6 +310,15 @@ def _spread(counts: np.ndarray, ids: np.ndarray) -> pa.ListArray:
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, ids (array) of every document's text."""
+    return _coded(docs, model, False)
+
+
+def encode_decode(docs: DataFrame, model: str) -> DataFrame:
+    """doc_id, ids and decoded text of every document, in one pass."""
+    return _coded(docs, model, True)
+
+
+def _coded(docs: DataFrame, model: str, back: bool) -> DataFrame:
     sent = _checked(docs, model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -319,9 +327,12 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
         for batch in batches:
             for start, texts in text_chunks(batch, "text", BLOCK_CHARACTERS):
                 ids, counts = own.encode(texts)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(texts)), _spread(counts, ids)], ["doc_id", "ids"])
+                columns = {"doc_id": batch.column("doc_id").slice(start, len(texts)), "ids": _spread(counts, ids)}
+                if back:
+                    columns["decoded"] = pa.array(own.decode(ids, counts), pa.string())
+                yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>" + (", decoded string" if back else ""))
 
 
 def decode(coded: DataFrame, model: str) -> DataFrame:
@@ -345,8 +356,3 @@ def _checked(df: DataFrame, model: str):
     blob = Path(model).read_bytes()
     merge_model(blob)
     return df.sparkSession.sparkContext.broadcast(blob)
-
-
-def encode_decode(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, ids and decoded text of every document."""
-    return decode(encode(docs, model), model)

@@ -153,6 +153,9 @@ def test_documents_encode_and_decode(spark):
     df = brute.docs(spark, rows).selectExpr("*", "1 AS ids", "'x' AS decoded")
     got = sorted((r.doc_id is not None, r.doc_id or 0, r.ids, r.decoded) for r in pieces.encode_decode(df, MODEL).collect())
     assert got == sorted((i is not None, i or 0, LIBRARY.encode(t or ""), LIBRARY.decode(LIBRARY.encode(t or ""))) for i, t in rows)
+    stored = pieces.encode(df, MODEL)
+    assert stored.columns == ["doc_id", "ids"]
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.ids, r.decoded) for r in pieces.decode(stored, MODEL).collect()) == got
     assert pieces.encode_decode(brute.docs(spark, []), MODEL).count() == 0
 
 
