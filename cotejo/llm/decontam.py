@@ -49,7 +49,9 @@ def _with_hits(docs: DataFrame, windows: DataFrame, set_windows: int) -> DataFra
         hits = f"filter(transform({at}, i -> struct(i - 1 AS first, {width} AS width, array_join(slice(_w, i, {width}), ' ') AS gram)), h -> h.gram IN ({grams}))"
         found.append(f"CASE WHEN size(_w) >= {width} THEN {hits} ELSE array() END")
     none = "CAST(array() AS array<struct<first:int,width:int,gram:string>>)"
-    return docs.withColumn("_w", words("text")).withColumn("_hits", F.expr(f"concat({none}, {', '.join(found)})" if found else none))
+    hits = F.expr(f"concat({none}, {', '.join(found)})" if found else none)
+    # generators of one row: otherwise a filter on the hits would cut the text into words again for every window
+    return docs.select("*", F.explode(F.array(words("text"))).alias("_w")).select("*", F.explode(F.array(hits)).alias("_hits"))
 
 
 def _joined_hits(docs: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -88,14 +90,15 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, set_windows:
 
 def remove(docs: DataFrame, benchmark: DataFrame, what: str = "documents", n: int = WINDOW, set_windows: int = SET_WINDOWS) -> DataFrame:
     """The same columns without contaminated documents, or with hit words and the separators before them cut out of the text."""
-    whole = docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    held = {c: f"_given{i}" for i, c in enumerate(docs.columns)}  # names that no column of the operator has
+    whole = docs.select("doc_id", "text", *[docs[c].alias(n) for c, n in held.items()])
     rows = _with_hits(whole, benchmark_windows(benchmark, n), set_windows)
     if what == "documents":
-        return rows.where(F.size("_hits") == 0).select("_row.*")
+        return rows.where(F.size("_hits") == 0).select(*[F.col(n).alias(c) for c, n in held.items()])
     hit = F.expr(_HIT_WORDS.format(hits="_hits"))
     pieces = F.regexp_extract_all("text", F.lit(_PIECE), F.lit(0))
     tail = F.regexp_extract("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\z", 0)
-    rows = rows.withColumn("_hit", hit)
+    rows = rows.select("*", F.explode(F.array(hit)).alias("_hit"))
     kept = F.concat(F.array_join(F.filter(pieces, lambda _, i: ~F.array_contains("_hit", i)), ""), tail)
     text = F.when(F.size("_hits") > 0, kept).otherwise(F.col("text"))
-    return rows.select(*[text.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])
+    return rows.select(*[(text if c == "text" else F.col(n)).alias(c) for c, n in held.items()])
