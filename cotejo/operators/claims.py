@@ -29,6 +29,12 @@ def page_claims(claims: DataFrame, limit: int | None = None, offset: int = 0, ke
     return page if limit is None else page.limit(limit)
 
 
+def page_after(claims: DataFrame, after: str | None, limit: int, key: str = "id_reclamo") -> DataFrame:
+    """The page behind the last key of the page before; the filter reaches the scan, so a deep page costs no more than the first."""
+    rest = claims if after is None else claims.where(F.col(key) > after)
+    return rest.orderBy(key).limit(limit)
+
+
 def claim_stats(claims: DataFrame) -> DataFrame:
     """One row: total, counts per state as a map, requested and approved sums."""
     per_state = claims.groupBy("estado").agg(

@@ -311,11 +311,25 @@ def coloured_overlays(components: DataFrame) -> DataFrame:
     return g.select("image_id", "trazos", score.alias("puntaje"), ((score >= 25) & (F.col("trazos") >= 1)).alias("coincide"))
 
 
+def _near_pairs(angles: DataFrame, apart: float) -> DataFrame:
+    """(image_id, pares_paralelos): pairs of lines less than `apart` degrees apart, of counted angles (image_id, a, c)."""
+    adds = angles.select("image_id", F.col("a").alias("x"), F.lit(1).alias("kind"), "c", F.col("c").alias("w"))
+    asks = angles.select("image_id", (F.col("a") + apart).alias("x"), F.lit(0).alias("kind"), "c", F.lit(0).cast("bigint").alias("w"))
+    events = adds.unionByName(asks).withColumn("b", F.floor(F.col("x") / apart))
+    before = F.sum("t").over(W.partitionBy("image_id").orderBy("b").rowsBetween(W.unboundedPreceding, -1))
+    offsets = events.groupBy("image_id", "b").agg(F.sum("w").alias("t")).select("image_id", "b", F.coalesce(before, F.lit(0)).alias("o"))
+    inside = F.sum("w").over(W.partitionBy("image_id", "b").orderBy("x", "kind").rowsBetween(W.unboundedPreceding, 0))
+    upto = events.withColumn("_i", inside).join(offsets, ["image_id", "b"]).withColumn("_s", F.col("_i") + F.col("o"))
+    # lines short of a + apart, less those up to a, and the pairs of equal angles
+    signed = F.when(F.col("kind") == 0, F.col("c") * F.col("_s")).otherwise(F.floor(F.col("c") * (F.col("c") - 1) / 2) - F.col("c") * F.col("_s"))
+    return upto.groupBy("image_id").agg(F.sum(signed).cast("bigint").alias("pares_paralelos"))
+
+
 def line_angles(segments: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
     """Direction groups of straight lines, near-parallel pairs and lines that end inside a cluster.
 
-    Pairs within five degrees are counted from angle totals: equal angles collapse to one counted
-    row and meet through one-degree-wide buckets, so no pair of lines is formed.
+    Pairs within five degrees are counted by running sums: equal angles collapse to one counted row, and the lines up to an angle and
+    those short of five degrees more are read from sums over five-degree buckets, so angles are never joined with angles.
     """
     rad = F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))
     s = segments.withColumn("a", F.degrees(rad))
@@ -326,16 +340,7 @@ def line_angles(segments: DataFrame, clusters: DataFrame | None = None) -> DataF
         F.count_if(F.col("_n") >= F.greatest(F.lit(3), F.floor(F.col("lineas") / 10))).alias("grupos"), F.first("lineas").alias("lineas")
     )
     hist = s.groupBy("image_id", F.floor((F.col("a") + 180) / 10).alias("_h")).agg(F.count(F.lit(1)).alias("_c")).groupBy("image_id").agg(F.count_if(F.col("_c") > 1).alias("direcciones"))
-    angles = s.groupBy("image_id", "a").agg(F.count(F.lit(1)).alias("c")).withColumn("b", F.floor(F.col("a") / 5))
-    left = angles.select("image_id", "a", "c", F.explode(F.array(F.col("b"), F.col("b") + 1)).alias("b"))
-    right = angles.select("image_id", F.col("a").alias("a2"), F.col("c").alias("c2"), "b")
-    crossed = left.join(right, ["image_id", "b"]).where((F.col("a") < F.col("a2")) & (F.col("a2") - F.col("a") < 5))
-    pairs = (
-        crossed.select("image_id", (F.col("c") * F.col("c2")).alias("p"))
-        .unionByName(angles.select("image_id", F.floor(F.col("c") * (F.col("c") - 1) / 2).alias("p")))
-        .groupBy("image_id")
-        .agg(F.sum("p").alias("pares_paralelos"))
-    )
+    pairs = _near_pairs(s.groupBy("image_id", "a").agg(F.count(F.lit(1)).alias("c")), 5.0)
     out = groups.join(hist, "image_id").join(pairs, "image_id")
     if clusters is None:
         return out.withColumn("en_clusters", F.lit(0.0))

@@ -219,6 +219,19 @@ def q_merge_boxes(spark, d):
     return boxes.merge_boxes(b).select("image_id", "box_no")
 
 
+SQL["merge_boxes"] = f"""WITH RECURSIVE {WORDS_SQL}, b AS (SELECT DISTINCT doc_id AS image_id, word_no AS box_no, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM words),
+s AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY y0 + x0 * 0.1::DOUBLE, box_no) AS i FROM b),
+g(image_id, i, kept) AS (
+  SELECT DISTINCT image_id, 0::BIGINT, []::STRUCT(n BIGINT, a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE)[] FROM s
+  UNION ALL
+  SELECT s.image_id, s.i, CASE WHEN len(list_filter(g.kept, lambda k: greatest(0, least(k.c, s.x1) - greatest(k.a, s.x0)) * greatest(0, least(k.d, s.y1) - greatest(k.b, s.y0))
+      > 0.2::DOUBLE * ((k.c - k.a) * (k.d - k.b) + (s.x1 - s.x0) * (s.y1 - s.y0) - greatest(0, least(k.c, s.x1) - greatest(k.a, s.x0)) * greatest(0, least(k.d, s.y1) - greatest(k.b, s.y0)) + 1e-6))) > 0
+    THEN g.kept ELSE list_append(g.kept, {{'n': s.box_no, 'a': s.x0, 'b': s.y0, 'c': s.x1, 'd': s.y1}}) END
+  FROM g JOIN s ON s.image_id = g.image_id AND s.i = g.i + 1
+), z AS (SELECT image_id, arg_max(kept, i) AS kept FROM g GROUP BY 1)
+SELECT image_id, k.n AS box_no FROM (SELECT image_id, unnest(kept) AS k FROM z)"""
+
+
 # ---------------------------------------------------------------- reconciliation
 
 

@@ -40,6 +40,13 @@ def q_claims_page(spark, d):
 SQL["claims_page"] = f"WITH {CLAIMS_SQL} SELECT {_FLAT} FROM claims ORDER BY id_reclamo LIMIT 50 OFFSET 100"
 
 
+def q_claims_page_after(spark, d):
+    return _flat(ops.page_after(claims(spark, d), "CLM-000-000100", 50))
+
+
+SQL["claims_page_after"] = f"WITH {CLAIMS_SQL} SELECT {_FLAT} FROM claims WHERE id_reclamo > 'CLM-000-000100' ORDER BY id_reclamo LIMIT 50"
+
+
 def q_claims_stats(spark, d):
     stats = ops.claim_stats(claims(spark, d))
     counts = [F.try_element_at("por_estado", F.lit(s)).alias(n) for s, n in (("Aprobado", "aprobados"), ("En Revisión", "en_revision"), ("Rechazado", "rechazados"))]

@@ -339,6 +339,17 @@ def q_layer_risk(spark, d):
     return layers.layer_risk(layers.ocg_signals(docs), prob, text, structure)
 
 
+SQL["layer_risk"] = f"""WITH {BODIES_SQL}, {_OVERLAY},
+n AS (SELECT doc_id, {_sum_sql(layers.OCG_PATTERNS)} AS c, greatest(1.0::DOUBLE, octet_length(encode(body)) / 1e6::DOUBLE) AS mb FROM bodies),
+g AS (SELECT n.doc_id, c, w.overlay_count AS oc, CASE WHEN len(m) > 0 THEN odd / len(m) ELSE 0 END AS bm, low,
+  least(0.95::DOUBLE, CASE WHEN c = 0 THEN 0 ELSE 0.05::DOUBLE END + 0.85::DOUBLE / (1 + exp(-8.0::DOUBLE * (least(c, 12) / 12.0::DOUBLE * 0.7::DOUBLE + least(1.0::DOUBLE, c / mb / 20) * 0.1::DOUBLE - 0.35::DOUBLE)))) AS conf FROM n JOIN w USING (doc_id)),
+s AS (SELECT doc_id, c, oc, CASE WHEN c > 0 THEN conf * 0.35::DOUBLE ELSE 0 END + CASE WHEN oc > 3 THEN least(1.0::DOUBLE, oc / 20.0::DOUBLE) * 0.25::DOUBLE ELSE 0 END
+  + doc_id % 10 / 10 * 0.25::DOUBLE + CASE WHEN doc_id % 2 = 0 THEN doc_id % 4 / 4 * 0.15::DOUBLE ELSE 0 END AS s FROM g),
+l AS (SELECT *, CASE WHEN s >= 0.8 THEN 'VERY_HIGH' WHEN s >= 0.6 THEN 'HIGH' WHEN s >= 0.4 THEN 'MEDIUM' WHEN s >= 0.2 THEN 'LOW' ELSE 'VERY_LOW' END AS nivel FROM s)
+SELECT doc_id, round_even(s, 3) AS puntaje, round_even(s * 100, 1) AS porcentaje, nivel, greatest(round_even(s * 15, 0), CASE nivel WHEN 'VERY_HIGH' THEN 15 WHEN 'HIGH' THEN 12 WHEN 'MEDIUM' THEN 9 WHEN 'LOW' THEN 6 ELSE 3 END)::INT AS penalizacion,
+  round_even(least(1.0::DOUBLE, s + 0.1::DOUBLE), 3) AS confianza, CASE WHEN c > 0 THEN least(c // 2, 10) WHEN oc > 10 THEN least(oc // 5, 8) ELSE 0 END AS capas_estimadas, nivel <> 'VERY_LOW' AS has_layers FROM l"""
+
+
 def q_certificate_info(spark, d):
     docs = pdf_bodies(spark, d)
     cert = F.concat(F.lit("CN=Ana "), F.col("doc_id").cast("string"), F.lit(",O="), F.when(F.col("doc_id") % 2 == 0, "Security Data").otherwise("Otra"), F.lit(",C=EC,"))

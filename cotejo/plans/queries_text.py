@@ -195,6 +195,22 @@ def q_exhaustive_amounts(spark, d):
     return df.select("doc_id", "subtotal", "iva", "total", "n_totales", F.round("totales_rango", 2).alias("totales_rango"))
 
 
+def _hits_sql(amounts):
+    """Hits of every pattern that DuckDB can run (it has no lookahead), as (doc_id, concepto, patron, hit, valor)."""
+    rows = [
+        f"SELECT doc_id, '{name}' AS concepto, {i} AS patron, unnest(l) AS m, generate_subscripts(l, 1) AS hit FROM (SELECT doc_id, regexp_extract_all(text, '(?im){p}', 1) AS l FROM texts)"
+        for name, (_, _, patterns) in amounts.items() for i, p in enumerate(patterns) if "(?=" not in p
+    ]
+    return " UNION ALL ".join(rows)
+
+
+SQL["exhaustive_amounts"] = f"""WITH {KEYS_SQL}, {TEXTS_SQL}, h AS (SELECT * EXCLUDE m, CAST(replace(m, ',', '.') AS DOUBLE) AS v FROM ({_hits_sql(extract.EXHAUSTIVE_AMOUNTS)})),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, concepto ORDER BY patron, CASE WHEN concepto = 'total' THEN -v ELSE hit END) AS r FROM h)
+SELECT t.doc_id, max(v) FILTER (concepto = 'subtotal' AND r = 1) AS subtotal, max(v) FILTER (concepto = 'iva' AND r = 1) AS iva, max(v) FILTER (concepto = 'total' AND r = 1) AS total,
+  count(DISTINCT v) FILTER (concepto = 'total') AS n_totales, round(max(v) FILTER (concepto = 'total') - min(v) FILTER (concepto = 'total'), 2) AS totales_rango
+FROM texts t LEFT JOIN r USING (doc_id) GROUP BY t.doc_id"""
+
+
 def q_semantic_rules(spark, d):
     r = extract.semantic_rules(invoice_texts(spark, d))
     return r.select("doc_id", F.concat_ws(",", "fechas").alias("fechas"), "subtotal", "iva", "total", "amounts_consistent")
@@ -336,12 +352,53 @@ def q_capture_amounts(spark, d):
     return extract.capture_amounts(invoice_texts(spark, d)).select("doc_id", "subtotal_sin_impuestos", "iva15", "total")
 
 
+SQL["capture_amounts"] = rf"""WITH {KEYS_SQL}, {TEXTS_SQL}, m AS (SELECT doc_id, regexp_extract(text, '(?i)SUBTOTAL\s+SIN\s+IMPUESTOS\s*[:\s]\s*\$?\s*([0-9.,]+)', 1) AS s,
+  regexp_extract(text, '(?i)IVA\s*15%?\s*[:\s]\s*\$?\s*([0-9.,]+)', 1) AS i, regexp_extract(text, '(?i)(?:VALOR\s+TOTAL|TOTAL\s*FACTURA|TOTAL)\s*[:\s]\s*\$?\s*([0-9.,]+)', 1) AS t FROM texts)
+SELECT doc_id, CAST(nullif(s, '') AS DOUBLE) AS subtotal_sin_impuestos, CAST(nullif(i, '') AS DOUBLE) AS iva15, CAST(nullif(t, '') AS DOUBLE) AS total FROM m"""
+
+
 def q_image_fields(spark, d):
-    return extract.image_fields(invoice_texts(spark, d))
+    """Texts whose total has no blank after its sign, some with a company line."""
+    k = F.col("doc_id")
+    texts = invoice_texts(spark, d).withColumn("text", F.concat(F.when(k % 3 == 0, F.lit("Empresa: Andina\n")).otherwise(F.lit("")), F.replace("text", F.lit("$ "), F.lit("$"))))
+    return extract.image_fields(texts)
+
+
+SQL["image_fields"] = rf"""WITH {KEYS_SQL}, {TEXTS_SQL}, t AS (SELECT doc_id, replace(text, '$ ', '$') AS t FROM texts)
+SELECT doc_id, regexp_extract(t, '(?i)RUC[:\s]*(\d{{13}})', 1) AS ruc, CASE WHEN doc_id % 3 = 0 THEN 'Andina' END AS "razonSocial", nullif(regexp_extract(t, '(?i)Emisión[:\s]*(\d{{1,2}}[/\-]\d{{1,2}}[/\-]\d{{2,4}})', 1), '') AS "fechaEmision",
+  CAST(replace(nullif(regexp_extract(t, '(?i)Total[:\s]*\$?(\d+[.,]\d{{2}})', 1), ''), ',', '.') AS DOUBLE) AS "importeTotal", nullif(regexp_extract(t, '(\d{{49}})', 1), '') AS "claveAcceso" FROM t"""
+
+
+def _forms(spark, d):
+    """Printed electronic documents of several kinds, some with references to files."""
+    k = F.col("doc_id")
+    n = k.cast("string")
+    prices = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.format_string("%.2f", "o_totalprice").alias("price"))
+    text = F.concat_ws(
+        "\n", F.when(k % 2 == 0, "RIDE"), F.concat(F.lit("RUC: "), F.substring("clave", 11, 13)),
+        F.when(k % 3 == 1, "Tipo de Documento: NOTA DE CRÉDITO").when(k % 3 == 2, "Tipo de Documento: RETENCION"), F.concat(F.lit("Número de Autorización: "), n), F.concat(F.lit("Total: "), "price"),
+        F.when(k % 5 > 0, F.concat(F.lit("Clave de Acceso: "), "clave")), F.when(k % 4 == 0, F.concat(F.lit("Archivo XML: f"), n, F.lit(".xml"))), F.when(k % 7 == 0, F.concat(F.lit("https://sri.example/"), n, F.lit(".xml"))),
+    )
+    return access_keys(spark, d).join(prices, "doc_id").select("doc_id", text.alias("text"))
 
 
 def q_form_fields(spark, d):
-    return extract.form_fields(invoice_texts(spark, d)).select("doc_id", "tipo", "numero_autorizacion", "total", "n_referencias", "n_marcas")
+    return extract.form_fields(_forms(spark, d)).select("doc_id", "tipo", "tipo_documento", "numero_autorizacion", "total", "clave_acceso", "ruc_emisor", "n_referencias", "n_marcas")
+
+
+SQL["form_fields"] = f"""WITH {KEYS_SQL} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'ride' WHEN doc_id % 3 = 1 THEN 'nota_credito' WHEN doc_id % 3 = 2 THEN 'retencion' ELSE 'documento_fiscal' END AS tipo,
+  CASE doc_id % 3 WHEN 1 THEN 'NOTA DE CRÉDITO' WHEN 2 THEN 'RETENCION' END AS tipo_documento, CAST(doc_id AS VARCHAR) AS numero_autorizacion, printf('%.2f', o_totalprice) AS total, CASE WHEN doc_id % 5 > 0 THEN clave END AS clave_acceso,
+  CASE WHEN doc_id % 2 = 0 THEN substr(clave, 11, 13) END AS ruc_emisor, (doc_id % 5 > 0)::INT + 2 * (doc_id % 4 = 0)::INT + 2 * (doc_id % 7 = 0)::INT AS n_referencias,
+  2 + (doc_id % 2 = 0)::INT + (doc_id % 5 > 0)::INT AS n_marcas FROM keys JOIN orders ON o_orderkey = doc_id"""
+
+
+def q_form_references(spark, d):
+    return extract.form_references(_forms(spark, d))
+
+
+SQL["form_references"] = f"""WITH {KEYS_SQL} SELECT doc_id, 'referencia_xml' AS tipo, clave AS valor FROM keys WHERE doc_id % 5 > 0
+UNION ALL SELECT doc_id, 'referencia_xml', 'f' || doc_id || '.xml' FROM keys, range(2) WHERE doc_id % 4 = 0
+UNION ALL SELECT doc_id, 'url_archivo', p || '//sri.example/' || doc_id || '.xml' FROM keys, (VALUES ('https:'), ('')) v(p) WHERE doc_id % 7 = 0"""
 
 
 def _plain_sql(pattern: str) -> str:
