@@ -53,3 +53,13 @@ def test_stages_take_tables_without_rows_and_with_more_columns(spark):
             assert out.columns == corpus_pipeline.COLUMNS
             assert out.count() <= df.count()
         assert corpus_pipeline.STAGES[-1][1](spark, df, SF).count() == df.count()
+
+
+def test_near_duplicates_are_judged_row_by_row(spark):
+    from brute import docs
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (4, c), (None, c), (None, "only here " * 9), (5, None), (5, ""), (6, "")]
+    kept = corpus_pipeline.near_duplicates(spark, docs(spark, rows), SF).collect()
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept)
+    assert got == sorted([(False, 1, a), (False, 2, b), (False, 4, c), (True, 0, "only here " * 9), (False, 5, ""), (False, 5, ""), (False, 6, "")])
