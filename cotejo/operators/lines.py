@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from cotejo.functions.numbers import as_double, first_money
 from cotejo.functions.similarity import ratio_at_least
 from cotejo.functions.text import contains_any, extract_all, lines_of, strip
-from cotejo.skew import chunk_pairs, pack_chunks
+from cotejo.skew import length_chunks
 
 LINE_CHUNK = 64
 
@@ -66,34 +66,36 @@ def line_format(lines: DataFrame) -> DataFrame:
     return shapes.join(short, "doc_id").withColumn("n_sospechas", kinds.cast("bigint"))
 
 
-def _similar_in_pair(limit: int | None, min_ratio: float):
-    """Near copies of one chunk pair in (i, j) order, all or the first `limit`; bounds keep most ratios unread."""
+def _similar_in_pair(min_ratio: float):
+    """Near copies among the different lines of two chunks: the earlier line first, both orders where one of the lines is repeated."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = SequenceMatcher(None)
+
+        def found(doc, firsts, seconds):
+            # the cached side of the matcher is the second one
+            for b in seconds:
+                matcher.set_seq2(b["line"])
+                size = len(b["line"])
+                for a in firsts:
+                    repeated = a["n"] > 1 or b["n"] > 1
+                    if a["no"] == b["no"] or (a["no"] > b["no"] and not repeated):
+                        continue
+                    shorter, longer = sorted((len(a["line"]), size))
+                    if 2.0 * shorter < min_ratio * (shorter + longer):
+                        continue
+                    matcher.set_seq1(a["line"])
+                    r = ratio_at_least(matcher, min_ratio)
+                    if r >= min_ratio:
+                        yield doc, a["no"], b["no"], r
+
         for batch in batches:
             out = []
-            for doc, a_rows, b_rows in zip(batch["doc_id"], batch["rows_a"], batch["rows_b"]):
-                # the cached side of the matcher is the second one, so later lines are the outer loop
-                found = []
-                for b in b_rows:
-                    late, text = b["line_no"], b["line"]
-                    matcher.set_seq2(text)
-                    size = len(text)
-                    for a in a_rows:
-                        if a["line_no"] >= late:
-                            break
-                        other = a["line"]
-                        shorter, longer = sorted((len(other), size))
-                        if other == text or 2.0 * shorter < min_ratio * (shorter + longer):
-                            continue
-                        matcher.set_seq1(other)
-                        r = ratio_at_least(matcher, min_ratio)
-                        if min_ratio <= r < 1.0:
-                            found.append((a["line_no"], late, other, text, r))
-                found.sort(key=lambda t: (t[0], t[1]))
-                out.extend((doc, *f) for f in found[:limit])
-            yield pd.DataFrame(out, columns=["doc_id", "i", "j", "line_i", "line_j", "ratio"])
+            for doc, same, a, b in zip(batch["doc_id"], batch["same"], batch["a"], batch["b"]):
+                out += found(doc, a, b)
+                if not same:
+                    out += found(doc, b, a)
+            yield pd.DataFrame(out, columns=["doc_id", "i", "j", "ratio"])
 
     return run
 
@@ -101,13 +103,21 @@ def _similar_in_pair(limit: int | None, min_ratio: float):
 def similar_lines(lines: DataFrame, min_ratio: float = 0.7, limit: int | None = None) -> DataFrame:
     """All pairs of nearly equal lines per document, or the first `limit` in (i, j) order for a report.
 
-    Lines meet in chunk pairs, so a long document is many equal jobs, and a job's answer is bounded by its two chunks.
+    Different lines of a document meet in chunks of like length, so a long document is many equal jobs; repeated lines are compared once
+    and put back by their numbers.
     """
     key = lines.schema["doc_id"].dataType.simpleString()
-    packed = pack_chunks(lines, ["doc_id"], "line_no", ["line"], LINE_CHUNK)
-    pairs = chunk_pairs(packed, ["doc_id"])
-    schema = f"doc_id {key}, i bigint, j bigint, line_i string, line_j string, ratio double"
-    found = pairs.select("doc_id", "rows_a", "rows_b").mapInPandas(_similar_in_pair(limit, min_ratio), schema)
+    texts = lines.groupBy("doc_id", "line").agg(F.min("line_no").alias("no"), F.count(F.lit(1)).alias("n"))
+    packed = length_chunks(texts, ["doc_id"], "line", min_ratio, LINE_CHUNK, "a", ["no", "n", "line"])
+    other = packed.select("doc_id", F.explode(F.array(F.col("length_class"), F.col("length_class") - 1)).alias("length_class"), F.col("length_class").alias("own"), F.col("_a").alias("_b"), F.col("a").alias("b"))
+    met = packed.join(other, ["doc_id", "length_class"]).where((F.col("own") != F.col("length_class")) | (F.col("_a") <= F.col("_b")))
+    met = met.withColumn("same", (F.col("own") == F.col("length_class")) & (F.col("_a") == F.col("_b"))).repartition("doc_id", "length_class", "own", "_a", "_b")
+    pairs = met.select("doc_id", "same", "a", "b").mapInPandas(_similar_in_pair(min_ratio), f"doc_id {key}, i bigint, j bigint, ratio double")
+    again = texts.where("n > 1").select("doc_id", "line", "no")
+    places = lines.join(again, ["doc_id", "line"], "left").select("doc_id", F.coalesce("no", "line_no").cast("bigint").alias("no"), F.col("line_no").cast("bigint").alias("at"), "line")
+    side = lambda c: places.select("doc_id", F.col("no").alias(c), F.col("at").alias(f"at_{c}"), F.col("line").alias(f"line_{c}"))
+    met = pairs.join(side("i"), ["doc_id", "i"]).join(side("j"), ["doc_id", "j"]).where("at_i < at_j")
+    found = met.select("doc_id", F.col("at_i").alias("i"), F.col("at_j").alias("j"), "line_i", "line_j", "ratio")
     if limit is None:
         return found
     # the rank filter also runs before the shuffle, so a document sends at most `limit` rows per task

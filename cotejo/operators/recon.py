@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import math
 from collections import deque
 from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cotejo.functions.similarity import ratio_at_least
 from cotejo.functions.text import norm_desc, norm_name
-from cotejo.skew import first_by, spread
+from cotejo.skew import first_by, length_chunks, spread
 
 QTY_EPS, PRICE_EPS, TOTAL_EPS, MATCH_THRESHOLD = 0.001, 0.01, 0.02, 0.60
 # lines of one invoice that are settled in one row, and descriptions of a chunk of longer ones
@@ -169,16 +168,6 @@ def _fold(final: str):
     return run
 
 
-def _description_chunks(lines: DataFrame, name: str, threshold: float) -> DataFrame:
-    """Different descriptions of a document in arrays of about CHUNK, by length class: similar ones are in the same or the next class."""
-    step = math.log((2 - threshold) / threshold)
-    size = F.floor(F.log(F.greatest(F.length("d"), F.lit(1)).cast("double")) / step).cast("int")
-    d = lines.select("doc_id", "d").distinct().withColumn("size", size)
-    count = d.groupBy("doc_id", "size").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("_n"))
-    dealt = d.join(count, ["doc_id", "size"]).withColumn(f"_{name}", F.pmod(F.xxhash64("d"), F.col("_n")))
-    return dealt.groupBy("doc_id", "size", f"_{name}").agg(F.collect_list("d").alias(name))
-
-
 def match_items(sri_items: DataFrame, pdf_items: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
     """Greedy one-to-one match of lines by description: (doc_id, sri_no, pdf_no, similitud).
 
@@ -199,9 +188,10 @@ def match_items(sri_items: DataFrame, pdf_items: DataFrame, threshold: float = M
     short = spread(pairs, ["doc_id"]).mapInPandas(_match_whole(threshold), final)
 
     lines = both.join(long, "doc_id", "left_semi")
-    a = _description_chunks(lines.where("sri"), "sri", threshold)
-    b = _description_chunks(lines.where(~F.col("sri")), "pdf", threshold).withColumn("size", F.explode(F.array([F.col("size") + i for i in (-1, 0, 1)])))
-    met = a.join(b, ["doc_id", "size"]).repartition("doc_id", "size", "_sri", "_pdf").select("doc_id", "sri", "pdf")
+    chunks = lambda side, name: length_chunks(lines.where(side).select("doc_id", "d").distinct(), ["doc_id"], "d", threshold, CHUNK, name, ["d"])
+    near = F.explode(F.array([F.col("length_class") + i for i in (-1, 0, 1)]))
+    met = chunks(F.col("sri"), "sri").join(chunks(~F.col("sri"), "pdf").withColumn("length_class", near), ["doc_id", "length_class"])
+    met = met.repartition("doc_id", "length_class", "_sri", "_pdf").select("doc_id", "sri", "pdf")
     edges = met.mapInPandas(_edges(threshold), f"doc_id {key}, a string, b string, ratio double")
     rest = edges.groupBy("doc_id").cogroup(lines.groupBy("doc_id")).applyInPandas(_fold(final), final)
     return short.unionByName(rest)

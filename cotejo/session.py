@@ -22,12 +22,13 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("COTEJO_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        .config(CHECKPOINT_KEY, os.environ.get("COTEJO_SHARED") or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .getOrCreate()
     )
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; fall back to a local one only in local mode."""
+    """Use the shared folder that the session names; only a local session without one gets its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return

@@ -6,6 +6,7 @@ bounded pieces meet in a task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -139,6 +140,20 @@ def pack_chunks(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str
     )
 
 
+def length_chunks(texts: DataFrame, keys: Sequence[str], text: str, ratio: float, size: int, name: str, cols: Sequence[str]) -> DataFrame:
+    """Texts of a key in arrays `name` of about `size` structs of `cols`, by `length_class`, dealt by hash to the chunk `_<name>`.
+
+    Sequences whose matching-block ratio reaches `ratio` are in the same length class or in neighbouring ones.
+    """
+    step = math.log((2 - ratio) / ratio)
+    own = F.floor(F.log(F.greatest(F.length(text), F.lit(1)).cast("double")) / step).cast("int")
+    at = [*keys, "length_class"]
+    d = texts.withColumn("length_class", own)
+    count = d.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / size).alias("_n"))
+    dealt = d.join(count, at).withColumn(f"_{name}", F.pmod(F.xxhash64(text), F.col("_n")))
+    return dealt.groupBy(*at, f"_{name}").agg(F.collect_list(F.struct(*cols) if len(cols) > 1 else F.col(cols[0])).alias(name))
+
+
 def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Repartition for work that is heavy per row: a fixed number of parts, so that small data is not
     folded into one task at run time."""
