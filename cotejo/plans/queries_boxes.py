@@ -215,11 +215,12 @@ SQL["patch_images"] = f"WITH {_IMAGES} SELECT doc_id, count(*) AS n FROM im WHER
 
 def q_merge_boxes(spark, d):
     """Greedy merge over the boxes of each order."""
-    b = line_words(spark, d).select(F.col("doc_id").alias("image_id"), F.col("word_no").alias("box_no"), "x0", "y0", "x1", "y1").distinct()
+    w = line_words(spark, d).groupBy(F.col("doc_id").alias("image_id"), F.col("word_no").alias("box_no"))
+    b = w.agg(*[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1")])
     return boxes.merge_boxes(b).select("image_id", "box_no")
 
 
-SQL["merge_boxes"] = f"""WITH RECURSIVE {WORDS_SQL}, b AS (SELECT DISTINCT doc_id AS image_id, word_no AS box_no, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM words),
+SQL["merge_boxes"] = f"""WITH RECURSIVE {WORDS_SQL}, b AS (SELECT doc_id AS image_id, word_no AS box_no, min(x0)::DOUBLE AS x0, min(y0)::DOUBLE AS y0, max(x1)::DOUBLE AS x1, max(y1)::DOUBLE AS y1 FROM words GROUP BY 1, 2),
 s AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY y0 + x0 * 0.1::DOUBLE, box_no) AS i FROM b),
 g(image_id, i, kept) AS (
   SELECT DISTINCT image_id, 0::BIGINT, []::STRUCT(n BIGINT, a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE)[] FROM s
