@@ -43,13 +43,13 @@ WORDS, PERCENT = 4, 85
 HEAVY = 1 << 17
 #: Postings that linked sets have in common at least; prefixes are as much longer.
 SHARED = 3
-_BLOCK = 1_000_000  # shingles among which repeats are looked for
+_BLOCK = 500_000  # shingles among which repeats are looked for
 _BINS = 32
-_CHUNK = 400_000  # characters hashed at once
-_HELD = 2_000_000  # shingles of texts that a task keeps while it compares pairs
-_SEEN = 100_000  # sets remembered as done within a task
+_CHUNK = 150_000  # characters hashed at once
+_HELD = 1_000_000  # shingles of texts that a task keeps while it compares pairs
+_SEEN = 50_000  # sets remembered as done within a task
 _LEAST_BITS, _MOST_BITS = 1 << 20, 1 << 26
-_POSTINGS = 500_000  # of a block
+_POSTINGS = 250_000  # of a block
 _BUCKET = 2_000_000  # fingerprints that meet in a task
 _LARGEST_SMALL = 24
 _BASE = 0x9E3779B97F4A7C15
