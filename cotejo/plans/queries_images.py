@@ -41,7 +41,7 @@ SQL["variance_outliers"] = f"WITH {TILES_SQL} {_share('s', 2)}".replace(", 6)",
 
 
 def q_quadrant_noise(spark, d):
-    return _round(tl.quadrant_noise(embedding_tiles(spark, d), 300.0), 4)
+    return _round(tl.quadrant_noise(embedding_tiles(spark, d), 300.0, grid=(10, 10)), 4)
 
 
 SQL["quadrant_noise"] = f"""WITH {TILES_SQL}, q AS (SELECT image_id, ty >= 5 AS a, tx >= 5 AS b, var_pop(v) AS s FROM pix GROUP BY 1, 2, 3)

@@ -430,3 +430,25 @@ def test_xml_is_parsed_once_and_metrics_read_twice(spark):
     for query in (queries_boxes.q_xml_invoice, queries_boxes.q_xml_items):
         assert _plan(query(spark, "/root/testdata/sf0.001")).count("from_xml(") == 1
     assert _plan(queries_images.q_mad_outliers(spark, "/root/testdata/sf0.001")).count("FileScan parquet") <= 2
+
+
+def test_quadrants_of_an_image_without_its_last_tiles(spark):
+    """Halves follow the size of the image, and the variance is the running one: a tie of the last digit falls as in the SQL."""
+    rows = [(0, k // 10, k % 10, [RNG.randrange(256) for _ in range(8)]) for k in range(56)]
+
+    def running(px):
+        n, m, d = 0, 0.0, 0.0
+        for v in px:
+            n, gap = n + 1, v - m
+            m += gap / n
+            d += (v - m) * gap
+        return d / n
+
+    df = spark.createDataFrame(rows, "image_id bigint, ty int, tx int, px array<smallint>")
+    parts = {}
+    for _, ty, tx, px in rows:
+        parts.setdefault((ty >= 5, tx >= 5), []).extend(px)
+    v = [running(px) for px in parts.values()]
+    assert tiles.quadrant_noise(df, grid=(10, 10)).first()["diferencia_maxima"] == max(v) - min(v)
+    merged = tiles.quadrant_noise(df, grid=(10, 10), most=10).first()["diferencia_maxima"]
+    assert math.isclose(merged, max(v) - min(v), rel_tol=1e-9)
