@@ -299,10 +299,12 @@ diffs AS (SELECT *, abs(v - floor(v * 0.9::DOUBLE)) AS d FROM pix)"""
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as recognised tokens of one image per order."""
     li = table(spark, sf_dir, "lineitem")
+    number = F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 100 + F.col("l_linenumber")
     return li.select(
         F.col("l_orderkey").alias("image_id"),
-        (F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 100 + F.col("l_linenumber")).alias("token_no"),
-        F.when(F.col("l_linenumber") % 3 == 0, F.lit("AB 1")).otherwise(F.concat(F.col("l_partkey").cast("string"), F.lit(".50"))).alias("text"),
+        number.alias("token_no"),
+        # the text shows the leading digits of the number, which a supplier above 9,999 carries into
+        F.when(F.col("l_linenumber") % 3 == 0, F.lit("AB 1")).otherwise(F.concat(F.floor(number / 1000000).cast("string"), F.lit(".50"))).alias("text"),
         (F.col("l_quantity") * 2).alias("conf"),
         (F.col("l_partkey") % 500).cast("int").alias("left"),
         (F.col("l_suppkey") % 300).cast("int").alias("top"),

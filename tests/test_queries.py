@@ -4,6 +4,7 @@ from collections import Counter
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from cotejo.plans import queries_boxes, queries_text, registry
@@ -131,3 +132,14 @@ def test_query_without_sql_answers(spark, name):
 
 def test_entry_is_the_invoice_level_query(spark):
     assert {"doc_id", "score", "nivel"} <= set(entry.entry(spark).columns)
+
+
+def test_tokens_of_large_suppliers_match_sql(spark, tmp_path):
+    """A supplier above 9,999 carries into the leading digits of the token's number."""
+    import duckdb
+
+    table(spark, SF, "lineitem").limit(200).withColumn("l_suppkey", F.col("l_suppkey") + 59000).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    ok, note = check(spark, con, "tokens_for_boxes", QUERIES["tokens_for_boxes"], ORACLE["tokens_for_boxes"], str(tmp_path))
+    assert ok, note
