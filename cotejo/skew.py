@@ -162,10 +162,16 @@ def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartition(n, *[F.col(k) for k in keys])
 
 
-def at_least_parallel(df: DataFrame) -> DataFrame:
-    """Spread a table that arrives in fewer pieces than there are cores; larger ones stay as they are."""
+#: rows of one task where every row is read by rules of its own
+TASK_ROWS = 50_000
+
+
+def at_least_parallel(df: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
+    """Spread a table that arrives in few pieces: two for each core at least, and one for every `rows` rows, so that more rows make more
+    tasks and not longer ones. A table that arrives in enough pieces stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+    wanted = max(cores, math.ceil(df.count() / rows))
+    return df.repartition(max(wanted, 2 * cores)) if df.rdd.getNumPartitions() < wanted else df
 
 
 def chunk_pairs(packed: DataFrame, keys: Sequence[str], ordered: bool = False) -> DataFrame:
