@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from cotejo.functions.binding import let
 from cotejo.functions.numbers import as_double, first_money
 from cotejo.functions.similarity import ratio_at_least
 from cotejo.functions.text import contains_any, extract_all, lines_of, strip
@@ -265,7 +266,7 @@ def label_next_lines(doc_text: DataFrame, labels: dict[str, str] | None = None,
     """
     labels = labels or AMOUNT_LABELS
     lines = doc_text.select("doc_id", amount_lines(F.col("text")).alias("_l"))
-    df = lines.withColumn("_a", F.transform("_l", first_money))
+    df = lines.withColumn("_a", F.transform("_l", lambda x: F.when(x.rlike(r"\d"), first_money(x))))
 
     def search(name: str, pattern: str) -> Column:
         ahead = _WINDOWS.get(name, window)
@@ -295,15 +296,17 @@ def context_amounts(doc_text: DataFrame) -> DataFrame:
 
     Folds over the lines of the row with the kinds found so far as state.
     """
-    df = doc_text.select("doc_id", F.transform(lines_of(F.col("text")), F.lower).alias("_l"))
     amount = r"(\d{1,6}[.,]\d{2})"
+    # lines without an amount settle nothing
+    told = F.filter(F.transform(lines_of(F.col("text")), F.lower), lambda x: x.rlike(amount))
+    df = doc_text.select("doc_id", told.alias("_l"))
 
     def on_line(x: Column) -> list[tuple[str, Column]]:
         tries = []
         for kind, words in CONTEXT_WORDS.items():
             for pattern in (f"{words}.*?{amount}", f"{amount}.*?{words}"):
                 v = as_double(F.replace(F.regexp_extract(x, pattern, 1), F.lit(","), F.lit(".")))
-                tries.append((kind, F.when(v.between(0.01, 999999.0), v)))
+                tries.append((kind, let(v, lambda x: F.when(x.between(0.01, 999999.0), x))))
         return tries
 
     found = F.transform("_l", lambda x: F.struct(*[v.alias(f"t{i}") for i, (_, v) in enumerate(on_line(x))]))
