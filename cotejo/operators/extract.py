@@ -97,12 +97,14 @@ def access_key_ocr(doc_text: DataFrame) -> DataFrame:
     df = doc_text.select("doc_id", _ocr_text(F.col("text")).alias("_t"))
     after = F.get(_windows(F.col("_t"), _AUTH_HEADER), F.lit(0))
     runs = F.concat(F.split(F.coalesce(after, F.lit("")), _BETWEEN_RUNS), F.split("_t", _BETWEEN_RUNS))
-    digits = F.filter(F.transform(runs, digits_only), lambda d: F.length(d) >= 49)
+    # most runs are too short to hold a key, so their digits are never picked out
+    digits = F.filter(F.transform(F.filter(runs, lambda r: F.length(r) >= 49), digits_only), lambda d: F.length(d) >= 49)
     # stable order by length: position breaks ties
     ranked = F.transform(
         F.array_sort(F.transform(digits, lambda d, i: F.struct((-F.length(d)).alias("k"), i.alias("i"), d.alias("d")))), lambda s: s["d"]
     )
-    valid = F.filter(F.flatten(F.transform(ranked, key_windows)), key_valid)
+    # the text after the header is part of the text, so windows come twice
+    valid = F.filter(F.array_distinct(F.flatten(F.transform(ranked, key_windows))), key_valid)
     found = df.select("doc_id", let(valid, lambda v: F.coalesce(first_dated(v), F.get(v, F.lit(0)))).alias("clave"), (F.size(digits) > 0).alias("_long"))
     return found.select("doc_id", "clave", (F.col("clave").isNull() & F.coalesce("_long", F.lit(False))).alias("sin_valida"))
 
@@ -115,7 +117,9 @@ def access_key_form(doc_text: DataFrame) -> DataFrame:
     t = F.col("text")
     labelled = F.regexp_extract(t, r"(?i)(?:Clave.*Acceso|N[uú]mero de autorizaci[oó]n)[:\s]*([0-9\s]{45,})", 1)
     runs = F.concat(F.array(labelled), extract_all(t, r"\d[\d\s]{47,}\d"))
-    fixed = F.filter(F.transform(runs, repair_key_swaps), lambda k: k.isNotNull())
+    # the labelled run is mostly one of the long ones; each is repaired once
+    different = F.array_distinct(F.transform(runs, lambda r: digits_only(ocr_digits(r, "pdf"))))
+    fixed = F.filter(F.transform(different, repair_key_swaps), lambda k: k.isNotNull())
     long = F.exists(runs, lambda r: F.length(digits_only(r)) >= 49)
     found = doc_text.select("doc_id", F.get(fixed, F.lit(0)).alias("clave"), long.alias("_long"))
     return found.select("doc_id", "clave", (F.col("clave").isNull() & F.coalesce("_long", F.lit(False))).alias("sin_valida"))
@@ -455,33 +459,44 @@ def _candidate(name: str, pattern_no: int, value: Column, hit: Column) -> Column
     return F.struct(F.lit(name).alias("concepto"), F.lit(pattern_no).alias("patron"), hit.alias("hit"), value.alias("valor"))
 
 
-def amount_candidates(doc_text: DataFrame, limits: dict[str, tuple[float, float]] | None = None) -> DataFrame:
-    """Every hit of the wide net, or those within the given limits: (doc_id, concepto, patron, hit, valor)."""
-    t = F.col("text")
-    groups = []
+def _wide_net(text: Column, limits: dict[str, tuple[float, float]] | None) -> dict[str, Column]:
+    """Arrays of the hits of the wide net by amount, or of those within the given limits."""
+    found = {}
     for name, (_, _, patterns) in EXHAUSTIVE_AMOUNTS.items():
+        groups = []
         for i, p in enumerate(patterns):
-            values = F.transform(extract_all(t, "(?im)" + p, 1), lambda v: as_double(F.replace(v, F.lit(","), F.lit("."))))
+            values = F.transform(extract_all(text, "(?im)" + p, 1), lambda v: as_double(F.replace(v, F.lit(","), F.lit("."))))
             groups.append(F.transform(values, partial(_candidate, name, i)))
-    rows = doc_text.select("doc_id", F.explode(F.flatten(F.array(*groups))).alias("_c")).select("doc_id", "_c.*").where(F.col("valor").isNotNull())
-    for name, (lo, hi) in (limits or {}).items():
-        rows = rows.where((F.col("concepto") != name) | F.col("valor").between(lo, hi))
-    return rows
+        lo, hi = (limits or {}).get(name, (None, None))
+        found[name] = F.filter(F.flatten(F.array(*groups)), lambda c: c["valor"].isNotNull() if lo is None else c["valor"].between(lo, hi))
+    return found
+
+
+def amount_candidates(doc_text: DataFrame, limits: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """Every hit of the wide net, or those within the given limits: (doc_id, concepto, patron, hit, valor)."""
+    found = F.concat(*_wide_net(F.col("text"), limits).values())
+    return doc_text.select("doc_id", F.explode(found).alias("_c")).select("doc_id", "_c.*")
 
 
 def exhaustive_amounts(doc_text: DataFrame, limits: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """Subtotal and VAT: first hit of the first matching pattern. Total: first pattern, largest value.
 
-    Also the number of different total candidates and their spread.
+    Also the number of different total candidates and their spread. A text is settled inside its row, so nothing is gathered.
     """
-    c = amount_candidates(doc_text, limits)
-    rank = F.struct(F.col("patron"), F.when(F.col("concepto") == "total", -F.col("valor")).otherwise(F.col("hit").cast("double")))
-    best = c.groupBy("doc_id").agg(
-        *[F.min_by(F.when(F.col("concepto") == n, F.col("valor")), F.when(F.col("concepto") == n, rank)).alias(n) for n in EXHAUSTIVE_AMOUNTS],
-        F.count_distinct(F.when(F.col("concepto") == "total", F.col("valor"))).alias("n_totales"),
-        (F.max(F.when(F.col("concepto") == "total", F.col("valor"))) - F.min(F.when(F.col("concepto") == "total", F.col("valor")))).alias("totales_rango"),
+    found = doc_text.select("doc_id", *[c.alias(f"_{n}") for n, c in _wide_net(F.coalesce("text", F.lit("")), limits).items()])
+
+    def best(name: str) -> Column:
+        place = lambda c: -c["valor"] if name == "total" else c["hit"].cast("double")
+        ranked = F.transform(f"_{name}", lambda c: F.struct(c["patron"].alias("patron"), place(c).alias("place"), c["valor"].alias("valor")))
+        return F.array_min(ranked)["valor"].alias(name)
+
+    totals = F.transform("_total", lambda c: c["valor"])
+    return found.select(
+        "doc_id",
+        *[best(n) for n in EXHAUSTIVE_AMOUNTS],
+        F.size(F.array_distinct(totals)).cast("bigint").alias("n_totales"),
+        (F.array_max(totals) - F.array_min(totals)).alias("totales_rango"),
     )
-    return doc_text.select("doc_id").join(best, "doc_id", "left")
 
 
 def infer_missing(subtotal: Column, iva: Column, total: Column) -> list[Column]:

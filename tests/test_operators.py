@@ -452,3 +452,23 @@ def test_quadrants_of_an_image_without_its_last_tiles(spark):
     assert tiles.quadrant_noise(df, grid=(10, 10)).first()["diferencia_maxima"] == max(v) - min(v)
     merged = tiles.quadrant_noise(df, grid=(10, 10), most=10).first()["diferencia_maxima"]
     assert math.isclose(merged, max(v) - min(v), rel_tol=1e-9)
+
+
+def test_more_rows_make_more_tasks(spark, tmp_path):
+    """Rows beyond the share of a task open another one, also above the number of cores."""
+    spark.range(5000).coalesce(1).write.parquet(f"{tmp_path}/t")
+    few = spark.read.parquet(f"{tmp_path}/t")
+    assert skew.at_least_parallel(few).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    assert skew.at_least_parallel(few, rows=100).rdd.getNumPartitions() == 50
+    enough = few.repartition(60)
+    assert skew.at_least_parallel(enough, rows=100).rdd.getNumPartitions() == 60
+
+
+def test_exhaustive_amounts_stay_in_the_row(spark):
+    """Nothing is gathered by document, and a text without any amount has no candidates."""
+    df = spark.createDataFrame([(1, "Subtotal: 10.00\nIVA 1.50\nValor total 11.50\nTotal 12,00"), (2, "nada"), (3, None)], "doc_id bigint, text string")
+    out = extract.exhaustive_amounts(df)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert (got[1]["subtotal"], got[1]["iva"], got[1]["total"]) == (10.0, 1.5, 11.5)
+    assert [(got[k]["total"], got[k]["n_totales"], got[k]["totales_rango"]) for k in (2, 3)] == [(None, 0, None)] * 2
