@@ -73,7 +73,9 @@ def normalize_decimal(c: Column, variant: str = "capture") -> Column:
             lone = dot(s)
         return F.when(s.contains(",") & s.contains("."), both).otherwise(lone)
 
-    return as_double(let(F.trim(c, F.lit(WHITESPACE)), plain))
+    # digits with at most one dot read the same in every spelling
+    usual = lambda x: F.when(x.rlike(r"^[0-9]+(?:\.[0-9]+)?$"), x.try_cast("double")).otherwise(as_double(let(F.trim(x, F.lit(WHITESPACE)), plain)))
+    return let(c, usual)
 
 
 def norm_amount(c: Column) -> Column:

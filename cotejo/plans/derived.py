@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cotejo.skew import at_least_parallel
 
 
+#: order lines of one task; their columns are cheap and mostly go into a shuffle
+LINE_ROWS = 5_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -20,7 +24,7 @@ def invoice_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.col("l_extendedprice") - F.col("descuento")
     iva = _cents(base * F.col("l_tax"))
     return (
-        at_least_parallel(table(spark, sf_dir, "lineitem"))
+        at_least_parallel(table(spark, sf_dir, "lineitem"), rows=LINE_ROWS)
         .withColumn("descuento", _cents(F.col("l_extendedprice") * F.col("l_discount")))
         .select(
             F.col("l_orderkey").alias("doc_id"),
@@ -244,7 +248,7 @@ def line_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as words on a page; several share a row and some overlap."""
     x0 = (F.col("l_partkey") % 40 * 12).cast("double")
     y0 = (F.col("l_linenumber") % 3 * 20).cast("double")
-    return at_least_parallel(table(spark, sf_dir, "lineitem")).select(
+    return at_least_parallel(table(spark, sf_dir, "lineitem"), rows=LINE_ROWS).select(
         F.col("l_orderkey").alias("doc_id"),
         F.lit(1).alias("page"),
         (F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 100 + F.col("l_linenumber")).alias("word_no"),

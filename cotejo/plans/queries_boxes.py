@@ -6,6 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from cotejo.operators import boxes, finance, layers, recon
 from cotejo.plans.derived import ITEMS_SQL, KEYS_SQL, WORDS_SQL, access_keys, invoice_items, line_blocks, line_words, table
+from cotejo.skew import tasks_for
 
 Q, SQL = {}, {}
 
@@ -427,8 +428,8 @@ SQL["attach_auth"] = """SELECT o_orderkey AS doc_id, o_orderkey % 5 > 0 AND o_or
 
 
 def invoice_xml(spark, d):
-    """Invoice XML per order, with one item and one tax entry per line."""
-    i = invoice_items(spark, d)
+    """Invoice XML per order, with one item and one tax entry per line; the tasks that write and read it grow in number with the lines."""
+    i = invoice_items(spark, d).repartition(max(tasks_for(table(spark, d, "lineitem"), 100_000), int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id")
     money = lambda c: F.format_string("%.2f", c)
     item = F.concat(
         F.lit("<detalle><codigoPrincipal>"), F.col("item_no"), F.lit("</codigoPrincipal><descripcion>"), "descripcion", F.lit("</descripcion><cantidad>"), F.col("cantidad"),

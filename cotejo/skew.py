@@ -166,11 +166,16 @@ def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 TASK_ROWS = 50_000
 
 
+def tasks_for(df: DataFrame, rows: int = TASK_ROWS) -> int:
+    """Number of tasks for the rows of a stored table: one for each core at least, and one for every `rows` rows."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / rows))
+
+
 def at_least_parallel(df: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
     """Spread a table that arrives in few pieces: two for each core at least, and one for every `rows` rows, so that more rows make more
     tasks and not longer ones. A table that arrives in enough pieces stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    wanted = max(cores, math.ceil(df.count() / rows))
+    wanted = tasks_for(df, rows)
     return df.repartition(max(wanted, 2 * cores)) if df.rdd.getNumPartitions() < wanted else df
 
 

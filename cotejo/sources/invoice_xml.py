@@ -49,7 +49,10 @@ def read_invoice_xml(sri_xml: DataFrame) -> DataFrame:
     # escaped bodies are unescaped first; real markup is parsed as it stands, entities included
     raw = F.col("xml")
     inner = F.regexp_replace(strip(raw), r"(?s)^<!\[CDATA\[(.*)\]\]>$", "$1")
-    body = F.when(raw.contains("<factura"), inner).otherwise(clean_xml(raw))
+    # bodies without blanks around them need no trimming of every character
+    wrapped = raw.startswith("<![CDATA[") & raw.endswith("]]>") & (F.length(raw) >= 12)
+    plain = F.when(wrapped, F.substr(raw, F.lit(10), F.length(raw) - 12)).when(raw.startswith("<") & raw.endswith(">"), raw).otherwise(inner)
+    body = F.when(raw.contains("<factura"), plain).otherwise(clean_xml(raw))
     # a generator of one row keeps the optimizer from parsing again for every field and filter
     parsed = sri_xml.select("clave", F.explode(F.array(F.from_xml(body, XML_SCHEMA, {"rowTag": "factura", "mode": "PERMISSIVE"}))).alias("_x"))
     trib, fact = F.col("_x.infoTributaria"), F.col("_x.infoFactura")
