@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from cotejo.functions.numbers import clean_amount
 from cotejo.functions.text import extract_all
 from cotejo.session import cut_lineage
-from cotejo.skew import chunked_lag
+from cotejo.skew import bounded_broadcast, chunked_lag
 
 BOX = ("x0", "y0", "x1", "y1")
 # Image filters that count as standard.
@@ -49,12 +49,22 @@ def _in_cells(df: DataFrame, p: str, cell: float, levels: Column) -> DataFrame:
 
 
 def _met_in_cells(a: DataFrame, b: DataFrame, keys: Sequence[str], cell: float, crowd: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both tables by cells, and the columns to join on. Crowded cells of `b` are dealt by hash, with those of `a` in each part."""
+    """Both tables by cells, and the columns to join on. Crowded cells of `b` are dealt by hash, with those of `a` in each part.
+
+    Only the pages of more than `crowd` boxes can hold such a cell. Cells are counted on these pages alone, and where there are none the
+    boxes go straight into the join.
+    """
     left, right = _leveled(_prefixed(a, keys, "a_"), "a_", cell), _leveled(_prefixed(b, keys, "b_"), "b_", cell)
     levels = left.select("_own").unionByName(right.select("_own")).agg(F.collect_set("_own").alias("l")).scalar()
-    left, right = _in_cells(left, "a_", cell, levels).withColumnRenamed("_own", "_a"), _in_cells(right, "b_", cell, levels).withColumnRenamed("_own", "_b")
+    pages = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowd).select(*keys)
     at = [*keys, "_level", "_cell"]
-    full = right.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowd).withColumn("_n", F.ceil(F.col("_n") / crowd).cast("int"))
+    crowded = not pages.isEmpty()
+    heavy = right.join(pages, list(keys), "left_semi") if crowded else None
+    left, right = _in_cells(left, "a_", cell, levels).withColumnRenamed("_own", "_a"), _in_cells(right, "b_", cell, levels).withColumnRenamed("_own", "_b")
+    if not crowded:
+        return left, right, at
+    full = _in_cells(heavy, "b_", cell, levels).groupBy(*at).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowd)
+    full = bounded_broadcast(cut_lineage(full.withColumn("_n", F.ceil(F.col("_n") / crowd).cast("int"))))
     parts = F.coalesce("_n", F.lit(1))
     mine = [c for c in right.columns if c.startswith("b_")]
     right = right.join(full, at, "left").withColumn("_part", F.pmod(F.xxhash64(*mine), parts).cast("int")).drop("_n")

@@ -472,3 +472,14 @@ def test_exhaustive_amounts_stay_in_the_row(spark):
     got = {r["doc_id"]: r for r in out.collect()}
     assert (got[1]["subtotal"], got[1]["iva"], got[1]["total"]) == (10.0, 1.5, 11.5)
     assert [(got[k]["total"], got[k]["n_totales"], got[k]["totales_rango"]) for k in (2, 3)] == [(None, 0, None)] * 2
+
+
+def test_uncrowded_pages_go_straight_into_the_join(spark):
+    """Each side is shuffled once; a crowded page beside them is dealt and gives the same pairs."""
+    rows = [(d, n, float(RNG.randrange(40)), float(RNG.randrange(40))) for d, size in ((1, 30), (2, 4), (3, 5)) for n in range(size)]
+    df = spark.createDataFrame(rows, "doc_id int, no int, x0 double, y0 double").withColumns({"x1": F.col("x0") + 9, "y1": F.col("y0") + 9})
+    want = sorted((a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and abs(a[2] - b[2]) <= 9 and abs(a[3] - b[3]) <= 9)
+    plain, dealt = boxes.box_pairs(df, df, ["doc_id"], cell=16.0), boxes.box_pairs(df, df, ["doc_id"], cell=16.0, crowd=6)
+    assert plain._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    for pairs in (plain, dealt):
+        assert sorted((r["doc_id"], r["a_no"], r["b_no"]) for r in pairs.collect()) == want
