@@ -287,7 +287,9 @@ def label_amounts_in_band(words: DataFrame, labels: DataFrame, doc_text: DataFra
     inside = band.join(w, ["doc_id", "page", "_c"]).where((F.col("y0") <= F.col("_b")) & (F.col("y1") >= F.col("_t")) & home)
     keys = ["doc_id", "page", "label_no"]
     # words of the band in reading order: a pair split over two words also spells the exclusion
-    spelled = chunked_lag(inside.select(*keys, "word_no", "text"), keys, "word_no", F.floor(F.col("word_no") / 4096), ["text"])
+    # only bands with the second word can spell it
+    named = inside.where(F.col("text").rlike("(?i)SUBSIDIO")).select(*keys).distinct()
+    spelled = chunked_lag(inside.select(*keys, "word_no", "text").join(named, keys, "left_semi"), keys, "word_no", F.floor(F.col("word_no") / 4096), ["text"])
     two = F.concat_ws(" ", F.coalesce("prev_text", F.lit("")), "text")
     excluded = spelled.where(two.rlike(r"(?i)SIN\s+SUBSIDIO")).select(*keys).distinct()
     right = inside.where((F.col("x0") > F.col("_lx") - 1) & F.col("text").rlike(_WORD_NUMBER))

@@ -483,3 +483,14 @@ def test_uncrowded_pages_go_straight_into_the_join(spark):
     assert plain._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
     for pairs in (plain, dealt):
         assert sorted((r["doc_id"], r["a_no"], r["b_no"]) for r in pairs.collect()) == want
+
+
+def test_only_named_bands_are_searched_for_the_exclusion(spark):
+    """Words are put in order only in bands that hold the second word; a pair split over two words still excludes."""
+    cols = "doc_id int, page int, word_no int, x0 double, y0 double, x1 double, y1 double, text string"
+    words = spark.createDataFrame([(d, 1, n, 20.0 * n, 0.0, 20.0 * n + 9, 9.0, t) for d, ts in ((1, ["TOTAL", "SIN", "subsidio", "5.00"]), (2, ["TOTAL", "7.50"])) for n, t in enumerate(ts)], cols)
+    labels = words.where("word_no = 0").select("doc_id", "page", F.col("word_no").alias("label_no"), "x0", "y0", "x1", "y1")
+    text = spark.createDataFrame([(1, "VALOR TOTAL 9.00"), (2, "x")], "doc_id int, text string")
+    out = boxes.label_amounts_in_band(words, labels, text)
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["doc_id"]: (r["valor_total"], r["metodo"]) for r in out.collect()} == {1: (9.0, "busqueda_texto_fallback"), 2: (7.5, "busqueda_espacial")}
