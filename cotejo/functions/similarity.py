@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
@@ -22,6 +23,47 @@ def common_subsequence(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+class CommonSubsequences:
+    """Lengths of the longest common subsequences of one text with all texts before it, found in the same pass over that one.
+
+    The texts lie behind each other in one bit row, with a bit between them that takes up the carry.
+    """
+
+    def __init__(self, texts: Sequence[str]) -> None:
+        self.texts, self.sizes = texts, np.array([len(t) for t in texts], np.int64)
+        self.ends = np.cumsum(self.sizes + 1)
+        self.starts = self.ends - self.sizes - 1
+        joined = "\n".join(texts) + "\n"
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.inside = np.ones(len(codes), bool)
+        self.inside[self.ends - 1] = False
+        letters = np.unique(codes)
+        at = (codes == letters[:, None]) & self.inside
+        self.counts = np.add.reduceat(at, self.starts, axis=1, dtype=np.int32).T
+        row = lambda bits: int.from_bytes(bits.tobytes(), "little")
+        self.full = row(np.packbits(self.inside, bitorder="little"))
+        self.masks = dict(zip(map(chr, letters.tolist()), map(row, np.packbits(at, axis=1, bitorder="little"))))
+
+    def near(self, k: int, first: int, bound: float) -> np.ndarray:
+        """Those of the `first` texts whose ratio with text `k` the common subsequence lets reach the bound."""
+        total = np.maximum(self.sizes[:first] + self.sizes[k], 1)
+        hope = 2.0 * np.minimum(self.counts[:first], self.counts[k]).sum(1) / total >= bound
+        if not hope.any():
+            return np.flatnonzero(hope)
+        first = int(np.flatnonzero(hope)[-1]) + 1
+        return np.flatnonzero(hope[:first] & (2.0 * self.lengths(k, first) / total[:first] >= bound))
+
+    def lengths(self, k: int, first: int) -> np.ndarray:
+        """One length for each of the `first` texts (at least one)."""
+        n = int(self.ends[first - 1])
+        row = full = self.full & ((1 << n) - 1)
+        for mask in map(self.masks.__getitem__, self.texts[k]):
+            hit = row & mask
+            row = ((row + hit) | (row ^ hit)) & full
+        left = np.unpackbits(np.frombuffer(row.to_bytes((n + 7) // 8, "little"), np.uint8), count=n, bitorder="little")
+        return np.add.reduceat(self.inside[:n] & (left == 0), self.starts[:first], dtype=np.int64)
+
+
 def ratio_at_least(matcher: SequenceMatcher, bound: float) -> float:
     """The exact ratio when it can reach the bound, else -1.
 

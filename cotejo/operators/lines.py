@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cotejo.functions.binding import let
 from cotejo.functions.numbers import as_double, first_money
-from cotejo.functions.similarity import ratio_at_least
+from cotejo.functions.similarity import CommonSubsequences
 from cotejo.functions.text import contains_any, extract_all, lines_of, strip
-from cotejo.skew import length_chunks
+from cotejo.skew import length_chunks, spread
 
 LINE_CHUNK = 64
 
@@ -68,34 +69,33 @@ def line_format(lines: DataFrame) -> DataFrame:
 
 
 def _similar_in_pair(min_ratio: float):
-    """Near copies among the different lines of two chunks: the earlier line first, both orders where one of the lines is repeated."""
+    """Near copies among the different lines of two chunks: the earlier line first, both orders where one of the lines is repeated.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = SequenceMatcher(None)
+    The common subsequences of a line with all lines of the other chunk are found in one pass; they bound the ratio, which is worked out
+    for the pairs that are left.
+    """
 
-        def found(doc, firsts, seconds):
-            # the cached side of the matcher is the second one
-            for b in seconds:
-                matcher.set_seq2(b["line"])
-                size = len(b["line"])
-                for a in firsts:
-                    repeated = a["n"] > 1 or b["n"] > 1
-                    if a["no"] == b["no"] or (a["no"] > b["no"] and not repeated):
-                        continue
-                    shorter, longer = sorted((len(a["line"]), size))
-                    if 2.0 * shorter < min_ratio * (shorter + longer):
-                        continue
-                    matcher.set_seq1(a["line"])
-                    r = ratio_at_least(matcher, min_ratio)
-                    if r >= min_ratio:
-                        yield doc, a["no"], b["no"], r
+    def close(firsts, seconds, same):
+        """Pairs of lines whose common subsequence lets the ratio reach the bound."""
+        # a pass goes over the shorter line
+        rows = sorted(firsts, key=lambda x: -len(x["line"])) + ([] if same else list(seconds))
+        packed = CommonSubsequences([x["line"] for x in rows])
+        for k in range(1 if same else len(firsts), len(rows)):
+            for i in packed.near(k, min(k, len(firsts)), min_ratio):
+                yield rows[i], rows[k]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher = SequenceMatcher(None)
         for batch in batches:
             out = []
             for doc, same, a, b in zip(batch["doc_id"], batch["same"], batch["a"], batch["b"]):
-                out += found(doc, a, b)
-                if not same:
-                    out += found(doc, b, a)
+                for x, y in close(a, b, same):
+                    for first, second in ((x, y), (y, x)):
+                        if first["no"] < second["no"] or first["n"] > 1 or second["n"] > 1:
+                            matcher.set_seqs(first["line"], second["line"])
+                            r = matcher.ratio()
+                            if r >= min_ratio:
+                                out.append((doc, first["no"], second["no"], r))
             yield pd.DataFrame(out, columns=["doc_id", "i", "j", "ratio"])
 
     return run
@@ -112,8 +112,10 @@ def similar_lines(lines: DataFrame, min_ratio: float = 0.7, limit: int | None =
     packed = length_chunks(texts, ["doc_id"], "line", min_ratio, LINE_CHUNK, "a", ["no", "n", "line"])
     other = packed.select("doc_id", F.explode(F.array(F.col("length_class"), F.col("length_class") - 1)).alias("length_class"), F.col("length_class").alias("own"), F.col("_a").alias("_b"), F.col("a").alias("b"))
     met = packed.join(other, ["doc_id", "length_class"]).where((F.col("own") != F.col("length_class")) | (F.col("_a") <= F.col("_b")))
-    met = met.withColumn("same", (F.col("own") == F.col("length_class")) & (F.col("_a") == F.col("_b"))).repartition("doc_id", "length_class", "own", "_a", "_b")
-    pairs = met.select("doc_id", "same", "a", "b").mapInPandas(_similar_in_pair(min_ratio), f"doc_id {key}, i bigint, j bigint, ratio double")
+    met = met.withColumn("same", (F.col("own") == F.col("length_class")) & (F.col("_a") == F.col("_b")))
+    # the only line of a chunk has no pair there
+    met = met.where(~F.col("same") | (F.size("a") > 1))
+    pairs = spread(met, ["doc_id", "length_class", "own", "_a", "_b"]).select("doc_id", "same", "a", "b").mapInPandas(_similar_in_pair(min_ratio), f"doc_id {key}, i bigint, j bigint, ratio double")
     again = texts.where("n > 1").select("doc_id", "line", "no")
     places = lines.join(again, ["doc_id", "line"], "left").select("doc_id", F.coalesce("no", "line_no").cast("bigint").alias("no"), F.col("line_no").cast("bigint").alias("at"), "line")
     side = lambda c: places.select("doc_id", F.col("no").alias(c), F.col("at").alias(f"at_{c}"), F.col("line").alias(f"line_{c}"))

@@ -116,6 +116,20 @@ def test_subsequence_bounds_the_ratio():
         assert matched <= table[-1][-1]
 
 
+def test_common_subsequences_in_one_pass():
+    from cotejo.functions.similarity import CommonSubsequences, common_subsequence
+
+    rng = random.Random(5)
+    for letters in ("ab", "abcdeñ€\U0001f600", "a\n"):
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 90))) for _ in range(12)]
+        packed = CommonSubsequences(texts)
+        for k in range(1, len(texts)):
+            want = [common_subsequence(a, texts[k]) for a in texts[:k]]
+            assert packed.lengths(k, k).tolist() == want
+            reach = [i for i, n in enumerate(want) if 2.0 * n / max(1, len(texts[i]) + len(texts[k])) >= 0.7]
+            assert packed.near(k, k, 0.7).tolist() == reach
+
+
 def test_sequence_ratio_is_not_symmetric_and_exact(spark):
     from difflib import SequenceMatcher
 
