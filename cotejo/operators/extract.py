@@ -557,41 +557,57 @@ _TABLE_END = r"(?i)(SUBTOTAL|TOTAL|IVA|DESCUENTO|VALOR\s*TOTAL)"
 
 
 def item_section(lines: Column) -> Column:
-    """Lines between the table header and the first totals line after it; empty without a header."""
-    pos = lambda p: F.transform(lines, lambda x, i: F.when(x.rlike(p), i))
-    head = F.array_min(pos(_TABLE_HEAD))
-    end = F.array_min(F.filter(pos(_TABLE_END), lambda i: i > head))
-    stop = F.coalesce(end, F.size(lines))
-    return F.when(head.isNotNull(), F.slice(lines, head + 2, F.greatest(stop - head - 1, F.lit(0)))).otherwise(
-        F.array().cast("array<string>")
-    )
+    """Lines between the table header and the first totals line after it; empty without a header.
+
+    Lines are read once each: up to the header, then up to the totals line.
+    """
+    no_lines = F.array().cast("array<string>")
+
+    def after(x: Column) -> Column:
+        marks = F.transform(x, lambda v: v.rlike(_TABLE_END))
+        return F.slice(x, 1, let(F.array_position(marks, F.lit(True)), lambda end: F.when(end > 0, end - 1).otherwise(F.size(x))).cast("int"))
+
+    def section(x: Column) -> Column:
+        head = F.array_position(F.transform(x, lambda v: v.rlike(_TABLE_HEAD)), F.lit(True))
+        rest = let(head, lambda h: F.when(h > 0, F.slice(x, h.cast("int") + 1, F.greatest(F.size(x) - h.cast("int"), F.lit(0)))))
+        return let(rest, lambda r: F.when(r.isNotNull(), after(r)).otherwise(no_lines))
+
+    return let(lines, section)
 
 
 def items_from_ocr(doc_text: DataFrame, most_unit: float | None = None, most_total: float | None = None) -> DataFrame:
     """Items of recognised text by trailing decimals; a 10% mismatch takes the third number from the end.
 
-    `most_unit` and `most_total` leave lines of larger prices or totals out.
+    `most_unit` and `most_total` leave lines of larger prices or totals out. What is read from a line is bound once.
     """
     df = doc_text.select("doc_id", item_section(lines_of(strip_accents(F.col("text")))).alias("_l"))
 
-    def parse(x: Column, i: Column) -> Column:
+    def read(x: Column, i: Column) -> Column:
         dec = F.transform(extract_all(x, r"\b\d+[.,]\d{1,4}\b"), lambda v: as_double(F.replace(v, F.lit(","), F.lit("."))))
+        return let(dec, lambda d: F.when(F.size(d) >= 2, priced(x, i, d)))
+
+    def priced(x: Column, i: Column, dec: Column) -> Column:
+        skip = (F.length(x) < 5) | x.rlike(r"^[-=\s]+$") | x.rlike(r"(?i)(CANTIDAD|PRECIO|TOTAL|UNIDAD)")
         whole = F.transform(extract_all(x, r"\b\d+\b"), lambda v: v.try_cast("double"))
-        n = F.size(dec)
+        first = F.coalesce(F.get(F.filter(whole, lambda v: v.between(1, 100)), F.lit(0)), F.lit(1.0))
         at = lambda k: F.try_element_at(dec, F.lit(k))
-        qty = F.coalesce(F.get(F.filter(whole, lambda v: v.between(1, 100)), F.lit(0)), F.lit(1.0))
-        off = F.abs(qty * at(-2) - at(-1)) > at(-1) * 0.1
-        unit = F.when(off & (n >= 3), at(-3)).otherwise(at(-2))
+        good = (at(-2) > 0) & (at(-1) > 0)
+        if most_total is not None:
+            good = good & (at(-1) <= most_total)
+
+        def item(qty: Column) -> Column:
+            off = F.abs(qty * at(-2) - at(-1)) > at(-1) * 0.1
+            unit = F.when(off & (F.size(dec) >= 3), at(-3)).otherwise(at(-2))
+            return let(unit, lambda u: F.when((u > 0) if most_unit is None else (u > 0) & (u <= most_unit), _item(named(x, i), qty, F.bround(u, 2), F.bround(at(-1), 2))))
+
+        return F.when(~skip & good, let(first, item))
+
+    def named(x: Column, i: Column) -> Column:
         head = F.regexp_extract(x, r"^(.*?)\s*\d", 1)
         desc = strip(F.regexp_replace(strip(head), r"[^\w\s]", " "))
-        named = F.when(F.length(desc) < 3, F.concat(F.lit("Producto "), (i + 1).cast("string"))).otherwise(desc)
-        skip = (F.length(x) < 5) | x.rlike(r"^[-=\s]+$") | x.rlike(r"(?i)(CANTIDAD|PRECIO|TOTAL|UNIDAD)") | (n < 2)
-        good = (at(-2) > 0) & (at(-1) > 0) & (unit > 0)
-        for value, most in ((unit, most_unit), (at(-1), most_total)):
-            good = good if most is None else good & (value <= most)
-        return F.when(~skip & good, _item(named, qty, F.bround(unit, 2), F.bround(at(-1), 2)))
+        return let(desc, lambda d: F.when(F.length(d) < 3, F.concat(F.lit("Producto "), (i + 1).cast("string"))).otherwise(d))
 
-    return _explode_items(df, F.filter(F.transform("_l", parse), lambda i: i.isNotNull()))
+    return _explode_items(df, F.filter(F.transform("_l", read), lambda i: i.isNotNull()))
 
 
 # Words that no product description contains.

@@ -494,3 +494,12 @@ def test_only_named_bands_are_searched_for_the_exclusion(spark):
     out = boxes.label_amounts_in_band(words, labels, text)
     assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
     assert {r["doc_id"]: (r["valor_total"], r["metodo"]) for r in out.collect()} == {1: (9.0, "busqueda_texto_fallback"), 2: (7.5, "busqueda_espacial")}
+
+
+def test_items_from_ocr_reads_a_line_once(spark):
+    df = spark.createDataFrame([(1, "TOTAL 9\nDETALLE\nA 9.99\nCafé molido 2 1.50 3.00\n... 3 2.00 7.00 6.00\nCAJA TOTAL 1.00 1.00\nzzz 1 1.00 1.00"), (2, "sin tabla 1 1.00 1.00"), (3, None), (4, "DETALLE")], "doc_id bigint, text string")
+    items = extract.items_from_ocr(df)
+    got = [tuple(r) for r in items.orderBy("doc_id", "item_no").collect()]
+    assert got == [(1, 0, "Cafe molido", 2.0, 1.5, 3.0), (1, 1, "Producto 3", 3.0, 2.0, 6.0)]
+    plan = items._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 2 and plan.count("translate(") == 1
