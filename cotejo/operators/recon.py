@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import heapq
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cotejo.functions.similarity import ratio_at_least
 from cotejo.functions.text import norm_desc, norm_name
-from cotejo.skew import first_by, length_chunks, spread
+from cotejo.session import cut_lineage
+from cotejo.skew import first_by, length_chunks
 
 QTY_EPS, PRICE_EPS, TOTAL_EPS, MATCH_THRESHOLD = 0.001, 0.01, 0.02, 0.60
 # lines of one invoice that are settled in one row, and descriptions of a chunk of longer ones
@@ -59,8 +61,8 @@ def dedupe_items(items: DataFrame) -> DataFrame:
     return first_by(keyed, keys, F.col("item_no")).select(*items.columns)
 
 
-def _numbered(items: DataFrame) -> DataFrame:
-    return items.select("doc_id", F.col("item_no").cast("bigint").alias("no"), norm_name(F.col("descripcion")).alias("d"))
+def _numbered(items: DataFrame, values: Sequence[str] = ()) -> DataFrame:
+    return items.select("doc_id", F.col("item_no").cast("bigint").alias("no"), norm_name(F.col("descripcion")).alias("d"), *values)
 
 
 def _scorer(threshold: float):
@@ -76,38 +78,59 @@ def _scorer(threshold: float):
     return score
 
 
-def _candidates(sri, pdf, score, keep: int):
-    """(sri_no, ratio, pdf_no) with the best `keep` PDF lines of every SRI line, best first."""
-    by_text: dict[str, list[int]] = {}
-    for p in pdf:
-        by_text.setdefault(p["d"], []).append(p["no"])
-    best: dict[str, list[tuple[float, int]]] = {}
-    for s in sri:
-        a = s["d"]
-        if a not in best:
-            hits = ((r, n) for b, numbers in by_text.items() if (r := score(a, b)) >= 0 for n in numbers)
-            best[a] = heapq.nsmallest(keep, hits, key=lambda t: (-t[0], t[1]))
-        yield s["no"], best[a]
+def _lists(column: pa.ListArray) -> Iterator[list]:
+    """The lists of a column, whose values become Python objects all at once."""
+    values, ends = column.flatten().to_numpy(zero_copy_only=False).tolist(), column.value_lengths().to_numpy().cumsum().tolist()
+    return map(values.__getitem__, map(slice, [0, *ends], ends))
 
 
 def _match_whole(threshold: float):
-    """Greedy match of documents whose lines all fit one piece per side."""
+    """Greedy match of documents whose lines all fit one row, from the numbers and texts of both sides in order of the numbers."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         score = _scorer(threshold)
-        for batch in batches:
-            out = []
-            for doc, sri, pdf in zip(batch["doc_id"], batch["sri"], batch["pdf"]):
+        for columns in batches:
+            sri_no, pdf_no, ratio, ends = [], [], [], [0]
+            for sri, sri_text, pdf, pdf_text in zip(*map(_lists, columns)):
+                by_text: dict[str, list[int]] = {}
+                for n, text in zip(pdf, pdf_text):
+                    by_text.setdefault(text, []).append(n)
+                # PDF lines of every different SRI text, best first
+                best: dict[str, list[tuple[float, int]]] = {}
                 used: set[int] = set()
-                for no, ranked in _candidates(sri, pdf, score, CHUNK):
-                    for r, n in ranked:
+                for no, text in zip(sri, sri_text):
+                    if text not in best:
+                        best[text] = sorted((-r, n) for other, numbers in by_text.items() if (r := score(text, other)) >= 0 for n in numbers)
+                    for r, n in best[text]:
                         if n not in used:
                             used.add(n)
-                            out.append((doc, no, n, r))
+                            sri_no.append(no)
+                            pdf_no.append(n)
+                            ratio.append(-r)
                             break
-            yield pd.DataFrame(out, columns=["doc_id", "sri_no", "pdf_no", "similitud"])
+                ends.append(len(sri_no))
+            pairs = pa.StructArray.from_arrays([pa.array(sri_no, pa.int64()), pa.array(pdf_no, pa.int64()), pa.array(ratio, pa.float64())], ["sri_no", "pdf_no", "similitud"])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+
+    return F.arrow_udf(run, "array<struct<sri_no:bigint,pdf_no:bigint,similitud:double>>").asNondeterministic()
 
-    return run
+
+def _packed_pairs(sri: DataFrame, pdf: DataFrame, threshold: float, values: Sequence[str], how: str) -> DataFrame:
+    """One row per document: the lines of both sides as arrays `sri` and `pdf` in order of their numbers, and the matches `pairs`."""
+    pack = lambda df, name: df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("no", "d", *values))).alias(name))
+    met = pack(sri, "sri").join(pack(pdf, "pdf"), "doc_id", how)
+    given = lambda n: F.coalesce(n, F.array().cast(met.schema[n].dataType)).alias(n)
+    met = met.select("doc_id", given("sri"), given("pdf"))
+    of = lambda side, field: F.transform(side, lambda x: x[field])
+    return met.withColumn("pairs", _match_whole(threshold)(of("sri", "no"), of("sri", "d"), of("pdf", "no"), of("pdf", "d")))
+
+
+def _long_documents(sri: DataFrame, pdf: DataFrame) -> DataFrame | None:
+    """Documents of more than CHUNK lines on a side, counted at once; None where there are none, so that the lines are not read for them."""
+    both = sri.select("doc_id", F.lit(True).alias("sri")).unionByName(pdf.select("doc_id", F.lit(False).alias("sri")))
+    sizes = both.groupBy("doc_id").agg(F.count_if("sri").alias("_s"), F.count_if(~F.col("sri")).alias("_p"))
+    long = cut_lineage(sizes.where(F.greatest("_s", "_p") > CHUNK).select("doc_id"))
+    return None if long.isEmpty() else long
 
 
 def _edges(threshold: float):
@@ -168,6 +191,19 @@ def _fold(final: str):
     return run
 
 
+def _match_long(sri: DataFrame, pdf: DataFrame, threshold: float) -> DataFrame:
+    """Matches of long documents: different descriptions meet in chunks, lines choose over classes of equal descriptions."""
+    key = sri.schema["doc_id"].dataType.simpleString()
+    final = f"doc_id {key}, sri_no bigint, pdf_no bigint, similitud double"
+    lines = sri.select("doc_id", "no", "d", F.lit(True).alias("sri")).unionByName(pdf.select("doc_id", "no", "d", F.lit(False).alias("sri")))
+    chunks = lambda side, name: length_chunks(lines.where(side).select("doc_id", "d").distinct(), ["doc_id"], "d", threshold, CHUNK, name, ["d"])
+    near = F.explode(F.array([F.col("length_class") + i for i in (-1, 0, 1)]))
+    met = chunks(F.col("sri"), "sri").join(chunks(~F.col("sri"), "pdf").withColumn("length_class", near), ["doc_id", "length_class"])
+    met = met.repartition("doc_id", "length_class", "_sri", "_pdf").select("doc_id", "sri", "pdf")
+    edges = met.mapInPandas(_edges(threshold), f"doc_id {key}, a string, b string, ratio double")
+    return edges.groupBy("doc_id").cogroup(lines.groupBy("doc_id")).applyInPandas(_fold(final), final)
+
+
 def match_items(sri_items: DataFrame, pdf_items: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
     """Greedy one-to-one match of lines by description: (doc_id, sri_no, pdf_no, similitud).
 
@@ -176,40 +212,76 @@ def match_items(sri_items: DataFrame, pdf_items: DataFrame, threshold: float = M
     tasks, and the choices are made over classes of equal descriptions, document by document; what then meets in a task are the line
     numbers of one document, whose size the document scan limits. Numbers may be of any size and leave gaps.
     """
-    key = sri_items.schema["doc_id"].dataType.simpleString()
-    final = f"doc_id {key}, sri_no bigint, pdf_no bigint, similitud double"
     sri, pdf = _numbered(sri_items), _numbered(pdf_items)
-    both = sri.withColumn("sri", F.lit(True)).unionByName(pdf.withColumn("sri", F.lit(False)))
-    sizes = both.groupBy("doc_id").agg(F.count_if("sri").alias("_s"), F.count_if(~F.col("sri")).alias("_p"))
-    long = sizes.where(F.greatest("_s", "_p") > CHUNK).select("doc_id")
+    long = _long_documents(sri, pdf)
+    within = lambda df, how: df.join(long, "doc_id", how)
+    short = (sri, pdf) if long is None else (within(sri, "left_anti"), within(pdf, "left_anti"))
+    out = _packed_pairs(*short, threshold, (), "inner").select("doc_id", F.inline("pairs"))
+    return out if long is None else out.unionByName(_match_long(within(sri, "left_semi"), within(pdf, "left_semi"), threshold))
 
-    packed = lambda df, name: df.join(long, "doc_id", "left_anti").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("no", "d"))).alias(name))
-    pairs = packed(sri, "sri").join(packed(pdf, "pdf"), "doc_id").select("doc_id", "sri", "pdf")
-    short = spread(pairs, ["doc_id"]).mapInPandas(_match_whole(threshold), final)
 
-    lines = both.join(long, "doc_id", "left_semi")
-    chunks = lambda side, name: length_chunks(lines.where(side).select("doc_id", "d").distinct(), ["doc_id"], "d", threshold, CHUNK, name, ["d"])
-    near = F.explode(F.array([F.col("length_class") + i for i in (-1, 0, 1)]))
-    met = chunks(F.col("sri"), "sri").join(chunks(~F.col("sri"), "pdf").withColumn("length_class", near), ["doc_id", "length_class"])
-    met = met.repartition("doc_id", "length_class", "_sri", "_pdf").select("doc_id", "sri", "pdf")
-    edges = met.mapInPandas(_edges(threshold), f"doc_id {key}, a string, b string, ratio double")
-    rest = edges.groupBy("doc_id").cogroup(lines.groupBy("doc_id")).applyInPandas(_fold(final), final)
-    return short.unionByName(rest)
+def settle_items(sri_items: DataFrame, pdf_items: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
+    """Every matched pair with its differences and every line left over, in one pass: (doc_id, sri_no, pdf_no, similitud, dif_...).
 
+    The number of the missing side is null for a line left over. What `match_items`, `diff_items` and `unmatched_items` say of the same
+    lines; ordinary documents carry their values in the packed row, so nothing is joined again.
+    """
+    values = list(_EPS)
+    sri, pdf = _numbered(sri_items, values), _numbered(pdf_items, values)
+    long = _long_documents(sri, pdf)
+    within = lambda df, how: df.join(long, "doc_id", how)
+    short = (sri, pdf) if long is None else (within(sri, "left_anti"), within(pdf, "left_anti"))
+    met = _packed_pairs(*short, threshold, values, "full")
+
+    def row(sri_no: Column, pdf_no: Column, ratio: Column, flags: list[Column]) -> Column:
+        return F.struct(sri_no.alias("sri_no"), pdf_no.alias("pdf_no"), ratio.alias("similitud"), *flags)
+
+    def of_pair(pair: Column) -> Column:
+        side = lambda name, no: F.filter(name, lambda x: x["no"] == pair[no])
+        both = lambda s, p: row(s["no"], p["no"], pair["similitud"], _flags(lambda v: s[v], lambda v: p[v]))
+        return F.flatten(F.transform(side("sri", "sri_no"), lambda s: F.transform(side("pdf", "pdf_no"), lambda p: both(s, p))))
+
+    none, nothing = F.lit(None).cast("bigint"), F.lit(None).cast("double")
+    no_flags = [F.lit(False).alias(f"dif_{v}") for v in values]
+    rest = lambda name, no, make: F.transform(F.filter(name, lambda x: ~F.array_contains(F.col("pairs")[no], x["no"])), lambda x: make(x["no"]))
+    rows = F.concat(
+        F.flatten(F.transform("pairs", of_pair)),
+        rest("sri", "sri_no", lambda n: row(n, none, nothing, no_flags)),
+        rest("pdf", "pdf_no", lambda n: row(none, n, nothing, no_flags)),
+    )
+    out = met.select("doc_id", F.inline(rows))
+    if long is None:
+        return out
+    items = [within(x, "left_semi") for x in (sri_items, pdf_items)]
+    matches = _match_long(within(sri, "left_semi"), within(pdf, "left_semi"), threshold)
+    loose = unmatched_items(matches, *items)
+    number = lambda label: F.when(F.col("match") == label, F.col("item_no"))
+    loose = loose.select("doc_id", number("no_encontrado_en_pdf").alias("sri_no"), number("no_encontrado_en_sri").alias("pdf_no"), nothing.alias("similitud"), *no_flags)
+    return out.unionByName(_with_flags(matches, *items).select(*out.columns)).unionByName(loose)
 
-def diff_items(matches: DataFrame, sri_items: DataFrame, pdf_items: DataFrame) -> DataFrame:
-    """Matched pairs whose quantity, unit price or total differ beyond tolerance."""
-    values = ["descripcion", "cantidad", "precio_unitario", "precio_total"]
+
+_EPS = {"cantidad": QTY_EPS, "precio_unitario": PRICE_EPS, "precio_total": TOTAL_EPS}
+
+
+def _flags(s: Callable[[str], Column], p: Callable[[str], Column]) -> list[Column]:
+    return [F.coalesce(F.abs(s(v) - p(v)) > eps, F.lit(False)).alias(f"dif_{v}") for v, eps in _EPS.items()]
+
+
+def _with_flags(matches: DataFrame, sri_items: DataFrame, pdf_items: DataFrame) -> DataFrame:
+    values = ["descripcion", *_EPS]
     s = sri_items.select("doc_id", F.col("item_no").cast("bigint").alias("sri_no"), *[F.col(v).alias(f"s_{v}") for v in values])
     p = pdf_items.select("doc_id", F.col("item_no").cast("bigint").alias("pdf_no"), *[F.col(v).alias(f"p_{v}") for v in values])
-    off = lambda v, eps: F.coalesce(F.abs(F.col(f"s_{v}") - F.col(f"p_{v}")) > eps, F.lit(False))
-    flags = {"cantidad": QTY_EPS, "precio_unitario": PRICE_EPS, "precio_total": TOTAL_EPS}
     out = matches.join(s, ["doc_id", "sri_no"]).join(p, ["doc_id", "pdf_no"])
-    for v, eps in flags.items():
-        out = out.withColumn(f"dif_{v}", off(v, eps))
-    return out.where(F.col("dif_cantidad") | F.col("dif_precio_unitario") | F.col("dif_precio_total")).withColumn(
-        "similitud", F.round("similitud", 3)
-    )
+    return out.select("*", *_flags(lambda v: F.col(f"s_{v}"), lambda v: F.col(f"p_{v}")))
+
+
+def differing(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("dif_cantidad") | F.col("dif_precio_unitario") | F.col("dif_precio_total"))
+
+
+def diff_items(matches: DataFrame, sri_items: DataFrame, pdf_items: DataFrame) -> DataFrame:
+    """Matched pairs whose quantity, unit price or total differ beyond tolerance."""
+    return differing(_with_flags(matches, sri_items, pdf_items)).withColumn("similitud", F.round("similitud", 3))
 
 
 def unmatched_items(matches: DataFrame, sri_items: DataFrame, pdf_items: DataFrame) -> DataFrame:
@@ -249,12 +321,23 @@ def attach_auth(docs: DataFrame, auth: DataFrame, key: str = "clave") -> DataFra
 
 def coincidence(docs: DataFrame, headers: DataFrame, item_diffs: DataFrame, unmatched: DataFrame, totals: DataFrame) -> DataFrame:
     """A document coincides when no field, line or total differs."""
-    n = lambda df, key, name: df.groupBy(F.col(key).alias("doc_id")).agg(F.count(F.lit(1)).alias(name))
+    n = lambda df, name: df.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))
+    return verdicts(docs, headers, n(item_diffs, "n_lineas").join(n(unmatched, "n_sueltas"), "doc_id", "full"), totals)
+
+
+def settled_coincidence(docs: DataFrame, headers: DataFrame, settled: DataFrame, totals: DataFrame) -> DataFrame:
+    """The same from the rows of `settle_items`, which are read once."""
+    off, loose = F.col("dif_cantidad") | F.col("dif_precio_unitario") | F.col("dif_precio_total"), F.col("sri_no").isNull() | F.col("pdf_no").isNull()
+    return verdicts(docs, headers, settled.groupBy("doc_id").agg(F.count_if(off).alias("n_lineas"), F.count_if(loose).alias("n_sueltas")), totals)
+
+
+def verdicts(docs: DataFrame, headers: DataFrame, lines: DataFrame, totals: DataFrame) -> DataFrame:
+    """Verdict of every document from its differing fields, its numbers of differing and loose lines, and its totals."""
+    fields = headers.groupBy(F.col("clave").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_campos"))
     out = (
         docs.select("doc_id")
-        .join(n(headers, "clave", "n_campos"), "doc_id", "left")
-        .join(n(item_diffs, "doc_id", "n_lineas"), "doc_id", "left")
-        .join(n(unmatched, "doc_id", "n_sueltas"), "doc_id", "left")
+        .join(fields, "doc_id", "left")
+        .join(lines, "doc_id", "left")
         .join(totals.select("doc_id", "difiere"), "doc_id", "left")
         .fillna(0, ["n_campos", "n_lineas", "n_sueltas"])
         .fillna(False, ["difiere"])

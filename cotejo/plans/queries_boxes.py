@@ -289,7 +289,7 @@ def q_item_match(spark, d):
 
 def q_item_diffs(spark, d):
     sri, pdf = _two_sides(spark, d)
-    return recon.diff_items(recon.match_items(sri, pdf), sri, pdf).select("doc_id", "sri_no", "pdf_no", "dif_cantidad", "dif_precio_unitario", "dif_precio_total")
+    return recon.differing(recon.settle_items(sri, pdf)).select("doc_id", "sri_no", "pdf_no", "dif_cantidad", "dif_precio_unitario", "dif_precio_total")
 
 
 def q_item_recon_unmatched(spark, d):
@@ -348,13 +348,10 @@ def q_reconciliation(spark, d):
     """Header differences, matched and unmatched lines, item totals and the verdict of every order."""
     sri, pdf = _letter_sides(spark, d)
     headers_pdf, headers_sri = _headers(spark, d)
-    matches = recon.match_items(sri, pdf)
-    differing = recon.diff_items(matches, sri, pdf)
-    loose = recon.unmatched_items(matches, sri, pdf)
     both = sri.withColumn("source", F.lit("sri")).unionByName(pdf.withColumn("source", F.lit("pdf")))
     docs = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"))
     headers = recon.reconcile_headers(headers_pdf, headers_sri.drop("_k")).withColumn("clave", F.col("clave").cast("bigint"))
-    return recon.coincidence(docs, headers, differing, loose, finance.item_total_difference(both))
+    return recon.settled_coincidence(docs, headers, recon.settle_items(sri, pdf), finance.item_total_difference(both))
 
 
 SQL["reconciliation"] = f"""WITH RECURSIVE {_LETTERS_SQL},

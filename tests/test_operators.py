@@ -503,3 +503,21 @@ def test_items_from_ocr_reads_a_line_once(spark):
     assert got == [(1, 0, "Cafe molido", 2.0, 1.5, 3.0), (1, 1, "Producto 3", 3.0, 2.0, 6.0)]
     plan = items._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") == 2 and plan.count("translate(") == 1
+
+
+def test_settle_items_says_what_the_three_operators_say(spark, monkeypatch):
+    words = ["pan", "leche entera", "leche", "arroz blanco", "arroz", "azucar"]
+    row = lambda d, i: (d, i * 7, RNG.choice(words), float(RNG.randint(1, 3)), RNG.choice([1.0, 1.5, None]), 2.0)
+    cols = "doc_id bigint, item_no bigint, descripcion string, cantidad double, precio_unitario double, precio_total double"
+    a, b = (spark.createDataFrame([row(d, i) for d in docs for i in range(RNG.randint(1, 9))] + [(20, 3, "pan", 1.0, 1.0, q), (20, 3, "pan", 2.0, 1.0, q)], cols) for docs, q in ((range(6), 1.0), (range(2, 8), 2.0)))
+    for chunk in (256, 4):
+        monkeypatch.setattr(recon, "CHUNK", chunk)
+        settled = recon.settle_items(a, b)
+        assert settled._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1 or chunk == 4
+        flags = ["dif_cantidad", "dif_precio_unitario", "dif_precio_total"]
+        rows = lambda df, *names: sorted(map(repr, map(tuple, df.select("doc_id", *names).collect())))
+        matches = recon.match_items(a, b)
+        assert rows(recon.differing(settled), "sri_no", "pdf_no", *flags) == rows(recon.diff_items(matches, a, b), "sri_no", "pdf_no", *flags)
+        loose = recon.unmatched_items(matches, a, b)
+        for label, no, other in (("no_encontrado_en_pdf", "sri_no", "pdf_no"), ("no_encontrado_en_sri", "pdf_no", "sri_no")):
+            assert rows(settled.where(f"{other} is null"), no) == rows(loose.where(f"match = '{label}'"), "item_no")
