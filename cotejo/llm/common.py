@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cotejo.session import cut_lineage, ensure_checkpoint_dir
 
-__all__ = ["Shelf", "cut_lineage", "digest", "distinct_segments", "fold_sql", "map_arrow", "mix64", "scratch", "table", "text_chunks"]
+__all__ = ["Shelf", "cut_lineage", "digest", "distinct_segments", "fold_sql", "map_arrow", "mix64", "scratch", "small_batches", "table", "text_chunks"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,20 @@ def text_chunks(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> It
         yield start, [t or "" for t in texts.slice(start).to_pylist()]
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` characters of a text column or of a single longer text; a batch is let go once it is read."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(batch):
+            before = sizes[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(sizes, before + most, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """A bijective mixer for unsigned 64-bit hashes (the finaliser of splitmix64)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cotejo.llm.common import scratch
+from cotejo.llm.common import scratch, small_batches
 
 THRESHOLD = 10
 _BLANK = b" \t\n\x0b\x0c\r"
@@ -119,7 +119,7 @@ def occurrences(docs: DataFrame, shards: int) -> DataFrame:
     """(doc_id, shard, key): one row for each row of documents and different key in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             rows, keys = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 own = set(line_keys(text)) - {None}
@@ -217,7 +217,7 @@ class LineIndex:
         schema = met.select("_row", "_text", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in small_batches(batches, "_text"):
                 kept, n_lines, n_dropped = [], [], []
                 for text, drop in zip(batch.column("_text").to_pylist(), batch.column("_drop").to_pylist(), strict=True):
                     lines = (text or "").split("\n")

@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cotejo.llm.common import text_chunks
+from cotejo.llm.common import small_batches, text_chunks
 
 FEATURES = (
     "bias", "log_bytes", "empty", "upper", "upper_of_letters", "digits", "space", "stops", "symbols", "symbol_words", "bangs", "pipes", "repeats",
@@ -251,7 +251,7 @@ def score_documents(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_i
     schema = source.select("_row", F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, "_text"):
             parts = [model.scores(texts) for _, texts in text_chunks(batch, "_text", 500_000)]
             if parts:
                 yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(np.concatenate(parts))], ["_row", "score"])

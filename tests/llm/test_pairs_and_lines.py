@@ -201,3 +201,12 @@ def test_one_very_long_text_and_its_copy(spark):
 def test_tasks_with_small_blocks_and_buckets(spark, monkeypatch):
     rows = list(enumerate(texts(11, 60) + [near(t, i, 1) for i, t in enumerate(texts(11, 60))]))
     assert classes(ngramjoin.jaccard_classes(brute.docs(spark, rows).repartition(7))) == brute.jaccard_classes(rows, 4, 85)
+
+
+def test_small_batches_hold_all_rows_and_bound_their_text():
+    import pyarrow as pa
+
+    from cotejo.llm.common import small_batches
+
+    b = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4, 5]), pa.array(["ab", None, "c" * 9, "", "d"])], ["doc_id", "text"])
+    assert [x.column("doc_id").to_pylist() for x in small_batches(iter([b, b.slice(0, 0)]), "text", 3)] == [[1, 2], [3], [4, 5]]
