@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cotejo.llm.common import scratch, small_batches
+from cotejo.llm.common import bounded_batches, scratch, small_batches
 
 THRESHOLD = 10
 _BLANK = b" \t\n\x0b\x0c\r"
@@ -117,6 +117,7 @@ def _shard(key: bytes, shards: int) -> int:
 
 def occurrences(docs: DataFrame, shards: int) -> DataFrame:
     """(doc_id, shard, key): one row for each row of documents and different key in it."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):

@@ -35,7 +35,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cotejo.llm.common import Shelf, mix64, text_chunks
+from cotejo.llm.common import Shelf, bounded_batches, mix64, text_chunks
 from cotejo.llm.components import components
 
 WORDS, PERCENT = 4, 85
@@ -509,6 +509,7 @@ def _first_in_common(left: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row."""
+    bounded_batches(docs.sparkSession)
     return _Join(docs, k, percent).classes()
 
 

@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cotejo.llm.common import small_batches, text_chunks
+from cotejo.llm.common import bounded_batches, small_batches, text_chunks
 
 FEATURES = (
     "bias", "log_bytes", "empty", "upper", "upper_of_letters", "digits", "space", "stops", "symbols", "symbol_words", "bangs", "pipes", "repeats",
@@ -245,6 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, documents: int = TRAIN_DOCUMENTS,
 
 def score_documents(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The kept columns and `score` for each row, in one pass without a shuffle; a kept column named score gives way to it."""
+    bounded_batches(docs.sparkSession)
     keep = [c for c in keep if c != "score"]
     row = F.struct(*[docs[c] for c in keep]) if keep else F.lit(0)
     source = docs.select(row.alias("_row"), docs["text"].alias("_text"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from cotejo.llm.common import digest, distinct_segments
+from cotejo.llm.common import bounded_batches, digest, distinct_segments
 from cotejo.llm.tokens import read_text, tokenizer
 
 BLOCK_CHARACTERS = 6_000_000
@@ -32,7 +32,9 @@ BLOCK_CHARACTERS = 6_000_000
 BUCKET_CHARACTERS = 50_000_000
 #: white space at which words are split; a subset of what the tokenizers drop
 _SPLIT = re.compile(r"[ \t\n\r]+")
-_SLICE = 2_000_000  # characters whose words are told apart at once
+_SLICE = 400_000  # characters whose words are told apart at once
+_WORDS = 2_000  # words that are encoded at once; the library's answers are far larger than their ids
+_PLACES = 200_000  # words whose ids are put into place at once
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[int, dict[str, list]]]:
@@ -117,6 +119,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, buckets: int | None = None,
     Tasks return ids and decoded texts; count and digests are expressions over them, so those that nobody selects cost nothing.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     content = read_text(vocabulary)
     drops_space(content)
     sent = spark.sparkContext.broadcast(content)
@@ -139,21 +142,22 @@ def encode_decode(docs: DataFrame, vocabulary: str, buckets: int | None = None,
 
     def answer(asked: pa.Table) -> pa.Table:
         encoder = tokenizer(sent.value)
-        packed = [_unpack(b) for b in asked.column("words").to_pylist()]
-        lists = [b.decode("utf-8", "surrogatepass").split("\n") for b in packed]
-        words = sorted(set().union(*lists))
-        ids: dict[str, np.ndarray] = {}
-        for at in range(0, len(words), 20_000):
-            some = words[at : at + 20_000]
-            for w, e in zip(some, encoder.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                ids[w] = np.array(e.ids, kind_of_id)
-        blobs = []
-        for own in lists:
-            found = [ids[w] for w in own]
-            lengths = np.array([len(f) for f in found], "<u4")
-            blobs.append(_pack(lengths.tobytes() + np.concatenate(found).astype(kind_of_id).tobytes()))
-        sums = pa.array([zlib.crc32(b) for b in packed], pa.int64())
-        return asked.select(["part", "block", "bucket"]).append_column("check", sums).append_column("ids", pa.array(blobs, pa.binary()))
+        asked_words = asked.column("words").to_pylist()
+        unpacked = lambda data: data.decode("utf-8", "surrogatepass").split("\n")
+        known: set[str] = set()
+        for b in asked_words:
+            known.update(unpacked(_unpack(b)))
+        words = sorted(known)
+        del known
+        length, flat = _encoded(encoder, words, kind_of_id)
+        begin, number = np.cumsum(length) - length, {w: i for i, w in enumerate(words)}
+        blobs, sums = [], []
+        for b in asked_words:
+            data = _unpack(b)
+            own = np.array([number[w] for w in unpacked(data)], np.int64)
+            blobs.append(_pack(length[own].astype("<u4").tobytes() + _gathered(flat, begin, length, own).tobytes()))
+            sums.append(zlib.crc32(data))
+        return asked.select(["part", "block", "bucket"]).append_column("check", pa.array(sums, pa.int64())).append_column("ids", pa.array(blobs, pa.binary()))
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rows in _blocks(batches, ["text", "part", "doc_id"]):
@@ -185,12 +189,18 @@ def encode_decode(docs: DataFrame, vocabulary: str, buckets: int | None = None,
                     many.append(np.frombuffer(ids, "<u4", len(own)))
                     flat.append(np.frombuffer(ids, kind_of_id, -1, 4 * len(own)) if len(ids) > 4 * len(own) else np.zeros(0, kind_of_id))
                 else:
-                    got = [e.ids for e in encoder.encode_batch_fast([words[i] for i in own.tolist()], add_special_tokens=False)]
-                    many.append(np.array([len(g) for g in got], np.uint32))
-                    flat.append(np.array([i for g in got for i in g], kind_of_id))
+                    length, ids = _encoded(encoder, [words[i] for i in own.tolist()], kind_of_id)
+                    many.append(length)
+                    flat.append(ids)
                 order.append(own)
-            ids, per_text = _in_place(words, which, counts, order, many, flat)
-            out.append(pa.table({"doc_id": pa.array(r["ids_of"], id_type), "ids": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per_text)), pa.int32()), pa.array(ids)), "decoded": pa.array(_decoded(sent.value, ids, per_text), pa.string())}))
+            del rows, words
+            at = 0
+            for ids, per_text in _in_place(which, counts, order, many, flat):
+                decoded = pa.array(_decoded(sent.value, ids, per_text), pa.string())
+                ends = pa.array(np.append(0, np.cumsum(per_text)), pa.int32())
+                of = pa.array(r["ids_of"][at : at + len(per_text)], id_type)
+                out.append(pa.table({"doc_id": of, "ids": pa.ListArray.from_arrays(ends, pa.array(ids)), "decoded": decoded}))
+                at += len(per_text)
         return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], id_type), "ids": pa.array([], pa.list_(pa.int32())), "decoded": pa.array([], pa.string())})
 
     asked = source.mapInArrow(ask, "part int, block int, bucket int, words binary")
@@ -203,18 +213,40 @@ def encode_decode(docs: DataFrame, vocabulary: str, buckets: int | None = None,
     )
 
 
-def _in_place(words: list[str], which: np.ndarray, counts: np.ndarray, order: list, many: list, flat: list) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts one after another and how many each has. `order`, `many` and `flat`: words by number, their counts of ids, the ids."""
-    if not words:
-        return np.zeros(0, np.int32), np.zeros(len(counts), np.int64)
-    order, many, flat = np.concatenate(order), np.concatenate(many).astype(np.int64), np.concatenate(flat).astype(np.int32)
-    length, begin = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+def _encoded(encoder, words: list[str], kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids every word has, and the ids one after another."""
+    length, flat = [np.zeros(0, np.int64)], [np.zeros(0, kind)]
+    for at in range(0, len(words), _WORDS):
+        got = [e.ids for e in encoder.encode_batch_fast(words[at : at + _WORDS], add_special_tokens=False)]
+        length.append(np.array([len(g) for g in got], np.int64))
+        flat.append(np.array([i for g in got for i in g], kind))
+    return np.concatenate(length), np.concatenate(flat)
+
+
+def _gathered(flat: np.ndarray, begin: np.ndarray, length: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The ids of words `own` one after another; word i has `length[i]` ids of `flat` from `begin[i]`."""
+    many = length[own]
+    upto = np.cumsum(many)
+    return flat[np.arange(upto[-1] if len(upto) else 0) + np.repeat(begin[own] - upto + many, many)]
+
+
+def _in_place(which: np.ndarray, counts: np.ndarray, order: list, many: list, flat: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids of the texts one after another and how many each has, by stretches of texts of about _PLACES words or a single longer text.
+
+    `order`, `many` and `flat`: words by number, their counts of ids, the ids.
+    """
+    order, many, flat = (np.concatenate([np.zeros(0, k), *x]) for k, x in ((np.int64, order), (np.int64, many), (np.uint16, flat)))
+    length, begin = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
     length[order], begin[order] = many, np.cumsum(many) - many
-    own = length[which]
-    upto = np.cumsum(own)
-    take = np.arange(upto[-1]) - np.repeat(upto - own - begin[which], own)
-    ends = np.append(0, upto)[np.append(0, np.cumsum(counts))]
-    return flat[take], np.diff(ends)
+    ends = np.cumsum(counts)
+    start = 0
+    while start < len(counts):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + _PLACES, "right")))
+        own = which[before : ends[end - 1]]
+        upto = np.append(0, np.cumsum(length[own]))
+        yield _gathered(flat, begin, length, own).astype(np.int32), np.diff(upto[np.append(0, ends[start:end] - before)])
+        start = end
 
 
 def _decoded(content: str, ids: np.ndarray, per_text: np.ndarray) -> list[str]:

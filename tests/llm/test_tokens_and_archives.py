@@ -143,6 +143,61 @@ def test_words_of_a_block_are_those_of_its_texts(monkeypatch, reach):
         assert sorted(words) == sorted(wordbpe.distinct_words(texts))
 
 
+def test_a_block_needs_little_memory_beside_its_text():
+    import tracemalloc
+
+    r = random.Random(5)
+    texts = [" ".join(f"w{r.randrange(9000)}" for _ in range(1500)) for _ in range(300)]
+    wordbpe.block_words(texts[:1])
+    tracemalloc.start()
+    words, which, counts = wordbpe.block_words(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(words) == 9000 and counts.sum() == len(which) == 450_000
+    assert most < 30 * sum(map(len, texts))
+
+
+def test_texts_go_to_the_workers_in_batches_of_bounded_size(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(setting)
+    try:
+        docs = brute.docs(spark, ["word " * 20_000] * 400).coalesce(1)
+        coded = wordbpe.encode_decode(docs, WORDS, 2)
+        assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) < 5_000_000
+        assert [r.n_tokens for r in coded.select("n_tokens").collect()] == [20_000] * 400
+        spark.conf.set(setting, "8m")
+        wordbpe.encode_decode(docs, WORDS, 2)
+        assert spark.conf.get(setting) == "8m"
+    finally:
+        spark.conf.unset(setting)
+
+
+def test_places_and_answers_in_small_stretches(spark, monkeypatch):
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORDS)
+    words = ["alpha", "", "bet\u00e1gamma", "x" * 50]
+    length, flat = wordbpe._encoded(library, words, "<u2")
+    monkeypatch.setattr(wordbpe, "_WORDS", 1)
+    again = wordbpe._encoded(library, words, "<u2")
+    want = [library.encode(w, add_special_tokens=False).ids for w in words]
+    assert length.tolist() == again[0].tolist() == [len(w) for w in want] and flat.tolist() == again[1].tolist() == sum(want, [])
+    which, counts = np.array([2, 0, 0, 3, 1, 2]), np.array([0, 2, 0, 3, 1, 0])
+    for places in (1, 2, 100):
+        monkeypatch.setattr(wordbpe, "_PLACES", places)
+        got = list(wordbpe._in_place(which, counts, [np.arange(4)], [length], [flat]))
+        assert sum((ids.tolist() for ids, _ in got), []) == sum((want[i] for i in which), [])
+        assert sum((n.tolist() for _, n in got), []) == [0, *(sum(len(want[i]) for i in x) for x in ([2, 0], [], [0, 3, 1], [2])), 0]
+    assert [n.tolist() for _, n in wordbpe._in_place(which[:0], np.zeros(2, np.int64), [], [], [])] == [[0, 0]]
+
+
 def test_equal_hashes_of_different_segments_stay_apart(monkeypatch):
     import numpy as np
 
