@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cotejo.session import cut_lineage, ensure_checkpoint_dir
+from cotejo.session import bounded_batches, cut_lineage, ensure_checkpoint_dir
 
 __all__ = ["Shelf", "bounded_batches", "cut_lineage", "digest", "distinct_segments", "fold_sql", "map_arrow", "mix64", "scratch", "small_batches", "table", "text_chunks"]
 
@@ -50,19 +50,6 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
-#: bytes of an Arrow batch that goes to a Python worker, and Spark's setting for it
-BATCH_BYTES, _BATCH_SETTING = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """From now on the session sends texts to Python in batches of BATCH_BYTES, where it names no size of its own.
-
-    Spark's own bound is 64 MB, which both the executor and the worker hold for every running task. Rows stay whole and no result depends on it.
-    """
-    if spark.conf.get(_BATCH_SETTING, "1b") == "1b":
-        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
-
-
 def text_chunks(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) pieces of a batch, each of about `most` characters or a single longer text; null is empty."""
     texts = batch.column(column)

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cotejo.functions.binding import let
 from cotejo.functions.numbers import as_double, first_money
-from cotejo.functions.similarity import CommonSubsequences
+from cotejo.functions.similarity import CommonSubsequences, near_pairs
 from cotejo.functions.text import contains_any, extract_all, lines_of, strip
-from cotejo.skew import length_chunks, spread
+from cotejo.session import bounded_batches
+from cotejo.skew import bounded_broadcast, length_chunks, spread
 
 LINE_CHUNK = 64
+#: lines of a text that one task compares with all of its lines, parts that a longer text goes to at most, rows of an answer
+LONG_TEXT, MOST_PARTS, ANSWER = 512, 64, 10_000
 
 
 def split_lines(doc_text: DataFrame) -> DataFrame:
@@ -95,8 +101,8 @@ def _similar_in_pair(min_ratio: float):
                             matcher.set_seqs(first["line"], second["line"])
                             r = matcher.ratio()
                             if r >= min_ratio:
-                                out.append((doc, first["no"], second["no"], r))
-            yield pd.DataFrame(out, columns=["doc_id", "i", "j", "ratio"])
+                                out.append((doc, first["no"], first["h"], second["no"], second["h"], r))
+            yield pd.DataFrame(out, columns=["doc_id", "i", "h_i", "j", "h_j", "ratio"])
 
     return run
 
@@ -105,21 +111,21 @@ def similar_lines(lines: DataFrame, min_ratio: float = 0.7, limit: int | None =
     """All pairs of nearly equal lines per document, or the first `limit` in (i, j) order for a report.
 
     Different lines of a document meet in chunks of like length, so a long document is many equal jobs; repeated lines are compared once
-    and put back by their numbers.
+    and put back by their numbers, with the hash of the line where a number occurs twice.
     """
     key = lines.schema["doc_id"].dataType.simpleString()
-    texts = lines.groupBy("doc_id", "line").agg(F.min("line_no").alias("no"), F.count(F.lit(1)).alias("n"))
-    packed = length_chunks(texts, ["doc_id"], "line", min_ratio, LINE_CHUNK, "a", ["no", "n", "line"])
+    texts = lines.groupBy("doc_id", "line").agg(F.min("line_no").alias("no"), F.count(F.lit(1)).alias("n")).withColumn("h", F.xxhash64("line"))
+    packed = length_chunks(texts, ["doc_id"], "line", min_ratio, LINE_CHUNK, "a", ["no", "n", "h", "line"])
     other = packed.select("doc_id", F.explode(F.array(F.col("length_class"), F.col("length_class") - 1)).alias("length_class"), F.col("length_class").alias("own"), F.col("_a").alias("_b"), F.col("a").alias("b"))
     met = packed.join(other, ["doc_id", "length_class"]).where((F.col("own") != F.col("length_class")) | (F.col("_a") <= F.col("_b")))
     met = met.withColumn("same", (F.col("own") == F.col("length_class")) & (F.col("_a") == F.col("_b")))
     # the only line of a chunk has no pair there
     met = met.where(~F.col("same") | (F.size("a") > 1))
-    pairs = spread(met, ["doc_id", "length_class", "own", "_a", "_b"]).select("doc_id", "same", "a", "b").mapInPandas(_similar_in_pair(min_ratio), f"doc_id {key}, i bigint, j bigint, ratio double")
+    pairs = spread(met, ["doc_id", "length_class", "own", "_a", "_b"]).select("doc_id", "same", "a", "b").mapInPandas(_similar_in_pair(min_ratio), f"doc_id {key}, i bigint, h_i bigint, j bigint, h_j bigint, ratio double")
     again = texts.where("n > 1").select("doc_id", "line", "no")
     places = lines.join(again, ["doc_id", "line"], "left").select("doc_id", F.coalesce("no", "line_no").cast("bigint").alias("no"), F.col("line_no").cast("bigint").alias("at"), "line")
-    side = lambda c: places.select("doc_id", F.col("no").alias(c), F.col("at").alias(f"at_{c}"), F.col("line").alias(f"line_{c}"))
-    met = pairs.join(side("i"), ["doc_id", "i"]).join(side("j"), ["doc_id", "j"]).where("at_i < at_j")
+    side = lambda c: places.select("doc_id", F.col("no").alias(c), F.xxhash64("line").alias(f"h_{c}"), F.col("at").alias(f"at_{c}"), F.col("line").alias(f"line_{c}"))
+    met = pairs.join(side("i"), ["doc_id", "i", "h_i"]).join(side("j"), ["doc_id", "j", "h_j"]).where("at_i < at_j")
     found = met.select("doc_id", F.col("at_i").alias("i"), F.col("at_j").alias("j"), "line_i", "line_j", "ratio")
     if limit is None:
         return found
@@ -134,6 +140,10 @@ def text_overlap(lines: DataFrame, similar: DataFrame) -> DataFrame:
     fmt = line_format(lines).select("doc_id", "n_sospechas")
     sim = similar.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_s"))
     df = stats.join(fmt, "doc_id").join(sim, "doc_id", "left").withColumn("n_similares", F.coalesce("_s", F.lit(0)))
+    return _overlap_score(df)
+
+
+def _overlap_score(df: DataFrame) -> DataFrame:
     n = F.greatest(F.lit(1), F.col("total_lineas"))
     p = (
         F.least(F.lit(0.6), F.col("lineas_duplicadas") / n * 2)
@@ -154,6 +164,98 @@ def text_overlap(lines: DataFrame, similar: DataFrame) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------- whole texts in their rows
+
+
+def _text_jobs(doc_text: DataFrame, **more: Callable[[Column], Column]) -> list[DataFrame]:
+    """(doc_id, part, parts, lines and `more` columns made of them) of ordinary texts, which stay where they are, and of long ones, which go
+    to several tasks."""
+    text = F.col("text")
+    long = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) >= LONG_TEXT
+    told = doc_text.where(F.col("doc_id").isNotNull())
+    rows = lambda test: told.where(test).select("doc_id", lines_of(text).alias("lines"))
+    parts = F.greatest(F.lit(1), F.least(F.lit(MOST_PARTS), F.ceil(F.size("lines") / LONG_TEXT))).cast("int")
+    split = rows(long).withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    whole = rows(~long).select("*", F.lit(0).alias("part"), F.lit(1).alias("parts"))
+    bounded_batches(doc_text.sparkSession)
+    columns = ["doc_id", "part", "parts", "lines", *[f(F.col("lines")).alias(name) for name, f in more.items()]]
+    return [whole.select(*columns), spread(split.select(*columns), ["doc_id", "part"])]
+
+
+def _by_text(doc_text: DataFrame, own: Callable[[DataFrame], DataFrame], shared: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`own` of the texts that have their doc_id to themselves, and `shared` of the others, whose lines count together."""
+    again = doc_text.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")
+    if again.isEmpty():
+        return own(doc_text)
+    again = bounded_broadcast(again)
+    rest = shared(doc_text.join(again, "doc_id", "left_semi"))
+    return own(doc_text.join(again, "doc_id", "left_anti")).unionByName(rest)
+
+
+def _alike(lines: list[str], min_ratio: float, part: int, parts: int) -> Iterator[tuple[list[int], list[int], float]]:
+    """Near copies among the different lines of a text: numbers of the one, numbers of the other, ratio in this order."""
+    places: dict[str, list[int]] = {}
+    for no, line in enumerate(lines):
+        places.setdefault(line, []).append(no)
+    texts, matcher = list(places), SequenceMatcher(None)
+    for x, y in near_pairs(texts, min_ratio, part, parts):
+        for first, second in ((texts[x], texts[y]), (texts[y], texts[x])):
+            # the ratio depends on the order, which is that of the lines
+            if places[first][0] < places[second][-1]:
+                matcher.set_seqs(first, second)
+                r = matcher.ratio()
+                if r >= min_ratio:
+                    yield places[first], places[second], r
+
+
+def _map_texts(jobs: DataFrame, answers: Callable[..., Iterator[tuple]], columns: str) -> DataFrame:
+    """Rows (doc_id, `columns`) of what `answers` finds in (part, parts, lines, ...), a bounded number at a time."""
+    names = ["doc_id", *[c.split()[0] for c in columns.split(", ")]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, key = [], None
+        packed = lambda: pa.RecordBatch.from_arrays([pa.array(c, key if n == "doc_id" else None) for n, c in zip(names, zip(*out))], names)
+        for batch in batches:
+            key = batch.schema.field("doc_id").type
+            for doc, *job in zip(*(c.to_pylist() for c in batch.columns)):
+                for answer in answers(*job):
+                    out.append((doc, *answer))
+                    if len(out) == ANSWER:
+                        yield packed()
+                        out = []
+        if out:
+            yield packed()
+
+    return jobs.mapInArrow(run, f"doc_id {jobs.schema['doc_id'].dataType.simpleString()}, {columns}")
+
+
+def text_overlap_in_texts(doc_text: DataFrame, min_ratio: float = 0.7) -> DataFrame:
+    """`text_overlap` of the lines of texts and their near copies, counted inside the row: nothing is shuffled but the parts of long texts."""
+
+    def counted(part: int, parts: int, lines: list[str], shapes: int) -> Iterator[tuple]:
+        if lines:
+            times = Counter(lines)
+            short = any(n > 5 and len(x) <= 3 for x, n in times.items())
+            alike = sum(len(b) - bisect_right(b, i) for a, b, _ in _alike(lines, min_ratio, part, parts) for i in a)
+            yield len(lines), sum(n > 1 for n in times.values()), alike, shapes + short
+
+    def own(texts: DataFrame) -> DataFrame:
+        shape = lambda x, pattern: F.exists(x, lambda line: line.rlike(pattern)).cast("bigint")
+        jobs = _text_jobs(texts, shapes=lambda x: shape(x, WIDE_SPACES) + shape(x, CONTROL))
+        whole, split = [_map_texts(j, counted, "total_lineas bigint, lineas_duplicadas bigint, n_similares bigint, n_sospechas bigint") for j in jobs]
+        first = [F.first(c).alias(c) for c in ("total_lineas", "lineas_duplicadas", "n_sospechas")]
+        return _overlap_score(whole.unionByName(split.groupBy("doc_id").agg(*first, F.sum("n_similares").alias("n_similares"))))
+
+    def shared(texts: DataFrame) -> DataFrame:
+        lines = split_lines(texts)
+        return text_overlap(lines, similar_lines(lines, min_ratio))
+
+    return _by_text(doc_text, own, shared)
+
+
+# ---------------------------------------------------------------- amounts and numbers
+
+
 def repeated_amounts(doc_text: DataFrame, more_than: int = 3) -> DataFrame:
     """Amount texts that occur more than three times in a document."""
     found = doc_text.select("doc_id", F.explode(extract_all(F.col("text"), r"\d+[.,]\d{2}")).alias("monto"))

@@ -8,7 +8,7 @@ from cotejo.functions import dates, ids, numbers, text as tx
 from cotejo.functions.hashes import digests, hash_consistency
 from cotejo.operators import extract, finance, lines as ln
 from cotejo.plans.derived import ITEMS_SQL, KEYS_SQL, LINES_SQL, MOD11_SQL, TEXTS_SQL, access_keys, invoice_items, invoice_texts, table
-from cotejo.skew import at_least_parallel
+from cotejo.skew import TASK_ROWS, at_least_parallel
 
 Q, SQL = {}, {}
 NL = "chr(10)"
@@ -17,8 +17,12 @@ _LINES = """lines AS (
 )"""
 
 
-def _docs(spark, d):
-    return at_least_parallel(table(spark, d, "documents")).select("doc_id", F.lit("pdf").alias("source"), "text")
+#: documents of one task where they stay in their rows: they are dealt out anew, which writes every text to disk, only for lack of tasks
+DOC_ROWS = 200_000
+
+
+def _docs(spark, d, rows=TASK_ROWS):
+    return at_least_parallel(table(spark, d, "documents"), rows).select("doc_id", F.lit("pdf").alias("source"), "text")
 
 
 def q_duplicate_lines(spark, d):
@@ -62,8 +66,7 @@ def q_similar_lines(spark, d):
 
 
 def q_text_overlap(spark, d):
-    lines = ln.split_lines(_docs(spark, d))
-    return ln.text_overlap(lines, ln.similar_lines(lines)).withColumn("probabilidad", F.round("probabilidad", 6))
+    return ln.text_overlap_in_texts(_docs(spark, d, DOC_ROWS)).withColumn("probabilidad", F.round("probabilidad", 6))
 
 
 def q_repeated_amounts(spark, d):

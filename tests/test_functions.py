@@ -137,3 +137,21 @@ def test_sequence_ratio_is_not_symmetric_and_exact(spark):
     pairs = [("".join(rng.choice("abc ") for _ in range(rng.randint(0, 30))), "".join(rng.choice("abc ") for _ in range(rng.randint(0, 30)))) for _ in range(100)]
     df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", seq_ratio(F.col("a"), F.col("b")).alias("r"))
     assert all(r["r"] == SequenceMatcher(None, r["a"], r["b"]).ratio() for r in df.collect())
+
+
+def test_near_pairs_are_those_the_common_subsequence_allows(monkeypatch):
+    from cotejo.functions import similarity
+
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abñ\U0001f600") for _ in range(rng.choice((0, 3, 9, 40)))) for _ in range(60)]
+    texts = list(dict.fromkeys([*texts, *(t[:-1] + "é" for t in texts if t), "x" * 300, "x" * 299 + "\n"]))
+    hope = lambda a, b: 2.0 * similarity.common_subsequence(a, b) / max(1, len(a) + len(b))
+    want = {(i, j) for i in range(len(texts)) for j in range(i) if hope(texts[i], texts[j]) >= 0.7}
+    # small blocks, and few letters at a time
+    for block, letters, cells in ((64, 65_536, 4_000_000), (3, 65_536, 1), (64, 50, 200)):
+        monkeypatch.setattr(similarity, "_BLOCK", block)
+        monkeypatch.setattr(similarity, "_BLOCK_LETTERS", letters)
+        monkeypatch.setattr(similarity, "_CELLS", cells)
+        for parts in (1, 4):
+            found = [(max(p), min(p)) for part in range(parts) for p in similarity.near_pairs(texts, 0.7, part, parts)]
+            assert sorted(found) == sorted(want)

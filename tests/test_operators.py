@@ -521,3 +521,28 @@ def test_settle_items_says_what_the_three_operators_say(spark, monkeypatch):
         loose = recon.unmatched_items(matches, a, b)
         for label, no, other in (("no_encontrado_en_pdf", "sri_no", "pdf_no"), ("no_encontrado_en_sri", "pdf_no", "sri_no")):
             assert rows(settled.where(f"{other} is null"), no) == rows(loose.where(f"match = '{label}'"), "item_no")
+
+
+def _odd_texts(spark):
+    base = ["total a pagar 10", "total a pagar 11", "iva 15%", "otra cosa", "otra casa", "x", "a" + " " * 12 + "b", "\x07 campana"]
+    docs = [(d, "\n".join(RNG.choice(base) + RNG.choice(["", "!", " ", "\r"]) for _ in range(n))) for d, n in enumerate((25, 3, 1, 40, 0, 30))]
+    docs += [(6, None), (7, " \n\n"), (8, "factura 100\nfactura 101"), (8, "otro texto\nfactura 109"), (None, "uno dos\nuno dos!")]
+    return spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+
+
+def test_lines_of_two_texts_with_one_id_keep_their_own_ratio(spark):
+    split = lines.split_lines(_odd_texts(spark)).where("doc_id = 8")
+    ratio = lambda a, b: SequenceMatcher(None, a, b).ratio()
+    want = [(0, 1, ratio("factura 100", "factura 101")), (0, 1, ratio("factura 100", "factura 109"))]
+    assert sorted((r.i, r.j, r.ratio) for r in lines.similar_lines(split).collect()) == sorted(want)
+
+
+def test_text_overlap_in_texts_equals_that_of_lines(spark, monkeypatch):
+    df = _odd_texts(spark)
+    split = lines.split_lines(df)
+    want = sorted(map(tuple, lines.text_overlap(split, lines.similar_lines(split)).collect()))
+    assert sorted(map(tuple, lines.text_overlap_in_texts(df).collect())) == want and len(want) == 6
+    # texts of more than a few lines in several parts, and answers in small pieces
+    monkeypatch.setattr(lines, "LONG_TEXT", 4)
+    monkeypatch.setattr(lines, "ANSWER", 2)
+    assert sorted(map(tuple, lines.text_overlap_in_texts(df).collect())) == want

@@ -143,3 +143,26 @@ def test_tokens_of_large_suppliers_match_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     ok, note = check(spark, con, "tokens_for_boxes", QUERIES["tokens_for_boxes"], ORACLE["tokens_for_boxes"], str(tmp_path))
     assert ok, note
+
+
+def _shuffled(spark, run):
+    """Bytes that the stages of `run` wrote for a shuffle."""
+    context = spark.sparkContext
+    none = context._gateway.new_array(context._jvm.double, 0)
+
+    def total():
+        context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = context._jsc.sc().statusStore().stageList(context._jvm.java.util.ArrayList(), False, False, none, context._jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in map(stages.apply, range(stages.size()))}
+
+    before = total()
+    run()
+    return sum(n for k, n in total().items() if n and k not in before)
+
+
+@pytest.mark.parametrize("name", ["text_overlap"])
+def test_lines_of_a_text_are_not_shuffled(spark, tmp_path, name):
+    docs = table(spark, SF, "documents")
+    docs.repartition(32).write.parquet(f"{tmp_path}/documents.parquet")
+    letters = docs.agg(F.sum(F.length("text"))).first()[0]
+    assert _shuffled(spark, lambda: QUERIES[name](spark, str(tmp_path)).collect()) < letters / 20
