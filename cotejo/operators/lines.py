@@ -229,6 +229,21 @@ def _map_texts(jobs: DataFrame, answers: Callable[..., Iterator[tuple]], columns
     return jobs.mapInArrow(run, f"doc_id {jobs.schema['doc_id'].dataType.simpleString()}, {columns}")
 
 
+def similar_lines_in_texts(doc_text: DataFrame, min_ratio: float = 0.7) -> DataFrame:
+    """(doc_id, i, j, ratio) of `similar_lines`, found inside the row: nothing is shuffled but the parts of long texts."""
+
+    def pairs(part: int, parts: int, lines: list[str]) -> Iterator[tuple]:
+        for firsts, seconds, r in _alike(lines, min_ratio, part, parts):
+            for i in firsts:
+                yield from ((i, j, r) for j in seconds[bisect_right(seconds, i) :])
+
+    def own(texts: DataFrame) -> DataFrame:
+        whole, split = [_map_texts(j, pairs, "i bigint, j bigint, ratio double") for j in _text_jobs(texts)]
+        return whole.unionByName(split)
+
+    return _by_text(doc_text, own, lambda texts: similar_lines(split_lines(texts), min_ratio).select("doc_id", "i", "j", "ratio"))
+
+
 def text_overlap_in_texts(doc_text: DataFrame, min_ratio: float = 0.7) -> DataFrame:
     """`text_overlap` of the lines of texts and their near copies, counted inside the row: nothing is shuffled but the parts of long texts."""
 

@@ -62,7 +62,7 @@ FROM g JOIN s USING (doc_id)"""
 
 
 def q_similar_lines(spark, d):
-    return ln.similar_lines(ln.split_lines(_docs(spark, d))).select("doc_id", "i", "j", F.round("ratio", 6).alias("ratio"))
+    return ln.similar_lines_in_texts(_docs(spark, d, DOC_ROWS)).select("doc_id", "i", "j", F.round("ratio", 6).alias("ratio"))
 
 
 def q_text_overlap(spark, d):

@@ -546,3 +546,12 @@ def test_text_overlap_in_texts_equals_that_of_lines(spark, monkeypatch):
     monkeypatch.setattr(lines, "LONG_TEXT", 4)
     monkeypatch.setattr(lines, "ANSWER", 2)
     assert sorted(map(tuple, lines.text_overlap_in_texts(df).collect())) == want
+
+
+def test_similar_lines_in_texts_equal_those_of_lines(spark, monkeypatch):
+    df = _odd_texts(spark)
+    want = sorted((r.doc_id, r.i, r.j, r.ratio) for r in lines.similar_lines(lines.split_lines(df)).collect())
+    assert sorted(map(tuple, lines.similar_lines_in_texts(df).collect())) == want and len(want) > 100
+    monkeypatch.setattr(lines, "LONG_TEXT", 4)
+    monkeypatch.setattr(lines, "ANSWER", 2)
+    assert sorted(map(tuple, lines.similar_lines_in_texts(df).collect())) == want

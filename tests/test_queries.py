@@ -160,7 +160,7 @@ def _shuffled(spark, run):
     return sum(n for k, n in total().items() if n and k not in before)
 
 
-@pytest.mark.parametrize("name", ["text_overlap"])
+@pytest.mark.parametrize("name", ["text_overlap", "similar_lines"])
 def test_lines_of_a_text_are_not_shuffled(spark, tmp_path, name):
     docs = table(spark, SF, "documents")
     docs.repartition(32).write.parquet(f"{tmp_path}/documents.parquet")
