@@ -12,10 +12,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from cotejo.functions.binding import let
 from cotejo.functions.numbers import clean_amount
 from cotejo.functions.text import extract_all
 from cotejo.session import cut_lineage
-from cotejo.skew import bounded_broadcast, chunked_lag
+from cotejo.skew import bounded_broadcast, chunked_lag, spread
 
 BOX = ("x0", "y0", "x1", "y1")
 # Image filters that count as standard.
@@ -360,16 +361,75 @@ def unknown_filters(pdf_images: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- greedy merge
 
 
-def merge_boxes(boxes: DataFrame, min_iou: float = 0.2, cell: float = 64.0) -> DataFrame:
+#: counters of the first count of boxes by image
+_SLOTS = 1 << 20
+
+
+def _crowded(boxes: DataFrame, keys: Sequence[str], crowd: int) -> DataFrame | None:
+    """Keys of more than `crowd` rows, or None. Rows are counted by a hash of the key first, and one by one only where that many share it."""
+    slotted = boxes.select(*keys, F.pmod(F.xxhash64(*keys), F.lit(_SLOTS)).alias("_slot"))
+    full = slotted.groupBy("_slot").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowd).select("_slot")
+    if full.isEmpty():
+        return None
+    found = slotted.join(bounded_broadcast(full), "_slot", "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowd)
+    found = cut_lineage(found.select(*keys))
+    return None if found.isEmpty() else bounded_broadcast(found)
+
+
+def merge_boxes(boxes: DataFrame, min_iou: float = 0.2, cell: float = 64.0, crowd: int = CROWD, in_pieces: bool = False) -> DataFrame:
     """Boxes kept by the greedy merge: in order of y + 0.1 x a box stays unless a kept one covers it.
 
-    Spread over the cluster in rounds: a box with no undecided earlier neighbour is decided now
-    (kept, or dropped when a kept one covers it). Chains of overlaps settle one link per round, so
-    the number of rounds is the longest chain of decisions, not the number of boxes.
+    Boxes of an image meet in one row, for which they are shuffled once. Images of more than `crowd` boxes are merged in rounds that are
+    spread over the cluster. A box may come `in_pieces`, rows of one number, whose hull it is.
+    """
+    if in_pieces:
+        hull = [F.min(c).alias(c) for c in BOX[:2]] + [F.max(c).alias(c) for c in BOX[2:]]
+        whole = lambda b: b.groupBy("image_id", "box_no").agg(*hull)
+    else:
+        whole = lambda b: b
+    boxes = boxes.where(F.col("image_id").isNotNull())
+    crowded = _crowded(boxes, ["image_id"], crowd)
+    if crowded is None:
+        return _merged_in_rows(whole(spread(boxes, ["image_id"])), min_iou)
+    few = whole(spread(boxes.join(crowded, "image_id", "left_anti"), ["image_id"]))
+    return _merged_in_rows(few, min_iou).unionByName(_merged_in_rounds(whole(boxes.join(crowded, "image_id", "left_semi")), min_iou, cell))
+
+
+def _merged_in_rows(boxes: DataFrame, min_iou: float) -> DataFrame:
+    """The greedy merge as a fold over the sorted boxes of an image.
+
+    Next to the kept boxes the state has those of them that reach below the tops still to come: with x up to m, a box of order o or later
+    starts at o - 0.1 m or lower.
+    """
+    columns = [F.col(c) for c in boxes.columns if c not in ("image_id", "box_no")]
+    packed = F.sort_array(F.collect_list(F.struct((F.col("y0") + F.col("x0") * 0.1).alias("_o"), "box_no", *columns)))
+    images = boxes.groupBy("image_id").agg(packed.alias("_b"), F.max("x0").alias("_m"))
+    side = lambda k, b, axis: F.greatest(F.lit(0.0), F.least(k[f"{axis}1"], b[f"{axis}1"]) - F.greatest(k[f"{axis}0"], b[f"{axis}0"]))
+    area = lambda b: (b["x1"] - b["x0"]) * (b["y1"] - b["y0"])
+    covers = lambda k, b: let(side(k, b, "x") * side(k, b, "y"), lambda i: i > min_iou * (area(k) + area(b) - i + 1e-6))
+
+    def step(state: Column, b: Column) -> Column:
+        # a little lower, for what rounding takes; unknown where the number is not finite
+        top = b["_o"] - F.col("_m") * 0.1 - (F.abs(b["_o"]) + F.abs("_m") + 1) * 1e-9
+        low = F.coalesce(F.nanvl(top, F.lit(float("-inf"))), F.lit(float("-inf")))
+        live = F.filter(state["live"], lambda k: F.coalesce(k["y1"] > low, F.lit(True)))
+        covered = F.coalesce(F.exists(live, lambda k: covers(k, b)), F.lit(False))
+        return F.when(covered, state).otherwise(F.struct(F.array_append(state["kept"], b).alias("kept"), F.array_append(live, b).alias("live")))
+
+    kind = images.schema["_b"].dataType.simpleString()
+    none = F.array().cast(kind)
+    kept = F.aggregate("_b", F.struct(none.alias("kept"), none.alias("live")), step, lambda state: state["kept"])
+    return images.select("image_id", F.explode(kept).alias("_k")).select(*[F.col("image_id") if c == "image_id" else F.col("_k")[c].alias(c) for c in boxes.columns])
+
+
+def _merged_in_rounds(boxes: DataFrame, min_iou: float, cell: float) -> DataFrame:
+    """The greedy merge of all boxes at once, spread over the cluster in rounds: a box with no undecided earlier neighbour is decided now
+    (kept, or dropped when a kept one covers it). Chains of overlaps settle one link per round, so the number of rounds is the longest
+    chain of decisions, not the number of boxes.
     """
     b = boxes.select("image_id", "box_no", *BOX, (F.col("y0") + F.col("x0") * 0.1).alias("_o"))
     inter = F.greatest(F.lit(0.0), _inter("x")) * F.greatest(F.lit(0.0), _inter("y"))
-    over = inter / (_area("a_") + _area("b_") - inter + 1e-6) > min_iou
+    over = inter > min_iou * (_area("a_") + _area("b_") - inter + 1e-6)
     earlier = (F.col("a__o") < F.col("b__o")) | ((F.col("a__o") == F.col("b__o")) & (F.col("a_box_no") < F.col("b_box_no")))
     edges = cut_lineage(
         box_pairs(b, b, ["image_id"], cell)

@@ -216,9 +216,8 @@ SQL["patch_images"] = f"WITH {_IMAGES} SELECT doc_id, count(*) AS n FROM im WHER
 
 def q_merge_boxes(spark, d):
     """Greedy merge over the boxes of each order."""
-    w = line_words(spark, d).groupBy(F.col("doc_id").alias("image_id"), F.col("word_no").alias("box_no"))
-    b = w.agg(*[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1")])
-    return boxes.merge_boxes(b).select("image_id", "box_no")
+    w = line_words(spark, d).select(F.col("doc_id").alias("image_id"), F.col("word_no").alias("box_no"), *boxes.BOX)
+    return boxes.merge_boxes(w, in_pieces=True).select("image_id", "box_no")
 
 
 SQL["merge_boxes"] = f"""WITH RECURSIVE {WORDS_SQL}, b AS (SELECT doc_id AS image_id, word_no AS box_no, min(x0)::DOUBLE AS x0, min(y0)::DOUBLE AS y0, max(x1)::DOUBLE AS x1, max(y1)::DOUBLE AS y1 FROM words GROUP BY 1, 2),

@@ -555,3 +555,38 @@ def test_similar_lines_in_texts_equal_those_of_lines(spark, monkeypatch):
     monkeypatch.setattr(lines, "LONG_TEXT", 4)
     monkeypatch.setattr(lines, "ANSWER", 2)
     assert sorted(map(tuple, lines.similar_lines_in_texts(df).collect())) == want
+
+
+def _greedy_boxes(data):
+    """Boxes (image_id, box_no, x0, y0, x1, y1) that the greedy loop keeps, image by image."""
+    keep = set()
+    area = lambda b: (b[4] - b[2]) * (b[5] - b[3])
+    for image in {b[0] for b in data}:
+        kept = []
+        for b in sorted((b for b in data if b[0] == image), key=lambda b: (b[3] + b[2] * 0.1, b[1])):
+            inter = [max(0.0, min(k[4], b[4]) - max(k[2], b[2])) * max(0.0, min(k[5], b[5]) - max(k[3], b[3])) for k in kept]
+            if not any(i > 0.2 * (area(k) + area(b) - i + 1e-6) for i, k in zip(inter, kept)):
+                kept.append(b)
+        keep |= {b[:2] for b in kept}
+    return keep
+
+
+def test_merge_boxes_in_rows_and_in_rounds(spark):
+    cols = "image_id bigint, box_no bigint, x0 double, y0 double, x1 double, y1 double"
+    data = []
+    # small ones, one with tall and wide boxes, one far off with negative places
+    for image, n, far, size in ((1, 6, 30, 20), (2, 90, 200, 40), (3, 60, 400, 300), (4, 70, -5000, 800), (5, 1, 10, 10)):
+        for i in range(n):
+            x, y = RNG.uniform(min(0, far), max(0, far)), float(RNG.randint(min(0, far), max(0, far)))
+            data.append((image, i, x, y, x + RNG.uniform(1, size), y + RNG.uniform(1, size)))
+    want = _greedy_boxes(data)
+    odd = [(6, 0, None, 1.0, 5.0, 5.0), (6, 1, 0.0, 0.0, 9.0, 9.0), (6, 2, 0.5, 0.5, 9.0, 9.0), (6, 3, 20.0, 0.0, 25.0, None), (6, 4, 20.0, 0.0, 25.0, 4.0), (None, 0, 0.0, 0.0, 1.0, 1.0)]
+    want |= {(6, 0), (6, 1), (6, 3), (6, 4)}
+    df = spark.createDataFrame(data + odd, cols).repartition(3)
+    for crowd in (4096, 65, 5):
+        got = boxes.merge_boxes(df, crowd=crowd)
+        assert got.columns == df.columns and sorted((r.image_id, r.box_no) for r in got.collect()) == sorted(want)
+    # every box in two pieces
+    halves = df.withColumn("x1", F.col("x0")).unionByName(df.withColumn("x0", F.col("x1"))).where("image_id < 6")
+    for crowd in (4096, 65):
+        assert {(r.image_id, r.box_no) for r in boxes.merge_boxes(halves, crowd=crowd, in_pieces=True).collect()} == {k for k in want if k[0] < 6}

@@ -166,3 +166,9 @@ def test_lines_of_a_text_are_not_shuffled(spark, tmp_path, name):
     docs.repartition(32).write.parquet(f"{tmp_path}/documents.parquet")
     letters = docs.agg(F.sum(F.length("text"))).first()[0]
     assert _shuffled(spark, lambda: QUERIES[name](spark, str(tmp_path)).collect()) < letters / 20
+
+
+def test_boxes_are_shuffled_once(spark):
+    """A box has six numbers of eight bytes, and its image is counted."""
+    rows = table(spark, SF, "lineitem").count()
+    assert _shuffled(spark, lambda: QUERIES["merge_boxes"](spark, SF).collect()) < 100 * rows
